@@ -86,8 +86,9 @@ def map_frame_window(start, end, source: Grid, target: Grid) -> Column:
 
 
 def expand_context(start, end, limit, margin) -> tuple[Column, Column]:
-    """The interval with `margin` on both sides, clipped to [0, limit]."""
-    return F.greatest(F.lit(0), _c(start) - margin), F.least(_c(limit), _c(end) + margin)
+    """The interval with `margin` on both sides, clipped to [0, limit]; null stays null."""
+    s, e = _c(start), _c(end)
+    return F.when(s.isNotNull(), F.greatest(F.lit(0), s - margin)), F.when(e.isNotNull(), F.least(_c(limit), e + margin))
 
 
 def sum_of(columns: list[Column]) -> Column:

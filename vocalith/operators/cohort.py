@@ -90,7 +90,7 @@ def coverage_audit(folds: DataFrame, cohort: DataFrame, test: DataFrame, classes
         rows(cohort.join(folds, key, "left_anti"), "never held out", key),
         rows(folds.join(cohort, key, "left_anti"), "not in the cohort", key),
         rows(folds.groupBy(patient).agg(F.count_distinct("fold").alias("n")).where("n > 1"), "patient in several folds", patient),
-        rows(every.join(folds.join(cohort.select(key, label), key).select("fold", label).distinct(), ["fold", label], "left_anti").withColumn("what", F.concat_ws(":", "fold", label)), "class missing from a fold", "what"),
+        rows(every.join(folds.select(key, "fold").join(cohort.select(key, label), key).select("fold", label).distinct(), ["fold", label], "left_anti").withColumn("what", F.concat_ws(":", "fold", label)), "class missing from a fold", "what"),
         rows(test.join(folds, key, "left_semi"), "test unit in development", key),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -41,7 +41,7 @@ def train_val_gap(runs: DataFrame, folds: int = 5) -> DataFrame:
 
 def attach_test_scores(report: DataFrame, tests: DataFrame, key: str = "trial") -> DataFrame:
     """test: the completed evaluation's score as text; 'Not included' where there is none, never 0."""
-    return report.join(tests.select(key, F.col("test_score")), key, "left").withColumn("test", F.coalesce(F.format_string("%.4f", "test_score"), F.lit("Not included"))).drop("test_score")
+    return report.join(tests.select(key, F.col("test_score")), key, "left").withColumn("test", F.when(F.col("test_score").isNotNull(), F.format_string("%.4f", F.round("test_score", 4))).otherwise("Not included")).drop("test_score")
 
 
 def leaderboard(runs: DataFrame, trials: DataFrame, baseline: DataFrame, folds: int = 5) -> DataFrame:
@@ -55,7 +55,7 @@ def leaderboard(runs: DataFrame, trials: DataFrame, baseline: DataFrame, folds:
 def sweep_sheet(trials: DataFrame, runs: DataFrame, tests: DataFrame, failed: DataFrame, folds: int = 5) -> DataFrame:
     """One row a trial: status, completed, means, gap, the folds' scores as one text, and the test score."""
     gap = train_val_gap(runs, folds)
-    each = runs.groupBy("trial").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold", F.format_string("%.4f", "score").alias("s")))), lambda x: F.concat(x["fold"].cast("string"), F.lit(": "), x["s"])), "; ").alias("by_fold"), F.count("*").alias("n"))
+    each = runs.groupBy("trial").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold", F.format_string("%.4f", F.round("score", 4)).alias("s")))), lambda x: F.concat(x["fold"].cast("string"), F.lit(": "), x["s"])), "; ").alias("by_fold"), F.count("*").alias("n"))
     out = trials.select("trial").join(gap, "trial", "left").join(each, "trial", "left").join(failed.select("trial", F.lit(True).alias("bad")).distinct(), "trial", "left")
     status = F.when(F.col("bad"), "Failed").when(F.col("n") == folds, "Complete").when(F.col("n") > 0, "Running").otherwise("Queued")
     sheet = out.select("trial", status.alias("status"), F.coalesce("completed", F.lit(f"0/{folds}")).alias("completed"), "train_mean", "mean", "sd", "gap", "by_fold")

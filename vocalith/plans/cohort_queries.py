@@ -95,7 +95,7 @@ def _(spark, d):
     return C.class_weights(X.cohort(spark, d), ["AUTOMOBILE", "BUILDING", "ABSENT"])
 
 
-@query("value_counts", "SELECT source, lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY source), 6)::DOUBLE AS percent FROM documents GROUP BY ALL")
+@query("value_counts", "SELECT source, lang, n, round(100.0 * n / sum(n) OVER (PARTITION BY source), 6)::DOUBLE AS percent FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)")
 def _(spark, d):
     return C.value_counts(X.load(spark, d, "documents"), "lang", ["source"])
 

@@ -52,7 +52,7 @@ def _(spark, d):
     return S.scan_consensus(spark, path, {"filename": "filename", "consensus": "diagnosis", "rater": "rater"})
 
 
-@query("scan_words", X.sql("words", "SELECT 'u' || uid AS uid, word_id, regexp_replace(word, '[\",\\\\]', '', 'g') AS word, start_ms / 1000.0::DOUBLE AS start, end_ms / 1000.0::DOUBLE AS end, prob AS probability FROM words WHERE regexp_replace(word, '[\",\\\\]', '', 'g') <> '' AND uid % 1000 < 3"))
+@query("scan_words", X.sql("words", "SELECT 'u' || uid AS uid, (row_number() OVER (PARTITION BY uid ORDER BY word_id) - 1)::INTEGER AS word_id, regexp_replace(word, '[\",\\\\]', '', 'g') AS word, start_ms / 1000.0::DOUBLE AS start, end_ms / 1000.0::DOUBLE AS end, prob AS probability FROM words WHERE regexp_replace(word, '[\",\\\\]', '', 'g') <> '' AND uid % 1000 < 3"))
 def _(spark, d):
     """The first turns' words, written as one CSV for each recording and read again."""
     w = X.words(spark, d).where("uid % 1000 < 3").withColumn("word", F.regexp_replace("word", r'[",\\]', "")).where("word <> ''")
@@ -60,14 +60,7 @@ def _(spark, d):
     files = w.groupBy("uid").agg(F.concat(F.lit("word,start,end,probability\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", line.alias("line")))), lambda x: x["line"]), "\n")).alias("value"))
     path = shared_path(spark, "wordfiles")
     K.write_text_per_record(files.select(F.concat(F.lit("u"), F.col("uid").cast("string")).alias("uid"), F.col("value").alias("text")), path)
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    del rows
-    found = S.scan_words(spark, f"{path}/*/*.txt")
-    # Spark names the files, and the folder names the recording: the id is the place in that recording's file
-    names = spark.read.text(f"{path}/*/*.txt", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("uid"), F.regexp_extract(F.col("_metadata.file_path"), r"uid=([^/]*)/", 1).alias("name"))
-    kept = found.join(names, "uid").select(F.col("name").alias("uid"), "word", "start", "end", "probability", "word_id")
-    ids = w.select(F.concat(F.lit("u"), F.col("uid").cast("string")).alias("uid"), F.col("word_id").alias("original"), (F.col("start_ms") / 1000.0).alias("start"))
-    return kept.join(ids, ["uid", "start"]).select("uid", F.col("original").alias("word_id"), "word", "start", "end", "probability")
+    return S.scan_words(spark, f"{path}/*/*.txt", r"uid=([^/]*)/")
 
 
 @query("scan_transcripts", "SELECT conv_id AS uid, CASE WHEN count(*) = 1 THEN NULL ELSE 'several rows' END AS problem, count(*) AS n FROM conversations GROUP BY 1")
@@ -129,15 +122,14 @@ def _(spark, d):
     return S.scan_noise_lists(p.where("p_partkey % 4 <> 0").select(F.col("p_name").alias("path"), F.col("p_type").alias("type")), p.where("p_partkey % 4 = 0").select(F.col("p_name").alias("path")))
 
 
-@query("scan_text_files")
+@query("scan_text_files", "SELECT s_suppkey::VARCHAR AS uid, CASE WHEN s_suppkey % 4 = 0 THEN 'test' ELSE 'train' END AS partition, CASE WHEN s_suppkey % 4 = 0 THEN '...' ELSE s_name END AS text, NULL::VARCHAR AS problem FROM supplier")
 def _(spark, d):
     """Supplier names as transcript files."""
     path = shared_path(spark, "texts")
     s = X.load(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("uid"), F.col("s_name").alias("text"))
     K.write_text_per_record(s, path)
-    files = spark.read.text(f"{path}/*/*.txt", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("uid"), F.regexp_extract(F.col("_metadata.file_path"), r"uid=([^/]*)/", 1).alias("supplier"))
-    recordings = files.withColumn("partition", F.when(F.col("supplier").cast("long") % 4 == 0, "test").otherwise("train"))
-    return S.scan_text_files(spark, f"{path}/*/*.txt", recordings.select("uid", "partition")).join(recordings.select("uid", "supplier"), "uid").select("supplier", "partition", "text", "problem")
+    recordings = s.select("uid", F.when(F.col("uid").cast("long") % 4 == 0, "test").otherwise("train").alias("partition"))
+    return S.scan_text_files(spark, f"{path}/*/*.txt", recordings, uid_pattern=r"uid=([^/]*)/")
 
 
 # --- sinks
@@ -279,7 +271,7 @@ def _(spark, d):
     return C.partition_filter(C.partition_label_join(o, labels, "o_orderkey"), ["many"], "label", "partition", "P")
 
 
-@query("null_transcript_report", "SELECT source, filled, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY source), 6)::DOUBLE AS percent FROM (SELECT source, doc_id % 4 <> 0 AS filled FROM documents) GROUP BY ALL")
+@query("null_transcript_report", "SELECT source, filled, n, round(100.0 * n / sum(n) OVER (PARTITION BY source), 6)::DOUBLE AS percent FROM (SELECT source, doc_id % 4 <> 0 AS filled, count(*) AS n FROM documents GROUP BY 1, 2)")
 def _(spark, d):
     docs = X.load(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 4 == 0, "...").otherwise(F.col("text")))
     return C.value_counts(docs.withColumn("filled", F.col("text") != "..."), "filled", ["source"])
@@ -400,7 +392,7 @@ def _(spark, d):
 def _(spark, d):
     path = shared_path(spark, "published")
     schema = X.load(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs = spark.readStream.schema(schema).parquet(J.as_glob(f"{d}/documents.parquet")).select("doc_id", "text")
     J.stream_publish_once(docs, f"{path}/out", f"{path}/conflicts", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", F.sha2("text", 256).alias("hash"))
 

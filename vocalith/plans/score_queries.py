@@ -245,7 +245,7 @@ def _tests(r):
     return r.where("trial % 3 = 0").groupBy("trial").agg(F.min("score").alias("test_score"))
 
 
-@query("attach_test_scores", X.sql("runs", "SELECT trial, mean, coalesce(printf('%.4f', test_score), 'Not included') AS test FROM summary LEFT JOIN tests USING (trial)", f"{_SUMMARY}, {_TESTS}"))
+@query("attach_test_scores", X.sql("runs", "SELECT trial, mean, coalesce(printf('%.4f', round(test_score, 4)), 'Not included') AS test FROM summary LEFT JOIN tests USING (trial)", f"{_SUMMARY}, {_TESTS}"))
 def _(spark, d):
     r = X.runs(spark, d)
     return T.attach_test_scores(_summary(spark, d).select("trial", "mean"), _tests(r))
@@ -267,8 +267,8 @@ def _(spark, d):
     return T.leaderboard(r, trials, _baseline(T.trial_summary(r).where("complete")))
 
 
-@query("sweep_sheet", X.sql("runs", """SELECT t.trial, CASE WHEN t.trial % 13 = 5 THEN 'Failed' WHEN n = 5 THEN 'Complete' WHEN n > 0 THEN 'Running' ELSE 'Queued' END AS status, coalesce(n, 0) || '/5' AS completed, train_mean, mean, sd, gap, by_fold, coalesce(printf('%.4f', test_score), 'Not included') AS test FROM (SELECT DISTINCT user_id AS trial FROM events) t
-  LEFT JOIN (SELECT trial, count(*) AS n, round(avg(train_score), 6) AS train_mean, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(avg(train_score) - avg(score), 6) AS gap, string_agg(fold || ': ' || printf('%.4f', score), '; ' ORDER BY fold) AS by_fold FROM gappy GROUP BY trial) g USING (trial) LEFT JOIN tests USING (trial)""", f"{_GAPPY}, {_TESTS}"))
+@query("sweep_sheet", X.sql("runs", """SELECT t.trial, CASE WHEN t.trial % 13 = 5 THEN 'Failed' WHEN n = 5 THEN 'Complete' WHEN n > 0 THEN 'Running' ELSE 'Queued' END AS status, coalesce(n, 0) || '/5' AS completed, train_mean, mean, sd, gap, by_fold, coalesce(printf('%.4f', round(test_score, 4)), 'Not included') AS test FROM (SELECT DISTINCT user_id AS trial FROM events) t
+  LEFT JOIN (SELECT trial, count(*) AS n, round(avg(train_score), 6) AS train_mean, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(avg(train_score) - avg(score), 6) AS gap, string_agg(fold || ': ' || printf('%.4f', round(score, 4)), '; ' ORDER BY fold) AS by_fold FROM gappy GROUP BY trial) g USING (trial) LEFT JOIN tests USING (trial)""", f"{_GAPPY}, {_TESTS}"))
 def _(spark, d):
     trials = X.load(spark, d, "events").select(F.col("user_id").alias("trial")).distinct()
     return T.sweep_sheet(trials, _gappy(spark, d), _tests(X.runs(spark, d)), trials.where("trial % 13 = 5"))

@@ -58,12 +58,16 @@ def scan_consensus(spark: SparkSession, path: str, columns: dict[str, str]) -> D
     return low.select(*[F.lower(F.trim(f"`{c.lower()}`")).alias(n) for c, n in columns.items()])
 
 
-def scan_words(spark: SparkSession, path: str) -> DataFrame:
-    """(uid, word_id, word, start, end, probability) of word CSVs, one for each recording; the uid is the file's stem and the row order the id.
+#: The stem of a path: the file name without its extension.
+STEM = r"([^/]*?)(\.[^./]*)?$"
+
+
+def scan_words(spark: SparkSession, path: str, uid_pattern: str = STEM) -> DataFrame:
+    """(uid, word_id, word, start, end, probability) of word CSVs, one for each recording; the uid is the first group of a pattern over the path (the stem) and the row order the id.
 
     Files are read whole, since only within one file is the order of rows known; files without the needed header or rows fail.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("uid"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), uid_pattern, 1).alias("uid"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
     head = F.element_at("lines", 1)
     body = F.filter(F.slice(F.col("lines"), 2, F.greatest(F.size("lines") - 1, F.lit(1))), lambda x: x != "")
     good = head.rlike(r"^\x{FEFF}?word,start,end") & (F.size(body) > 0)
@@ -127,10 +131,10 @@ def scan_noise_lists(noises: DataFrame, rirs: DataFrame) -> DataFrame:
     return noises.select("path", "type").unionByName(rirs.select("path", F.lit("rir").alias("type")))
 
 
-def scan_text_files(spark: SparkSession, path: str, recordings: DataFrame, test: str = "test") -> DataFrame:
+def scan_text_files(spark: SparkSession, path: str, recordings: DataFrame, test: str = "test", uid_pattern: str = STEM) -> DataFrame:
     """recordings(uid, partition) with their transcript files: one line is the text, none is ``...`` (so are missing files and the test partition); more is a
     problem."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("uid"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), uid_pattern, 1).alias("uid"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
     n = F.coalesce(F.size("lines"), F.lit(0))
     hidden = F.col("partition") == test
     return recordings.join(files, "uid", "left").select("uid", "partition", F.when(hidden | (n == 0), "...").when(n == 1, F.col("lines")[0]).alias("text"), F.when(~hidden & (n > 1), "several lines").alias("problem"))

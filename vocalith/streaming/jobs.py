@@ -14,13 +14,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from vocalith.sources.sinks import publish_once
 
 
+def as_glob(path: str) -> str:
+    """The path as a pattern that fits only itself: a stream takes a folder or a pattern, and a table may be one file."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def read_events(spark: SparkSession, path: str, stream: bool = True, files: int | None = None) -> DataFrame:
     """The events table as a stream of files (or a batch), with ts as a TIMESTAMP in the session's zone."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema) if stream else spark.read
     if stream and files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(as_glob(path) if stream else path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _marked(df: DataFrame, watermark: str) -> DataFrame:
