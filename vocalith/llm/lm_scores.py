@@ -204,7 +204,6 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     cut = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     buckets = max(8, 4 * df.rdd.getNumPartitions())
     blocks = materialize(cut.mapInArrow(_blocks(arrow_kind), "block long, page binary"), "blocks")
-    small_batches(spark, 8)
     pages = blocks.mapInArrow(_file(buckets), "bucket int, block long, page binary")
     answers = materialize(pages.groupBy("bucket").applyInArrow(_add_up, ANSWERS), "answers")
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()

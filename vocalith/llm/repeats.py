@@ -8,7 +8,7 @@ have equal anchors, so all copies of a window meet where contexts are grouped by
    the context's copies need no look at the text: all but the earliest are repeats. Copies within a map task are
    settled there, so a passage in a third of all texts sends one context from each task.
 2. Where an anchor has several contexts, one copy of each is fetched with its text, and the operator's own method (`resolve`)
-   finds the windows that they share. An anchor with more than `HOT` contexts (the edge of a very common passage) has
+   finds the windows that they share. An anchor with more than `hot` contexts (the edge of a very common passage) has
    its windows filed one by one instead, by hash, so that no task gets them all.
 3. Repeated spans are gathered by document and applied to the texts.
 
@@ -76,6 +76,7 @@ class Scheme:
     by_position: bool
     units: Callable[[bytes], np.ndarray]
     resolve: Callable
+    hot: int = HOT
 
 
 def contexts_of(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -271,7 +272,7 @@ def _compare_contexts(scheme: Scheme):
             several = np.add.reduceat(begin.astype(np.int64), first)[of]
             want = (several > 1) & ~later
             r = _take(rows, want)
-            out.append(_found(r["doc"], r["tag"], r["start"], r["start"].astype(np.int64) + r["count"] + (scheme.window - 1), r["anchor"], several[want] > HOT))
+            out.append(_found(r["doc"], r["tag"], r["start"], r["start"].astype(np.int64) + r["count"] + (scheme.window - 1), r["anchor"], several[want] > scheme.hot))
         return pa.Table.from_batches(out, _found(*[np.zeros(0, np.int64)] * 4).schema)
 
     return over

@@ -32,7 +32,7 @@ class _Codes(dict):
     """Word -> 64-bit code; emptied before it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
