@@ -111,17 +111,24 @@ def _total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def js_distance(counts: Column, reference: Column) -> Column:
-    """Square root of the Jensen-Shannon divergence (base 2) of two count arrays; null if either is empty."""
-    n, m = _total(counts), _total(reference)
+def _js(counts: pa.Array, references: pa.Array) -> pa.Array:
+    out = np.full(len(counts), np.nan)
+    both = np.flatnonzero(counts.is_valid().to_numpy(False) & references.is_valid().to_numpy(False))
+    if len(both):
+        p, q = (x.take(pa.array(both)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(both), -1) for x in (counts, references))
+        n, m = p.sum(1, keepdims=True), q.sum(1, keepdims=True)
+        some = ((n > 0) & (m > 0))[:, 0]
+        p, q = p[some] / n[some], q[some] / m[some]
+        mean = (p + q) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = sum(np.where(x > 0, x * np.log2(x / mean), 0.0).sum(1) for x in (p, q)) / 2
+        out[both[some]] = np.sqrt(np.maximum(total, 0.0))
+    return pa.array(out, mask=np.isnan(out))
 
-    def term(a: Column, b: Column) -> Column:
-        p, q = a / n, b / m
-        side = lambda x: F.when(x > 0, x * F.log2(F.lit(2.0) * x / (p + q))).otherwise(F.lit(0.0))
-        return (side(p) + side(q)) / 2
 
-    total = F.aggregate(F.zip_with(counts, reference, term), F.lit(0.0), lambda a, x: a + x)
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(total, F.lit(0.0))))
+def js_distance(counts: Column, reference: Column) -> Column:
+    """Square root of the Jensen-Shannon divergence (base 2) of two count arrays; null if either is null or all zero."""
+    return F.arrow_udf(_js, "double")(counts, reference)
 
 
 def base_failed(f: Column) -> Column:
