@@ -170,7 +170,40 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", features(F.col("text")).alias("f"))
     docs = materialize(docs, "features")
     out = judged(docs, language_references(docs, "lang", "f"), "lang", "f", "v")
-    return out.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", "v.base_failed", "v.kept", "v.class_distance", "v.word_distance")
-
-
-QUERIES = {"op6_quality_rules": (op6_quality_rules, None)}
+    return out.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", "v.base_failed", "v.kept", F.round("v.class_distance", 6).alias("class_distance"), F.round("v.word_distance", 6).alias("word_distance"))
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+#: The byte classes 0 to 6 as patterns of the characters that are left out; class 7 is what is left of all bytes.
+_CLASS_SQL = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x20\x09-\x0D]", r"""[^.,;:!?''"()\-]""", r"[^#*$%&|<>]"]
+
+
+def _distance_sql(histogram: str) -> str:
+    return f"""SELECT r, sqrt(greatest(0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END))) AS distance FROM (
+  SELECT h.r, h.n / sum(h.n) OVER (PARTITION BY h.r)::DOUBLE AS p, f.n / sum(f.n) OVER (PARTITION BY h.r)::DOUBLE AS q, sum(h.n) OVER (PARTITION BY h.r) AS a, sum(f.n) OVER (PARTITION BY h.r) AS b
+  FROM {histogram} h JOIN {histogram}_ref f ON h.lang IS NOT DISTINCT FROM f.lang AND h.k = f.k) WHERE a > 0 AND b > 0 GROUP BY r"""
+
+
+_ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS w FROM d),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+x AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM s WHERE len(w) >= 8)),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM x) WHERE c > 1) GROUP BY r),
+base AS (SELECT s.r, doc_id, lang, w, t, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(w) AS base_failed FROM s LEFT JOIN lines ON s.r = lines.r LEFT JOIN rep ON s.r = rep.r),
+ascii AS (SELECT r, lang, base_failed, octet_length(encode(t)) AS bytes, length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS seven, [{", ".join(f"length(regexp_replace(t, '{c}', '', 'g'))" for c in _CLASS_SQL)}] AS c FROM base),
+ch AS (SELECT r, lang, base_failed, unnest(range(8)) AS k, unnest(list_concat(c, [seven - list_sum(c)::BIGINT, bytes - seven])) AS n FROM ascii),
+ch_ref AS (SELECT lang, k, sum(n) AS n FROM ch WHERE NOT base_failed GROUP BY ALL),
+vocabulary AS (SELECT unnest({WORDS}) AS k),
+found AS (SELECT r, trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?''"-()') AS k FROM (SELECT r, unnest(w) AS x FROM base)),
+counted AS (SELECT r, k, count(*) AS n FROM found JOIN vocabulary USING (k) GROUP BY ALL),
+wd AS (SELECT b.r, b.lang, b.base_failed, v.k, coalesce(n, 0) AS n FROM base b CROSS JOIN vocabulary v LEFT JOIN counted c ON b.r = c.r AND v.k = c.k),
+wd_ref AS (SELECT lang, k, sum(n) AS n FROM wd WHERE NOT base_failed GROUP BY ALL),
+cd AS ({_distance_sql("ch")}), wdist AS ({_distance_sql("wd")}),
+known AS (SELECT lang FROM wd_ref GROUP BY lang HAVING sum(n) > 0),
+v AS (SELECT base.*, cd.distance AS c, coalesce(wdist.distance, CASE WHEN EXISTS (SELECT 1 FROM known WHERE known.lang IS NOT DISTINCT FROM base.lang) THEN 1.0::DOUBLE END) AS x FROM base LEFT JOIN cd ON base.r = cd.r LEFT JOIN wdist ON base.r = wdist.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(c, 6) AS class_distance, round(x, 6) AS word_distance,
+  NOT base_failed AND NOT (n_words >= 100 AND coalesce(c > 0.25, false)) AND NOT (n_words >= 100 AND coalesce(x > 0.70, false)) AND NOT (n_words >= 200 AND coalesce(x > 0.50, false)) AS kept FROM v
+"""
+QUERIES = {"op6_quality_rules": (op6_quality_rules, _ORACLE)}

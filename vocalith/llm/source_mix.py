@@ -24,12 +24,18 @@ from vocalith.llm.common import fresh, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 RANGE_BITS = 12
+DRAW_BITS = 60
 
 
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def shuffle_draw(key, seed: int):
+    """60 bits of the md5 of ``seed:key``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source, source_size -> also target. One row per source.
 
@@ -50,8 +56,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken, virtual_finish (of the first copy), then `keep` columns."""
-    rows = df.select(F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("draw"), F.xxhash64(F.col(text_col)).alias("tie"))
-    rows = rows.withColumn("range", F.shiftrightunsigned("draw", 64 - RANGE_BITS))
+    rows = df.select(F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_draw(F.col(id_col), seed).alias("draw"), F.xxhash64(F.col(text_col)).alias("tie"))
+    rows = rows.withColumn("range", F.shiftrightunsigned("draw", DRAW_BITS - RANGE_BITS))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     starts = ranges.withColumn("before_range", F.sum("range_size").over(W.partitionBy("source").orderBy("range")) - F.col("range_size"))
@@ -79,4 +85,14 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_source_mix": (op2_source_mix, None)}
+_ORACLE = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT *, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER () - coalesce(sum(source_size * 3.0::DOUBLE) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM s WINDOW b AS (ORDER BY source_size * 3.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(coalesce((SELECT level FROM r WHERE level * w <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1) * w, cap), cap) AS target FROM r),
+p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) + greatest(0, least(size, floor(target) - start - 2 * source_size)))::BIGINT AS taken,
+  CASE WHEN target > 0 THEN (start + size) / target END::DOUBLE AS virtual_finish FROM p
+"""
+QUERIES = {"op2_source_mix": (op2_source_mix, _ORACLE)}
