@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalith.functions.hashing import draw
+from vocalith.operators.ordering import global_index
 from vocalith.operators.vectors import argmax_class
 
 
@@ -66,10 +67,16 @@ def cv_summary(preds: DataFrame, classes: int, fold: str = "fold") -> DataFrame:
 
 
 def bootstrap_draws(units: DataFrame, samples: int, seed: str = "b") -> DataFrame:
-    """units(index 0..n-1, …) -> (replicate, index): n draws with replacement for each replicate, by hash."""
+    """units(index 0..n-1, …) -> (replicate, index): n draws with replacement for each replicate, by hash.
+
+    Draws are made in blocks that are spread over the tasks, so that no row holds a replicate's whole sequence.
+    """
+    spark, block = units.sparkSession, 1 << 14
     n = units.agg(F.count("*").alias("n"))
-    spread = units.sparkSession.range(samples).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(n))
-    rows = spread.select("replicate", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
+    spread = spark.range(samples).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(n)).where("n > 0")
+    blocks = spread.select("replicate", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))).alias("block"))
+    blocks = blocks.repartition(4 * spark.sparkContext.defaultParallelism, "replicate", "block")
+    rows = blocks.select("replicate", "n", F.explode(F.sequence(F.col("block") * block, F.least(F.col("n"), (F.col("block") + 1) * block) - 1)).alias("draw"))
     return rows.select("replicate", draw(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("draw").cast("string")), F.col("n")).alias("index"))
 
 
@@ -88,13 +95,11 @@ def bootstrap_replicates(units: DataFrame, classes: int, samples: int, seed: str
 
 def resampling_units(preds: DataFrame, classes: int, unit: str) -> DataFrame:
     """(index, counts): one unit for each value of `unit`, numbered in its order."""
-    from pyspark.sql.window import Window as W
-
     label, pred = F.col("label"), F.col("prediction")
     count = lambda cond: F.coalesce(F.sum(cond.cast("int")), F.lit(0))
     counts = F.array(*[F.struct(count((label == c) & (pred == c)).alias("tp"), count(label == c).alias("actual"), count(pred == c).alias("predicted")) for c in range(classes)])
     per = _scored(preds).groupBy(unit).agg(counts.alias("counts"))
-    return per.select((F.row_number().over(W.orderBy(unit)) - 1).cast("long").alias("index"), "counts")
+    return global_index(per, unit).select(F.col("index").cast("long").alias("index"), "counts")
 
 
 def bootstrap_ci(preds: DataFrame, classes: int, samples: int, level: float = 0.95, unit: str = "uid", seed: str = "b") -> DataFrame:

@@ -52,10 +52,10 @@ def _(spark, d):
     return S.scan_consensus(spark, path, {"filename": "filename", "consensus": "diagnosis", "rater": "rater"})
 
 
-@query("scan_words", X.sql("words", "SELECT 'u' || uid AS uid, (row_number() OVER (PARTITION BY uid ORDER BY word_id) - 1)::INTEGER AS word_id, regexp_replace(word, '[\",\\\\]', '', 'g') AS word, start_ms / 1000.0::DOUBLE AS start, end_ms / 1000.0::DOUBLE AS end, prob AS probability FROM words WHERE regexp_replace(word, '[\",\\\\]', '', 'g') <> '' AND uid % 1000 < 3"))
+@query("scan_words", X.sql("words", "SELECT 'u' || uid AS uid, (row_number() OVER (PARTITION BY uid ORDER BY word_id) - 1)::INTEGER AS word_id, regexp_replace(word, '[\",\\\\]', '', 'g') AS word, start_ms / 1000.0::DOUBLE AS start, end_ms / 1000.0::DOUBLE AS end, prob AS probability FROM words WHERE regexp_replace(word, '[\",\\\\]', '', 'g') <> ''"))
 def _(spark, d):
-    """The first turns' words, written as one CSV for each recording and read again."""
-    w = X.words(spark, d).where("uid % 1000 < 3").withColumn("word", F.regexp_replace("word", r'[",\\]', "")).where("word <> ''")
+    """All words, written as one CSV for each recording and read again."""
+    w = X.words(spark, d).withColumn("word", F.regexp_replace("word", r'[",\\]', "")).where("word <> ''")
     line = F.concat_ws(",", "word", (F.col("start_ms") / 1000.0).cast("string"), (F.col("end_ms") / 1000.0).cast("string"), F.col("prob").cast("string"))
     files = w.groupBy("uid").agg(F.concat(F.lit("word,start,end,probability\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", line.alias("line")))), lambda x: x["line"]), "\n")).alias("value"))
     path = shared_path(spark, "wordfiles")

@@ -53,48 +53,43 @@ def _(spark, d):
     return S.cv_summary(X.preds(spark, d), K)
 
 
-# --- bootstrap; the 500 first uids of a hash order and 200 replicates are the feature's sample sizes
+# --- bootstrap over all recordings
 
-UNITS, SAMPLES = 500, 200
+SAMPLES = 100
 
 
-def _picked(spark, d):
-    key = F.md5(X.key("pick", "uid"))
-    return X.preds(spark, d).orderBy(key).limit(UNITS)
-
-
-_PICKED = f"picked AS (SELECT * FROM preds ORDER BY md5('pick:' || uid) LIMIT {UNITS})"
 _DRAWS = f"draws AS (SELECT r, {_H("'b:' || r || ':' || j")} % n AS index FROM (SELECT unnest(range({SAMPLES}))::INTEGER AS r), (SELECT count(*) AS n FROM units), LATERAL (SELECT unnest(range(n)) AS j))"
 _REPS = f"reps AS (SELECT r, {_MACRO} AS m FROM draws JOIN units USING (index) GROUP BY r)"
 _CI = "SELECT count(*) AS replicates, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_samp(m), 6) AS se, round(avg(m), 6) AS mean, (SELECT count(*) FROM units) AS units FROM reps"
-_ROWS = "units AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS index, label, prediction FROM picked)"
-_GROUPS = "groups AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS index FROM (SELECT DISTINCT group_id FROM picked)), units AS (SELECT index FROM groups), members AS (SELECT index, label, prediction FROM picked JOIN groups USING (group_id))"
+_ROWS = "units AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS index, label, prediction FROM preds)"
+_GROUPS = "groups AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS index FROM (SELECT DISTINCT group_id FROM preds)), units AS (SELECT index FROM groups), members AS (SELECT index, label, prediction FROM preds JOIN groups USING (group_id))"
 
 
-@query("bootstrap_draws", X.sql("preds", "SELECT r AS replicate, index, count(*) AS n FROM draws GROUP BY ALL", f"{_PICKED}, {_ROWS}, {_DRAWS}"))
+@query("bootstrap_draws", X.sql("preds", "SELECT replicate, sum(n)::BIGINT AS draws, count(*) AS units, max(n) AS most, sum(index * n)::BIGINT AS total FROM (SELECT r AS replicate, index, count(*) AS n FROM draws GROUP BY ALL) GROUP BY 1", f"{_ROWS}, {_DRAWS}"))
 def _(spark, d):
-    units = S.resampling_units(_picked(spark, d), K, "uid")
-    return S.bootstrap_draws(units, SAMPLES).groupBy("replicate", "index").agg(F.count("*").alias("n"))
+    units = S.resampling_units(X.preds(spark, d), K, "uid")
+    drawn = S.bootstrap_draws(units, SAMPLES).groupBy("replicate", "index").agg(F.count("*").alias("n"))
+    return drawn.groupBy("replicate").agg(F.sum("n").alias("draws"), F.count("*").alias("units"), F.max("n").alias("most"), F.sum(F.col("index") * F.col("n")).alias("total"))
 
 
-@query("bootstrap_ci", X.sql("preds", _CI, f"{_PICKED}, {_ROWS}, {_DRAWS}, {_REPS}"))
+@query("bootstrap_ci", X.sql("preds", _CI, f"{_ROWS}, {_DRAWS}, {_REPS}"))
 def _(spark, d):
-    return S.bootstrap_ci(_picked(spark, d), K, SAMPLES)
+    return S.bootstrap_ci(X.preds(spark, d), K, SAMPLES)
 
 
-@query("bootstrap_ci_grouped", X.sql("preds", _CI, f"{_PICKED}, {_GROUPS}, {_DRAWS}, reps AS (SELECT r, {_MACRO} AS m FROM draws JOIN members USING (index) GROUP BY r)"))
+@query("bootstrap_ci_grouped", X.sql("preds", _CI, f"{_GROUPS}, {_DRAWS}, reps AS (SELECT r, {_MACRO} AS m FROM draws JOIN members USING (index) GROUP BY r)"))
 def _(spark, d):
-    return S.bootstrap_ci(_picked(spark, d), K, SAMPLES, unit="group_id")
+    return S.bootstrap_ci(X.preds(spark, d), K, SAMPLES, unit="group_id")
 
 
-_REPORT_SQL = X.sql("preds", f"SELECT (SELECT count(*) FROM preds) AS recordings, (SELECT round({_MACRO}, 6) FROM preds) AS macro_f1, (SELECT round(avg((label = prediction)::INTEGER), 6) FROM preds) AS accuracy, (SELECT list(f1 ORDER BY c) FROM f) AS per_class_f1, ci.* FROM ({_CI}) ci", f"{_PICKED}, {_ROWS}, {_DRAWS}, {_REPS}, f AS (" + " UNION ALL ".join(f"SELECT {c} AS c, round({_f1(c)}, 6) AS f1 FROM preds" for c in range(K)) + ")")
+_REPORT_SQL = X.sql("preds", f"SELECT (SELECT count(*) FROM preds) AS recordings, (SELECT round({_MACRO}, 6) FROM preds) AS macro_f1, (SELECT round(avg((label = prediction)::INTEGER), 6) FROM preds) AS accuracy, (SELECT list(f1 ORDER BY c) FROM f) AS per_class_f1, ci.* FROM ({_CI}) ci", f"{_ROWS}, {_DRAWS}, {_REPS}, f AS (" + " UNION ALL ".join(f"SELECT {c} AS c, round({_f1(c)}, 6) AS f1 FROM preds" for c in range(K)) + ")")
 
 
 @query("evaluation_report", _REPORT_SQL)
 def _(spark, d):
     from vocalith.plans.reports import evaluation_report
 
-    return evaluation_report(X.preds(spark, d), K, sample=_picked(spark, d), samples=SAMPLES)
+    return evaluation_report(X.preds(spark, d), K, samples=SAMPLES)
 
 
 @query("ensemble_join", X.sql("model_preds", "SELECT uid, label, count(*) AS n, CASE WHEN count(*) <> 5 THEN 'rows' WHEN max(abs(proba[1] + proba[2] + proba[3] - 1)) > 1e-6 THEN 'probabilities' END AS problem FROM (SELECT uid, model, label, CASE WHEN uid % 100 = 4 THEN [proba[1] / 2, proba[2], proba[3]] ELSE proba END AS proba FROM model_preds WHERE NOT (uid % 100 = 3 AND model = 2)) GROUP BY uid, label"))
