@@ -2,10 +2,10 @@
 
 What `repeats` brings together for one bucket are all contexts whose 100-byte strings can be equal. They are cut into shards; each
 shard's suffixes are sorted once, which gives its transform. The transforms are merged by refining their interleave: at first
-all rows of shard 0 come before those of shard 1 and so on; each round moves the rows in the order of the symbols that
-precede them, so after h rounds the interleave is sorted by h symbols, while each shard's rows keep their own
+all rows of shard 0 come before those of shard 1 and so on; each round moves the rows in the order of the two symbols that
+precede them, so after h rounds the interleave is sorted by 2 h symbols, while each shard's rows keep their own
 order and no suffixes are sorted again. A round also carries the blocks of rows that are alike so far, so rows still in one
-block after 100 rounds have a common prefix of 100 bytes: those blocks are the repeated intervals.
+block after 50 rounds have a common prefix of 100 bytes: those blocks are the repeated intervals.
 
 Defined results: null texts are empty; texts of under 100 bytes have no strings and stay whole; rows that share an id count as one document,
 in which the earlier start wins; a null id comes last; repeated rows get the same result; other columns are not read.
@@ -25,9 +25,8 @@ from vocalith.llm.repeats import Scheme, merged, mix, repeated_spans
 
 WINDOW = 100
 SHARDS = 4
-#: A code for each byte value, and back.
+#: A code for each byte value.
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_ORDER = np.argsort(BYTE_CODES)
 
 
 def byte_units(raw: bytes) -> np.ndarray:
@@ -35,62 +34,74 @@ def byte_units(raw: bytes) -> np.ndarray:
 
 
 def shard_transform(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """symbols: strings one after another, each with its end mark 0 (ends: the places after the marks).
+    """symbols: strings one after another, each with its end mark 0 (ends: the places after the marks), below 256.
 
-    -> (suffix array, transform). End marks are the least symbols, ordered by string, so all suffixes differ. Ranks are doubled
-    from 7 symbols on.
+    -> (suffix array, transform of pairs: for each suffix the symbol before it, and 256 times the one before that, going round within
+    the string). End marks are the least symbols, ordered by string, so all suffixes differ. Ranks are doubled from 7 symbols on.
     """
     n, strings = len(symbols), len(ends)
     begins = np.r_[0, ends[:-1]]
     string = np.repeat(np.arange(strings), ends - begins)
     at, stop = np.arange(n), ends[string]
-    padded = np.r_[symbols, np.zeros(7, symbols.dtype)].astype(np.uint64)
-    key, inside = np.zeros(n, np.uint64), np.ones(n, bool)
-    for j in range(7):
+    padded = np.r_[symbols, np.zeros(7, symbols.dtype)].astype(np.int64)
+    rank, inside, size = np.zeros(n, np.int64), np.ones(n, bool), 7
+    for j in range(size):
         inside &= at + j < stop
-        key = key * np.uint64(257) + np.where(inside, padded[j : j + n], np.uint64(0))
-    rank, size = key.astype(np.int64), 7
-    order = np.argsort(rank, kind="stable")
+        rank = (rank << 8) + np.where(inside, padded[j : j + n], 0)
+    order = np.argsort(rank)
     ranked = rank[order]
     rank[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]])
     while True:
         # suffixes that end within `size` symbols and look alike end at the same place: their strings decide
         second = np.where(at + size < stop, rank[np.minimum(at + size, n - 1)] + strings, string + 1)
         both = rank * (n + strings + 1) + second
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         ranked = both[order]
         new = np.r_[True, ranked[1:] != ranked[:-1]]
         rank[order] = np.cumsum(new)
         if new.all():
             break
         size *= 2
-    return order, np.where(order == begins[string[order]], 0, symbols[np.maximum(order - 1, 0)])
-
-
-def merge_transforms(transforms: list[np.ndarray], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Transforms of shards of so many strings -> (shard, block) of each row of the interleave, refined to `depth` symbols."""
-    rows = [len(t) for t in transforms]
-    flat, offset = np.concatenate(transforms), np.cumsum(rows) - rows
-    marks = np.repeat(np.arange(len(rows)), strings).astype(np.int8)
-    m, n = len(marks), len(flat)
-    shard = np.repeat(np.arange(len(rows)), rows).astype(np.int8)
-    block = np.zeros(n, np.int32)
-    row = np.empty(n, np.int64)
-    kind = np.uint16
-    flat = flat.astype(kind)
-    for _ in range(depth):
-        for s in range(len(rows)):
-            row[shard == s] = np.arange(offset[s], offset[s] + rows[s])
-        symbol = flat[row]
-        move = np.argsort(symbol, kind="stable")
-        symbol, block = symbol[move], block[move]
-        new = np.empty(n, bool)
-        new[0] = True
+    back = np.where(at == begins[string], stop, at) - 1
+    pair = symbols[back] + (symbols[back[back]].astype(np.int64) << 8)
+    return order, pair[order].astype(np.uint16)
+
+
+def merge_transforms(transforms: list[np.ndarray], lasts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pair transforms of shards, and the last symbols of their strings -> (shard, block) of each row of the interleave, refined to `depth` (even)
+    symbols.
+
+    A round goes two symbols back at a time. Suffixes that are an end mark, or one symbol and an end mark, are in their final order, by string,
+    from the start, and differ from each other.
+    """
+    if depth % 2:
+        raise ValueError("depth must be even")
+    flat, n = np.concatenate(transforms), sum(map(len, transforms))
+    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms]).astype(np.uint8)
+    marks = np.repeat(np.arange(len(lasts)), [len(x) for x in lasts]).astype(np.uint8)
+    by_last = np.argsort(np.concatenate(lasts), kind="stable")
+    m = len(marks)
+    ends_first = marks[by_last]  # of "a$", by a and then by string
+    block, row = np.zeros(n, np.int32), np.empty(n, np.int64)
+    places = np.arange(n)
+    new = np.empty(n, bool)
+    fixed = None
+    for _ in range(depth // 2):
+        row[np.argsort(shard, kind="stable")] = places  # each shard's rows keep their own order
+        pair = flat[row]
+        move = np.argsort(pair, kind="stable")
+        if fixed is None:
+            ranked = pair[move]
+            fixed = np.flatnonzero((ranked & 255 == 0) & (ranked > 255))
+            fresh = np.r_[True, ranked[1:] != ranked[:-1]]
+            fresh[: m + 1] = True
+            fresh[fixed] = True
+            fresh[np.minimum(fixed + 1, n - 1)] = True
+        block, shard = block[move], shard[move]
         np.not_equal(block[1:], block[:-1], out=new[1:])
-        new[1:] |= symbol[1:] != symbol[:-1]
-        new[: m + 1] = True  # end marks all differ
-        shard = shard[move]
+        new |= fresh
         shard[:m] = marks
+        shard[fixed] = ends_first
         block = np.cumsum(new, dtype=np.int32)
         if int(block[-1]) == n:
             break
@@ -99,15 +110,16 @@ def merge_transforms(transforms: list[np.ndarray], strings: list[int], depth: in
 
 def repeated_strings(docs: np.ndarray, starts: np.ndarray, codes: np.ndarray, ends: np.ndarray, window: int, by_position: bool) -> np.ndarray:
     """Which strings of `window` bytes of the contexts also start earlier."""
-    octets = _ORDER[np.searchsorted(BYTE_CODES[_ORDER], codes)].astype(np.int64)
+    # contexts are whole texts' bytes, of which UTF-8 has 243 values
+    _, octets = np.unique(codes, return_inverse=True)
     begins = np.r_[0, ends[:-1]]
     count = len(ends)
     share = np.array_split(np.arange(count), min(SHARDS, count))
-    arrays, transforms = [], []
+    arrays, transforms, lasts = [], [], []
     for part in share:
         a, b = begins[part[0]], ends[part[-1]]
         sizes = (ends - begins)[part]
-        symbols = np.zeros(b - a + len(part), np.int64)
+        symbols = np.zeros(b - a + len(part), np.uint8)
         own_ends = np.cumsum(sizes + 1)
         text = np.ones(len(symbols), bool)
         text[own_ends - 1] = False
@@ -117,7 +129,8 @@ def repeated_strings(docs: np.ndarray, starts: np.ndarray, codes: np.ndarray, en
         back[text] = np.arange(a, b)
         arrays.append(back[order])
         transforms.append(before)
-    shard, block = merge_transforms(transforms, [len(p) for p in share], window)
+        lasts.append(symbols[own_ends - 2])
+    shard, block = merge_transforms(transforms, lasts, window)
     place = np.empty(len(shard), np.int64)
     for s, own in enumerate(arrays):
         place[shard == s] = own
