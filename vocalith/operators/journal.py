@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-LINE = W.partitionBy("run").orderBy("step")
+
+def by_step():
+    return W.partitionBy("run").orderBy("step")
 
 
 def running_best(journal: DataFrame) -> DataFrame:
     """previous_best, saved, reason: saved if eligible and strictly above the best eligible before it; the first eligible is saved."""
     ok = F.col("eligible") & F.col("metric").isNotNull() & ~F.isnan("metric")
-    best = F.max(F.when(ok, F.col("metric"))).over(LINE.rowsBetween(W.unboundedPreceding, -1))
+    best = F.max(F.when(ok, F.col("metric"))).over(by_step().rowsBetween(W.unboundedPreceding, -1))
     out = journal.withColumn("previous_best", best)
     saved = ok & (F.col("previous_best").isNull() | (F.col("metric") > F.col("previous_best")))
     reason = F.when(~ok, "ineligible").when(~F.col("saved"), "no_improvement").when(F.col("previous_best").isNull(), "first_eligible").otherwise("strict_improvement")
@@ -40,7 +42,7 @@ def audit_journal(journal: DataFrame, selected: DataFrame, interval: int) -> Dat
 
 def since_saved(journal: DataFrame) -> DataFrame:
     """waited: validations since the last saved one (0 at it), counting from the start before any."""
-    island = F.sum(F.col("saved").cast("int")).over(LINE.rowsBetween(W.unboundedPreceding, 0))
+    island = F.sum(F.col("saved").cast("int")).over(by_step().rowsBetween(W.unboundedPreceding, 0))
     marked = running_best(journal).withColumn("island", island)
     place = F.row_number().over(W.partitionBy("run", "island").orderBy("step"))
     return marked.withColumn("waited", F.when(F.col("island") == 0, place).otherwise(place - 1))
@@ -54,5 +56,5 @@ def patience(journal: DataFrame, n: int) -> DataFrame:
 def lr_schedule(journal: DataFrame, n: int, multiplier: float, base: float) -> DataFrame:
     """rate after each step: multiplied after every n validations without a save."""
     cut = ((F.col("waited") > 0) & (F.col("waited") % n == 0)).cast("int")
-    cuts = F.sum(cut).over(LINE.rowsBetween(W.unboundedPreceding, 0))
+    cuts = F.sum(cut).over(by_step().rowsBetween(W.unboundedPreceding, 0))
     return since_saved(journal).withColumn("cuts", cuts).withColumn("rate", F.lit(base) * F.pow(F.lit(multiplier), F.col("cuts")))

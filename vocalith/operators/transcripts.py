@@ -11,14 +11,20 @@ from pyspark.sql.window import Window as W
 from vocalith.functions import text as T
 from vocalith.functions.hashing import draw
 
-LINE = W.partitionBy("uid").orderBy("word_id")
-BEFORE = LINE.rowsBetween(W.unboundedPreceding, -1)
+
+def by_word():
+    """A recording's words in order."""
+    return W.partitionBy("uid").orderBy("word_id")
+
+
+def earlier():
+    return by_word().rowsBetween(W.unboundedPreceding, -1)
 
 
 def char_offsets(words: DataFrame) -> DataFrame:
     """char_start, char_end of each word in the joined text."""
     n = F.length("word").cast("long")
-    start = F.coalesce(F.sum(n + 1).over(BEFORE), F.lit(0)).cast("long")
+    start = F.coalesce(F.sum(n + 1).over(earlier()), F.lit(0)).cast("long")
     return words.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + n)
 
 
@@ -62,12 +68,12 @@ def prefix_limit(df: DataFrame, n: int, pos: str = "word_id") -> DataFrame:
 
 def pause_gaps(words: DataFrame) -> DataFrame:
     """gap_ms to the word before, not below 0; 0 for the first."""
-    return words.withColumn("gap_ms", F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("start_ms") - F.lag("end_ms").over(LINE), F.lit(0))))
+    return words.withColumn("gap_ms", F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by_word()), F.lit(0))))
 
 
 def temporal_features(words: DataFrame) -> DataFrame:
     """log_duration, log_gap, log_rate: log1p of seconds, of the gap, and of words a second among two valid neighbours on each side."""
-    near = LINE.rowsBetween(-2, 2)
+    near = by_word().rowsBetween(-2, 2)
     valid = F.col("start_ms").isNotNull()
     count = F.count(F.when(valid, 1)).over(near)
     span = (F.max("end_ms").over(near) - F.min("start_ms").over(near)) / 1000.0
@@ -90,7 +96,7 @@ def transcript_with_pauses(words: DataFrame, pauses: bool = True) -> DataFrame:
 
 def transcript_with_pauses_v0(words: DataFrame) -> DataFrame:
     """The older form: the symbol stands after the later word, and only where the earlier word ends after 0."""
-    gaps = words.withColumn("__e", F.lag("end_ms").over(LINE))
+    gaps = words.withColumn("__e", F.lag("end_ms").over(by_word()))
     mark = F.when(F.col("__e") > 0, T.pause_symbol_v0((F.col("start_ms") - F.col("__e")) / 1000.0)).otherwise("")
     return _joined(gaps.withColumn("mark", mark), F.when(F.col("mark") == "", F.col("word")).otherwise(F.concat("word", F.lit(" "), "mark")))
 
@@ -98,9 +104,9 @@ def transcript_with_pauses_v0(words: DataFrame) -> DataFrame:
 def punctuation_gap(tokens: DataFrame, lexical: Column, end_of_recording: Column) -> DataFrame:
     """Tokens that are not lexical lie between the end of the lexical word before and the start of the one after (0 and the recording's
     end at the edges), with the end not before the start."""
-    after = LINE.rowsBetween(1, W.unboundedFollowing)
+    after = by_word().rowsBetween(1, W.unboundedFollowing)
     marked = tokens.withColumn("__lex", lexical)
-    begin = F.coalesce(F.last(F.when(F.col("__lex"), F.col("end_ms")), ignorenulls=True).over(BEFORE), F.lit(0))
+    begin = F.coalesce(F.last(F.when(F.col("__lex"), F.col("end_ms")), ignorenulls=True).over(earlier()), F.lit(0))
     stop = F.coalesce(F.first(F.when(F.col("__lex"), F.col("start_ms")), ignorenulls=True).over(after), end_of_recording)
     return marked.select("uid", "word_id", F.when(F.col("__lex"), F.col("start_ms")).otherwise(begin).cast("long").alias("gap_start"), F.when(F.col("__lex"), F.col("end_ms")).otherwise(F.greatest(begin, stop)).cast("long").alias("gap_end"))
 
@@ -119,7 +125,7 @@ def ctc_units(words: DataFrame, form: Column, delimiter: str = "|") -> DataFrame
     forms = words.select("uid", "word_id", form.alias("form")).where("form <> ''")
     first = F.row_number().over(W.partitionBy("uid").orderBy("word_id")) == 1
     size = F.length("form") + F.when(first, 0).otherwise(1)
-    placed = forms.withColumn("first", first).withColumn("size", size).withColumn("base", F.coalesce(F.sum("size").over(BEFORE), F.lit(0)))
+    placed = forms.withColumn("first", first).withColumn("size", size).withColumn("base", F.coalesce(F.sum("size").over(earlier()), F.lit(0)))
     chars = F.when(F.col("first"), T.characters(F.col("form"))).otherwise(F.concat(F.array(F.lit(delimiter)), T.characters(F.col("form"))))
     units = placed.select("uid", "word_id", "first", "base", F.posexplode(chars).alias("k", "token"))
     return units.select("uid", (F.col("base") + F.col("k")).cast("long").alias("target_index"), "token", F.when(~F.col("first") & (F.col("k") == 0), -1).otherwise(F.col("word_id")).alias("owner"))
@@ -193,7 +199,7 @@ def shuffle_within(words: DataFrame, seed: int, value: str = "word", valid: Colu
     """(uid, word_id, value): the values of a recording's valid places, permuted by a hash."""
     rows = words if valid is None else words.where(valid)
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("uid").cast("string"), F.col("word_id").cast("string")))
-    places = rows.select("uid", "word_id", F.row_number().over(LINE).alias("__k"))
+    places = rows.select("uid", "word_id", F.row_number().over(by_word()).alias("__k"))
     values = rows.select("uid", F.col(value), F.row_number().over(W.partitionBy("uid").orderBy(hashed, "word_id")).alias("__k"))
     return places.join(values, ["uid", "__k"]).select("uid", "word_id", value)
 
