@@ -162,7 +162,7 @@ def test_bootstrap_is_a_direct_computation(spark):
     units = S.resampling_units(p, 3, "uid")
     drawn = {}
     for r in S.bootstrap_draws(units, 20).collect():
-        drawn.setdefault(r.replicate, []).append(r.index)
+        drawn.setdefault(r.replicate, []).append(r["index"])
     for r in S.bootstrap_replicates(units, 3, 20).collect():
         assert len(drawn[r.replicate]) == 4
         assert abs(r.macro_f1 - macro([(truth[i], guess[i]) for i in drawn[r.replicate]], 3)) < 1e-12

@@ -152,7 +152,7 @@ def population_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(r6(F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("weighted_mean"))
+    return df.groupBy(*by).agg(r6(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight))).alias("weighted_mean"))
 
 
 def robustness_curve(preds: DataFrame, classes: int, systems: tuple[str, str]) -> DataFrame:

@@ -86,7 +86,7 @@ def feature_violations(df: DataFrame, key: str = "uid", vec: str = "vec") -> Dat
 def _means(df: DataFrame, keys: list[str], dim: int, weight: Column, least: float = 0.0) -> DataFrame:
     total = F.sum(weight)
     at_least = F.greatest(total, F.lit(least)) if least else total
-    values = [F.round(F.coalesce(F.sum(F.when(weight > 0, weight * F.col("vec")[i].cast("double"))), F.lit(0.0)) / at_least, DIGITS) for i in range(dim)]
+    values = [F.round(F.try_divide(F.coalesce(F.sum(F.when(weight > 0, weight * F.col("vec")[i].cast("double"))), F.lit(0.0)), at_least), DIGITS) for i in range(dim)]
     return df.groupBy(*keys).agg(F.array(*values).alias("vec"))
 
 
