@@ -104,7 +104,8 @@ def _features(texts: pa.Array) -> pa.Array:
 
 
 def features(text: Column) -> Column:
-    return F.arrow_udf(_features, FEATURES)(text)
+    # not copied into the filters on its fields, which would run it again
+    return F.arrow_udf(_features, FEATURES).asNondeterministic()(text)
 
 
 def _total(counts: Column) -> Column:
