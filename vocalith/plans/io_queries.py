@@ -83,12 +83,12 @@ def _(spark, d):
     return S.scan_splits(c, 4)
 
 
-@query("scan_run_results", X.sql("runs", "SELECT trial, fold, train_score AS training_macro_f1, score AS macro_f1, round(score / 2, 6) AS accuracy, (trial % 3)::INTEGER AS n_predictions FROM runs"))
+@query("scan_run_results", X.sql("runs", "SELECT trial, fold, train_score AS training_macro_f1, score AS macro_f1, score * 2 AS accuracy, (trial % 3)::INTEGER AS n_predictions FROM runs"))
 def _(spark, d):
     r = X.runs(spark, d)
     p = F.array_repeat(F.struct(F.col("trial").alias("uid"), F.lit(0).alias("label"), F.lit(1).alias("prediction")), (F.col("trial") % 3).cast("int"))
     path = shared_path(spark, "results")
-    docs = r.select("trial", "fold", F.col("train_score").alias("training_macro_f1"), F.struct(F.col("score").alias("macro_f1"), F.round(F.col("score") / 2, 6).alias("accuracy")).alias("metrics"), p.alias("predictions"))
+    docs = r.select("trial", "fold", F.col("train_score").alias("training_macro_f1"), F.struct(F.col("score").alias("macro_f1"), (F.col("score") * 2).alias("accuracy")).alias("metrics"), p.alias("predictions"))
     docs.write.json(path)
     lines = spark.read.schema(S.RUN_RESULT).json(path)
     return lines.select("trial", "fold", "training_macro_f1", "metrics.macro_f1", "metrics.accuracy", F.size("predictions").alias("n_predictions"))
