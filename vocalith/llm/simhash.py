@@ -11,6 +11,10 @@ parts of the remaining bits, one of which must agree, so that no task compares a
 
 Defined results: null, empty and blank texts have the fingerprint zero and link like any other; repeated rows get the same
 component; other columns are not read, and `drop_near_copies` carries them along.
+
+`drop_near_copies` has parameters of its own: texts are near copies if the sets of their five-word shingles have a Jaccard similarity of
+0.8 or more. A radius of 3 bits is far too small for that (such texts differ in up to 10 bits or more), so its candidates are found by bands of
+least shingle hashes of 100 orders, and compared exactly. Texts without words are copies of each other.
 """
 
 from __future__ import annotations
@@ -31,6 +35,15 @@ RADIUS = 3
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 RUN_LIMIT = 4096
 BLOCK_ROWS = 1 << 16
+NEAR_SHINGLE = 5
+NEAR_JACCARD = 0.8
+#: Two sets of similarity s share a band with 1 - (1 - s ** 5) ** 20: 0.9996 at 0.8.
+BANDS, BAND_ROWS = 20, 5
+#: What one part of a group may weigh (shingles, and 256 for each text); larger groups are compared part by part, each with each.
+PART_WEIGHT = 1 << 18
+_WORDS: dict[bytes, int] = {}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS, _OFFSETS = (np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -198,11 +211,128 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.join(classes, docs["fp"] == classes["class_fp"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles; a text of fewer words is one shingle, one without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(_WORDS) > 1 << 17:
+        _WORDS.clear()
+    for w in set(words).difference(_WORDS):
+        _WORDS[w] = xxhash.xxh64_intdigest(w, 42)
+    codes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    width = min(shingle, len(words))
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
+    for j in range(width):
+        out = _mixed(out * _ODD + codes[j : j + n])
+    return np.unique(out)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The least values of 100 orders of the shingles, five to a key."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, (shingles[at : at + 2048] * _MULTIPLIERS + _OFFSETS).min(axis=1))
+    least = least.reshape(BANDS, BAND_ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for j in range(BAND_ROWS):
+        key = _mixed(key * _ODD + least[:, j])
+    return key.view(np.int64)
+
+
+def _sketches(texts: pa.Array) -> pa.Array:
+    sets = [shingle_set(t) for t in texts.to_pylist()]
+    same = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+    bands = [band_keys(s) if len(s) else [] for s in sets]
+    return pa.StructArray.from_arrays([pa.array(same, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["same", "size", "bands"])
+
+
+def sketches(text: Column) -> Column:
+    """same (hash of the whole shingle set), size, bands."""
+    return F.arrow_udf(_sketches, "struct<same:long,size:long,bands:array<long>>").asNondeterministic()(text)
+
+
+def _set_bytes(texts: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(t).tobytes() for t in texts.to_pylist()], pa.binary())
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 10 * common >= round(10 * NEAR_JACCARD) * (len(a) + len(b) - common)
+
+
+def link_sets(names: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning links of "Jaccard similarity at least 0.8"; pairs that are linked already are not compared."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(sets[k]) for k in order])
+    root, links = np.arange(len(order)), []
+    for i in range(1, len(order)):
+        j = i - 1
+        low = int(np.searchsorted(size, NEAR_JACCARD * size[i] - 1e-6))
+        while j >= low:
+            if root[j] != root[i] and similar(sets[order[i]], sets[order[j]]):
+                links.append((names[order[i]], names[order[j]]))
+                root[root == root[i]] = root[j]
+            rest = np.flatnonzero(root[low:j] != root[i])
+            j = low + int(rest[-1]) if len(rest) else -1
+    return links
+
+
+def _verify(batches):
+    """Rows (part, name, set), sorted by part -> links (u, v)."""
+    part, held = None, {}
+
+    def done():
+        links = link_sets(np.array(list(held), np.int64), list(held.values())) if len(held) > 1 else []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["u", "v"])
+
+    for batch in batches:
+        for p, name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != part:
+                yield from done()
+                part, held = p, {}
+            held[name] = np.frombuffer(raw, np.uint64)
+    yield from done()
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, text_hash, row_hash, group. Groups are the components of "Jaccard similarity of the shingle sets at least 0.8".
+
+    Sets that share a band make candidate groups, each text next to the least set of its band. Only the texts of candidate groups are read
+    again and compared, one text for each set.
+    """
+    small_batches(df.sparkSession)
+    hashes = [F.xxhash64(F.col(text_col)).alias("text_hash"), F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind]).alias("row_hash")]
+    docs = df.select(F.col(id_col).alias("id"), *hashes, sketches(F.col(text_col)).alias("k"))
+    docs = materialize(docs.select("id", "text_hash", "row_hash", "k.same", "k.size", "k.bands"), "sketches")
+    filed = docs.select(F.explode("bands").alias("key"), "same").distinct()
+    hubs = filed.groupBy("key").agg(F.min("same").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    near = connected_components(filed.join(hubs, "key").where("same <> hub").select(F.col("same").alias("u"), F.col("hub").alias("v")).distinct())
+    one = docs.groupBy("same").agg(F.min(F.struct("text_hash", "row_hash")).alias("row"), F.first("size").alias("size"))
+    members = materialize(near.join(one, near["node"] == one["same"]).select("root", "same", "size", "row.text_hash", "row.row_hash"), "candidates")
+    parts = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 256) / PART_WEIGHT).alias("parts"))
+    members = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")))
+    texts = df.select(F.col(text_col).alias("text"), *hashes).join(members, ["text_hash", "row_hash"])
+    sets = texts.select("root", "same", "part", "parts", F.arrow_udf(_set_bytes, "binary")(F.col("text")).alias("set"))
+    others = F.expr("filter(sequence(0L, parts - 1), j -> parts = 1 OR j <> part)")
+    paired = sets.select("root", "same", "part", "set", F.explode(others).alias("other")).select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "same", "set")
+    links = paired.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "u long, v long")
+    roots = connected_components(materialize(links.distinct(), "links"))
+    return docs.join(roots, docs["same"] == roots["node"], "left").select("id", "text_hash", "row_hash", F.coalesce("root", "same").alias("group"))
+
+
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the one of the least id (of rows that share it, the one of the least text hash); same columns."""
-    found = near_copies(df, id_col, text_col)
+    """One row of each group of similar texts: the one of the least id (of rows that share it, the one of the least text hash); same columns."""
+    found = materialize(similar_groups(df, id_col, text_col), "groups")
     keep, one = fresh(df, "keep__"), fresh(df, "one__")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(keep), F.col("component_id")).distinct()
+    kept = found.groupBy("group").agg(F.min("id").alias(keep)).select(keep).distinct()
     rows = df.join(kept, df[id_col].eqNullSafe(kept[keep]), "left_semi")
     return rows.withColumn(one, F.xxhash64(F.col(text_col))).dropDuplicates([id_col]).select(*df.columns)
 
