@@ -59,3 +59,10 @@ def test_near_copies_of_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in df.orderBy("doc_id").collect()]
     want = {rows[k][0] for k in groups_of([t for _, t in rows])}
     assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == want
+
+
+def test_rows_that_share_an_id_keep_their_groups(spark):
+    rows = [(8, "one text", 1), (8, "quite another text", 2), (None, "a third", 3), (None, "the fourth of them", 4), (9, "A third", 5), (7, "z", 6), (7, "z", 7), (7, "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_copies(df).collect()]
+    assert sorted(got, key=str) == sorted([(8, "one text"), (8, "quite another text"), (None, "the fourth of them"), (9, "A third"), (7, "z")], key=str)

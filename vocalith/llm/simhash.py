@@ -302,6 +302,11 @@ def _verify(batches):
     yield from done()
 
 
+def row_key(df: DataFrame, text_col: str) -> list[Column]:
+    """Hashes of the text and of the whole row (but maps)."""
+    return [F.xxhash64(F.col(text_col)), F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind])]
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text_hash, row_hash, group. Groups are the components of "Jaccard similarity of the shingle sets at least 0.8".
 
@@ -309,7 +314,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again and compared, one text for each set.
     """
     small_batches(df.sparkSession)
-    hashes = [F.xxhash64(F.col(text_col)).alias("text_hash"), F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind]).alias("row_hash")]
+    hashes = [h.alias(c) for h, c in zip(row_key(df, text_col), ("text_hash", "row_hash"))]
     docs = df.select(F.col(id_col).alias("id"), *hashes, sketches(F.col(text_col)).alias("k"))
     docs = materialize(docs.select("id", "text_hash", "row_hash", "k.same", "k.size", "k.bands"), "sketches")
     filed = docs.select(F.explode("bands").alias("key"), "same").distinct()
@@ -329,12 +334,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of similar texts: the one of the least id (of rows that share it, the one of the least text hash); same columns."""
+    """One row of each group of similar texts: the one of the least id (null ids last; of rows that share it, the one of the least text hash); same columns."""
     found = materialize(similar_groups(df, id_col, text_col), "groups")
-    keep, one = fresh(df, "keep__"), fresh(df, "one__")
-    kept = found.groupBy("group").agg(F.min("id").alias(keep)).select(keep).distinct()
-    rows = df.join(kept, df[id_col].eqNullSafe(kept[keep]), "left_semi")
-    return rows.withColumn(one, F.xxhash64(F.col(text_col))).dropDuplicates([id_col]).select(*df.columns)
+    kept = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "row_hash")).alias("row"))
+    t, r, kept_t, kept_r = (fresh(df, stem) for stem in ("text_hash__", "row_hash__", "kept_text__", "kept_row__"))
+    kept = kept.select(F.col("row.text_hash").alias(kept_t), F.col("row.row_hash").alias(kept_r))
+    rows = df.select("*", *[h.alias(c) for h, c in zip(row_key(df, text_col), (t, r))])
+    # the row's hash is of all columns, the id too, so only rows that are alike in all of them are left to drop
+    return rows.join(kept, (F.col(t) == F.col(kept_t)) & (F.col(r) == F.col(kept_r)), "left_semi").dropDuplicates([t, r]).select(*df.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
