@@ -2,7 +2,8 @@
 
 Each message's lines are parsed into quote levels (leading ``>`` marks). What stands unquoted is the message's own
 text; each run of lines of one level is a quoted passage. Passages are normalised and hashed, and joined to the messages of
-the same conversation whose own text, or one of its paragraphs or lines, has that hash. A message answers the latest earlier message
+the same conversation whose own text, or one of its unquoted runs, paragraphs or lines, has that hash. A passage without such a match is looked for
+in the messages that have its longest line: its paragraphs must stand there in order, each as consecutive lines. A message answers the latest earlier message
 it quotes; it belongs to that message's thread, and threads are ordered by their first turns, which gives the reply order.
 
 Defined results: null and empty texts are messages with no text and no quotes; a quote that matches nothing, or only later
@@ -13,6 +14,7 @@ turn) keep their own text and share their place; a null conversation is one of i
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,23 +47,49 @@ def own_text(runs: list[tuple[int, str]]) -> str:
     return "\n".join(p.strip("\n") for level, p in runs if level == 0 and p.strip()).strip()
 
 
-def own_hashes(own: str) -> list[str]:
-    """Of the whole text, its paragraphs and its lines."""
-    parts = [own, *own.split("\n\n"), *own.split("\n")]
+def own_hashes(own: str, runs: list[tuple[int, str]] = ()) -> list[str]:
+    """Of the whole text, its unquoted runs, its paragraphs and its lines."""
+    parts = [own, *(p for level, p in runs if level == 0), *own.split("\n\n"), *own.split("\n")]
     return sorted({h for p in parts if (h := passage_hash(p))})
 
 
+def plain_lines(text: str) -> list[str]:
+    return [" ".join(line.lower().split()) for line in text.split("\n")]
+
+
+def longest_line(passage: str) -> str | None:
+    return passage_hash(max(plain_lines(passage), key=len))
+
+
+def holds(own: str, passage: str) -> bool:
+    """Whether the passage's paragraphs stand in order in the own text, each as consecutive lines (blank ones left out)."""
+    lines, at = [x for x in plain_lines(own) if x], 0
+    for blank, group in groupby(plain_lines(passage), key=lambda x: not x):
+        if not blank:
+            part = list(group)
+            at = next((i + len(part) for i in range(at, len(lines) - len(part) + 1) if lines[i : i + len(part)] == part), 0)
+            if not at:
+                return False
+    return at > 0
+
+
+def _holds(own: pa.Array, passage: pa.Array) -> pa.Array:
+    return pa.array(list(map(holds, own.to_pylist(), passage.to_pylist())), pa.bool_())
+
+
 def _parsed(batches):
     strings = pa.list_(pa.string())
+    passages = pa.list_(pa.struct([("h", pa.string()), ("line", pa.string()), ("passage", pa.string())]))
     for batch in batches:
         own, quoted, hashes, deep = [], [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             runs = parse_quotes(text)
             own.append(own_text(runs))
-            quoted.append(sorted({h for level, p in runs if level and (h := passage_hash(p))}))
-            hashes.append(own_hashes(own[-1]))
+            found = {h: p for level, p in reversed(runs) if level and (h := passage_hash(p))}
+            quoted.append([{"h": h, "line": longest_line(found[h]), "passage": found[h]} for h in sorted(found)])
+            hashes.append(own_hashes(own[-1], runs))
             deep.append(max(level for level, _ in runs))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.string()), pa.array(quoted, strings), pa.array(hashes, strings), pa.array(deep, pa.int32())], names=["conv", "turn", "role", "own", "quoted", "hashes", "depth"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.string()), pa.array(quoted, passages), pa.array(hashes, strings), pa.array(deep, pa.int32())], names=["conv", "turn", "role", "own", "quoted", "hashes", "depth"])
 
 
 def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -73,13 +101,21 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     small_batches(spark)
     kinds = dict(df.dtypes)
     cut = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    parsed = materialize(cut.mapInArrow(_parsed, f"conv {kinds[conv_col]}, turn {kinds[turn_col]}, role {kinds[role_col]}, own string, quoted array<string>, hashes array<string>, depth int"), "messages")
-    quotes = parsed.where(F.size("quoted") > 0).select("conv", "turn", F.explode("quoted").alias("h")).distinct()
-    wanted = quotes.select("conv", "h").distinct()
+    parsed = materialize(cut.mapInArrow(_parsed, f"conv {kinds[conv_col]}, turn {kinds[turn_col]}, role {kinds[role_col]}, own string, quoted array<struct<h:string,line:string,passage:string>>, hashes array<string>, depth int"), "messages")
+    # one passage for each hash: rows that repeat (conversation, turn) may lay it out in other lines, and each layout counts
+    quotes = parsed.where(F.size("quoted") > 0).select("conv", "turn", F.inline("quoted")).distinct()
+    wanted = quotes.select("conv", F.explode(F.array("h", "line")).alias("h")).distinct()
     sources = parsed.select(F.col("conv").alias("c"), F.col("turn").alias("source"), F.explode("hashes").alias("g"))
     # only passages that their conversation quotes are kept, before the two sides meet
     sources = sources.join(wanted, F.col("c").eqNullSafe(F.col("conv")) & (F.col("g") == F.col("h")), "left_semi").distinct()
-    links = quotes.join(sources, F.col("conv").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g")) & (F.col("source") < F.col("turn"))).groupBy("conv", "turn", "h").agg(F.max("source").alias("source"))
+    whole = quotes.select("conv", "turn", "h").distinct()
+    whole = materialize(whole.join(sources, F.col("conv").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g")) & (F.col("source") < F.col("turn"))).groupBy("conv", "turn", "h").agg(F.max("source").alias("source")), "links")
+    known = whole.select(F.col("conv").alias("c0"), F.col("turn").alias("t0"), F.col("h").alias("h0"))
+    rest = quotes.join(known, F.col("conv").eqNullSafe(F.col("c0")) & (F.col("turn") == F.col("t0")) & (F.col("h") == F.col("h0")), "left_anti")
+    near = rest.join(sources, F.col("conv").eqNullSafe(F.col("c")) & (F.col("line") == F.col("g")) & (F.col("source") < F.col("turn"))).select("conv", "turn", "h", "passage", "source").distinct()
+    near = near.join(parsed.select(F.col("conv").alias("c3"), F.col("turn").alias("t3"), "own"), F.col("conv").eqNullSafe(F.col("c3")) & (F.col("source") == F.col("t3")))
+    partly = near.where(F.arrow_udf(_holds, "boolean")(F.col("own"), F.col("passage"))).groupBy("conv", "turn", "h").agg(F.max("source").alias("source"))
+    links = whole.unionByName(partly)
     parents = materialize(links.groupBy("conv", "turn").agg(F.max("source").alias("parent"), F.count("*").alias("linked")), "parents")
     # a message's thread is its parent's: halve the way to the root until nothing moves
     up = parents.select("conv", "turn", F.col("parent").alias("root"))
