@@ -6,7 +6,8 @@ Jensen-Shannon distance to its language's reference is above a bound, provided i
 or if it fails the base rules (too short, too repetitive).
 
 Defined results: a null or blank text has no words and fails the base rules; a null language is a language of its own;
-a language without common words of its own is judged by byte classes alone; repeated rows give repeated rows;
+a language without a list of common words
+is judged by byte classes alone, unless it has `MIN_REFERENCE_WORDS` of the listed words and the text `MIN_TEXT_WORDS`; repeated rows give repeated rows;
 other columns are not read, and `keep_good` carries them along.
 """
 
@@ -37,6 +38,8 @@ REPEAT_WINDOW = 8
 #: (least words, largest distance) of either histogram: short texts stray further from any reference.
 CLASS_BOUNDS = [(100, 0.25)]
 WORD_BOUNDS = [(100, 0.70), (200, 0.50)]
+#: A language without a list of its own is judged by common words only where its reference and the text have so many of them.
+MIN_REFERENCE_WORDS, MIN_TEXT_WORDS = 1000, 20
 
 
 def _class_table() -> np.ndarray:
@@ -150,10 +153,12 @@ def judged(featured: DataFrame, references: DataFrame, lang: str, f: str, out: s
     class_d = js_distance(s["classes"], F.col("ref_classes"))
     # a text with none of the words that its language is known by is as far as can be
     word_d = F.coalesce(js_distance(s["common"], F.col("ref_common")), F.when(_total(F.col("ref_common")) > 0, F.lit(1.0)))
+    listed = F.coalesce(F.col(lang).isin(*COMMON_WORDS), F.lit(False))
+    by_words = listed | ((_total(F.col("ref_common")) >= MIN_REFERENCE_WORDS) & (_total(s["common"]) >= MIN_TEXT_WORDS))
     far = F.lit(False)
-    for d, bounds in ((class_d, CLASS_BOUNDS), (word_d, WORD_BOUNDS)):
+    for d, bounds, applies in ((class_d, CLASS_BOUNDS, F.lit(True)), (word_d, WORD_BOUNDS, F.coalesce(by_words, F.lit(False)))):
         for words, most in bounds:
-            far = far | ((s["n_words"] >= words) & F.coalesce(d > most, F.lit(False)))
+            far = far | (applies & (s["n_words"] >= words) & F.coalesce(d > most, F.lit(False)))
     verdict = F.struct(class_d.alias("class_distance"), word_d.alias("word_distance"), base_failed(s).alias("base_failed"), (~base_failed(s) & ~far).alias("kept"))
     return joined.withColumn(out, verdict)
 
