@@ -5,6 +5,8 @@ characters takes m + 1 bits (bit i: "i characters matched"); a wildcard after i
 a self-loop on bit i. One pass over the bytes of a canonical URL moves all patterns at once, and
 numpy moves all URLs of an Arrow batch at once.
 
+The rules read the host and path as they are; the method's own globs read the host without its port, and an empty path as ``/``.
+
 Defined results: null urls and urls without ``://`` have empty host and path, fit no rule and are
 blocked; urls of any length are read whole; repeated rows give repeated rows.
 """
@@ -28,7 +30,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 #: Where no rule fits, a url that one of these fits is blocked. `*` stays within the host, `**` crosses `/`.
-BLOCK_GLOBS = ["*spam*/**", "*casino*/**", "*pills*/**", "*.xxx/**", "*/**/porn**", "*/**/wp-login**"]
+BLOCK_GLOBS = ["*spam*/**", "*casino*/**", "*pills*/**", "*.xxx/**", "*/porn**", "*/**/porn**", "*/wp-login**", "*/**/wp-login**"]
 
 
 def rule_glob(host: str, path: str) -> str:
@@ -109,18 +111,24 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, tail[:end]
 
 
+def bare_host(host: str) -> str:
+    """The host without its port."""
+    name, sep, port = host.rpartition(":")
+    return name if sep and not port.strip("0123456789") else host
+
+
 def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, block_globs=BLOCK_GLOBS) -> DataFrame:
     """One row per input row: id, host, path, rule and verdict. No shuffle; reads two columns."""
     ranked = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     names = [host + path for _, host, path in ranked]
-    auto = compile_globs([rule_glob(h, p) for _, h, p in ranked] + list(block_globs))
-    k = len(ranked)
+    auto = compile_globs([rule_glob(h, p) for _, h, p in ranked])
+    blocked = compile_globs(list(block_globs))
 
     def judge(batches):
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            found = run_automaton(auto, [f".{h}{p}".encode("utf-8", "surrogatepass") if h or p else b"" for h, p in parts])
-            fits, bad = found[:, :k], found[:, k:].any(axis=1)
+            fits = run_automaton(auto, [f".{h}{p}".encode("utf-8", "surrogatepass") if h or p else b"" for h, p in parts])
+            bad = run_automaton(blocked, [f".{bare_host(h)}{p or '/'}".encode("utf-8", "surrogatepass") if h or p else b"" for h, p in parts]).any(axis=1)
             best = np.where(fits.any(axis=1), fits.argmax(axis=1), -1)
             yield pa.RecordBatch.from_arrays(
                 [
