@@ -82,9 +82,9 @@ def bootstrap_draws(units: DataFrame, samples: int, seed: str = "b") -> DataFram
 
 def bootstrap_replicates(units: DataFrame, classes: int, samples: int, seed: str = "b") -> DataFrame:
     """units(index, counts ARRAY of [class] STRUCT(tp, actual, predicted)) -> (replicate, macro_f1). Units are rows or whole groups; their class counts
-    are taken before the draws multiply rows, and draws of the same unit are counted first."""
-    drawn = bootstrap_draws(units, samples, seed).groupBy("replicate", "index").agg(F.count("*").alias("w"))
-    joined = drawn.join(units, "index")
+    are taken before the draws multiply rows, and draws of units with equal class counts are counted together."""
+    drawn = bootstrap_draws(units, samples, seed)
+    joined = drawn.join(units, "index").groupBy("replicate", "counts").agg(F.count("*").alias("w"))
     scores = []
     for c in range(classes):
         s = F.col("counts")[c]

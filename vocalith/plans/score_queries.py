@@ -55,7 +55,8 @@ def _(spark, d):
 
 # --- bootstrap over all recordings
 
-SAMPLES = 100
+#: The reference's default number of replicates.
+SAMPLES = 10_000
 
 
 _DRAWS = f"draws AS (SELECT r, {_H("'b:' || r || ':' || j")} % n AS index FROM (SELECT unnest(range({SAMPLES}))::INTEGER AS r), (SELECT count(*) AS n FROM units), LATERAL (SELECT unnest(range(n)) AS j))"
