@@ -3,24 +3,56 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from vocalith.operators import metrics as S
 from vocalith.plans.score_queries import SAMPLES
 
 
-def test_all_replicates(spark):
+def macro(rows):
+    f1 = []
+    for c in range(3):
+        n = sum((t == c) + (p == c) for t, p in rows)
+        f1.append(2 * sum(t == c == p for t, p in rows) / n if n else 0.0)
+    return sum(f1) / 3
+
+
+def drawn(r, n):
+    return [int(hashlib.md5(f"b:{r}:{j // 4}".encode()).hexdigest()[8 * (j % 4) :][:8], 16) % n for j in range(n)]
+
+
+@pytest.mark.parametrize("group", [None, "uid"])
+def test_all_replicates(spark, group):
+    """So few rows are all drawn one by one; groups of one row are the same as rows."""
     assert SAMPLES == 10_000
-    truth, pred = [0, 0, 1, 2], [0, 1, 1, 1]
-    df = spark.createDataFrame([(k, t, p) for k, (t, p) in enumerate(zip(truth, pred))], "uid long, label int, prediction int")
-    scores = []
-    for r in range(SAMPLES):
-        drawn = [int(hashlib.md5(f"b:{r}:{j}".encode()).hexdigest()[:8], 16) % 4 for j in range(4)]
-        f1 = []
-        for c in range(3):
-            n = sum((truth[i] == c) + (pred[i] == c) for i in drawn)
-            f1.append(2 * sum(truth[i] == c == pred[i] for i in drawn) / n if n else 0.0)
-        scores.append(sum(f1) / 3)
-    got = S.bootstrap_ci(df, 3, SAMPLES).first()
+    rows = [(0, 0), (0, 1), (1, 1), (2, 0), (2, 1)]
+    df = spark.createDataFrame([(k, t, p) for k, (t, p) in enumerate(rows)], "uid long, label int, prediction int")
+    scores = [macro([rows[i] for i in drawn(r, 5)]) for r in range(SAMPLES)]
+    got = S.bootstrap_ci(df, 3, SAMPLES, group=group).first()
     low, high = np.quantile(scores, [0.025, 0.975])
-    assert (got.replicates, got.units) == (SAMPLES, 4)
+    assert (got.replicates, got.units) == (SAMPLES, 5)
     assert np.allclose([got.low, got.high, got.se, got["mean"]], [low, high, np.std(scores, ddof=1), np.mean(scores)], atol=2e-6)
+
+
+def test_pooled_draws_are_multinomial(spark):
+    """Of many rows most are drawn at once: every replicate has n draws, and cells' means, variances and covariances are those of n single draws."""
+    sizes = {(0, 0): 900, (0, 1): 300, (1, 1): 500, (2, 0): 200, (2, 2): 80, (1, 7): 20}
+    df = spark.createDataFrame([(t, p) for (t, p), n in sizes.items() for _ in range(n)], "label int, prediction int")
+    w = np.array([r.w for r in S.row_replicates(df, 3, 4000).collect()], float)
+    n = sum(sizes.values())
+    assert (w.sum(1) == n).all()
+    place = {k: k[0] * 4 + min(k[1], 3) for k in sizes}
+    share = np.zeros(12)
+    for k, c in sizes.items():
+        share[place[k]] = c / n
+    assert np.allclose(w.mean(0), n * share, atol=4 * np.sqrt(n * share / 4000) + 1e-9)
+    want = n * (np.diag(share) - np.outer(share, share))
+    assert np.abs(np.cov(w.T) - want).max() < 0.1 * n * share.max()
+
+
+def test_exact_means(spark):
+    df = spark.createDataFrame([(0.0000005,), (0.0000025,), (None,)], "x double")
+    from pyspark.sql import functions as F
+
+    row = df.agg(S.exact_mean(F.col("x")).alias("a"), S.exact_mean(-F.col("x")).alias("b"), S.exact_mean(F.lit(None).cast("double")).alias("c")).first()
+    assert (row.a, row.b, row.c) == (0.000002, -0.000002, None)

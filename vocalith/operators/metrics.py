@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from vocalith.functions.hashing import draw
+from vocalith.functions.hashing import hash32
 from vocalith.operators.ordering import global_index
 from vocalith.operators.vectors import argmax_class
 
@@ -67,30 +68,85 @@ def cv_summary(preds: DataFrame, classes: int, fold: str = "fold") -> DataFrame:
 
 
 def bootstrap_draws(units: DataFrame, samples: int, seed: str = "b") -> DataFrame:
-    """units(index 0..n-1, …) -> (replicate, index): n draws with replacement for each replicate, by hash.
+    """units(index 0..n-1, …) -> (replicate, index): n draws with replacement for each replicate, by hash; one md5 gives four draws.
 
     Draws are made in blocks that are spread over the tasks, so that no row holds a replicate's whole sequence.
     """
-    spark, block = units.sparkSession, 1 << 14
+    spark = units.sparkSession
     n = units.agg(F.count("*").alias("n"))
     spread = spark.range(samples).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(n)).where("n > 0")
-    blocks = spread.select("replicate", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))).alias("block"))
-    blocks = blocks.repartition(4 * spark.sparkContext.defaultParallelism, "replicate", "block")
-    rows = blocks.select("replicate", "n", F.explode(F.sequence(F.col("block") * block, F.least(F.col("n"), (F.col("block") + 1) * block) - 1)).alias("draw"))
-    return rows.select("replicate", draw(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("draw").cast("string")), F.col("n")).alias("index"))
+    return _drawn(spread.withColumn("draws", F.col("n")), seed)
 
 
-def bootstrap_replicates(units: DataFrame, classes: int, samples: int, seed: str = "b") -> DataFrame:
-    """units(index, counts ARRAY of [class] STRUCT(tp, actual, predicted)) -> (replicate, macro_f1). Units are rows or whole groups; their class counts
-    are taken before the draws multiply rows, and draws of units with equal class counts are counted together."""
-    drawn = bootstrap_draws(units, samples, seed)
-    joined = drawn.join(units, "index").groupBy("replicate", "counts").agg(F.count("*").alias("w"))
-    scores = []
-    for c in range(classes):
-        s = F.col("counts")[c]
-        n = F.sum(F.col("w") * (s["actual"] + s["predicted"]))
-        scores.append(F.when(n == 0, 0.0).otherwise(2.0 * F.sum(F.col("w") * s["tp"]) / n))
-    return joined.groupBy("replicate").agg((reduce(lambda a, b: a + b, scores) / float(classes)).alias("macro_f1"))
+def _drawn(spread: DataFrame, seed: str) -> DataFrame:
+    """(replicate, n, draws) -> (replicate, index): so many draws below n."""
+    block = 1 << 14
+    blocks = spread.where("draws > 0").select("replicate", "n", "draws", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / block))).alias("block"))
+    blocks = blocks.repartition(4 * spread.sparkSession.sparkContext.defaultParallelism, "replicate", "block")
+    fours = blocks.select("replicate", "n", "draws", F.explode(F.sequence(F.col("block") * (block // 4), F.floor((F.least(F.col("draws"), (F.col("block") + 1) * block) - 1) / 4))).alias("four"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("four").cast("string")))
+    each = fours.select("replicate", "n", "draws", "four", digest.alias("md5")).select("replicate", "n", "draws", "four", "md5", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).where("4 * four + k < draws")
+    return each.select("replicate", F.pmod(F.conv(F.substring("md5", F.col("k") * 8 + 1, F.lit(8)), 16, 10).cast("long"), F.col("n")).alias("index"))
+
+
+def _macro_of(tp: list[Column], actual: list[Column], predicted: list[Column]) -> Column:
+    each = [F.when(a + p == 0, 0.0).otherwise(2.0 * t / (a + p)) for t, a, p in zip(tp, actual, predicted)]
+    return (reduce(lambda x, y: x + y, each) / float(len(each))).alias("macro_f1")
+
+
+def group_replicates(units: DataFrame, classes: int, samples: int, seed: str = "b") -> DataFrame:
+    """units(index, counts ARRAY of [class] STRUCT(tp, actual, predicted)) -> (replicate, macro_f1): whole groups are drawn, and their counts summed."""
+    joined = bootstrap_draws(units, samples, seed).join(units, "index")
+    total = lambda part: [F.sum(F.col("counts")[c][part]).alias(f"{part}{c}") for c in range(classes)]
+    sums = joined.groupBy("replicate").agg(*total("tp"), *total("actual"), *total("predicted"))
+    return sums.select("replicate", _macro_of(*[[F.col(f"{part}{c}") for c in range(classes)] for part in ("tp", "actual", "predicted")]))
+
+
+def log_factorial(k: Column) -> Column:
+    """ln k! to 1e-10: Stirling's series at k + 9, less the eight factors above k."""
+    z = k + 9.0
+    shifted = reduce(lambda a, b: a * b, [k + float(i) for i in range(1, 9)])
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(shifted)
+
+
+def row_replicates(preds: DataFrame, classes: int, samples: int, seed: str = "b") -> DataFrame:
+    """(replicate, w ARRAY): how often each cell (label, prediction) is drawn when as many rows as there are, n, are drawn with replacement.
+
+    Rows of one cell are alike, so n - 6 sqrt(n) draws (in the mean) are made at once, as a Poisson number for each cell; given their sum these are
+    multinomial. The draws that are left to n, some 6 sqrt(n), are made one by one. So a replicate costs sqrt(n), and its counts are distributed
+    as those of n single draws (but for one replicate in 10**9 whose Poisson numbers exceed n). Up to 36 rows all draws are single.
+    Cell `label * (classes + 1) + prediction`; a prediction that is no declared class counts as number `classes`.
+    """
+    spark, width = preds.sparkSession, classes + 1
+    cells = range(classes * width)
+    place = F.col("label") * width + F.when(F.col("prediction").between(0, classes - 1), F.col("prediction")).otherwise(classes)
+    sizes = _scored(preds).agg(F.count("*").alias("n"), F.array(*[F.count_if(place == c) for c in cells]).alias("sizes"))
+    rate = F.greatest(F.lit(0.0), F.col("n") - 6 * F.sqrt("n"))
+    each = sizes.select("n", F.posexplode("sizes").alias("cell", "size")).withColumn("rate", F.coalesce(rate * F.col("size") / F.col("n"), F.lit(0.0)))
+    reach = 9 * F.sqrt("rate") + 10
+    steps = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("rate") - reach)), F.ceil(F.col("rate") + reach))
+    log_p = F.when(F.col("rate") == 0, F.when(F.col("k") == 0, 0.0).otherwise(-1e300)).otherwise(F.col("k") * F.log("rate") - F.col("rate") - log_factorial(F.col("k").cast("double")))
+    by_cell = W.partitionBy("cell").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    table = each.select("cell", "rate", F.explode(steps).alias("k")).select("cell", "k", F.coalesce(F.sum(F.exp(log_p)).over(by_cell), F.lit(0.0)).alias("u"))
+    replicates = spark.range(samples).select(F.col("id").cast("int").alias("replicate"))
+    asked = replicates.select("replicate", F.explode(F.array(*map(F.lit, cells))).alias("cell")).withColumn("u", (hash32(F.concat_ws(":", F.lit(seed + "p"), F.col("replicate").cast("string"), F.col("cell").cast("string"))) + 0.5) / 4294967296.0)
+    both = table.withColumn("replicate", F.lit(None).cast("int")).unionByName(asked.withColumn("k", F.lit(None).cast("long")))
+    line = W.partitionBy("cell").orderBy("u", F.col("k").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    at_once = both.withColumn("k", F.last("k", ignorenulls=True).over(line)).where("replicate IS NOT NULL")
+    pooled = at_once.groupBy("replicate").agg(*[F.sum(F.when(F.col("cell") == c, F.col("k")).otherwise(0)).alias(f"p{c}") for c in cells], F.sum("k").alias("pooled"))
+    singles = _drawn(pooled.crossJoin(F.broadcast(sizes)).select("replicate", "n", (F.col("n") - F.col("pooled")).alias("draws")), seed)
+    upto = [sum((F.col("sizes")[i] for i in range(c)), F.lit(0)) for c in range(len(cells) + 1)]
+    bounds = sizes.select(*[b.alias(f"b{c}") for c, b in enumerate(upto)])
+    counted = singles.crossJoin(F.broadcast(bounds)).groupBy("replicate").agg(*[F.count_if((F.col("index") >= F.col(f"b{c}")) & (F.col("index") < F.col(f"b{c + 1}"))).alias(f"s{c}") for c in cells])
+    return pooled.join(counted, "replicate", "left").select("replicate", F.array(*[F.col(f"p{c}") + F.coalesce(f"s{c}", F.lit(0)) for c in cells]).alias("w"))
+
+
+def bootstrap_replicates(preds: DataFrame, classes: int, samples: int, seed: str = "b") -> DataFrame:
+    """(replicate, macro_f1) of resampled rows."""
+    w, width = F.col("w"), classes + 1
+    actual = [sum((w[c * width + p] for p in range(width)), F.lit(0)) for c in range(classes)]
+    predicted = [sum((w[a * width + c] for a in range(classes)), F.lit(0)) for c in range(classes)]
+    return row_replicates(preds, classes, samples, seed).select("replicate", _macro_of([w[c * width + c] for c in range(classes)], actual, predicted))
 
 
 def resampling_units(preds: DataFrame, classes: int, unit: str) -> DataFrame:
@@ -102,10 +158,10 @@ def resampling_units(preds: DataFrame, classes: int, unit: str) -> DataFrame:
     return global_index(per, unit).select(F.col("index").cast("long").alias("index"), "counts")
 
 
-def bootstrap_ci(preds: DataFrame, classes: int, samples: int, level: float = 0.95, unit: str = "uid", seed: str = "b") -> DataFrame:
-    """One row: resampling units, replicates, quantile interval, standard error and mean of macro-F1. With unit a group column whole groups are drawn."""
-    units = resampling_units(preds, classes, unit)
-    reps = bootstrap_replicates(units, classes, samples, seed)
+def bootstrap_ci(preds: DataFrame, classes: int, samples: int, level: float = 0.95, group: str | None = None, seed: str = "b") -> DataFrame:
+    """One row: resampling units, replicates, quantile interval, standard error and mean of macro-F1. Rows are drawn, or whole groups."""
+    units = _scored(preds) if group is None else resampling_units(preds, classes, group)
+    reps = bootstrap_replicates(preds, classes, samples, seed) if group is None else group_replicates(units, classes, samples, seed)
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     q = F.percentile("macro_f1", F.array(F.lit(lo), F.lit(hi)))
     out = reps.agg(F.count("*").alias("replicates"), r6(q[0]).alias("low"), r6(q[1]).alias("high"), r6(F.stddev_samp("macro_f1")).alias("se"), r6(F.avg("macro_f1")).alias("mean"))
@@ -120,9 +176,26 @@ def ensemble_join(preds: DataFrame, k: int) -> DataFrame:
     return by.select("uid", "label", "probas", F.when(F.col("n") != k, "rows").when(F.col("label") != F.col("high"), "labels").when(~F.col("good"), "probabilities").alias("problem"))
 
 
+def exact_sum(c: Column, digits: int) -> Column:
+    """The sum of values to so many digits, as a whole number of units of the last one: no order of summing changes it."""
+    return F.sum(F.round(c * 10.0**digits).cast("decimal(20,0)"))
+
+
+def rounded(total: Column, parts: Column, digits: int) -> Column:
+    """total / parts, both whole numbers, rounded once (half away from zero) to a double of so many digits; null if parts is 0 or null."""
+    up = (2 * F.abs(total) + parts).cast("decimal(38,0)")
+    whole = F.call_function("div", up, F.when(parts > 0, 2 * parts).cast("decimal(38,0)"))
+    return F.when(total < 0, -whole).otherwise(whole) / 10.0**digits
+
+
+def exact_mean(c: Column, digits: int = 6) -> Column:
+    """The mean of values to 12 digits, rounded once, so that neither binary halves nor the order of the sum matter."""
+    return rounded(exact_sum(c, 12), F.count(c).cast("decimal(20,0)") * 10 ** (12 - digits), digits)
+
+
 def ensemble_mean(preds: DataFrame, classes: int) -> DataFrame:
-    """(uid, label, proba, prediction): mean probabilities (to 9 digits) and their first largest class."""
-    by = preds.groupBy("uid").agg(F.min("label").alias("label"), F.array(*[F.round(F.avg(F.col("proba")[c]), 9) for c in range(classes)]).alias("proba"))
+    """(uid, label, proba, prediction): mean probabilities (rounded once, to 6 digits) and their first largest class."""
+    by = preds.groupBy("uid").agg(F.min("label").alias("label"), F.array(*[exact_mean(F.col("proba")[c]) for c in range(classes)]).alias("proba"))
     return by.withColumn("prediction", argmax_class(F.col("proba")))
 
 

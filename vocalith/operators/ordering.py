@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from vocalith.sources.storage import shared_path
 
 
-def global_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
+def global_index(df: DataFrame, *order, name: str = "index") -> DataFrame:
     """df with the place of each row, from 0, in the (unique) order.
 
     Rows are range-partitioned and written, so that their partitions stay as they are; a row's index is its place in its partition after the

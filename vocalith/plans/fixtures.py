@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vocalith.functions.hashing import draw
+from vocalith.operators.metrics import exact_mean
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +90,7 @@ def model_preds(spark: SparkSession, sf_dir: str, models: int = 5) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trial, fold, score, train_score: sweep results."""
     e = load(spark, sf_dir, "events")
-    return e.groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 5).cast("int").alias("fold")).agg(F.round(F.avg("value"), 6).alias("score"), F.max("value").alias("train_score"))
+    return e.groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 5).cast("int").alias("fold")).agg(exact_mean(F.col("value")).alias("score"), F.max("value").alias("train_score"))
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +103,18 @@ def _h(expression: str) -> str:
     return f"(('0x' || substr(md5({expression}), 1, 8))::BIGINT)"
 
 
+def mean_sql(x: str, digits: int = 6) -> str:
+    """The exact mean of values to 12 digits, rounded once, half away from zero."""
+    total, parts = f"sum(round({x} * 1e12)::HUGEINT)", f"(count({x}) * {10 ** (12 - digits)})::HUGEINT"
+    return f"(CASE WHEN count({x}) > 0 THEN sign({total}) * ((2 * abs({total}) + {parts}) // (2 * {parts})) / 1e{digits} END)::DOUBLE"
+
+
+def sum_sql(x: str, digits: int, out: int) -> str:
+    """The exact sum of values to `digits`, rounded once to `out`."""
+    total, parts = f"sum(round({x} * 1e{digits})::HUGEINT)", 10 ** (digits - out)
+    return f"(sign({total}) * ((2 * abs({total}) + {parts}) // {2 * parts}) / 1e{out})::DOUBLE"
+
+
 #: The same tables as SQL, by name; each may use those before it.
 _SQL = {
     "words": f"""words AS (SELECT uid, role, word_id, word, start_ms, start_ms + 60 * length(word) AS end_ms, char_start, {_h("'p:' || uid || ':' || word_id")} % 1001 / 1000.0::DOUBLE AS prob FROM (
@@ -120,7 +133,7 @@ _SQL = {
     "preds": f"""preds AS (SELECT uid, group_id, label, CASE WHEN {_h("'pred:' || uid")} % 4 = 0 THEN (label + 1) % 3 ELSE label END AS prediction, ({_h("'fold:' || uid")} % 5)::INTEGER AS fold FROM (
   SELECT o_orderkey AS uid, o_custkey AS group_id, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label FROM orders))""",
     "model_preds": "model_preds AS (SELECT uid, model, label, [a / (a + b + c), b / (a + b + c), c / (a + b + c)] AS proba FROM (SELECT uid, model, label, " + ", ".join(f"""(1 + {_h(f"'q{c}:' || uid || ':' || model")} % 1000)::DOUBLE AS {'abc'[c]}""" for c in range(3)) + " FROM preds, (SELECT unnest(range(5))::INTEGER AS model)))",
-    "runs": "runs AS (SELECT user_id AS trial, (event_id % 5)::INTEGER AS fold, round(avg(value), 6) AS score, max(value) AS train_score FROM events GROUP BY 1, 2)",
+    "runs": f"runs AS (SELECT user_id AS trial, (event_id % 5)::INTEGER AS fold, {mean_sql('value')} AS score, max(value) AS train_score FROM events GROUP BY 1, 2)",
     "journal": "journal AS (SELECT user_id AS run, 100 * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS metric, event_type <> 'error' AS eligible FROM events)",
 }
 _NEEDS = {"ctc_words": ["words"], "segments": ["words"], "grid": ["words"], "model_preds": ["preds"]}

@@ -11,6 +11,7 @@ from vocalith.operators import cohort as C
 from vocalith.operators import intervals as I
 from vocalith.operators import transcripts as R
 from vocalith.operators import vectors as V
+from vocalith.operators.metrics import exact_sum, rounded
 from vocalith.plans import fixtures as X
 from vocalith.plans.registry import query
 from vocalith.sources import scans as S
@@ -199,7 +200,7 @@ def _(spark, d):
     return spark.read.schema("value STRING, uid BIGINT").text(path).select(F.col("uid").alias("s_suppkey"), F.col("value").alias("text"))
 
 
-@query("write_leaderboard", X.sql("runs", "SELECT trial, row_number() OVER (ORDER BY mean DESC, sd ASC NULLS LAST, trial)::INTEGER AS rank, mean FROM (SELECT trial, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd FROM runs GROUP BY trial)"))
+@query("write_leaderboard", X.sql("runs", "SELECT trial, row_number() OVER (ORDER BY mean DESC, sd ASC NULLS LAST, trial)::INTEGER AS rank, mean FROM (SELECT trial, " + X.mean_sql("score") + " AS mean, round(stddev_samp(score), 6) AS sd FROM runs GROUP BY trial)"))
 def _(spark, d):
     from vocalith.operators.trials import rank_trials, trial_summary
 
@@ -292,13 +293,13 @@ def _text(w, keep):
 def _package(audio, text):
     both = R.paired_mask(audio, text)
     out = both.join(audio.select("uid", "word_id", F.col("vec").alias("audio"), "n_frames"), ["uid", "word_id"]).join(text.select("uid", "word_id", F.col("vec").alias("text")), ["uid", "word_id"])
-    return out.groupBy("uid").agg(F.count("*").alias("words"), F.count_if("valid_0").alias("audio_valid"), F.count_if("valid_1").alias("text_valid"), F.count_if("valid").alias("paired"), F.sum("n_frames").alias("frames"), F.round(F.sum(F.when(F.col("valid"), F.col("audio")[0] + F.col("text")[0])), 3).alias("checksum"))
+    return out.groupBy("uid").agg(F.count("*").alias("words"), F.count_if("valid_0").alias("audio_valid"), F.count_if("valid_1").alias("text_valid"), F.count_if("valid").alias("paired"), F.sum("n_frames").alias("frames"), rounded(exact_sum(F.when(F.col("valid"), F.col("audio")[0] + F.col("text")[0]), 6), F.lit(1000), 3).alias("checksum"))
 
 
 def _package_sql(test: str) -> str:
     from vocalith.plans.frame_queries import _CTC_MAPPED, _pool_sql
 
-    return X.sql("grid ctc_words", f"SELECT w.uid, count(*) AS words, count(n) AS audio_valid, count_if({test}) AS text_valid, count_if(n IS NOT NULL AND {test}) AS paired, coalesce(sum(n), 0)::BIGINT AS frames, round(sum(CASE WHEN n IS NOT NULL AND {test} THEN v0 + length(word) END), 3) AS checksum FROM words w LEFT JOIN means m ON w.uid = m.uid AND w.word_id = m.word_id GROUP BY w.uid", _CTC_MAPPED + ", " + _pool_sql("SELECT * FROM mapped"))
+    return X.sql("grid ctc_words", f"SELECT w.uid, count(*) AS words, count(n) AS audio_valid, count_if({test}) AS text_valid, count_if(n IS NOT NULL AND {test}) AS paired, coalesce(sum(n), 0)::BIGINT AS frames, {X.sum_sql(f'(CASE WHEN n IS NOT NULL AND {test} THEN v0 + length(word) END)', 6, 3)} AS checksum FROM words w LEFT JOIN means m ON w.uid = m.uid AND w.word_id = m.word_id GROUP BY w.uid", _CTC_MAPPED + ", " + _pool_sql("SELECT * FROM mapped"))
 
 
 @query("package_words", _package_sql("prob >= 0.2"))

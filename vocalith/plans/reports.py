@@ -21,7 +21,7 @@ def evaluation_report(preds: DataFrame, classes: int, sample: DataFrame | None =
         return preds.agg(F.count("*").alias("recordings"), none("macro_f1", "double"), none("accuracy", "double"), none("per_class_f1", "array<double>"))
     label, pred = F.col("label"), F.col("prediction")
     one = preds.where("label >= 0").agg(F.count("*").alias("recordings"), S.r6(S.macro_f1_expr(label, pred, classes)).alias("macro_f1"), S.r6(F.avg((label == pred).cast("int"))).alias("accuracy"), F.array(*[S.r6(S.f1_expr(label, pred, c)) for c in range(classes)]).alias("per_class_f1"))
-    return one.crossJoin(S.bootstrap_ci(preds if sample is None else sample, classes, samples, unit=group or "uid"))
+    return one.crossJoin(S.bootstrap_ci(preds if sample is None else sample, classes, samples, group=group))
 
 
 def test_sheet(preds: DataFrame, classes: int) -> DataFrame:

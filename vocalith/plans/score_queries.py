@@ -59,31 +59,45 @@ def _(spark, d):
 SAMPLES = 10_000
 
 
-_DRAWS = f"draws AS (SELECT r, {_H("'b:' || r || ':' || j")} % n AS index FROM (SELECT unnest(range({SAMPLES}))::INTEGER AS r), (SELECT count(*) AS n FROM units), LATERAL (SELECT unnest(range(n)) AS j))"
-_REPS = f"reps AS (SELECT r, {_MACRO} AS m FROM draws JOIN units USING (index) GROUP BY r)"
+#: n draws below n for each replicate, four from each md5.
+_DRAWS = f"draws AS (SELECT r, ('0x' || substr(md5, 8 * k + 1, 8))::BIGINT % n AS index FROM (SELECT r, n, j, md5('b:' || r || ':' || j) AS md5, unnest(range(4)) AS k FROM (SELECT unnest(range({SAMPLES}))::INTEGER AS r), (SELECT count(*) AS n FROM units), LATERAL (SELECT unnest(range((n + 3) // 4)) AS j)) WHERE 4 * j + k < n)"
 _CI = "SELECT count(*) AS replicates, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_samp(m), 6) AS se, round(avg(m), 6) AS mean, (SELECT count(*) FROM units) AS units FROM reps"
-_ROWS = "units AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS index, label, prediction FROM preds)"
-_GROUPS = "groups AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS index FROM (SELECT DISTINCT group_id FROM preds)), units AS (SELECT index FROM groups), members AS (SELECT index, label, prediction FROM preds JOIN groups USING (group_id))"
-
-
-@query("bootstrap_draws", X.sql("preds", "SELECT replicate, sum(n)::BIGINT AS draws, count(*) AS units, max(n) AS most, sum(index * n)::BIGINT AS total FROM (SELECT r AS replicate, index, count(*) AS n FROM draws GROUP BY ALL) GROUP BY 1", f"{_ROWS}, {_DRAWS}"))
-def _(spark, d):
-    units = S.resampling_units(X.preds(spark, d), K, "uid")
+_GROUPS = "groups AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS index FROM (SELECT DISTINCT group_id FROM preds)), units AS (SELECT index FROM groups), members AS (SELECT index, label, prediction, count(*) AS c FROM preds JOIN groups USING (group_id) GROUP BY ALL)"
+_LOG_FACTORIAL = "((k + 9.0::DOUBLE) - 0.5) * ln(k + 9.0::DOUBLE) - (k + 9.0::DOUBLE) + 0.9189385332046727::DOUBLE + 1 / (12 * (k + 9.0::DOUBLE)) - 1 / (360 * power(k + 9.0::DOUBLE, 3)) + 1 / (1260 * power(k + 9.0::DOUBLE, 5)) - ln(" + " * ".join(f"(k + {i}.0::DOUBLE)" for i in range(1, 9)) + ")"
+#: Draws of rows by cells: Poisson numbers, then single draws up to n. w is a cell's number of draws.
+_CELLS = f"""units AS (SELECT * FROM preds), total AS (SELECT count(*) AS n FROM preds),
+cells AS (SELECT a.c AS cell, a.c // 4 AS label, a.c % 4 AS prediction, count(uid) AS size FROM (SELECT unnest(range(12)) AS c) a LEFT JOIN preds ON label * 4 + prediction = c GROUP BY a.c),
+rated AS (SELECT *, sum(size) OVER (ORDER BY cell) - size AS low, greatest(0.0::DOUBLE, n - 6 * sqrt(n)) * size / n AS rate FROM cells, total),
+steps AS (SELECT cell, rate, unnest(range(greatest(0, floor(rate - 9 * sqrt(rate) - 10))::BIGINT, ceil(rate + 9 * sqrt(rate) + 10)::BIGINT + 1)) AS k FROM rated),
+masses AS (SELECT cell, k, coalesce(sum(p) OVER (PARTITION BY cell ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM (SELECT cell, k, CASE WHEN rate = 0 THEN (k = 0)::INTEGER ELSE exp(k * ln(rate) - rate - ({_LOG_FACTORIAL})) END::DOUBLE AS p FROM steps)),
+asked AS (SELECT r, cell, ({_H("'bp:' || r || ':' || cell")} + 0.5::DOUBLE) / 4294967296 AS u FROM (SELECT unnest(range({SAMPLES}))::INTEGER AS r), (SELECT cell FROM cells)),
+pooled AS (SELECT r, a.cell AS cell, k FROM asked a ASOF JOIN masses m ON a.cell = m.cell AND a.u >= m.u),
+lacking AS (SELECT r, n, n - sum(k)::BIGINT AS lack FROM pooled, total GROUP BY r, n),
+singles AS (SELECT r, ('0x' || substr(md5, 8 * k + 1, 8))::BIGINT % n AS index FROM (SELECT r, n, lack, j, md5('b:' || r || ':' || j) AS md5, unnest(range(4)) AS k FROM lacking, LATERAL (SELECT unnest(range((lack + 3) // 4)) AS j)) WHERE 4 * j + k < lack),
+extra AS (SELECT r, cell, count(*) AS k FROM singles JOIN rated ON index >= low AND index < low + size GROUP BY ALL),
+drawn AS (SELECT r, label, prediction, sum(k)::BIGINT AS w FROM (SELECT * FROM pooled UNION ALL SELECT * FROM extra) JOIN cells USING (cell) GROUP BY ALL),
+reps AS (SELECT r, ({" + ".join(_f1(c, "w") for c in range(K))}) / 3 AS m FROM drawn GROUP BY r)"""
+
+
+@query("bootstrap_draws", X.sql("preds", "SELECT replicate, sum(n)::BIGINT AS draws, count(*) AS units, max(n) AS most, sum(index * n)::BIGINT AS total FROM (SELECT r AS replicate, index, count(*) AS n FROM draws GROUP BY ALL) GROUP BY 1", f"{_GROUPS}, {_DRAWS}"))
+def _(spark, d):
+    """All groups are drawn in each replicate."""
+    units = S.resampling_units(X.preds(spark, d), K, "group_id")
     drawn = S.bootstrap_draws(units, SAMPLES).groupBy("replicate", "index").agg(F.count("*").alias("n"))
     return drawn.groupBy("replicate").agg(F.sum("n").alias("draws"), F.count("*").alias("units"), F.max("n").alias("most"), F.sum(F.col("index") * F.col("n")).alias("total"))
 
 
-@query("bootstrap_ci", X.sql("preds", _CI, f"{_ROWS}, {_DRAWS}, {_REPS}"))
+@query("bootstrap_ci", X.sql("preds", _CI, _CELLS))
 def _(spark, d):
     return S.bootstrap_ci(X.preds(spark, d), K, SAMPLES)
 
 
-@query("bootstrap_ci_grouped", X.sql("preds", _CI, f"{_GROUPS}, {_DRAWS}, reps AS (SELECT r, {_MACRO} AS m FROM draws JOIN members USING (index) GROUP BY r)"))
+@query("bootstrap_ci_grouped", X.sql("preds", _CI, f"{_GROUPS}, {_DRAWS}, reps AS (SELECT r, ({' + '.join(_f1(c, 'c') for c in range(K))}) / 3 AS m FROM draws JOIN members USING (index) GROUP BY r)"))
 def _(spark, d):
-    return S.bootstrap_ci(X.preds(spark, d), K, SAMPLES, unit="group_id")
+    return S.bootstrap_ci(X.preds(spark, d), K, SAMPLES, group="group_id")
 
 
-_REPORT_SQL = X.sql("preds", f"SELECT (SELECT count(*) FROM preds) AS recordings, (SELECT round({_MACRO}, 6) FROM preds) AS macro_f1, (SELECT round(avg((label = prediction)::INTEGER), 6) FROM preds) AS accuracy, (SELECT list(f1 ORDER BY c) FROM f) AS per_class_f1, ci.* FROM ({_CI}) ci", f"{_ROWS}, {_DRAWS}, {_REPS}, f AS (" + " UNION ALL ".join(f"SELECT {c} AS c, round({_f1(c)}, 6) AS f1 FROM preds" for c in range(K)) + ")")
+_REPORT_SQL = X.sql("preds", f"SELECT (SELECT count(*) FROM preds) AS recordings, (SELECT round({_MACRO}, 6) FROM preds) AS macro_f1, (SELECT round(avg((label = prediction)::INTEGER), 6) FROM preds) AS accuracy, (SELECT list(f1 ORDER BY c) FROM f) AS per_class_f1, ci.* FROM ({_CI}) ci", f"{_CELLS}, f AS (" + " UNION ALL ".join(f"SELECT {c} AS c, round({_f1(c)}, 6) AS f1 FROM preds" for c in range(K)) + ")")
 
 
 @query("evaluation_report", _REPORT_SQL)
@@ -101,12 +115,12 @@ def _(spark, d):
     return S.ensemble_join(p, 5).select("uid", "label", F.size("probas").cast("long").alias("n"), "problem")
 
 
-_ENSEMBLE = "ens AS (SELECT uid, label, p, (list_position(p, list_max(p)) - 1)::INTEGER AS prediction FROM (SELECT uid, min(label) AS label, [round(avg(proba[1]), 9), round(avg(proba[2]), 9), round(avg(proba[3]), 9)] AS p FROM model_preds GROUP BY uid))"
+_ENSEMBLE = "ens AS (SELECT uid, label, p, (list_position(p, list_max(p)) - 1)::INTEGER AS prediction FROM (SELECT uid, min(label) AS label, [" + ", ".join(X.mean_sql(f"proba[{c}]") for c in (1, 2, 3)) + "] AS p FROM model_preds GROUP BY uid))"
 
 
-@query("ensemble_mean", X.sql("model_preds", "SELECT uid, label, list_transform(p, lambda x: round(x, 6)) AS proba, prediction FROM ens", _ENSEMBLE))
+@query("ensemble_mean", X.sql("model_preds", "SELECT uid, label, p AS proba, prediction FROM ens", _ENSEMBLE))
 def _(spark, d):
-    return S.ensemble_mean(X.model_preds(spark, d), K).select("uid", "label", F.transform("proba", lambda x: F.round(x, 6)).alias("proba"), "prediction")
+    return S.ensemble_mean(X.model_preds(spark, d), K).select("uid", "label", "proba", "prediction")
 
 
 @query("test_sheet", X.sql("model_preds", f"SELECT 'ensemble' AS system, count(*) AS recordings, round({_MACRO}, 6) AS macro_f1, round(avg((label = prediction)::INTEGER), 6) AS accuracy FROM ens UNION ALL SELECT 'model ' || model, count(*), round({_MACRO}, 6), round(avg((label = prediction)::INTEGER), 6) FROM (SELECT model, label, (list_position(proba, list_max(proba)) - 1)::INTEGER AS prediction FROM model_preds) GROUP BY model", _ENSEMBLE))
@@ -199,7 +213,7 @@ def _(spark, d):
 
 # --- sweeps
 
-_SUMMARY = "summary AS (SELECT trial, count(*) AS n_folds, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, count(*) = 5 AS complete FROM runs GROUP BY trial)"
+_SUMMARY = f"summary AS (SELECT trial, count(*) AS n_folds, {X.mean_sql('score')} AS mean, round(stddev_samp(score), 6) AS sd, count(*) = 5 AS complete FROM runs GROUP BY trial)"
 _RANK = "row_number() OVER (ORDER BY mean DESC, sd ASC NULLS LAST, trial)"
 _BASE = "base AS (SELECT mean AS baseline FROM summary WHERE trial = (SELECT min(trial) FROM summary))"
 
@@ -229,11 +243,15 @@ def _(spark, d):
     return T.best_trial(s, _baseline(s))
 
 
-@query("train_val_gap", X.sql("runs", "SELECT trial, round(avg(train_score), 6) AS train_mean, round(stddev_samp(train_score), 6) AS train_sd, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(avg(train_score) - avg(score), 6) AS gap, count(score) || '/5' AS completed FROM runs GROUP BY trial"))
+@query("train_val_gap", X.sql("runs", f"SELECT trial, {X.mean_sql('train_score')} AS train_mean, round(stddev_samp(train_score), 6) AS train_sd, {X.mean_sql('score')} AS mean, round(stddev_samp(score), 6) AS sd, {X.mean_sql('(train_score - score)')} AS gap, count(score) || '/5' AS completed FROM runs GROUP BY trial"))
 def _(spark, d):
     return T.train_val_gap(X.runs(spark, d))
 
 
+def _four(x: str) -> str:
+    return f"printf('%.4f', floor((round({x} * 1e6) + 50) / 100) / 1e4)"
+
+
 _TESTS = "tests AS (SELECT trial, min(score) AS test_score FROM runs WHERE trial % 3 = 0 GROUP BY trial)"
 
 
@@ -241,7 +259,7 @@ def _tests(r):
     return r.where("trial % 3 = 0").groupBy("trial").agg(F.min("score").alias("test_score"))
 
 
-@query("attach_test_scores", X.sql("runs", "SELECT trial, mean, coalesce(printf('%.4f', round(test_score, 4)), 'Not included') AS test FROM summary LEFT JOIN tests USING (trial)", f"{_SUMMARY}, {_TESTS}"))
+@query("attach_test_scores", X.sql("runs", "SELECT trial, mean, coalesce(" + _four('test_score') + ", 'Not included') AS test FROM summary LEFT JOIN tests USING (trial)", f"{_SUMMARY}, {_TESTS}"))
 def _(spark, d):
     r = X.runs(spark, d)
     return T.attach_test_scores(_summary(spark, d).select("trial", "mean"), _tests(r))
@@ -256,15 +274,15 @@ def _gappy(spark, d):
 
 
 @query("leaderboard", X.sql("runs", f"""SELECT t.trial, CASE WHEN n_folds = 5 THEN 'complete' WHEN n_folds > 0 THEN 'partial' ELSE 'pending' END AS state, rank, mean, sd, delta FROM (SELECT DISTINCT user_id AS trial FROM events) t LEFT JOIN (SELECT trial, count(*) AS n_folds FROM gappy GROUP BY 1) n USING (trial)
-  LEFT JOIN (SELECT trial, {_RANK}::INTEGER AS rank, mean, sd, round(mean - baseline, 6) AS delta FROM s2, b2) r USING (trial)""", f"{_GAPPY}, s2 AS (SELECT trial, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd FROM gappy GROUP BY trial HAVING count(*) = 5), b2 AS (SELECT mean AS baseline FROM s2 WHERE trial = (SELECT min(trial) FROM s2))"))
+  LEFT JOIN (SELECT trial, {_RANK}::INTEGER AS rank, mean, sd, round(mean - baseline, 6) AS delta FROM s2, b2) r USING (trial)""", f"{_GAPPY}, s2 AS (SELECT trial, {X.mean_sql('score')} AS mean, round(stddev_samp(score), 6) AS sd FROM gappy GROUP BY trial HAVING count(*) = 5), b2 AS (SELECT mean AS baseline FROM s2 WHERE trial = (SELECT min(trial) FROM s2))"))
 def _(spark, d):
     r = _gappy(spark, d)
     trials = X.load(spark, d, "events").select(F.col("user_id").alias("trial")).distinct()
     return T.leaderboard(r, trials, _baseline(T.trial_summary(r).where("complete")))
 
 
-@query("sweep_sheet", X.sql("runs", """SELECT t.trial, CASE WHEN t.trial % 13 = 5 THEN 'Failed' WHEN n = 5 THEN 'Complete' WHEN n > 0 THEN 'Running' ELSE 'Queued' END AS status, coalesce(n, 0) || '/5' AS completed, train_mean, mean, sd, gap, by_fold, coalesce(printf('%.4f', round(test_score, 4)), 'Not included') AS test FROM (SELECT DISTINCT user_id AS trial FROM events) t
-  LEFT JOIN (SELECT trial, count(*) AS n, round(avg(train_score), 6) AS train_mean, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(avg(train_score) - avg(score), 6) AS gap, string_agg(fold || ': ' || printf('%.4f', round(score, 4)), '; ' ORDER BY fold) AS by_fold FROM gappy GROUP BY trial) g USING (trial) LEFT JOIN tests USING (trial)""", f"{_GAPPY}, {_TESTS}"))
+@query("sweep_sheet", X.sql("runs", f"""SELECT t.trial, CASE WHEN t.trial % 13 = 5 THEN 'Failed' WHEN n = 5 THEN 'Complete' WHEN n > 0 THEN 'Running' ELSE 'Queued' END AS status, coalesce(n, 0) || '/5' AS completed, train_mean, mean, sd, gap, by_fold, coalesce({_four("test_score")}, 'Not included') AS test FROM (SELECT DISTINCT user_id AS trial FROM events) t
+  LEFT JOIN (SELECT trial, count(*) AS n, {X.mean_sql("train_score")} AS train_mean, {X.mean_sql("score")} AS mean, round(stddev_samp(score), 6) AS sd, {X.mean_sql("(train_score - score)")} AS gap, string_agg(fold || ': ' || {_four("score")}, '; ' ORDER BY fold) AS by_fold FROM gappy GROUP BY trial) g USING (trial) LEFT JOIN tests USING (trial)""", f"{_GAPPY}, {_TESTS}"))
 def _(spark, d):
     trials = X.load(spark, d, "events").select(F.col("user_id").alias("trial")).distinct()
     return T.sweep_sheet(trials, _gappy(spark, d), _tests(X.runs(spark, d)), trials.where("trial % 13 = 5"))
