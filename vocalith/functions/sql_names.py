@@ -1,4 +1,4 @@
-"""Names under which the scalar functions can be called from SQL, and a table function for sequential work."""
+"""Names under which the scalar functions can be called from SQL, and table functions for sequential work."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from vocalith.functions.text import nfc_udf
+from vocalith.operators.sequential import Matcher, Packer
 
 #: SQL functions: signature and body. They are expanded into the plan, so nothing runs in Python.
 SQL_FUNCTIONS = {
@@ -25,19 +26,26 @@ def word_packer():
     @udtf(returnType="position int, chunk int")
     class WordPacker:
         def eval(self, costs: list, capacity: int):
-            chunk = used = 0
+            packer = Packer(capacity)
             for i, c in enumerate(costs or []):
-                if c > capacity:
-                    yield i, None
-                    continue
-                if used + c > capacity:
-                    chunk, used = chunk + 1, 0
-                used += c
-                yield i, chunk
+                yield i, packer.place(c)
 
     return WordPacker
 
 
+def word_matcher():
+    """UDTF word_matcher(text, words) -> (position, at, recased, skipped): the places of one ordered array of words in a text."""
+
+    @udtf(returnType="position int, at int, recased boolean, skipped boolean")
+    class WordMatcher:
+        def eval(self, text: str, words: list):
+            matcher = Matcher(text or "")
+            for i, w in enumerate(words or []):
+                yield i, *matcher.find(w)
+
+    return WordMatcher
+
+
 def register_all(spark: SparkSession) -> list[str]:
     """Registers everything for this session; returns the names."""
     names = []
@@ -46,4 +54,5 @@ def register_all(spark: SparkSession) -> list[str]:
         names.append(signature.split("(")[0])
     spark.udf.register("nfc", nfc_udf())
     spark.udtf.register("word_packer", word_packer())
-    return [*names, "nfc", "word_packer"]
+    spark.udtf.register("word_matcher", word_matcher())
+    return [*names, "nfc", "word_packer", "word_matcher"]

@@ -48,9 +48,9 @@ def characters(form: Column) -> Column:
 
 
 def unsupported_chars(form, vocabulary: list[str], blank: str = "<pad>", delimiter: str = "|") -> Column:
-    """The first character that is not a letter of the vocabulary; 'space' for a blank inside; null if there is none."""
+    """The first character that is no letter, or not in the vocabulary; 'space' for a blank inside; null if there is none."""
     f = _col(form)
-    bad = F.filter(characters(f), lambda c: ~c.isin([v for v in vocabulary if v not in (blank, delimiter)]))
+    bad = F.filter(characters(f), lambda c: ~c.isin([v for v in vocabulary if v not in (blank, delimiter)]) | ~c.rlike(r"^\p{L}$"))
     return F.when(f.rlike(r"\s"), F.lit("space")).otherwise(F.try_element_at(bad, F.lit(1)))
 
 

@@ -210,15 +210,19 @@ def stable_sort(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def trial_grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
-    """The product of the axes' values, in order, with ids."""
-    out = None
+def trial_grid(spark: SparkSession, axes: dict[str, list | DataFrame]) -> DataFrame:
+    """The product of the axes, in order, with ids. An axis is a list, in its order, or a table's column of its name, whose distinct values are taken in theirs;
+    a grid is as large as the product of its axes, so axes are short."""
+    out, index = None, F.lit(0)
     for name, values in axes.items():
-        axis = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"__{name} int, {name} {'double' if isinstance(values[0], float) else 'int' if isinstance(values[0], int) else 'string'}")
+        if isinstance(values, DataFrame):
+            axis = values.select(name).distinct().withColumn(f"__{name}", F.row_number().over(W.orderBy(name)) - 1)
+        else:
+            kind = "double" if isinstance(values[0], float) else "int" if isinstance(values[0], int) else "string"
+            axis = spark.createDataFrame(list(enumerate(values)), f"__{name} int, {name} {kind}")
+        axis = axis.crossJoin(F.broadcast(axis.agg(F.count("*").alias(f"__n_{name}"))))
         out = axis if out is None else out.crossJoin(axis)
-    index = F.lit(0)
-    for name, values in axes.items():
-        index = index * len(values) + F.col(f"__{name}")
+        index = index * F.col(f"__n_{name}") + F.col(f"__{name}")
     return out.select(index.cast("int").alias("trial_index"), F.concat_ws("_", *[F.concat(F.lit(f"{n}-"), F.col(n).cast("string")) for n in axes]).alias("trial_id"), *axes)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vocalith.functions.timing import Grid, expand_context, map_interval
+from vocalith.operators.metrics import rounded
 
 
 def token_word_overlap(tokens: DataFrame, words: DataFrame, bucket: int = 64) -> DataFrame:
@@ -121,8 +122,19 @@ def interval_mean_pool(windows: DataFrame, frames: DataFrame, grid: Grid, dim: i
         ok = s < e
         first, last = F.when(ok, first), F.when(ok, last)
     placed = windows.select("uid", "word_id", *[c for c in ("start_ms", "end_ms", "frame_count") if c in windows.columns]).withColumn("__f", first).withColumn("__l", last)
-    spread = placed.where("__f < __l").select("uid", "word_id", F.explode(F.sequence(F.col("__f"), F.col("__l") - 1)).alias("frame"))
     value = (lambda c: F.least(F.lit(1000.0), F.greatest(F.lit(-1000.0), c))) if policy == "short_expand" else (lambda c: c)
-    means = spread.join(frames, ["uid", "frame"]).groupBy("uid", "word_id").agg(F.array(*[F.round(F.avg(value(F.col("vec")[i])), 6) for i in range(dim)]).alias("vec"), F.count("*").alias("n_frames"))
+    # values count in units of 1e-9, as whole numbers: sums are exact up to 9e9
+    # a mean is the difference of two prefix sums: frames and the ends of words meet in one window by recording, and no word is spread over its frames
+    names = [f"__v{i}" for i in range(dim)]
+    whole = lambda c: F.rint(c * 1e9).cast("long")
+    zero = F.lit(0).cast("long")
+    no_word = F.lit(None).cast(dict(windows.dtypes)["word_id"])
+    grid_rows = frames.select("uid", F.col("frame").cast("long").alias("__at"), no_word.alias("word_id"), F.lit(0).alias("__sign"), F.lit(1).alias("__one"), *[whole(value(F.col("vec")[i])).alias(n) for i, n in enumerate(names)])
+    ends = F.explode(F.array(*[F.struct(F.col(c).cast("long").alias("__at"), F.lit(k).alias("__sign")) for c, k in (("__f", -1), ("__l", 1))]))
+    edges = placed.where("__f < __l").select("uid", "word_id", ends.alias("e")).select("uid", "e.__at", "word_id", "e.__sign", F.lit(0).alias("__one"), *[zero.alias(n) for n in names])
+    before = W.partitionBy("uid").orderBy("__at", "__one").rowsBetween(W.unboundedPreceding, 0)
+    summed = grid_rows.unionByName(edges).withColumns({n: F.sum(n).over(before) for n in ["__one", *names]}).where("__sign <> 0")
+    means = summed.groupBy("uid", "word_id").agg(F.sum(F.col("__one") * F.col("__sign")).alias("n_frames"), *[F.sum(F.col(n) * F.col("__sign")).alias(n) for n in names]).where("n_frames > 0")
+    means = means.select("uid", "word_id", "n_frames", F.array(*[rounded(F.coalesce(n, zero).cast("decimal(20,0)"), F.col("n_frames").cast("decimal(20,0)") * 1000, 6) for n in names]).alias("vec"))
     zeros = F.array(*[F.lit(0.0)] * dim)
     return windows.select("uid", "word_id").join(means, ["uid", "word_id"], "left").select("uid", "word_id", F.coalesce("vec", zeros).alias("vec"), F.coalesce("n_frames", F.lit(0)).cast("long").alias("n_frames"), F.col("vec").isNotNull().alias("valid"))

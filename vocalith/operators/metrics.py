@@ -13,6 +13,10 @@ from vocalith.operators.ordering import global_index
 from vocalith.operators.vectors import argmax_class
 
 
+#: Resampling units (some 200 bytes each) that may be broadcast; more are shuffled.
+BROADCAST_UNITS = 200_000
+
+
 def r6(c) -> Column:
     return F.round(c, 6)
 
@@ -96,9 +100,11 @@ def _macro_of(tp: list[Column], actual: list[Column], predicted: list[Column]) -
 
 def group_replicates(units: DataFrame, classes: int, samples: int, seed: str = "b") -> DataFrame:
     """units(index, counts ARRAY of [class] STRUCT(tp, actual, predicted)) -> (replicate, macro_f1): whole groups are drawn, and their counts summed."""
-    joined = bootstrap_draws(units, samples, seed).join(units, "index")
-    total = lambda part: [F.sum(F.col("counts")[c][part]).alias(f"{part}{c}") for c in range(classes)]
-    sums = joined.groupBy("replicate").agg(*total("tp"), *total("actual"), *total("predicted"))
+    names = {f"{part}{c}": F.col("counts")[c][part].cast("long") for part in ("tp", "actual", "predicted") for c in range(classes)}
+    flat = units.select("index", *[v.alias(k) for k, v in names.items()])
+    few = units.count() <= BROADCAST_UNITS  # the draws are far larger, which Spark's estimate of an exploded side does not see
+    joined = bootstrap_draws(units, samples, seed).join(F.broadcast(flat) if few else flat.hint("shuffle_hash"), "index")
+    sums = joined.groupBy("replicate").agg(*[F.sum(k).alias(k) for k in names])
     return sums.select("replicate", _macro_of(*[[F.col(f"{part}{c}") for c in range(classes)] for part in ("tp", "actual", "predicted")]))
 
 

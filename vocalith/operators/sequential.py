@@ -1,47 +1,87 @@
-"""Operators that carry state along one recording's ordered array; bounded by a recording's length."""
+"""Operators that carry state along a recording's words. Words come sorted by (uid, word_id), so a task holds a batch and one state, never a whole recording."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_LEXICAL = regex.compile(r"[\p{L}\p{N}]")
+
+
+class Packer:
+    """Whole words, greedily, into chunks of at most `capacity`; a word above it has no chunk."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.chunk, self.used = capacity, 0, 0
+
+    def place(self, cost: int) -> int | None:
+        if cost > self.capacity:
+            return None
+        if self.used + cost > self.capacity:
+            self.chunk, self.used = self.chunk + 1, 0
+        self.used += cost
+        return self.chunk
+
 
-def _ordered(words: DataFrame, *cols: str) -> DataFrame:
-    return words.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("word_id", *cols))).alias("items"))
+class Matcher:
+    """Finds words in a text one after another, without regard to case."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.low, self.cursor = text, text.lower(), 0
+
+    def find(self, word: str) -> tuple[int, bool, bool]:
+        """(place from 1, or 0 if it is missing; spelt in another case; letters or digits lie before it)."""
+        at = self.low.find(word.lower(), self.cursor)
+        if at < 0:
+            return 0, False, False
+        recased, skipped = self.text[at : at + len(word)] != word, _LEXICAL.search(self.text[self.cursor : at]) is not None
+        self.cursor = at + len(word)
+        return at + 1, recased, skipped
+
+
+def _sorted(words: DataFrame) -> DataFrame:
+    return words.repartition("uid").sortWithinPartitions("uid", "word_id")
 
 
 def word_chunks(words: DataFrame, cost: str, capacity: int) -> DataFrame:
     """(uid, word_id, chunk): whole words packed greedily into chunks of at most `capacity`; chunk is null for a word above it (a violation)."""
-    state = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<word_id:int,chunk:int>>").alias("out"))
 
-    def step(s, x):
-        c = x[cost].cast("long")
-        fits = s["used"] + c <= capacity
-        chunk = F.when(fits, s["chunk"]).otherwise(s["chunk"] + 1)
-        used = F.when(fits, s["used"] + c).otherwise(c)
-        too_long = c > capacity
-        placed = F.struct(x["word_id"].alias("word_id"), F.when(~too_long, chunk).alias("chunk"))
-        return F.struct(F.when(too_long, s["chunk"]).otherwise(chunk).alias("chunk"), F.when(too_long, s["used"]).otherwise(used).alias("used"), F.concat(s["out"], F.array(placed)).alias("out"))
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uid = packer = None
+        for batch in batches:
+            chunks = []
+            for u, c in zip(batch["uid"], batch["cost"]):
+                if packer is None or u != uid:
+                    uid, packer = u, Packer(capacity)
+                chunks.append(packer.place(c))
+            yield batch[["uid", "word_id"]].assign(chunk=pd.array(chunks, "Int32"))
 
-    packed = _ordered(words, cost).select("uid", F.inline(F.aggregate("items", state, step, lambda s: s["out"])))
-    return packed
+    kinds = dict(words.dtypes)
+    return _sorted(words.select("uid", "word_id", F.col(cost).cast("long").alias("cost"))).mapInPandas(pack, f"uid {kinds['uid']}, word_id {kinds['word_id']}, chunk int")
 
 
 def match_words(transcripts: DataFrame, words: DataFrame) -> DataFrame:
     """(uid, word_id, at, recased, skipped): each word's place in its transcript, found in order without regard to case.
 
     at is 0 where it is missing; recased: the transcript spells it in another case; skipped: letters or digits lie between it and the word before.
+    A transcript comes as one row before its words, so its text is not repeated for each of them.
     """
-    both = _ordered(words, "word").join(transcripts.select("uid", "text"), "uid").withColumn("low", F.lower("text"))
-    kind = "array<struct<word_id:int,at:int,recased:boolean,skipped:boolean>>"
-    state = F.struct(F.lit(1).alias("cursor"), F.array().cast(kind).alias("out"))
-
-    def step(s, x):
-        at = F.call_function("locate", F.lower(x["word"]), F.col("low"), s["cursor"])
-        length = F.length(x["word"])
-        found = F.substring(F.col("text"), at, length)
-        between = F.substring(F.col("text"), s["cursor"], at - s["cursor"])
-        item = F.struct(x["word_id"].alias("word_id"), at.alias("at"), ((at > 0) & (found != x["word"])).alias("recased"), ((at > 0) & between.rlike(r"[\p{L}\p{N}]")).alias("skipped"))
-        return F.struct(F.when(at > 0, at + length).otherwise(s["cursor"]).alias("cursor"), F.concat(s["out"], F.array(item)).alias("out"))
-
-    return both.select("uid", F.inline(F.aggregate("items", state, step, lambda s: s["out"])))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uid = matcher = None
+        for batch in batches:
+            out = []
+            for u, k, text in zip(batch["uid"], batch["word_id"], batch["text"]):
+                if k < 0:
+                    uid, matcher = u, Matcher(text or "")
+                elif u == uid:
+                    out.append((u, k, *matcher.find(text)))
+            yield pd.DataFrame(out, columns=["uid", "word_id", "at", "recased", "skipped"])
+
+    kinds = dict(words.dtypes)
+    both = transcripts.select("uid", F.lit(-1).cast(kinds["word_id"]).alias("word_id"), "text").unionByName(words.select("uid", "word_id", F.col("word").alias("text")))
+    return _sorted(both).mapInPandas(match, f"uid {kinds['uid']}, word_id {kinds['word_id']}, at int, recased boolean, skipped boolean")

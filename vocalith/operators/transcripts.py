@@ -40,7 +40,7 @@ def valid_interval(df: DataFrame, duration: str | None = None, scale: float = 0.
 
 def audit_records(words: DataFrame, recordings: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(uid, word_id, problem): one row for each problem; nothing is changed."""
-    form = T.ctc_form("word", normalise=False)
+    form = T.ctc_form("word")
     bad = T.unsupported_chars(form, vocabulary)
     checks = F.array_compact(F.array(
         F.when(F.trim("word") == "", "empty word"), F.when(bad.isNotNull(), "unsupported character"),
@@ -116,7 +116,7 @@ def punctuation_gap(tokens: DataFrame, lexical: Column, end_of_recording: Column
 
 def skip_unsupported(words: DataFrame, vocabulary: list[str]) -> DataFrame:
     """form: the CTC form, emptied (id and text stay) where a character is not in the vocabulary; reason says which."""
-    marked = words.withColumn("form", T.ctc_form("word", normalise=False)).withColumn("reason", T.unsupported_chars("form", vocabulary))
+    marked = words.withColumn("form", T.ctc_form("word")).withColumn("reason", T.unsupported_chars("form", vocabulary))
     return marked.withColumn("form", F.when(F.col("reason").isNull(), F.col("form")).otherwise(""))
 
 

@@ -163,27 +163,33 @@ def _(spark, d):
     return C.stable_sort(X.load(spark, d, "documents").select("doc_id", "source"), "doc_id")
 
 
-_GRID = "grid3 AS (SELECT (3 * a.i + b.i)::INTEGER AS trial_index, 'layers-' || a.v || '_width-' || b.v AS trial_id, a.v AS layers, b.v AS width FROM (VALUES (0, 1), (1, 2), (2, 4)) a(i, v), (VALUES (0, 64), (1, 128), (2, 256)) b(i, v))"
+_AXES = "segments AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT c_mktsegment AS v FROM customer)), states AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT o_orderstatus AS v FROM orders))"
+_GRID = f"{_AXES}, grid AS (SELECT ((SELECT count(*) FROM states) * a.i + b.i)::INTEGER AS trial_index, 'segment-' || a.v || '_state-' || b.v AS trial_id, a.v AS segment, b.v AS state FROM segments a CROSS JOIN states b)"
 
 
-@query("trial_grid", f"WITH {_GRID} SELECT g.*, n FROM grid3 g LEFT JOIN (SELECT event_id % 9 AS trial_index, count(*) AS n FROM events GROUP BY 1) e USING (trial_index)")
+def _grid(spark, d):
+    """Axes: the market segments and the order states that occur."""
+    axes = {"segment": X.load(spark, d, "customer").select(F.col("c_mktsegment").alias("segment")), "state": X.load(spark, d, "orders").select(F.col("o_orderstatus").alias("state"))}
+    return C.trial_grid(spark, axes)
+
+
+@query("trial_grid", f"WITH {_GRID} SELECT * FROM grid")
 def _(spark, d):
-    """The grid, with the events that each trial gets."""
-    n = X.load(spark, d, "events").groupBy((F.col("event_id") % 9).cast("int").alias("trial_index")).agg(F.count("*").alias("n"))
-    return C.trial_grid(spark, {"layers": [1, 2, 4], "width": [64, 128, 256]}).join(n, "trial_index", "left")
+    return _grid(spark, d)
 
 
-@query("config_diff", f"WITH {_GRID} SELECT trial, concat_ws(', ', CASE WHEN layers <> 2 THEN 'layers=' || layers END, CASE WHEN width <> 128 THEN 'width=' || width END) AS changed FROM (SELECT DISTINCT user_id AS trial FROM events) JOIN grid3 ON trial % 9 = trial_index")
+@query("config_diff", f"WITH {_GRID}, b AS (SELECT (SELECT min(v) FROM segments) AS s, (SELECT min(v) FROM states) AS t) SELECT trial_index, concat_ws(', ', CASE WHEN segment <> s THEN 'segment=' || segment END, CASE WHEN state <> t THEN 'state=' || state END) AS changed FROM grid, b")
 def _(spark, d):
-    trials = X.load(spark, d, "events").select(F.col("user_id").alias("trial")).distinct()
-    grid = C.trial_grid(spark, {"layers": [1, 2, 4], "width": [64, 128, 256]})
-    settings = F.create_map(F.lit("layers"), F.col("layers").cast("string"), F.lit("width"), F.col("width").cast("string"))
-    both = trials.join(grid, F.col("trial") % 9 == F.col("trial_index")).withColumn("settings", settings)
-    return C.config_diff(both, {"layers": "2", "width": "128"}).select("trial", "changed")
+    """Each trial of the grid against the first value of each axis."""
+    settings = F.create_map(F.lit("segment"), F.col("segment"), F.lit("state"), F.col("state"))
+    (base,) = X.load(spark, d, "customer").agg(F.min("c_mktsegment")).first()
+    (state,) = X.load(spark, d, "orders").agg(F.min("o_orderstatus")).first()
+    return C.config_diff(_grid(spark, d).withColumn("settings", settings), {"segment": base, "state": state}).select("trial_index", "changed")
 
 
-@query("experiment_matrix", "SELECT v.name, v.aliases, n FROM (VALUES ('base', ['depth:layers=2']), ('depth:layers=1', []::VARCHAR[]), ('size:width=64', []::VARCHAR[])) v(name, aliases), (SELECT count(DISTINCT user_id) AS n FROM events)")
+@query("experiment_matrix", f"WITH {_AXES} SELECT 'base' AS name, ['segment:segment=' || v, 'state:state=' || (SELECT v FROM states WHERE i = 0)] AS aliases FROM segments WHERE i = 0 UNION ALL SELECT 'segment:segment=' || v, []::VARCHAR[] FROM segments WHERE i > 0 UNION ALL SELECT 'state:state=' || v, []::VARCHAR[] FROM states WHERE i > 0")
 def _(spark, d):
-    """The matrix, with the number of runs that it is crossed with."""
-    matrix = C.experiment_matrix(spark, {"layers": "2", "width": "128"}, {"depth": [{"layers": "1"}, {"layers": "2"}], "size": [{"width": "64"}]})
-    return matrix.select("name", "aliases").crossJoin(X.load(spark, d, "events").agg(F.count_distinct("user_id").alias("n")))
+    """A family of variations for each axis; its values are the handful of segments and states that occur, the base has the first ones."""
+    values = lambda t, c: [v for (v,) in X.load(spark, d, t).select(c).distinct().orderBy(c).collect()]
+    axes = {"segment": values("customer", "c_mktsegment"), "state": values("orders", "o_orderstatus")}
+    return C.experiment_matrix(spark, {k: v[0] for k, v in axes.items()}, {k: [{k: x} for x in v] for k, v in axes.items()}).select("name", "aliases")

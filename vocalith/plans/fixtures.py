@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from vocalith.functions.hashing import draw
 from vocalith.operators.metrics import exact_mean
+from vocalith.sources.storage import shared_path
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,13 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("uid", "role", "word_id", "word", "start_ms", (F.col("start_ms") + 60 * length).alias("end_ms"), "char_start", (draw(key("p", "uid", "word_id"), 1001) / 1000.0).alias("prob"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for queries that use it several times."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ctc_words(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """uid, word_id, word, start_ms, end_ms: a second alignment of the same words; a tenth have no interval."""
     w = words(spark, sf_dir) if of is None else of

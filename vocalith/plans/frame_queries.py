@@ -12,7 +12,10 @@ from vocalith.operators import vectors as V
 from vocalith.plans import fixtures as X
 from vocalith.plans.registry import query
 from vocalith.plans.transcript_queries import _UNITS
+from vocalith.sources.scans import scan_features
+from vocalith.sources.storage import shared_path
 
+#: Kernels and strides of the stacked convolutions; the status words of the queries below are fixed too.
 KERNELS, STRIDES = [10, 3, 3, 3, 3, 2, 2], [5, 2, 2, 2, 2, 2, 2]
 DIM = 64
 
@@ -185,7 +188,7 @@ _POOLED = "SELECT w.uid, w.word_id, [coalesce(v0, 0), coalesce(v1, 0)] AS vec, c
 
 
 def _pooled(spark, d, policy, context=0.0):
-    w = X.words(spark, d)
+    w = X.stored(X.words(spark, d), "words")
     c = _counted(w).select("uid", "frame_count").distinct()
     t = X.ctc_words(spark, d, w).join(c, "uid")
     frames = X.grid(spark, d, w).select("uid", "frame", F.array("f0", "f1").alias("vec"))
@@ -240,8 +243,9 @@ def _(spark, d):
 @query("scan_features", X.sql("vecs", "SELECT uid, count(*) AS rows, min(len(vec))::INTEGER AS width_min, max(len(vec))::INTEGER AS width_max, count_if(len(list_filter(vec, lambda x: isnan(x) OR isinf(x))) > 0) AS not_finite, CASE WHEN min(len(vec)) <> max(len(vec)) THEN 'width' END AS problem FROM (SELECT uid, CASE WHEN vec_id % 100 = 7 THEN vec[1:63] ELSE vec END AS vec FROM vecs) GROUP BY uid"))
 def _(spark, d):
     """With a planted fault: every 100th vector is one value short."""
-    v = X.vecs(spark, d).withColumn("vec", F.when(F.col("vec_id") % 100 == 7, F.slice("vec", 1, 63)).otherwise(F.col("vec")))
-    return V.feature_violations(v)
+    path = shared_path(spark, "features")
+    X.vecs(spark, d).withColumn("vec", F.when(F.col("vec_id") % 100 == 7, F.slice("vec", 1, 63)).otherwise(F.col("vec"))).write.parquet(path)
+    return scan_features(spark, path)[1]
 
 
 @query("masked_mean_pool", X.sql("vecs", _wrap("SELECT uid, i, round(coalesce(sum(CASE WHEN valid THEN x END), 0) / greatest(count_if(valid), 1), 6) AS v FROM long GROUP BY 1, 2"), _long()))

@@ -64,27 +64,59 @@ def _(spark, d):
     return S.scan_words(spark, f"{path}/*/*.txt", r"uid=([^/]*)/")
 
 
-@query("scan_transcripts", "SELECT conv_id AS uid, CASE WHEN count(*) = 1 THEN NULL ELSE 'several rows' END AS problem, count(*) AS n FROM conversations GROUP BY 1")
+@query("scan_transcripts", "SELECT uid, CASE WHEN problem IS NULL THEN t END AS text, problem FROM (SELECT conv_id AS uid, any_value(text) AS t, CASE WHEN count(*) > 1 THEN 'several rows' END AS problem FROM (SELECT conv_id || CASE WHEN turn > 1 THEN '-' || turn ELSE '' END AS conv_id, text FROM conversations) GROUP BY 1)")
+def _(spark, d):
+    """Turns as transcripts in a CSV; a conversation's first two share a uid, which is a problem."""
+    uid = F.concat(F.col("conv_id").cast("string"), F.when(F.col("turn") > 1, F.concat(F.lit("-"), F.col("turn").cast("string"))).otherwise(""))
+    path = shared_path(spark, "transcripts")
+    X.load(spark, d, "conversations").select(uid.alias("uid"), F.col("text").alias("transcription"), F.upper("text").alias("transcription_pause")).write.options(**S.TEXT_CSV).csv(path)
+    return S.scan_transcripts(spark, path)
+
+
 def _(spark, d):
     """A conversation's turns stand for its transcript rows."""
     c = X.load(spark, d, "conversations").select(F.col("conv_id").alias("uid"), F.col("text").alias("transcription"), F.col("text").alias("transcription_pause"))
     return S.scan_transcripts(c).select("uid", "problem").join(c.groupBy("uid").agg(F.count("*").alias("n")), "uid")
 
 
-@query("scan_file_index")
+@query("scan_file_index", "SELECT p_type AS kind, sum(octet_length(encode(p_name)) + 1)::BIGINT AS bytes FROM part GROUP BY 1")
+def _(spark, d):
+    """Part names by type as text files; bytes of each type's files (their number depends on the writing tasks)."""
+    path = shared_path(spark, "files")
+    X.load(spark, d, "part").select("p_type", F.col("p_name").alias("value")).write.partitionBy("p_type").text(path)
+    kind = F.replace(F.regexp_extract("path", r"p_type=([^/]*)/", 1), F.lit("%20"), F.lit(" "))
+    return S.scan_file_index(spark, path, "*.txt").groupBy(kind.alias("kind")).agg(F.sum("length").alias("bytes"))
+
+
 def _(spark, d):
     path = shared_path(spark, "files")
     X.load(spark, d, "part").select("p_type", F.col("p_name").alias("value")).write.partitionBy("p_type").text(path)
     return S.scan_file_index(spark, path, "*.txt").select(F.regexp_extract("path", r"p_type=([^/]*)/", 1).alias("kind"), "length", "duplicate")
 
 
-@query("scan_splits", X.sql("cohort", "SELECT 'train' AS split, fold, uid, NULL::VARCHAR AS problem FROM (SELECT uid, (patient_id % 5)::INTEGER AS fold FROM cohort) WHERE fold < 4 UNION ALL SELECT 'train', fold, uid, 'fold' FROM (SELECT uid, (patient_id % 5)::INTEGER AS fold FROM cohort) WHERE fold = 4"))
+@query("scan_splits", X.sql("cohort", "SELECT 'train' AS split, fold, uid, NULL::VARCHAR AS problem FROM (SELECT uid::VARCHAR AS uid, (patient_id % 5)::INTEGER AS fold FROM cohort) WHERE fold < 4 UNION ALL SELECT 'train', fold, uid, 'fold' FROM (SELECT uid::VARCHAR AS uid, (patient_id % 5)::INTEGER AS fold FROM cohort) WHERE fold = 4"))
+def _(spark, d):
+    path = shared_path(spark, "splits")
+    X.cohort(spark, d).select(F.lit("train").alias("split"), (F.col("patient_id") % 5).cast("int").alias("fold"), "uid").write.csv(path, header=True)
+    return S.scan_splits(spark, path, 4)
+
+
 def _(spark, d):
     c = X.cohort(spark, d).select(F.lit("train").alias("split"), (F.col("patient_id") % 5).cast("int").alias("fold"), "uid")
     return S.scan_splits(c, 4)
 
 
 @query("scan_run_results", X.sql("runs", "SELECT trial, fold, train_score AS training_macro_f1, score AS macro_f1, score * 2 AS accuracy, (trial % 3)::INTEGER AS n_predictions FROM runs"))
+def _(spark, d):
+    """Result documents as JSON arrays, one file for each of 50 shares of the trials."""
+    p = F.array_repeat(F.struct(F.col("trial").alias("uid"), F.lit(0).alias("label"), F.lit(1).alias("prediction")), (F.col("trial") % 3).cast("int"))
+    doc = F.struct("trial", "fold", F.col("train_score").alias("training_macro_f1"), F.struct(F.col("score").alias("macro_f1"), (F.col("score") * 2).alias("accuracy")).alias("metrics"), p.alias("predictions"))
+    files = X.runs(spark, d).groupBy((F.col("trial") % 50).alias("uid")).agg(F.to_json(F.collect_list(doc)).alias("text"))
+    path = shared_path(spark, "results")
+    K.write_text_per_record(files, path)
+    return S.scan_run_results(spark, path)
+
+
 def _(spark, d):
     r = X.runs(spark, d)
     p = F.array_repeat(F.struct(F.col("trial").alias("uid"), F.lit(0).alias("label"), F.lit(1).alias("prediction")), (F.col("trial") % 3).cast("int"))
@@ -112,12 +144,25 @@ def _(spark, d):
 
 
 @query("scan_segments", "SELECT conv_id * 1000 + turn AS uid, conv_id * 10 / 1000.0::DOUBLE AS begin, (conv_id * 10 + 1500) / 1000.0::DOUBLE AS stop FROM conversations WHERE role = 'system'")
+def _(spark, d):
+    path = shared_path(spark, "segments")
+    X.load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("uid"), F.col("role").alias("speaker"), (F.col("conv_id") * 10).alias("begin"), (F.col("conv_id") * 10 + 1500).alias("end")).write.csv(path, header=True)
+    return S.scan_segments(spark, path, "system")
+
+
 def _(spark, d):
     c = X.load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("uid"), F.col("role").alias("speaker"), (F.col("conv_id") * 10).alias("begin_ms"), (F.col("conv_id") * 10 + 1500).alias("stop_ms"))
     return S.scan_segments(c, "system")
 
 
 @query("scan_noise_lists", "SELECT p_name AS path, p_type AS type FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_name, 'rir' FROM part WHERE p_partkey % 4 = 0")
+def _(spark, d):
+    p, path = X.load(spark, d, "part").withColumn("path", F.col("p_name")), shared_path(spark, "noise")
+    K.write_path_list(p.where("p_partkey % 4 <> 0"), f"{path}/noises", "p_type")
+    K.write_path_list(p.where("p_partkey % 4 = 0"), f"{path}/rirs")
+    return S.scan_noise_lists(spark, f"{path}/noises", f"{path}/rirs")
+
+
 def _(spark, d):
     p = X.load(spark, d, "part")
     return S.scan_noise_lists(p.where("p_partkey % 4 <> 0").select(F.col("p_name").alias("path"), F.col("p_type").alias("type")), p.where("p_partkey % 4 = 0").select(F.col("p_name").alias("path")))
@@ -160,7 +205,18 @@ def _(spark, d):
     return K.verify_manifest(docs.where("doc_id % 9 <> 0"), manifest, "doc_id", "text")
 
 
-@query("write_partition_labels", "SELECT o_orderkey AS uid, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' END AS partition, o_orderpriority AS label FROM orders WHERE o_orderstatus <> 'P'")
+@query("write_partition_labels", "SELECT o_orderkey AS uid, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' ELSE 'test' END AS partition, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS label FROM orders")
+def _(spark, d):
+    """All partitions, written and read again; the test one has no labels."""
+    o = X.load(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("uid"), F.when(F.col("o_orderstatus") == "F", "train").when(F.col("o_orderstatus") == "O", "validation").otherwise("test").alias("partition"), F.col("o_orderpriority").alias("label"))
+    path = shared_path(spark, "tsv")
+    K.write_partition_labels(rows, path)
+    labelled = spark.read.csv(f"{path}/labelled", sep="\t", header=True, schema="uid BIGINT, label STRING, partition STRING")
+    hidden = spark.read.csv(f"{path}/partition=test", sep="\t", header=True, schema="uid BIGINT")
+    return labelled.select("uid", "partition", "label").unionByName(hidden.select("uid", F.lit("test").alias("partition"), F.lit(None).cast("string").alias("label")))
+
+
 def _(spark, d):
     """The labelled part, written and read again."""
     o = X.load(spark, d, "orders")
@@ -170,7 +226,16 @@ def _(spark, d):
     return spark.read.csv(f"{path}/labelled", sep="\t", header=True, schema="uid BIGINT, label STRING, partition STRING").select("uid", "partition", "label")
 
 
-@query("write_once", "SELECT c_custkey, c_mktsegment FROM customer")
+@query("write_once", "SELECT f AS form, c_custkey, c_mktsegment FROM customer, (VALUES ('csv'), ('json')) v(f)")
+def _(spark, d):
+    """In both forms."""
+    path, c, schema = shared_path(spark, "once"), X.load(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey BIGINT, c_mktsegment STRING"
+    K.write_once(c, f"{path}/json")
+    K.write_once(c, f"{path}/csv", "csv")
+    read = {"json": spark.read.schema(schema).json(f"{path}/json"), "csv": spark.read.csv(f"{path}/csv", header=True, schema=schema)}
+    return read["json"].select(F.lit("json").alias("form"), "*").unionByName(read["csv"].select(F.lit("csv").alias("form"), "*"))
+
+
 def _(spark, d):
     path = shared_path(spark, "once")
     K.write_once(X.load(spark, d, "customer").select("c_custkey", "c_mktsegment"), path)
@@ -261,6 +326,27 @@ def _(spark, d):
     return score_partitions(X.load(spark, d, "embeddings").select("vec_id", "embedding"), load, "vec_id BIGINT, score DOUBLE")
 
 
+@query("apply_per_recording", X.sql("words", "SELECT uid, word_id, sum(end_ms - start_ms) OVER (PARTITION BY uid ORDER BY word_id)::BIGINT AS spoken_ms FROM words"))
+def _(spark, d):
+    """A user's function of one recording: the time spoken so far."""
+    from vocalith.operators.fitting import apply_per_recording
+
+    def spoken(frame):
+        frame = frame.sort_values("word_id")
+        return frame[["uid", "word_id"]].assign(spoken_ms=(frame["end_ms"] - frame["start_ms"]).cumsum())
+
+    return apply_per_recording(X.words(spark, d).select("uid", "word_id", "start_ms", "end_ms"), spoken, "uid BIGINT, word_id INT, spoken_ms BIGINT")
+
+
+def _(spark, d):
+    from vocalith.operators.fitting import score_partitions
+
+    def load():
+        return lambda f: f[["vec_id"]].assign(score=[round(float(e[0]) + float(e[1]), 6) for e in f["embedding"]])
+
+    return score_partitions(X.load(spark, d, "embeddings").select("vec_id", "embedding"), load, "vec_id BIGINT, score DOUBLE")
+
+
 # --- reports
 
 
@@ -304,17 +390,15 @@ def _package_sql(test: str) -> str:
 
 @query("package_words", _package_sql("prob >= 0.2"))
 def _(spark, d):
-    w = X.words(spark, d)
-    return _package(_audio(spark, d, w), _text(w, F.col("prob") >= 0.2))
+    w = X.stored(X.words(spark, d), "words")
+    return _package(X.stored(_audio(spark, d, w), "audio"), _text(w, F.col("prob") >= 0.2))
 
 
 @query("reencode_text", _package_sql("prob >= 0.4"))
 def _(spark, d):
     """Audio rows are kept as written; only text rows and the pair mask are new."""
-    w = X.words(spark, d)
-    path = shared_path(spark, "audio")
-    _audio(spark, d, w).write.parquet(path)
-    return _package(spark.read.parquet(path), _text(w, F.col("prob") >= 0.4))
+    w = X.stored(X.words(spark, d), "words")
+    return _package(X.stored(_audio(spark, d, w), "audio"), _text(w, F.col("prob") >= 0.4))
 
 
 @query("cohort_pipeline", X.sql("ctc_words", r"SELECT count(DISTINCT uid) AS recordings, count(*) AS words, count_if(c.start_ms IS NULL) AS unaligned, count_if(length(regexp_replace(lower(trim(w.word)), '\p{P}', '', 'g')) = 0) AS silent, count_if(greatest(abs(c.start_ms - w.start_ms), abs(c.end_ms - w.end_ms)) / 1000.0::DOUBLE > 0.2 + 1e-9) AS flagged, count_if(c.start_ms IS NOT NULL AND prob >= 0.2) AS paired FROM words w JOIN ctc_words c USING (uid, word_id)"))
@@ -331,11 +415,13 @@ def _(spark, d):
     return counts.crossJoin(R.paired_mask(audio, _text(w, F.col("prob") >= 0.2)).agg(F.count_if("valid").alias("paired")))
 
 
-# --- streams: each query is the batch twin of the job; tests/ runs the jobs
+# --- streams: each query runs the job over all events
 
 
-def _events(spark, d):
-    return J.read_events(spark, f"{d}/events.parquet", stream=False)
+def _windows(spark, d, job):
+    path = shared_path(spark, "windows")
+    J.run_complete(job(J.read_events(spark, f"{d}/events.parquet")), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 _AGG = "count(*) AS n, round(sum(value), 6) AS total, max(value) AS high"
@@ -343,24 +429,26 @@ _AGG = "count(*) AS n, round(sum(value), 6) AS total, max(value) AS high"
 
 @query("stream_sliding", f"SELECT user_id, s AS start, s + INTERVAL 14 SECOND AS \"end\", {_AGG} FROM (SELECT user_id, value, unnest([time_bucket(INTERVAL 7 SECOND, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 7 SECOND, ts, TIMESTAMP '1970-01-01') - INTERVAL 7 SECOND]) AS s FROM events) GROUP BY ALL")
 def _(spark, d):
-    return J.stream_sliding(_events(spark, d)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return _windows(spark, d, J.stream_sliding)
 
 
 @query("stream_tumbling", f"SELECT event_type, date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", {_AGG} FROM events GROUP BY ALL")
 def _(spark, d):
-    return J.stream_tumbling(_events(spark, d)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return _windows(spark, d, J.stream_tumbling)
 
 
 @query("stream_sessions", f"SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", {_AGG} FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s")
 def _(spark, d):
-    return J.stream_sessions(_events(spark, d)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return _windows(spark, d, J.stream_sessions)
 
 
-@query("stream_running_best")
+@query("stream_running_best", """WITH seen AS (SELECT user_id, event_id, ts, value, max(CASE WHEN event_type <> 'error' THEN value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, event_type <> 'error' AS eligible FROM events),
+  decided AS (SELECT *, eligible AND value IS NOT NULL AND (best IS NULL OR value > best) AS saved FROM seen),
+  islands AS (SELECT *, sum(saved::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM decided)
+  SELECT user_id AS run, event_id, value AS metric, saved, (row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - CASE WHEN island = 0 THEN 0 ELSE 1 END)::INTEGER AS waited FROM islands""")
 def _(spark, d):
-    """The stateful job itself, over all events."""
     path = shared_path(spark, "decisions")
-    J.run_to_end(J.stream_running_best(J.read_events(spark, f"{d}/events.parquet")), f"{path}/out", f"{path}/checkpoint")
+    J.run_to_end(J.stream_running_best(J.read_events(spark, f"{d}/events.parquet", files=1)), f"{path}/out", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/out")
 
 
@@ -375,6 +463,12 @@ def _(spark, d):
 
 
 @query("stream_label_join", "SELECT event_id, user_id, c_mktsegment AS diagnosis FROM events LEFT JOIN customer ON user_id = c_custkey")
+def _(spark, d):
+    labels, path = X.load(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("diagnosis")), shared_path(spark, "labelled")
+    J.run_to_end(J.stream_label_join(J.read_events(spark, f"{d}/events.parquet"), labels, "user_id", "c_custkey").select("event_id", "user_id", "diagnosis"), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
+
+
 def _(spark, d):
     labels = X.load(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("diagnosis"))
     return J.stream_label_join(_events(spark, d), labels, "user_id", "c_custkey").select("event_id", "user_id", "diagnosis")

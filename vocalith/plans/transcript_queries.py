@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vocalith.functions import text as T
+from vocalith.functions.sql_names import register_all
 from vocalith.operators import sequential as Q
 from vocalith.operators import transcripts as R
 from vocalith.plans import fixtures as X
 from vocalith.plans.registry import query
 
+#: Every seventh word with its accents written as marks of their own, which NFC puts together.
+_APART = "apart AS (SELECT * REPLACE (CASE WHEN word_id % 7 = 3 THEN replace(replace(word, 'é', 'e' || chr(769)), 'ä', 'a' || chr(776)) ELSE word END AS word) FROM words)"
 LETTERS = [*"abcdefghijklmnopqrstuvwxyz", "ä", "ö", "ü", "ß", "é", "è", "ê", "ç", "à", "ñ", "í", "ó", "á", "ú"]
 FEW = [*"abcdefghiklmnoprstuvw", "é", "è", "ñ"]
 _FEW = "'[" + "".join(FEW) + "]'"
-_FORM = r"regexp_replace(lower(trim(word)), '\p{P}', '', 'g')"
+_FORM = r"regexp_replace(nfc_normalize(lower(trim(word))), '\p{P}', '', 'g')"
 #: The first character of the form that FEW does not have.
 _BAD = f"nullif(substr(regexp_replace({_FORM}, {_FEW}, '', 'g'), 1, 1), '')"
 
 
+def _apart(w):
+    marks = F.replace(F.replace(F.col("word"), F.lit("é"), F.lit("e\u0301")), F.lit("ä"), F.lit("a\u0308"))
+    return w.withColumn("word", F.when(F.col("word_id") % 7 == 3, marks).otherwise(F.col("word")))
+
+
 @query("char_offsets", X.sql("words", "SELECT uid, word_id, char_start, char_start + length(word) AS char_end FROM words"))
 def _(spark, d):
     return R.char_offsets(X.words(spark, d).drop("char_start")).select("uid", "word_id", "char_start", "char_end")
@@ -28,13 +36,13 @@ def _(spark, d):
     return R.valid_interval(X.words(spark, d).withColumn("duration", F.lit(20000)), "duration").select("uid", "word_id", "valid")
 
 
-@query("audit_records", X.sql("words", f"""SELECT uid, word_id, 'unsupported character' AS problem FROM words WHERE {_BAD} IS NOT NULL
+@query("audit_records", X.sql("words", f"""SELECT uid, word_id, 'unsupported character' AS problem FROM apart WHERE {_BAD} IS NOT NULL
   UNION ALL SELECT uid, word_id, 'bad time' FROM words WHERE end_ms - start_ms >= 600 UNION ALL SELECT uid, word_id, 'bad probability' FROM words WHERE prob > 0.99
   UNION ALL SELECT conv_id * 1000 + turn + 500, NULL, 'missing words' FROM conversations WHERE turn = 0
-  UNION ALL SELECT uid, NULL, 'no alignable word' FROM words GROUP BY uid HAVING max(length({_FORM})) = 0"""))
+  UNION ALL SELECT uid, NULL, 'no alignable word' FROM apart GROUP BY uid HAVING max(length({_FORM})) = 0""", _APART))
 def _(spark, d):
     """With planted faults: long words get a bad interval, high probabilities go over 1, and some recordings have no words."""
-    w = X.words(spark, d)
+    w = _apart(X.words(spark, d))
     w = w.withColumn("end_ms", F.when(F.col("end_ms") - F.col("start_ms") >= 600, F.col("start_ms") - 1).otherwise(F.col("end_ms"))).withColumn("prob", F.when(F.col("prob") > 0.99, 1.5).otherwise(F.col("prob")))
     c = X.load(spark, d, "conversations")
     uid = F.col("conv_id") * 1000 + F.col("turn")
@@ -131,14 +139,14 @@ def _(spark, d):
     return X.words(spark, d).select("uid", "word_id", T.ctc_form("word").alias("form"))
 
 
-@query("unsupported_chars", X.sql("words", f"SELECT uid, word_id, {_BAD} AS bad FROM words"))
+@query("unsupported_chars", X.sql("words", f"SELECT uid, word_id, {_BAD} AS bad FROM apart", _APART))
 def _(spark, d):
-    return X.words(spark, d).select("uid", "word_id", T.unsupported_chars(T.ctc_form("word", normalise=False), FEW).alias("bad"))
+    return _apart(X.words(spark, d)).select("uid", "word_id", T.unsupported_chars(T.ctc_form("word"), FEW).alias("bad"))
 
 
-@query("skip_unsupported", X.sql("words", f"SELECT uid, word_id, word, CASE WHEN {_BAD} IS NULL THEN {_FORM} ELSE '' END AS form, {_BAD} AS reason FROM words"))
+@query("skip_unsupported", X.sql("words", f"SELECT uid, word_id, word, CASE WHEN {_BAD} IS NULL THEN {_FORM} ELSE '' END AS form, {_BAD} AS reason FROM apart", _APART))
 def _(spark, d):
-    return R.skip_unsupported(X.words(spark, d), FEW).select("uid", "word_id", "word", "form", "reason")
+    return R.skip_unsupported(_apart(X.words(spark, d)), FEW).select("uid", "word_id", "word", "form", "reason")
 
 
 _UNITS = f"""forms AS (SELECT uid, word_id, {_FORM} AS form FROM words WHERE {_FORM} <> ''),
@@ -148,7 +156,7 @@ units AS (SELECT uid, (base + k)::BIGINT AS target_index, piece[k + 1] AS token,
 
 
 def _units(spark, d, w=None):
-    return R.ctc_units(X.words(spark, d) if w is None else w, T.ctc_form("word", normalise=False))
+    return R.ctc_units(X.words(spark, d) if w is None else w, T.ctc_form("word"))
 
 
 @query("ctc_units", X.sql("words", "SELECT uid, target_index, token, owner::INTEGER AS owner FROM units", _UNITS))
@@ -168,13 +176,13 @@ def _(spark, d):
     return R.unit_sync(u, spans).select("uid", "target_index", "owner", "start_frame", "agrees")
 
 
-@query("vocab_alias", "SELECT segment, a, n FROM (SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1), (SELECT '<pad>,a,b,|' AS a)")
+@query("vocab_alias", "SELECT segment, string_agg(k, ',' ORDER BY k) AS a FROM (SELECT DISTINCT c_mktsegment AS segment, CASE WHEN length(k) = 1 THEN lower(k) ELSE k END AS k FROM (SELECT c_mktsegment, unnest([upper(substr(c_name, (1 + c_custkey % 9)::INTEGER, 1)), substr(c_name, 1, 4)]) AS k FROM customer)) GROUP BY segment")
 def _(spark, d):
-    """One vocabulary a segment, of upper-case letters, with the rows that it serves."""
-    vocabulary = F.create_map(F.lit("<pad>"), F.lit(0), F.lit("|"), F.lit(1), F.lit("A"), F.lit(2), F.lit("b"), F.lit(3))
-    n = X.load(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
-    keys = F.array_sort(F.map_keys(T.vocab_alias(vocabulary)))
-    return n.where(F.size(T.vocab_collisions(vocabulary)) == 0).select("segment", F.array_join(keys, ",").alias("a"), "n")
+    """One vocabulary a market segment, of the letters in its customers' names (upper case) and their first four characters."""
+    c = X.load(spark, d, "customer")
+    entry = F.explode(F.array(F.upper(F.substring(F.col("c_name"), (1 + F.col("c_custkey") % 9).cast("int"), F.lit(1))), F.substring("c_name", 1, 4)))
+    keys = c.select(F.col("c_mktsegment").alias("segment"), entry.alias("k")).distinct().groupBy("segment").agg(F.map_from_arrays(F.collect_list("k"), F.collect_list(F.lit(0))).alias("vocabulary"))
+    return keys.where(F.size(T.vocab_collisions(F.col("vocabulary"))) == 0).select("segment", F.array_join(F.array_sort(F.map_keys(T.vocab_alias(F.col("vocabulary")))), ",").alias("a"))
 
 
 @query("lexical_words", r"SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS lexical FROM conversations")
@@ -182,7 +190,14 @@ def _(spark, d):
     return X.load(spark, d, "conversations").select("conv_id", "turn", T.lexical_words("text").alias("lexical"))
 
 
-@query("match_words")
+_LEXICAL = r"""lexical AS (SELECT uid, text, l, len(l) AS n FROM (SELECT conv_id * 1000 + turn AS uid, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS l FROM conversations)),
+found AS (SELECT uid, -1 AS word_id, 1 AS cursor, 0 AS pos, false AS recased, false AS skipped FROM lexical WHERE n > 0 UNION ALL
+  SELECT uid, word_id, CASE WHEN pos > 0 THEN pos + length(word) ELSE cursor END, pos, pos > 0 AND substr(text, pos, length(word)) <> word, pos > 0 AND regexp_matches(substr(text, cursor, pos - cursor), '[\p{L}\p{N}]') FROM (
+    SELECT uid, word_id, text, word, cursor, CASE WHEN p > 0 THEN p + cursor - 1 ELSE 0 END AS pos FROM (
+      SELECT f.uid, f.word_id + 1 AS word_id, text, l[f.word_id + 2] AS word, cursor, instr(substr(lower(text), cursor), lower(l[f.word_id + 2])) AS p FROM found f JOIN lexical x ON f.uid = x.uid WHERE f.word_id + 1 < n)))"""
+
+
+@query("match_words", f"WITH RECURSIVE {_LEXICAL} SELECT uid, word_id, pos::INTEGER AS \"at\", recased, skipped FROM found WHERE word_id >= 0")
 def _(spark, d):
     """Every lexical word of a turn against the turn's text."""
     t = X.load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("uid"), "text")
@@ -190,12 +205,40 @@ def _(spark, d):
     return Q.match_words(t, w)
 
 
-@query("word_chunks")
+_PACKED = """costs AS (SELECT uid, word_id, length(word) AS c FROM words),
+packed AS (SELECT DISTINCT uid, -1 AS word_id, 0 AS last, 0::BIGINT AS used, NULL::INTEGER AS chunk FROM words UNION ALL
+  SELECT c.uid, c.word_id, CASE WHEN c > 64 OR used + c <= 64 THEN last ELSE last + 1 END, CASE WHEN c > 64 THEN used WHEN used + c <= 64 THEN used + c ELSE c END, CASE WHEN c > 64 THEN NULL WHEN used + c <= 64 THEN last ELSE last + 1 END
+  FROM packed p JOIN costs c ON p.uid = c.uid AND c.word_id = p.word_id + 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("word_chunks", _recursive(X.sql("words", "SELECT uid, word_id, chunk FROM packed WHERE word_id >= 0", _PACKED)))
 def _(spark, d):
     w = X.words(spark, d).withColumn("cost", F.length("word"))
     return Q.word_chunks(w, "cost", 64)
 
 
+@query("word_packer", _recursive(X.sql("words", "SELECT uid, word_id AS position, chunk FROM packed WHERE word_id >= 0", _PACKED)))
+def _(spark, d):
+    """The packing as a table function, called from SQL."""
+    register_all(spark)
+    X.words(spark, d).createOrReplaceTempView("vocalith_words")
+    costs = "SELECT uid, transform(array_sort(collect_list(struct(word_id, length(word) AS c))), x -> x.c) AS costs FROM vocalith_words GROUP BY uid"
+    return spark.sql(f"SELECT uid, position, chunk FROM ({costs}) w, LATERAL word_packer(w.costs, 64)")
+
+
+@query("word_matcher", f"WITH RECURSIVE {_LEXICAL} SELECT uid, word_id AS position, pos::INTEGER AS \"at\", recased, skipped FROM found WHERE word_id >= 0")
+def _(spark, d):
+    """The matching as a table function, called from SQL."""
+    register_all(spark)
+    t = X.load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("uid"), "text", T.lexical_words("text").alias("lexical"))
+    t.createOrReplaceTempView("vocalith_texts")
+    return spark.sql("SELECT uid, position, at, recased, skipped FROM vocalith_texts t, LATERAL word_matcher(t.text, t.lexical)")
+
+
 @query("format_number", "SELECT event_id, CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS text FROM (SELECT event_id, round(value * 2) / 2 AS v FROM events)")
 def _(spark, d):
     return X.load(spark, d, "events").select("event_id", T.format_number(F.floor(F.col("value") * 2 + 0.5) / 2.0).alias("text"))

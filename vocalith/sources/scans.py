@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalith.operators.vectors import feature_violations
+
 #: Names under which label tables carry their columns; exact matches go before matches in any case.
 LABEL_ALIASES = {
     "filename": ["filename", "file", "ID", "audio"],
@@ -76,11 +78,17 @@ def scan_words(spark: SparkSession, path: str, uid_pattern: str = STEM) -> DataF
     return parsed.select("uid", "word_id", "r.*")
 
 
-def scan_transcripts(df: DataFrame, pauses: bool = False) -> DataFrame:
-    """(uid, text, problem) from (uid, transcription, transcription_pause): one usable row for each uid, else a problem."""
+#: How tables with free text are read: quoted fields may hold line ends, and a quote in one is doubled.
+TEXT_CSV = {"header": "true", "multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def scan_transcripts(spark: SparkSession, path: str, pauses: bool = False) -> DataFrame:
+    """(uid, text, problem) of a CSV (uid, transcription, transcription_pause): one usable row for each uid, else a problem and no text."""
+    rows = spark.read.options(**TEXT_CSV).csv(path)
     text = F.col("transcription_pause" if pauses else "transcription")
-    by = df.groupBy("uid").agg(F.count("*").alias("n"), F.min(text).alias("text"))
-    return by.select("uid", "text", F.when(F.col("n") > 1, "several rows").when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty").alias("problem"))
+    by = rows.groupBy("uid").agg(F.count("*").alias("n"), F.first(text).alias("text"))
+    problem = F.when(F.col("n") > 1, "several rows").when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty")
+    return by.select("uid", F.when(problem.isNull(), F.col("text")).alias("text"), problem.alias("problem"))
 
 
 def scan_file_index(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -91,18 +99,21 @@ def scan_file_index(spark: SparkSession, root: str, glob: str = "*") -> DataFram
     return named.join(n, "stem").select("path", "length", "stem", "folder", "duplicate")
 
 
-def scan_splits(df: DataFrame, num_folds: int) -> DataFrame:
-    """(split, fold, uid, problem) of saved fold membership: blank uids, uids twice in a fold's split, folds beyond the declared ones."""
-    n = df.groupBy("split", "fold", "uid").agg(F.count("*").alias("n"))
-    bad = F.when(F.coalesce(F.trim(F.col("uid").cast("string")), F.lit("")) == "", "blank").when(F.col("n") > 1, "duplicate").when(~F.col("fold").between(0, num_folds - 1), "fold")
-    return n.select("split", "fold", "uid", bad.alias("problem"))
+def scan_splits(spark: SparkSession, path: str, num_folds: int) -> DataFrame:
+    """(split, fold, uid, problem) of saved fold membership (CSV: split, fold, uid): blank uids, uids twice in a fold's split, folds beyond the declared
+    ones; a declared fold that is missing is a row without uid."""
+    rows = spark.read.csv(path, header=True, schema="split string, fold int, uid string")
+    n = rows.groupBy("split", "fold", "uid").agg(F.count("*").alias("n"))
+    bad = F.when(F.coalesce(F.trim("uid"), F.lit("")) == "", "blank").when(F.col("n") > 1, "duplicate").when(~F.col("fold").between(0, num_folds - 1), "fold")
+    missing = spark.range(num_folds).select(F.col("id").cast("int").alias("fold")).join(rows.select("fold").distinct(), "fold", "left_anti")
+    return n.select("split", "fold", "uid", bad.alias("problem")).unionByName(missing.select(F.lit(None).cast("string").alias("split"), "fold", F.lit(None).cast("string").alias("uid"), F.lit("missing fold").alias("problem")))
 
 
 RUN_RESULT = "trial BIGINT, fold INT, training_macro_f1 DOUBLE, metrics STRUCT<macro_f1: DOUBLE, accuracy: DOUBLE>, predictions ARRAY<STRUCT<uid: BIGINT, label: INT, prediction: INT>>"
 
 
 def scan_run_results(spark: SparkSession, root: str) -> DataFrame:
-    """(trial, fold, training_macro_f1, macro_f1, accuracy, n_predictions) of result documents below root."""
+    """(trial, fold, training_macro_f1, macro_f1, accuracy, n_predictions) of result documents below root: one in a file, or an array of them."""
     docs = spark.read.schema(RUN_RESULT).option("multiLine", "true").option("recursiveFileLookup", "true").json(root)
     return docs.select("trial", "fold", "training_macro_f1", "metrics.macro_f1", "metrics.accuracy", F.size("predictions").alias("n_predictions"))
 
@@ -121,14 +132,22 @@ def scan_predictions(spark: SparkSession, paths: list[str], pattern: str = r"fol
     return rows.select("uid", "label", F.array("probability_0", "probability_1", "probability_2").alias("proba"), F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("int").alias("fold"))
 
 
-def scan_segments(df: DataFrame, speaker: str = "INV") -> DataFrame:
-    """(uid, begin, stop) in seconds of one speaker's segments, from (uid, speaker, begin_ms, stop_ms)."""
-    return df.where(F.col("speaker") == speaker).select("uid", (F.col("begin_ms") / 1000.0).alias("begin"), (F.col("stop_ms") / 1000.0).alias("stop"))
+def scan_segments(spark: SparkSession, path: str, speaker: str = "INV") -> DataFrame:
+    """(uid, begin, stop) in seconds of one speaker's segments, from a CSV (uid, speaker, begin, end) in milliseconds."""
+    rows = spark.read.csv(path, header=True, schema="uid bigint, speaker string, begin bigint, end bigint")
+    return rows.where(F.col("speaker") == speaker).select("uid", (F.col("begin") / 1000.0).alias("begin"), (F.col("end") / 1000.0).alias("stop"))
+
+
+def scan_noise_lists(spark: SparkSession, noises: str, rirs: str) -> DataFrame:
+    """(path, type) of a tab file of background noises (path, type) and a list of room responses (path; type 'rir')."""
+    a = spark.read.csv(noises, sep="\t", schema="path string, type string")
+    return a.unionByName(spark.read.csv(rirs, sep="\t", schema="path string").withColumn("type", F.lit("rir")))
 
 
-def scan_noise_lists(noises: DataFrame, rirs: DataFrame) -> DataFrame:
-    """(path, type) of background noises (path, type) and room responses (path; type 'rir')."""
-    return noises.select("path", "type").unionByName(rirs.select("path", F.lit("rir").alias("type")))
+def scan_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, and each recording's `feature_violations`) of Parquet feature rows (uid, vec, …)."""
+    rows = spark.read.parquet(path)
+    return rows, feature_violations(rows)
 
 
 def scan_text_files(spark: SparkSession, path: str, recordings: DataFrame, test: str = "test", uid_pattern: str = STEM) -> DataFrame:

@@ -24,18 +24,29 @@ def write_once(df: DataFrame, path: str, fmt: str = "json") -> None:
     writer.option("header", "true").csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
-def write_atomic(df: DataFrame, root: str) -> str:
-    """Writes a new version, and only then a pointer row to it; readers of `read_current` never see part of a result."""
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{root}/versions/{version}")
+def write_atomic(df: DataFrame, root: str) -> int:
+    """Writes a new version, and only then a pointer to it; readers of `read_current` never see part of a result.
+
+    Versions are numbers, each one above the last. A pointer's folder is made with `errorifexists`, so of two writers that take the same number one fails.
+    """
     spark = df.sparkSession
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written")).write.mode("append").parquet(f"{root}/pointer")
+    version, name = (_latest(spark, root) or (0, ""))[0] + 1, uuid.uuid4().hex
+    df.write.parquet(f"{root}/versions/{name}")
+    spark.range(1).select(F.lit(name).alias("name")).coalesce(1).write.mode("errorifexists").json(f"{root}/pointers/version={version}")
     return version
 
 
+def _latest(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """(version, folder's name) of the newest pointer, or None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers")
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return None
+    row = spark.read.schema("name STRING, version BIGINT").json(f"{root}/pointers").agg(F.max(F.struct("version", "name")).alias("p")).first()["p"]
+    return row and (row["version"], row["name"])
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    (version,) = spark.read.parquet(f"{root}/pointer").agg(F.max_by("version", "written")).first()
-    return spark.read.parquet(f"{root}/versions/{version}")
+    return spark.read.parquet(f"{root}/versions/{_latest(spark, root)[1]}")
 
 
 def with_signature(records: DataFrame, *settings: str) -> DataFrame:

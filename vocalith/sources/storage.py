@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; in a private folder only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or the checkpoint folder of the context."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="vocalith-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{named}/{name}-{uuid.uuid4().hex}"

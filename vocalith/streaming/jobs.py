@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from vocalith.sources.sinks import publish_once
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def as_glob(path: str) -> str:
@@ -99,42 +98,52 @@ def run_complete(df: DataFrame, path: str, checkpoint: str) -> None:
     df.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _split(judged: DataFrame, targets: dict[str, str], checkpoint: str) -> StreamingQuery:
+    """Rows by their `__outcome` to the folders of `targets`, each batch under its id, so that a batch which runs again replaces itself."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for outcome, path in targets.items():
+            batch.where(F.col("__outcome") == outcome).drop("__outcome").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return judged.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _with_outcome(df: DataFrame) -> StructType:
+    return StructType([*df.schema.fields, StructField("__outcome", StringType())])
+
+
 def stream_quarantine(df: DataFrame, accepted: str, problems: str, checkpoint: str, key: str = "user_id", order: str = "event_id", value: str = "ts") -> StreamingQuery:
-    """Rows whose time lies before their key's latest one go to `problems`; the rest, and nothing else, to `accepted`. Each batch is written under its id, so
-    that a batch which runs again replaces itself."""
-    from pyspark.sql.window import Window as W
-
-    def split(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        line = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        try:
-            before = spark.read.parquet(accepted).where(F.col("batch") < number).groupBy(key).agg(F.max(value).alias("__max"))
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = spark.createDataFrame([], batch.select(key, F.col(value).alias("__max")).schema)
-        seen = F.greatest(F.max(value).over(line), F.col("__max"))
-        judged = batch.join(before, key, "left").withColumn("__late", F.coalesce(F.col(value) < seen, F.lit(False))).drop("__max")
-        judged.where("NOT __late").drop("__late").write.mode("overwrite").parquet(f"{accepted}/batch={number}")
-        judged.where("__late").drop("__late").write.mode("overwrite").parquet(f"{problems}/batch={number}")
-
-    return df.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Rows whose time lies before their key's latest one go to `problems`; the rest, and nothing else, to `accepted`. A key's state is its latest time."""
+
+    def judge(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order)
+        seen = pd.concat([pd.Series([state.get[0] if state.exists else None], dtype=rows[value].dtype), rows[value]]).cummax()
+        late = rows[value].reset_index(drop=True) < seen.iloc[:-1].ffill().reset_index(drop=True)
+        last = seen.ffill().iloc[-1]
+        if last == last and last is not pd.NaT:
+            state.update((last,))
+        yield rows.assign(__outcome=late.map({True: "late", False: "good"}).to_numpy())
+
+    kept = StructType([StructField("latest", df.schema[value].dataType)])
+    judged = df.groupBy(key).applyInPandasWithState(judge, _with_outcome(df), kept, "append", GroupStateTimeout.NoTimeout)
+    return _split(judged, {"good": accepted, "late": problems}, checkpoint)
 
 
 def stream_publish_once(df: DataFrame, target: str, conflicts: str, checkpoint: str, key: str = "doc_id", content: str = "text") -> StreamingQuery:
-    """New keys are added to target, and keys that come again with other content to conflicts; a batch that runs again replaces itself."""
-
-    def publish(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(target).where(F.col("batch") < number)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], batch.schema)
-        once = batch.groupBy(key).agg(F.min_by(F.struct(*[c for c in batch.columns if c != key]), F.sha2(F.col(content), 256)).alias("__r")).select(key, "__r.*")
-        new, clash = publish_once(once, old, key, content)
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        clash.write.mode("overwrite").parquet(f"{conflicts}/batch={number}")
-
-    return df.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """New keys are added to target, and keys that come again with other content to conflicts. A key's state is the hash of its content; of several
+    contents that come at once the one of the least hash is published."""
+    hashed = df.withColumn("__hash", F.sha2(F.col(content), 256))
+
+    def publish(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).drop_duplicates("__hash").sort_values("__hash")
+        known = state.get[0] if state.exists else None
+        outcome = ["same" if h == known else "conflict" for h in rows["__hash"]]
+        if not state.exists:
+            outcome[0] = "new"
+            state.update((rows["__hash"].iloc[0],))
+        yield rows.assign(__outcome=outcome)
+
+    judged = hashed.groupBy(key).applyInPandasWithState(publish, _with_outcome(hashed), "hash STRING", "append", GroupStateTimeout.NoTimeout)
+    return _split(judged.drop("__hash"), {"new": target, "conflict": conflicts}, checkpoint)
