@@ -141,21 +141,27 @@ def components(prints):
 
 
 def language_model(docs, k=4.0):
-    """[(doc_id, text)] -> [(held_out, n_tokens, n_known, N, base, score)]."""
-    toks = [[*split(lower(t)), None] for _, t in docs]
+    """[(doc_id, text)] -> [(held_out, n_tokens, n_known, N, base, score)] of the interpolated trigram model."""
+    toks = [["<start>", *split(lower(t)), None] for _, t in docs]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in docs]
-    uni, bi, hist = Counter(), Counter(), Counter()
+    grams, hist = Counter(), Counter()
     for w, h in zip(toks, held):
-        if not h:
-            uni.update(w)
-            prev = ["<start>", *w[:-1]]
-            bi.update(zip(prev, w))
-            hist.update(prev)
-    n, v = sum(uni.values()), len(uni)
+        for n in () if h else (1, 2, 3):
+            for at in range(1, len(w)):
+                if at - n + 1 >= 0:
+                    gram = tuple(w[at - n + 1 : at + 1])
+                    grams[gram] += 1
+                    hist[gram[:-1]] += 1
+    n, v = hist[()], sum(len(g) == 1 for g in grams)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (grams[gram] + 1) / (n + v + 1)
+        return (grams[gram] + k * p(gram[1:])) / (hist[gram[:-1]] + k)
+
     out = []
     for w, h in zip(toks, held):
-        p1 = [(uni[x] + 1) / (n + v + 1) for x in w]
-        prev = ["<start>", *w[:-1]]
-        p2 = [(bi[a, b] + k * p) / (hist[a] + k) for a, b, p in zip(prev, w, p1)]
-        out.append((h, len(w), sum(uni[x] > 0 for x in w), n, sum(map(math.log10, p1)), sum(map(math.log10, p2))))
+        base = sum(math.log10(p((x,))) for x in w[1:])
+        score = sum(math.log10(p(tuple(w[max(0, at - 2) : at + 1]))) for at in range(1, len(w)))
+        out.append((h, len(w) - 1, sum(grams[(x,)] > 0 for x in w[1:]), n, base, score))
     return out
