@@ -14,7 +14,7 @@ failure arcs are followed until there is one (the empty history has an arc for e
 The model grows with the corpus, so it is neither broadcast nor collected. Documents are put in blocks of bounded size. A block
 files the distinct n-grams it needs, with its own training counts, in pages by hash; a bucket adds up the counts of equal
 n-grams over all blocks and answers each page with the totals in the page's order; the block's part of the automaton is
-built from the answers, and its texts are traversed. Keys are the 64-bit hashes of n-grams (sorted within a page, so that their differences are
+built from the answers, and its texts are traversed. Keys are hashes of n-grams, 64 bits for words and 54 for others (sorted within a page, so that their differences are
 filed), so a frequent n-gram is one entry for each block, and a frequent history's n-grams are spread over the buckets. Long texts are traversed in pieces side
 by side: a piece starts in the state that the two words before it lead to, which is all that a state remembers.
 
@@ -45,6 +45,8 @@ PAGE_GRAMS = 64
 ORDER = 3
 #: Weight of the shorter history's distribution in a longer one's.
 K = 4.0
+#: Low bits that the hashes of pairs and triples go without in pages: of 10**10 n-grams one in a million then shares its key with another. Words keep all.
+DROPPED_BITS = 10
 #: Words that one lane of the traversal reads.
 LANE = 1024
 FOLDS, HELD_OUT = 7, 2
@@ -120,6 +122,7 @@ class Block:
         self.names = [np.arange(self.words), pairs, triples]
         pair_hash = mix(hashes[pairs // self.words] * _ODD + mix(hashes[pairs % self.words] + np.uint64(7)))
         triple_hash = mix(pair_hash[triples // self.words] * _ODD + mix(hashes[triples % self.words] + np.uint64(11)))
+        pair_hash, triple_hash = (h >> np.uint64(DROPPED_BITS) << np.uint64(DROPPED_BITS) for h in (pair_hash, triple_hash))
         self.orders = [np.argsort(h) for h in (hashes, pair_hash, triple_hash)]
         self.grams = [(h[o], c[o]) for h, o, c in zip((hashes, pair_hash, triple_hash), self.orders, (count, pair_count, triple_count))]
 
@@ -165,7 +168,7 @@ def _file(buckets: int):
                     columns = []
                     for n in range(ORDER):
                         hashes, counts = (x[cuts[n][b] : cuts[n][b + 1]] for x in block.grams[n])
-                        columns += [np.diff(hashes, prepend=np.uint64(0)), counts]
+                        columns += [np.diff(hashes, prepend=np.uint64(0)) >> np.uint64(DROPPED_BITS if n else 0), counts]
                     sizes = np.array([len(c) for c in columns[::2]], np.int64)
                     if sizes.any():
                         keys.append(b)
