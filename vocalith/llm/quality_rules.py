@@ -7,8 +7,8 @@ or if it fails the base rules (too short, too repetitive).
 
 Defined results: a null or blank text has no words and fails the base rules; a null language is a language of its own;
 a language without a list of common words
-is judged by byte classes alone, unless it has `MIN_REFERENCE_WORDS` of the listed words and the text `MIN_TEXT_WORDS`; repeated rows give repeated rows;
-other columns are not read, and `keep_good` carries them along.
+is judged by byte classes alone, unless it has `MIN_REFERENCE_WORDS` of the listed words and the text `MIN_TEXT_WORDS`; repeated rows give repeated rows; an empty table gives no rows;
+other columns, whatever their names, are not read, and `keep_good` carries them along.
 """
 
 from __future__ import annotations
@@ -149,12 +149,13 @@ def language_references(featured: DataFrame, lang: str, f: str) -> DataFrame:
 def judged(featured: DataFrame, references: DataFrame, lang: str, f: str, out: str) -> DataFrame:
     """featured with a struct column `out`: class_distance, word_distance, base_failed, kept."""
     s = F.col(f)
-    joined = featured.join(references, featured[lang].eqNullSafe(references["reference_lang"]), "left")
-    class_d = js_distance(s["classes"], F.col("ref_classes"))
+    key, classes, common = (fresh(featured, stem) for stem in ("reference_lang", "ref_classes", "ref_common"))
+    joined = featured.join(references.toDF(key, classes, common), F.col(lang).eqNullSafe(F.col(key)), "left")
+    class_d = js_distance(s["classes"], F.col(classes))
     # a text with none of the words that its language is known by is as far as can be
-    word_d = F.coalesce(js_distance(s["common"], F.col("ref_common")), F.when(_total(F.col("ref_common")) > 0, F.lit(1.0)))
+    word_d = F.coalesce(js_distance(s["common"], F.col(common)), F.when(_total(F.col(common)) > 0, F.lit(1.0)))
     listed = F.coalesce(F.col(lang).isin(*COMMON_WORDS), F.lit(False))
-    by_words = listed | ((_total(F.col("ref_common")) >= MIN_REFERENCE_WORDS) & (_total(s["common"]) >= MIN_TEXT_WORDS))
+    by_words = listed | ((_total(F.col(common)) >= MIN_REFERENCE_WORDS) & (_total(s["common"]) >= MIN_TEXT_WORDS))
     far = F.lit(False)
     for d, bounds, applies in ((class_d, CLASS_BOUNDS, F.lit(True)), (word_d, WORD_BOUNDS, F.coalesce(by_words, F.lit(False)))):
         for words, most in bounds:
@@ -168,7 +169,7 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     small_batches(df.sparkSession)
     f, out = fresh(df, "features__"), fresh(df, "verdict__")
     refs = materialize(language_references(df.select(lang_col, features(F.col(text_col)).alias(f)), lang_col, f), "references")
-    return judged(df.withColumn(f, features(F.col(text_col))), refs, lang_col, f, out).where(F.col(out)["kept"]).select(*[df[c] for c in df.columns])
+    return judged(df.withColumn(f, features(F.col(text_col))), refs, lang_col, f, out).where(F.col(out)["kept"]).select(*df.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

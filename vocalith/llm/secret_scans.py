@@ -6,7 +6,7 @@ one that few owners hold is live-looking. Base spans (assignments, access keys,
 method adds provider-shaped and high-entropy values, where they are live-looking.
 
 Defined results: a null text is empty; repeated rows each get their own verdict; null repositories and
-owners count as one of their own; other columns of the input are not read.
+owners count as one of their own; an empty table gives no rows; other columns of the input, whatever their names, are not read, and `redact_secrets` carries them along.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # runs are taken whole, so a ru
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "provider", "entropy")
 PROVIDER = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
-DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{28,128}(?![A-Za-z0-9+/_=-])")
+DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{28,}")
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000|1234567", re.IGNORECASE)
 
 
@@ -115,23 +115,24 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scan) -> DataFrame:
-    """df with every span of `scan_secrets` replaced by ``[SECRET]``; same rows and columns."""
+def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, **scan) -> DataFrame:
+    """df with every span of `scan_secrets` replaced by ``[SECRET]``; same rows and columns.
+
+    Spans depend on the text and the corpus alone, so texts find theirs by hash: ids may be null, shared or of any type, and equal texts are redacted alike.
+    """
     small_batches(df.sparkSession)
-    verdicts = scan_secrets(df, id_col, text_col, **scan).where("spans <> ''").select(F.col(id_col).alias("__id"), "spans").distinct()
-    # a repeated id with other texts has its own spans; only one that lies on the same text is applied
-    spans = fresh(df, "spans__")
-    per_id = verdicts.groupBy("__id").agg(F.collect_set("spans").alias(spans))
+    key, spans, other = (fresh(df, stem) for stem in ("text_key__", "spans__", "other_key__"))
+    narrow = df.select(F.xxhash64(F.col(text_col)).alias(key), F.col(text_col).alias("text"), (F.lit(None) if repository is None else repository).cast("string").alias("repository"), (F.lit(None) if owner is None else owner).cast("string").alias("owner"))
+    found = scan_secrets(narrow, key, "text", F.col("repository"), F.col("owner"), **scan).where("spans <> ''")
+    found = found.groupBy(F.col(key).alias(other)).agg(F.min("spans").alias(spans))
 
     @F.arrow_udf("string")
-    def redact(text: pa.Array, several: pa.Array) -> pa.Array:
+    def redact(text: pa.Array, wanted: pa.Array) -> pa.Array:
         out = []
-        for t, options in zip(text.to_pylist(), several.to_pylist()):
-            if t is not None and options:
-                own = {(s, e) for s, e, _, _ in (lambda b: b + added_spans(t, b))(base_spans(t))}
-                want = {(int(a), int(b)) for o in options for _, a, b in (x.split(":") for x in o.split(","))} & own
+        for t, spans_of in zip(text.to_pylist(), wanted.to_pylist()):
+            if t is not None and spans_of:
                 end, piece = 0, []
-                for a, b in sorted(want):
+                for a, b in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in spans_of.split(","))):
                     if b <= end:
                         continue
                     piece += [t[end:a], "[SECRET]"] if a >= end else []
@@ -140,7 +141,7 @@ def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = df.join(per_id, df[id_col].eqNullSafe(per_id["__id"]), "left")
+    joined = df.withColumn(key, F.xxhash64(F.col(text_col))).join(found, F.col(key) == F.col(other), "left")
     return joined.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col(spans)))).select(*df.columns)
 
 

@@ -2,9 +2,9 @@
 
 Each source is a flow whose share of the total budget is its target. Its documents are shuffled by hash
 and served one after another, again from the start for up to three epochs; a document's virtual finish time is the
-words its source has served up to its end, divided by the source's target. Ordered by virtual finish time over
-all sources, the mix is cut where the total budget is spent. The targets sum to the budget, so that is virtual time 1
-in every source; a document that straddles it is taken in part.
+words its source has served up to its end, divided by the source's target. A document that straddles virtual time 1, where its source has
+had its target, is two pieces. Pieces are ordered by virtual finish time over all sources (ranges of virtual time are summed, and the range in which the budget
+ends is sorted), and the mix is cut where the total budget, the sum of the targets in whole words, is spent.
 
 Cumulative sums are in two levels (hash range, then within it), so that a source with a third of all rows
 is spread over as many tasks as there are ranges.
@@ -15,16 +15,18 @@ shuffle go by doc_id, size and text hash; an empty table gives no rows; other co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vocalith.llm.common import fresh, table
+from vocalith.llm.common import fresh, materialize, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 RANGE_BITS = 12
 DRAW_BITS = 60
+#: Ranges of virtual time from 0 to 1.
+RANGES = 1 << 16
 
 
 def word_count(text):
@@ -54,21 +56,58 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return found.withColumn("line", first["level"]).select("source", "source_size", F.least(F.coalesce(F.col("line") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
+def _pieces() -> Column:
+    """What a document offers in each epoch: (virtual finish, words), in two pieces where it straddles virtual time 1."""
+    out = []
+    for e in range(MAX_EPOCHS):
+        start = F.col("begin") + F.col("source_size") * e
+        within = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start))
+        out.append(F.struct(F.try_divide(start + within, F.col("target")).alias("finish"), within.cast("long").alias("words")))
+        out.append(F.struct(F.greatest(F.lit(1.0 + 1e-9), F.try_divide(start + F.col("size"), F.col("target"))).alias("finish"), (F.col("size") - within).cast("long").alias("words")))
+    return F.filter(F.array(*out), lambda p: p["words"] > 0)
+
+
+def budget_cut(offers: DataFrame, budget: DataFrame) -> DataFrame:
+    """offers(finish, source, words) -> one row (cut_finish, cut_source, cut_words): the last piece that the budget reaches in the order of (finish, source), and how
+    many of its words.
+
+    Words are summed by ranges of virtual time, then by range up to the one in which the budget ends; only that range is put in order.
+    """
+    slot = F.least(F.floor(F.col("finish") * RANGES), F.lit(2 * RANGES)).cast("int")
+    ranged = offers.withColumn("slot", slot)
+    sums = ranged.groupBy("slot").agg(F.sum("words").alias("n")).crossJoin(F.broadcast(budget)).withColumn("upto", F.sum("n").over(W.orderBy("slot")))
+    last = sums.where("upto >= budget AND n > 0").orderBy("slot").limit(1).select(F.col("slot").alias("last"), (F.col("budget") - F.col("upto") + F.col("n")).alias("room"))
+    inside = ranged.join(F.broadcast(last), F.col("slot") == F.col("last")).withColumn("upto", F.sum("words").over(W.orderBy("finish", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)))
+    return inside.where("upto >= room").orderBy("upto").limit(1).select(F.col("finish").alias("cut_finish"), F.col("source").alias("cut_source"), (F.col("room") - F.col("upto") + F.col("words")).alias("cut_words"))
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken, virtual_finish (of the first copy), then `keep` columns."""
-    rows = df.select(F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_draw(F.col(id_col), seed).alias("draw"), F.xxhash64(F.col(text_col)).alias("tie"))
-    rows = rows.withColumn("range", F.shiftrightunsigned("draw", DRAW_BITS - RANGE_BITS))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    numbers = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_draw(F.col(id_col), seed).alias("draw"), F.xxhash64(F.col(text_col)).alias("tie")]
+    sizes = materialize(df.select(*numbers), "sizes")
+    in_range = F.shiftrightunsigned("draw", DRAW_BITS - RANGE_BITS)
+    ranges = sizes.groupBy("source", in_range.alias("range")).agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     starts = ranges.withColumn("before_range", F.sum("range_size").over(W.partitionBy("source").orderBy("range")) - F.col("range_size"))
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), F.col("range").alias("r"), "before_range", "source_size", "target")
+    starts = materialize(starts, "starts")
+    budget = targets.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)).alias("budget"))
     line = W.partitionBy("source", "range").orderBy("draw", "id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(line)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    begin = F.col("before_range") + F.col("upto") - F.col("size")
-    budget = F.floor("target")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), budget - begin - F.col("source_size") * e)) for e in range(MAX_EPOCHS)), F.lit(0))
-    finish = F.when(F.col("target") > 0, (begin + F.col("size")) / F.col("target"))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("virtual_finish"), *(["kept.*"] if keep else []))
+
+    def served(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("range", in_range).withColumn("upto", F.sum("size").over(line)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+        return placed.withColumn("begin", F.col("before_range") + F.col("upto") - F.col("size")).withColumn("pieces", _pieces())
+
+    offers = served(sizes).select("source", F.explode("pieces").alias("p")).select("source", "p.finish", "p.words")
+    cut = materialize(budget_cut(offers, budget), "cut")
+    rows = served(df.select(F.struct(*keep).alias("kept"), *numbers) if keep else sizes).join(F.broadcast(cut), F.lit(1) == F.lit(1), "left")
+    rank = lambda source: F.struct(source.isNull(), source)
+    before = lambda p: (p["finish"] < F.col("cut_finish")) | ((p["finish"] == F.col("cut_finish")) & (rank(F.col("source")) < rank(F.col("cut_source"))))
+    at = lambda p: (p["finish"] == F.col("cut_finish")) & F.col("source").eqNullSafe(F.col("cut_source"))
+    words = F.transform("pieces", lambda p: F.when(before(p), p["words"]).when(at(p), F.col("cut_words")).otherwise(F.lit(0).cast("long")))
+    taken = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    finish = F.when(F.col("target") > 0, (F.col("begin") + F.col("size")) / F.col("target"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), finish.alias("virtual_finish"), *(["kept.*"] if keep else []))
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
