@@ -165,3 +165,63 @@ def language_model(docs, k=4.0):
         score = sum(math.log10(p(tuple(w[max(0, at - 2) : at + 1]))) for at in range(1, len(w)))
         out.append((h, len(w) - 1, sum(grams[(x,)] > 0 for x in w[1:]), n, base, score))
     return out
+
+
+def quotes(text):
+    """[(level, [lines])] of the runs of one quote level."""
+    runs = []
+    for line in (text or "").split("\n"):
+        m = re.match(r"((?:[ \t]*>)*)(.*)", line, re.S)
+        level, rest = m[1].count(">"), m[2]
+        rest = rest[1:] if level and rest.startswith(" ") else rest
+        if runs and runs[-1][0] == level:
+            runs[-1][1].append(rest)
+        else:
+            runs.append((level, [rest]))
+    return runs
+
+
+def reply_links(messages):
+    """[(conv, turn, text)] -> {(conv, turn): (thread, parent, path, linked passages)}; links by comparing every passage with every earlier message."""
+    norm = lambda x: " ".join(x.lower().split())
+    own = [[run for level, run in quotes(t) if level == 0] for _, _, t in messages]
+    flat = [[norm(x) for run in runs for x in run if norm(x)] for runs in own]
+
+    def pieces(k):
+        text = "\n".join("\n".join(run).strip("\n") for run in own[k] if "".join(run).strip()).strip()
+        return {norm(p) for p in [text, *("\n".join(run) for run in own[k]), *text.split("\n\n"), *text.split("\n")]} - {""}
+
+    def contains(k, parts):
+        at = 0
+        for part in parts:
+            at = next((i + len(part) for i in range(at, len(flat[k]) - len(part) + 1) if flat[k][i : i + len(part)] == part), None)
+            if at is None:
+                return False
+        return True
+
+    parent, linked = {}, defaultdict(set)
+    for conv, turn, text in messages:
+        for level, run in quotes(text):
+            whole = norm("\n".join(run))
+            if not level or not whole or turn is None:
+                continue
+            parts, part = [], []
+            for line in [norm(x) for x in run] + [""]:
+                if line:
+                    part.append(line)
+                elif part:
+                    parts.append(part)
+                    part = []
+            earlier = [k for k, (c, t, _) in enumerate(messages) if c == conv and t is not None and t < turn]
+            hits = [k for k in earlier if whole in pieces(k)] or [k for k in earlier if contains(k, parts)]
+            if hits:
+                linked[conv, turn].add(whole)
+                latest = max(messages[k][1] for k in hits)
+                parent[conv, turn] = max(latest, parent.get((conv, turn), latest))
+    out = {}
+    for conv, turn, _ in messages:
+        path = [turn]
+        while (conv, path[0]) in parent:
+            path.insert(0, parent[conv, path[0]])
+        out[conv, turn] = path[0], parent.get((conv, turn)), path, len(linked[conv, turn])
+    return out

@@ -138,13 +138,16 @@ def test_contamination(spark, sf_dir, tricky, nothing, which):
     alike(table_of(got), by_text(docs, want))
 
 
-def test_several_automata_give_the_same(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("limit", [100, 1000])
+def test_several_automata_give_the_same(spark, sf_dir, tricky, limit):
+    """In one pass and in several."""
     df, items = docs_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     one = table_of(decontamination.mark_contamination(df, items).select("doc_id", "found.*"))
-    assert len(decontamination.item_shards(items, "item_id", "text", 100)) > 3
-    plain = decontamination.item_shards
-    monkeypatch.setattr(decontamination, "item_shards", lambda *a: plain(*a, 100))
-    assert table_of(decontamination.mark_contamination(df, items).select("doc_id", "found.*")) == one
+    shards = decontamination.built_shards(items, "item_id", "text", 13, limit).count()
+    assert shards > decontamination.SHARDS_PER_PASS if limit == 100 else shards > 1
+    assert table_of(decontamination.mark_contamination(df, items, limit=limit).select("doc_id", "found.*")) == one
+    many = items.unionByName(spark.createDataFrame([(904, "aliqua lorem ipsum dolor sit amet")], "item_id long, text string"))
+    assert table_of(decontamination.mark_contamination(tricky, many, out="f", limit=limit).select("doc_id", "f.*")) == table_of(decontamination.mark_contamination(tricky, many, out="f").select("doc_id", "f.*"))
 
 
 def test_no_items(tricky, spark):
@@ -369,8 +372,8 @@ def test_near_copies(spark, sf_dir, tricky, nothing, which):
     alike(got, by_text(docs, list(zip([f"{p:016x}" for p in prints], components([(i, p) for (i, _), p in zip(docs, prints)])))))
 
 
-@pytest.mark.parametrize("limit", [4096, 4])
-def test_all_links_are_found(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit,block", [(4096, 1 << 16), (8, 1 << 16), (8, 16)])
+def test_all_links_are_found(spark, limit, block):
     """Dense neighbourhoods, also with files cut into parts."""
     rng = random.Random(8)
     centres = [rng.getrandbits(64) for _ in range(15)]
@@ -382,9 +385,8 @@ def test_all_links_are_found(spark, monkeypatch, limit):
                 x ^= 1 << rng.randrange(64)
             values.add(x)
     values = sorted(values)
-    monkeypatch.setattr(simhash, "RUN_LIMIT", limit)
     fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    roots = connected_components(simhash.fingerprint_links(fps))
+    roots = connected_components(simhash.fingerprint_links(fps, limit, block))
     found = {r.node & (1 << 64) - 1: r.root for r in roots.collect()}
     want = components(list(enumerate(values)))
     groups, seen = {}, {}

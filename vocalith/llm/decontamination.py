@@ -1,30 +1,34 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items.
 
-The normalised items go into one automaton (its size is bounded: larger benchmarks are cut into several by
-items, and each is run in turn). Each document's words are streamed through it, and the longest
+The normalised items go into automata of bounded size (larger benchmarks are cut into several by items), which are built in tasks
+and broadcast a bounded number at a time. Each document's words are streamed through it, and the longest
 matching length is tracked: wherever it reaches the window length, the last words are a window of the items whose ids the
 state holds. Matched spans give the hit words; a document is contaminated if they cover enough of it.
 
 Defined results: null, empty and punctuation-only texts have no words and are clean; null items and items without words
-are skipped; items that repeat count by id; repeated rows give repeated rows; other columns are not read.
+are skipped; items that repeat count by id; repeated rows give repeated rows; an empty
+benchmark leaves every text clean; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.llm.automata import SuffixAutomaton
-from vocalith.llm.common import fresh, small_batches, table
+from vocalith.llm.common import fresh, materialize, small_batches, table
 
 WINDOW = 13
 #: Item words in one automaton; its broadcast is at most some 30 MB.
 AUTOMATON_WORDS = 200_000
+#: Automata that are broadcast, and held by a Python worker, at a time.
+SHARDS_PER_PASS = 4
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -93,9 +97,9 @@ class ItemIndex:
         return spans, items
 
 
-@lru_cache(maxsize=2)
-def _index_of(items: tuple, window: int) -> ItemIndex:
-    return ItemIndex([(i, list(w)) for i, w in items], window)
+@lru_cache(maxsize=SHARDS_PER_PASS)
+def _index_of(built: bytes) -> ItemIndex:
+    return pickle.loads(built)
 
 
 def _covered(spans: list[tuple[int, int]]) -> int:
@@ -106,45 +110,103 @@ def _covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def item_shards(items: DataFrame, id_col: str, text_col: str, limit: int = AUTOMATON_WORDS) -> list[tuple]:
-    """The items' words in groups of at most `limit` words (or one item), read one row at a time."""
-    shards, size = [[]], 0
-    for item, text in items.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        words = tuple(words_of(text))
-        if not words:
-            continue
-        if size and size + len(words) > limit:
-            shards, size = [*shards, []], 0
-        shards[-1].append((item or "", words))
-        size += len(words)
-    return [tuple(sorted(s)) for s in shards]
+def built_shards(items: DataFrame, id_col: str, text_col: str, window: int, limit: int = AUTOMATON_WORDS) -> DataFrame:
+    """One row for each group of some `limit` item words: the group's automaton, built in a task and pickled. Groups are by hash of the item's id and text."""
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+    (words,) = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))), F.lit(0))).first()
+    groups = max(1, -(-int(words) // limit))
 
+    def build(group: pa.Table) -> pa.Table:
+        coded = sorted((i, words_of(t)) for i, t in zip(group.column("item").to_pylist(), group.column("text").to_pylist()))
+        return pa.table({"built": pa.array([pickle.dumps(ItemIndex(coded, window), 5)], pa.binary())})
 
-def mark_contamination(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20, out: str = "found") -> DataFrame:
-    """df with a struct column `out`: n_words, n_hit, n_items, items_sha256, contaminated. No shuffle."""
+    grouped = rows.where("text IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(groups)).cast("int"))
+    return materialize(grouped.select("shard", "item", "text").groupBy("shard").applyInArrow(build, "built binary"), "automata")
+
+
+def _passes(shards: DataFrame, size: int):
+    """Groups of so many built automata, one group on the driver at a time."""
+    held = []
+    for (built,) in shards.toLocalIterator():
+        held.append(bytes(built))
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+VERDICT = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean>"
+
+
+def _verdict(words: list[int], spans: list[list], items: list[set], share: int) -> pa.Array:
+    hit = [_covered(s) for s in spans]
+    digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+    columns = [pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 and share * h >= n for h, n in zip(hit, words)], pa.bool_())]
+    return pa.StructArray.from_arrays(columns, names=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
+def _scan_all(texts: list[str | None], automata: list[bytes]) -> tuple[list[int], list[list], list[set]]:
+    words = [words_of(t) for t in texts]
+    spans, items = [[] for _ in words], [set() for _ in words]
+    for built in automata:
+        index = _index_of(built)
+        for k, w in enumerate(words):
+            s, i = index.scan(w)
+            spans[k] += s
+            items[k] |= i
+    return [len(w) for w in words], spans, items
+
+
+def _scanner(automata: list):
+    """The UDF of one pass over broadcast automata."""
+
+    @F.arrow_udf("struct<spans:array<struct<a:int,b:int>>,items:array<string>>")
+    def scan(texts: pa.Array) -> pa.Array:
+        _, spans, found = _scan_all(texts.to_pylist(), [a.value for a in automata])
+        pairs = pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        return pa.StructArray.from_arrays([pairs, pa.array([sorted(i) for i in found], pa.list_(pa.string()))], names=["spans", "items"])
+
+    return scan
+
+
+def mark_contamination(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20, out: str = "found", limit: int = AUTOMATON_WORDS) -> DataFrame:
+    """df with a struct column `out`: n_words, n_hit, n_items, items_sha256, contaminated.
+
+    At most SHARDS_PER_PASS automata are broadcast at a time. A benchmark that fits them costs one pass and no shuffle. A larger one costs a pass for each group, which writes the
+    spans and items of the texts that have any (by the text's hash); they are put together in the end.
+    """
     small_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
-    shards = [context.broadcast(s) for s in item_shards(items, item_id, item_text)]
-    kind = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean>"
-
-    @F.arrow_udf(kind)
-    def mark(texts: pa.Array) -> pa.Array:
-        words = [words_of(t) for t in texts.to_pylist()]
-        spans, items = [[] for _ in words], [set() for _ in words]
-        for shard in shards:
-            index = _index_of(shard.value, window)
-            for k, w in enumerate(words):
-                s, i = index.scan(w)
-                spans[k] += s
-                items[k] |= i
-        hit = [_covered(s) for s in spans]
-        digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
-        return pa.StructArray.from_arrays(
-            [pa.array(map(len, words), pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 and share * h >= len(w) for h, w in zip(hit, words)], pa.bool_())],
-            names=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
-
-    return df.withColumn(out, mark(F.col(text_col)))
+    shards = built_shards(items, item_id, item_text, window, limit)
+    if shards.count() <= SHARDS_PER_PASS:
+        automata = [context.broadcast(built) for group in _passes(shards, SHARDS_PER_PASS) for built in group]
+
+        @F.arrow_udf(VERDICT)
+        def mark(texts: pa.Array) -> pa.Array:
+            return _verdict(*_scan_all(texts.to_pylist(), [a.value for a in automata]), share)
+
+        return df.withColumn(out, mark(F.col(text_col)))
+
+    parts = []
+    keyed = df.select(F.sha2(F.col(text_col), 256).alias("key"), F.col(text_col).alias("text"))
+    for group in _passes(shards, SHARDS_PER_PASS):
+        sent = [context.broadcast(built) for built in group]
+
+        hits = keyed.select("key", _scanner(sent).asNondeterministic()(F.col("text")).alias("h")).where(F.size("h.items") > 0)
+        parts.append(materialize(hits.groupBy("key").agg(F.first("h").alias("h")), "hits"))
+        for broadcast in sent:
+            broadcast.unpersist()
+    key, found, other = (fresh(df, stem) for stem in ("key__", "hits__", "other__"))
+    every = reduce(DataFrame.unionByName, parts).groupBy(F.col("key").alias(other)).agg(F.flatten(F.collect_list("h.spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("h.items"))).alias("items"))
+
+    @F.arrow_udf(VERDICT)
+    def merge(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        rows = hits.to_pylist()
+        return _verdict([len(words_of(t)) for t in texts.to_pylist()], [[(x["a"], x["b"]) for x in h["spans"] or []] if h else [] for h in rows], [set(h["items"] or []) if h else set() for h in rows], share)
+
+    joined = df.withColumn(key, F.sha2(F.col(text_col), 256)).join(every.select(other, F.struct("spans", "items").alias(found)), F.col(key) == F.col(other), "left")
+    return joined.withColumn(out, merge(F.col(text_col), F.col(found))).select(*df.columns, out)
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:

@@ -7,10 +7,10 @@ a fingerprint is compared with the one d places on for all places at once, and d
 a word is abandoned once all of its 64 distances exceed the radius.
 
 Copies are one fingerprint each before any comparison. A file of more than `RUN_LIMIT` fingerprints is filed again under four
-parts of the remaining bits, one of which must agree, so that no task compares an unbounded file.
+parts of the remaining bits, one of which must agree, and so on until no file is longer, so that no task compares or holds an unbounded file.
 
 Defined results: null, empty and blank texts have the fingerprint zero and link like any other; repeated rows get the same
-component; other columns are not read, and `drop_near_copies` carries them along.
+component; an empty table gives no rows; other columns, whatever their names, are not read, and `drop_near_copies` carries them along.
 
 `drop_near_copies` has parameters of its own: texts are near copies if the sets of their five-word shingles have a Jaccard similarity of
 0.8 or more. A radius of 3 bits is far too small for that (such texts differ in up to 10 bits or more), so its candidates are found by bands of
@@ -19,6 +19,7 @@ least shingle hashes of 100 orders, and compared exactly. Texts without words ar
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -139,64 +140,103 @@ def link_runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values[linked], values[root[linked]]
 
 
-def _compare(limit: int | None):
-    """Sorted (key, fp) rows -> links (u, v), and (fp, null, key) of runs longer than the limit."""
+FILED = "key long, fp long, rest long"
 
-    def out(u, v, key):
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64), pa.int64()), pa.array(v, pa.int64()), pa.array(key, pa.int64())], names=["u", "v", "key"])
 
-    def run(keys: np.ndarray, values: np.ndarray):
-        if limit and len(keys):
+def _compare(limit: int, block: int = BLOCK_ROWS):
+    """Sorted (key, fp, rest) rows -> links (u, v), and (u, null, key, rest) for the rows of files longer than the limit, which are passed on unread."""
+
+    def out(u, v, key, rest):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, key, rest)], names=["u", "v", "key", "rest"])
+
+    def passed(keys, values, rest):
+        return out(values.view(np.int64), [None] * len(keys), keys, rest)
+
+    def run(keys: np.ndarray, values: np.ndarray, rest: np.ndarray):
+        if len(keys):
             start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             size = np.diff(np.r_[start, len(keys)])
             long = np.repeat(size > limit, size)
             if long.any():
-                yield out(values[long], [None] * int(long.sum()), keys[long])
+                yield passed(keys[long], values[long], rest[long])
                 keys, values = keys[~long], values[~long]
         if len(keys) > 1:
             u, v = link_runs(keys, values)
             if len(u):
-                yield out(u, v.view(np.int64), [None] * len(u))
+                yield out(u.view(np.int64), v.view(np.int64), [None] * len(u), [None] * len(u))
 
     def over(batches):
-        held, rows = [], 0
+        held, rows, long = [], 0, None
         for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            rows += batch.num_rows
-            if rows >= BLOCK_ROWS:
-                keys, values = (np.concatenate(x) for x in zip(*held))
+            keys, values, rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if long is not None:  # a file that was longer than the block is still being read
+                n = int(np.searchsorted(keys, long, side="right"))
+                if n:
+                    yield passed(keys[:n], values[:n], rest[:n])
+                    keys, values, rest = keys[n:], values[n:], rest[n:]
+                if not len(keys):
+                    continue
+                long = None
+            held.append((keys, values.view(np.uint64), rest))
+            rows += len(keys)
+            if rows >= block:
+                keys, values, rest = (np.concatenate(x) for x in zip(*held))
                 cut = int(np.searchsorted(keys, keys[-1]))
-                if cut:
-                    yield from run(keys[:cut], values[:cut])
-                held, rows = [(keys[cut:], values[cut:])], len(keys) - cut if cut else 0
+                yield from run(keys[:cut], values[:cut], rest[:cut])
+                if len(keys) - cut > limit:
+                    yield passed(keys[cut:], values[cut:], rest[cut:])
+                    held, rows, long = [], 0, keys[-1]
+                else:
+                    held, rows = [(keys[cut:], values[cut:], rest[cut:])], len(keys) - cut
         if held:
             yield from run(*(np.concatenate(x) for x in zip(*held)))
 
     return over
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def _filed(fps: DataFrame) -> DataFrame:
-    masks = []
-    for chosen in combinations(BLOCKS, 3):
-        mask = sum(((1 << n) - 1) << at for at, n in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-
-
-def _links(filed: DataFrame, limit: int | None) -> DataFrame:
-    return filed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare(limit), "u long, v long, key long")
-
-
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """fps(fp), distinct -> links (u, v) that span the components of "at most 3 bits differ"."""
-    first = materialize(_links(_filed(fps), RUN_LIMIT), "links")
-    found, rest = first.where("key IS NULL").select("u", "v"), first.where("key IS NOT NULL")
-    if not rest.isEmpty():
-        parts = [F.xxhash64("key", F.lit(j), F.col("u").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long"))) for j, m in enumerate(sum(1 << b for b in range(j, 64, 4)) for j in range(4))]
-        again = rest.select(F.explode(F.array(*parts)).alias("key"), F.col("u").alias("fp"))
-        found = found.unionByName(materialize(_links(again, None), "links").select("u", "v"))
-    return found.distinct()
+    """Each fingerprint under its 20 choices of 3 blocks; rest: the bits that a file's fingerprints may differ in."""
+    masks = [sum(((1 << n) - 1) << at for at, n in chosen) for chosen in combinations(BLOCKS, 3)]
+    rows = [F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))).alias("key"), F.lit(_signed(~m & ((1 << 64) - 1))).cast("long").alias("rest")) for k, m in enumerate(masks)]
+    return fps.select("fp", F.explode(F.array(*rows)).alias("f")).select("f.key", "fp", "f.rest")
+
+
+def _parts(rest: int) -> list[int]:
+    """The bits of a mask, dealt to four masks."""
+    bits = [b for b in range(64) if rest >> b & 1]
+    return [sum(1 << b for b in bits[j::4]) for j in range(4)]
+
+
+def _file_again(batches):
+    """(u, key, rest) -> (key, fp, rest): under four parts of the bits that are left, of which one has no differing bit where at most 3 differ."""
+    for batch in batches:
+        fp, key, rest = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+        for mask in np.unique(rest).tolist():
+            own = rest == mask
+            for j, part in enumerate(_parts(mask)):
+                again = _mixed((_mixed(key[own] + np.uint64(j + 1)) * _ODD) + (fp[own] & np.uint64(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (again, fp[own], np.full(len(again), mask & ~part, np.uint64))], names=["key", "fp", "rest"])
+
+
+def fingerprint_links(fps: DataFrame, limit: int = RUN_LIMIT, block: int = BLOCK_ROWS) -> DataFrame:
+    """fps(fp), distinct -> links (u, v) that span the components of "at most 3 bits differ".
+
+    Files longer than the limit are filed again by fewer and fewer free bits until none is left: a file with r free bits has at most 2 ** r fingerprints, so
+    that ends after five rounds at the latest.
+    """
+    if limit < 8:
+        raise ValueError("files of 8 fingerprints, which have 3 free bits at least, must do")
+    filed, found = _filed(fps), []
+    while filed is not None:
+        links = materialize(filed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare(limit, block), "u long, v long, key long, rest long"), "links")
+        found.append(links.where("key IS NULL").select("u", "v"))
+        long = links.where("key IS NOT NULL")
+        filed = None if long.isEmpty() else long.select("u", "key", "rest").mapInArrow(_file_again, FILED)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
