@@ -225,3 +225,47 @@ def reply_links(messages):
             path.insert(0, parent[conv, path[0]])
         out[conv, turn] = path[0], parent.get((conv, turn)), path, len(linked[conv, turn])
     return out
+
+
+def secret_spans(text):
+    """[(start, end, kind, value)]: base spans, then provider-shaped and random-looking values that touch none."""
+    text = text or ""
+    out = [(m.start(), m.end(), "assign", m[2]) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
+    out += [(m.start(), m.end(), "access", m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    more = [(m.start(), m.end(), "provider", m[0]) for p in (r"\bgh[pousr]_[A-Za-z0-9]{30,}", r"\bsk-[A-Za-z0-9_-]{20,}", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", r"\bAIza[A-Za-z0-9_-]{35}", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}") for m in re.finditer(p, text)]
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        v = m[0]
+        bits = -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v).values())
+        if len(v) >= 28 and re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v) and bits >= 4:
+            more.append((m.start(), m.end(), "entropy", v))
+    order = {"provider": 0, "entropy": 1}
+    for a, b, kind, v in sorted(more, key=lambda x: (x[0], x[1], order[x[2]])):
+        if not re.search("(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000|1234567", v) and all(b <= s or e <= a for s, e, *_ in out):
+            out.append((a, b, kind, v))
+    return out
+
+
+def redacted(docs, max_owners=2):
+    """[(owner, text)] -> texts with base spans, and added ones of values that few owners hold, replaced; and [(live, copied)] of each text."""
+    owners, spans = defaultdict(set), [secret_spans(t) for _, t in docs]
+    for (owner, _), found in zip(docs, spans):
+        for *_, v in found:
+            owners[v].add(owner)
+    texts, counts = [], []
+    for (_, text), found in zip(docs, spans):
+        live = lambda v: len(owners[v]) <= max_owners
+        kept = [(a, b, live(v)) for a, b, kind, v in found if kind in ("assign", "access", "hex") or live(v)]
+        counts.append((sum(x for *_, x in kept), sum(not x for *_, x in kept)))
+        cover = {i for a, b, _ in kept for i in range(a, b)}
+        starts = {min(a for a, b, _ in kept if a <= i < b) for i in cover} if cover else set()
+        out, i = "", 0
+        while text is not None and i < len(text):
+            if i in cover:
+                if i in starts and (i - 1) not in cover or any(a == i and not any(x < i < y for x, y, _ in kept) for a, _, _ in kept):
+                    out += "[SECRET]"
+            else:
+                out += text[i]
+            i += 1
+        texts.append(None if text is None else out)
+    return texts, counts

@@ -291,18 +291,56 @@ def test_word_dedup(spark, monkeypatch, seed, hot):
     assert got == want and sum(v[1] for v in want.values()) > 100
 
 
-def test_repeats_on_awkward_tables(spark, tricky, nothing):
-    for find, dedup in ((suffix_array.byte_repeats, byte_dedup), (substring_dedup.word_repeats, word_dedup)):
-        assert find(nothing).count() == 0
-        rows = find(tricky).collect()
-        assert Counter(r.id for r in rows) == Counter(i for i, _ in pairs(tricky))
-        # rows with an id of their own, against all of them but the one under an id that two texts share
-        docs = [(repeats.NO_ID if i is None else i, t) for i, t in set(pairs(tricky)) if i != 8]
-        want = dedup(docs)
-        for r in rows:
-            if r.id not in (8, 10):
-                n = want[repeats.NO_ID if r.id is None else r.id]
-                assert sum(b - a for a, b in repeats.merged(r.spans, n[0])) == n[1], r.id
+def covered(docs, units, n, by_position):
+    """[(id, text)] -> units that lie in a window which also starts earlier, of each row; rows that share an id are one document."""
+    key = lambda i: (i is None, i)
+    least = {}
+    for i, t in docs:
+        u = units(t)
+        for k in range(len(u) - n + 1):
+            least[tuple(u[k : k + n])] = min(least.get(tuple(u[k : k + n]), (key(i), k)), (key(i), k))
+    out = []
+    for i, t in docs:
+        u, gone = units(t), set()
+        for k in range(len(u) - n + 1):
+            first = least[tuple(u[k : k + n])]
+            if (key(i), k) > first if by_position else key(i) > first[0]:
+                gone |= set(range(k, k + n))
+        out.append(gone)
+    return out
+
+
+REPEATS = [(suffix_array, "byte_repeats", lambda t: (t or "").encode(), 100, True), (substring_dedup, "word_repeats", lambda t: (t or "").encode().split(), 13, False)]
+
+
+def spans_by_row(rows):
+    return sorted((str(r.id), str(r.text), sorted(k for a, b in repeats.merged(r.spans, 1 << 30) for k in range(a, b))) for r in rows)
+
+
+@pytest.mark.parametrize("module,name,units,n,by_position", REPEATS)
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeats_on_awkward_tables(spark, tricky, nothing, module, name, units, n, by_position, kind):
+    """Null and shared ids, repeated rows, ids of other types."""
+    find = getattr(module, name)
+    df = tricky.withColumn("doc_id", F.col("doc_id").cast(kind))
+    assert find(df.where("1 = 0")).count() == 0
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    want = sorted((str(i), str(t), sorted(gone)) for (i, t), gone in zip(docs, covered(docs, units, n, by_position)))
+    assert spans_by_row(find(df).collect()) == want
+
+
+@pytest.mark.parametrize("module,name,units,n,by_position", REPEATS)
+def test_one_anchor_in_every_document(spark, monkeypatch, module, name, units, n, by_position):
+    """A passage in every text, each time between other words, and many null ids: crowded anchors are cut by further grams."""
+    monkeypatch.setattr(module, "SCHEME", dataclasses.replace(module.SCHEME, hot=5))
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(500)}"
+    passage = " ".join(f"passage{k}" for k in range(9))
+    sides = [" ".join(word() for _ in range(14)) for _ in range(6)]
+    docs = [(i if i % 3 else None, f"{rng.choice(sides)} {' '.join(word() for _ in range(rng.randrange(3)))} {passage} {rng.choice(sides)}") for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = sorted((str(i), str(t), sorted(gone)) for (i, t), gone in zip(docs, covered(docs, units, n, by_position)))
+    assert spans_by_row(getattr(module, name)(df).collect()) == want
 
 
 def test_transform_merging():

@@ -1,10 +1,14 @@
 """The pipeline's stages, each against the plain way on its own input, and the registered queries with SQL."""
 
+import math
 import os
 import sys
+from collections import Counter
 
 import pytest
-from brute import components, contamination, fingerprint, quality
+from brute import contamination, quality, redacted, split, targets
+from pyspark.sql import functions as F
+from test_near_copies import groups_of
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import connect, duck_rows, spark_rows  # noqa: E402
@@ -13,44 +17,78 @@ import corpus_pipeline as P  # noqa: E402
 from vocalith.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
 
-def test_stages(spark, sf_dir, tmp_path):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def rows_of(df):
+    return sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+
+
+def expected(k, before, items):
+    """(doc_id, text) of the rows that a stage keeps; the last stage's totals are compared apart."""
+    texts = [r.text for r in before]
+    if k == 0:
+        return None
+    if k == 1:
+        least = {}
+        for g, r in zip(groups_of(texts), before):
+            row = (r.doc_id is None, r.doc_id or 0, str(r.text))
+            least[g] = min(least.get(g, row), row)
+        return len(least), {(None if none else i) for none, i, _ in least.values()}
+    if k == 2:
+        return [r for r, bad in zip(before, contamination(texts, items)) if not bad[4]]
+    return [(r.doc_id, t) for r, t in zip(before, redacted([(r.source, r.text) for r in before])[0])]
+
+
+@pytest.mark.parametrize("which", ["given", "tricky"])
+def test_stages(spark, sf_dir, tmp_path, tricky, which):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if which == "given" else tricky
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     columns = docs.columns
     for k, (name, stage) in enumerate(P.STAGES):
+        docs.write.parquet(f"{tmp_path}/in{k}")
+        docs = spark.read.parquet(f"{tmp_path}/in{k}")
         before = docs.collect()
-        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
-        docs = spark.read.parquet(f"{tmp_path}/{k}")
-        after = docs.collect()
-        ids = {r.doc_id for r in after}
-        assert len(ids) == len(after) and ids <= {r.doc_id for r in before}
-        if k < len(P.STAGES) - 1:
-            assert docs.columns == columns
+        out = stage(spark, docs, sf_dir)
+        after = out.collect()
+        want = expected(k, before, items)
         if k == 0:
-            assert {r.doc_id for r in before if quality(r.text)[5]}.isdisjoint(ids)
+            good = [r for r in before if not quality(r.text)[5]]
+            assert {str(r) for r in after} <= {str(r) for r in good}
+            if which == "given":
+                assert len(after) > 0.9 * len(good)
+            out = docs if which == "tricky" else out  # most tricky texts have too few words to pass, and are for the later stages
         elif k == 1:
-            roots = components([(r.doc_id, fingerprint(r.text)) for r in before])
-            assert ids == set(roots)
+            assert (len(after), {r.doc_id for r in after}) == want
+            assert {str(r) for r in after} <= {str(r) for r in before}
         elif k == 2:
-            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-            bad = contamination([r.text for r in before], items)
-            assert ids == {r.doc_id for r, b in zip(before, bad) if not b[4]}
+            assert sorted(map(str, after)) == sorted(map(str, want))
         elif k == 3:
-            texts = {r.doc_id: r.text for r in before}
-            assert len(ids) == len(before)
-            changed = [r for r in after if r.text != texts[r.doc_id]]
-            assert all("[SECRET]" in r.text for r in changed)
-            assert all(r.n_chars == len(r.text) for r in after)
+            assert sorted((str(r.doc_id), str(r.text)) for r in after) == sorted((str(i), str(t)) for i, t in want)
+            assert all(r.n_chars == len(r.text) for r in after if r.text is not None)
         else:
-            assert all(0 < r.taken <= 3 * r.size for r in after)
-    again = P.run(spark, sf_dir)
-    assert sorted(map(str, again.collect())) == sorted(map(str, after))
+            sizes = Counter()
+            for r in before:
+                sizes[r.source] += len(split(r.text))
+            taken = Counter()
+            for r in after:
+                taken[r.source] += r.taken
+            assert all(0 < r.taken <= 3 * len(split(r.text)) for r in after)
+            assert {s: n for s, n in taken.items() if n} == {s: math.floor(t) for s, t in targets(sizes).items() if t >= 1}
+            break
+        assert out.columns == columns
+        docs = out
+
+
+CLASHING = "__id text_key__ spans__ other_key__ ref_classes ref_common reference_lang features__ verdict__ found__ key__ hits__ text_hash__ row_hash__ kept_text__ kept_row__ taken virtual_finish size fp found h".split()
 
 
 @pytest.mark.parametrize("which", ["tricky", "nothing"])
-def test_stages_on_awkward_tables(spark, sf_dir, tricky, nothing, which):
-    docs = {"tricky": tricky, "nothing": nothing}[which]
-    for _, stage in P.STAGES:
-        assert stage(spark, docs, sf_dir).count() <= docs.count()
+def test_stages_with_clashing_columns(spark, sf_dir, tricky, nothing, which):
+    """The same rows, whatever other columns there are."""
+    docs = {"tricky": tricky, "nothing": nothing}[which].select("doc_id", "text", "lang", "source", "n_chars")
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+    for k, (_, stage) in enumerate(P.STAGES):
+        plain, clashing = stage(spark, docs, sf_dir), stage(spark, more, sf_dir)
+        assert rows_of(plain) == rows_of(clashing)
+        assert clashing.columns[: len(more.columns)] == more.columns
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

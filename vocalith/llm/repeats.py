@@ -8,18 +8,19 @@ have equal anchors, so all copies of a window meet where contexts are grouped by
    the context's copies need no look at the text: all but the earliest are repeats. Copies within a map task are
    settled there, so a passage in a third of all texts sends one context from each task.
 2. Where an anchor has several contexts, one copy of each is fetched with its text, and the operator's own method (`resolve`)
-   finds the windows that they share. An anchor with more than `hot` contexts (the edge of a very common passage) has
-   its windows filed one by one instead, by hash, so that no task gets them all.
+   finds the windows that they share. Where an anchor has more than `hot` contexts (the edge of a very common passage), they are first cut and filed by the
+   grams of the next least hashes too, as many as it takes, so that no task gets the texts of them all.
 3. Repeated spans are gathered by document and applied to the texts.
 
-Page hashes are 48 + 64 bits. Documents are known by id and 16 bits of their text's hash, so that rows which share an id but
-not a text keep apart; null ids come last.
+Page hashes are 48 + 64 bits. Documents are known by id and 31 bits of their text's hash, so that rows which share an id but
+not a text keep apart; ids that are no whole numbers are numbered in their order; null ids come last. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vocalith.llm.common import materialize, small_batches
+from vocalith.operators.ordering import global_index
 
 CHUNK = 1 << 17  # units hashed at a time, to stay in the CPU's cache
 FLUSH = 1 << 19  # contexts held by a map task
@@ -77,6 +80,7 @@ class Scheme:
     units: Callable[[bytes], np.ndarray]
     resolve: Callable
     hot: int = HOT
+    batch: int = BATCH_UNITS
 
 
 def contexts_of(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -105,7 +109,7 @@ def contexts_of(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) ->
 
 
 #: A page's columns: id, discriminator, first window, windows, anchor hash, context hash.
-_COLUMNS = [("doc", np.int64), ("tag", np.uint16), ("start", np.int32), ("count", np.uint8), ("anchor", np.uint64), ("context", np.uint64)]
+_COLUMNS = [("doc", np.int64), ("tag", np.uint32), ("start", np.int32), ("count", np.uint8), ("anchor", np.uint64), ("context", np.uint64)]
 
 
 def _pack(rows: dict[str, np.ndarray]) -> bytes:
@@ -159,7 +163,7 @@ def _spans(rows: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, ...]:
     return doc[new], tag[new], start[new], end[np.r_[new[1:], len(doc)] - 1] if len(doc) else end
 
 
-#: What the stages pass on: spans (anchor null), or contexts whose text is wanted (anchor: what they are compared by; hot: by window).
+#: What the stages pass on: spans (anchor null), or contexts whose text is wanted (anchor: what they are compared by; hot: they are too many).
 FOUND = "doc long, tag int, start int, finish int, anchor long, hot boolean"
 
 
@@ -199,7 +203,7 @@ def _ids(column) -> np.ndarray:
 
 
 def tag_of(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw) & 0x7FFF
+    return xxhash.xxh64_intdigest(raw) & 0x7FFFFFFF
 
 
 def _file_contexts(scheme: Scheme, buckets: int):
@@ -219,7 +223,7 @@ def _file_contexts(scheme: Scheme, buckets: int):
                 which = np.searchsorted(ends, first, side="right")
                 doc, tag, base = (np.array([p[k] for p in pieces]) for k in range(3))
                 begin = np.r_[0, ends[:-1]]
-                return {"doc": doc[which], "tag": tag[which].astype(np.uint16), "start": (first - begin[which] + base[which]).astype(np.int32), "count": count.astype(np.uint8), "anchor": anchor, "context": context}
+                return {"doc": doc[which], "tag": tag[which].astype(np.uint32), "start": (first - begin[which] + base[which]).astype(np.int32), "count": count.astype(np.uint8), "anchor": anchor, "context": context}
 
             for doc, raw in zip(ids, texts):
                 codes = scheme.units(raw)
@@ -251,9 +255,9 @@ def _read_pages(group: pa.Table, kind: int) -> list[bytes]:
 def _passed_on(group: pa.Table) -> list[pa.RecordBatch]:
     out = []
     for page in _read_pages(group, 1):
-        n = len(page) // 26
+        n = len(page) // 28
         ints = np.frombuffer(page, np.int64, 3 * n).reshape(3, n)
-        out.append(_found(ints[0], np.frombuffer(page, np.uint16, n, 24 * n), ints[1], ints[2]))
+        out.append(_found(ints[0], np.frombuffer(page, np.uint32, n, 24 * n), ints[1], ints[2]))
     return out
 
 
@@ -278,8 +282,48 @@ def _compare_contexts(scheme: Scheme):
     return over
 
 
+def split_context(codes: np.ndarray, window: int, gram: int, depth: int) -> tuple[np.ndarray, ...]:
+    """A context's codes -> its runs of windows whose `depth` + 1 grams of least hash are the same ones: (first window, windows, key, context hash).
+
+    The key is of those grams and where they stand to each other, so equal windows have equal keys. At the greatest depth it is of all grams, and a run is one window.
+    """
+    n = len(codes) - window + 1
+    up, down = _powers(CHUNK + 1)
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(codes * down[: len(codes)])]
+    hashes = mix((sums[gram:] - sums[:-gram]) * up[: len(codes) - gram + 1])
+    keyed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
+    least = np.sort(np.lib.stride_tricks.sliding_window_view(keyed, window - gram + 1), axis=1)[:, : depth + 1]
+    place = (least & _POSITION).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
+    last = np.r_[first[1:], n] - 1
+    key = np.zeros(len(first), np.uint64)
+    for j in range(place.shape[1]):
+        key = mix(key * np.uint64(_BASE) + hashes[place[first, j]] + (place[first, j] - place[first, 0]).astype(np.uint64))
+    count = last - first + 1
+    return first, count, key, mix((sums[last + window] - sums[first]) * up[first] + count.astype(np.uint64))
+
+
+def _split_contexts(scheme: Scheme, buckets: int, depth: int):
+    """(id, text, wanted contexts) -> pages of kind 0: the parts of crowded contexts."""
+    depth = min(depth, scheme.window - scheme.gram)
+
+    def over(batches):
+        for batch in batches:
+            parts = []
+            for doc, text, wanted in zip(_ids(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                codes, tag = scheme.units(raw), tag_of(raw)
+                for w in wanted:
+                    first, count, key, context = split_context(codes[w["start"] : w["finish"]], scheme.window, scheme.gram, depth)
+                    parts.append({"doc": np.full(len(first), doc), "tag": np.full(len(first), tag, np.uint32), "start": (first + w["start"]).astype(np.int32), "count": count.astype(np.uint8), "anchor": key, "context": context})
+            if parts:
+                yield _pages({k: np.concatenate([p[k] for p in parts]) for k, _ in _COLUMNS}, buckets, scheme.by_position, scheme.window)
+
+    return over
+
+
 def _fetch_contexts(scheme: Scheme, buckets: int):
-    """(id, text, wanted contexts) -> pages of kind 2 (contexts with their codes) and of kind 0 (windows of hot anchors)."""
+    """(id, text, wanted contexts) -> pages of kind 2: contexts with their codes."""
 
     def page_of(docs, tags, starts, anchors, codes) -> bytes:
         sizes = np.array([len(c) for c in codes], np.int64)
@@ -288,27 +332,15 @@ def _fetch_contexts(scheme: Scheme, buckets: int):
 
     def over(batches):
         for batch in batches:
-            ids, by = _ids(batch.column(0)), {}
-            windows = []
-            for doc, text, wanted in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            by: dict[int, list] = {}
+            for doc, text, wanted in zip(_ids(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 codes, tag = scheme.units(raw), tag_of(raw)
-                up = down = None
                 for w in wanted:
-                    part = codes[w["start"] : w["finish"]]
-                    if not w["hot"]:
-                        by.setdefault((w["anchor"] >> 20) % buckets, []).append((doc, tag, w["start"], w["anchor"], part))
-                        continue
-                    n = len(part) - scheme.window + 1
-                    up, down = _powers(CHUNK + 1)
-                    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(part * down[: len(part)])]
-                    h = mix((sums[scheme.window :] - sums[:n]) * up[:n])
-                    windows.append({"doc": np.full(n, doc), "tag": np.full(n, tag, np.uint16), "start": np.arange(w["start"], w["start"] + n, dtype=np.int32), "count": np.ones(n, np.uint8), "anchor": mix(h + np.uint64(1)) & ~np.uint64(0xFFFF), "context": h})
+                    by.setdefault((w["anchor"] >> 20) % buckets, []).append((doc, tag, w["start"], w["anchor"], codes[w["start"] : w["finish"]]))
             keys = list(by)
             pages = [page_of(*map(list, zip(*by[k]))) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([2] * len(keys), pa.int32()), pa.array(pages, pa.binary())], names=["bucket", "kind", "page"])
-            if windows:
-                yield _pages({k: np.concatenate([w[k] for w in windows]) for k, _ in _COLUMNS}, buckets, scheme.by_position, scheme.window)
 
     return over
 
@@ -318,10 +350,7 @@ def _settle(scheme: Scheme):
     at a time and says, for every unit of `codes`, whether a window that begins there repeats an earlier one."""
 
     def over(group: pa.Table) -> pa.Table:
-        out = _passed_on(group)
-        rows, _, head = _ranked(_unpack(_read_pages(group, 0)))
-        out.append(_found(*_spans(_take(rows, _later(rows, head, scheme.by_position)), scheme.window)))
-        heads, codes = [], []
+        out, heads, codes = [], [], []
         for page in _read_pages(group, 2):
             n = int(np.frombuffer(page, np.int64, 1)[0])
             heads.append(np.frombuffer(page, np.int64, 5 * n, 8).reshape(5, n))
@@ -333,7 +362,7 @@ def _settle(scheme: Scheme):
             order = np.lexsort((start, tag, doc, anchor))
             edge = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
             upto = np.r_[0, np.cumsum(size[order])]
-            batch = (upto[edge] - upto[edge[0]]) // BATCH_UNITS  # anchors that begin within the same stretch go together
+            batch = (upto[edge] - upto[edge[0]]) // scheme.batch  # anchors that begin within the same stretch go together
             cuts = edge[np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]])]
             for a, b in zip(cuts, np.r_[cuts[1:], len(order)]):
                 some = order[a:b]
@@ -353,21 +382,42 @@ def document_tags(texts: pa.Array) -> pa.Array:
     return pa.array([tag_of((t or "").encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.int32())
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """df(id, text) -> (id, text, number): whole numbers are their own, ids of other types are numbered in their order; a null id has none."""
+    if isinstance(df.schema["id"].dataType, IntegralType):
+        return df.select("id", "text", F.col("id").cast("long").alias("number"))
+    places = global_index(df.select("id").where("id IS NOT NULL").distinct(), "id", name="number").select(F.col("id").alias("known"), F.col("number").cast("long").alias("number"))
+    return df.join(places, df["id"] == places["known"], "left").select("id", "text", "number")
+
+
 def repeated_spans(df: DataFrame, scheme: Scheme) -> DataFrame:
     """df(id, text) -> id, tag, text and spans (array of [start, finish) in units, null where there are none): the units in a
     window that an earlier one equals."""
     spark = df.sparkSession
     small_batches(spark)
     buckets = max(8, 4 * df.rdd.getNumPartitions())
-    filed = df.select("id", "text").mapInArrow(_file_contexts(scheme, buckets), PAGES)
-    first = materialize(filed.groupBy("bucket").applyInArrow(_compare_contexts(scheme), FOUND), "contexts")
-    id_or_last = F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))
-    tagged = df.select("id", "text", id_or_last.alias("doc"), F.arrow_udf(document_tags, "int")(F.col("text")).alias("tag"))
-    wanted = first.where("anchor IS NOT NULL").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "finish", "anchor", "hot")).alias("wanted"))
-    texts = tagged.join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("id", "text", "wanted")
-    fetched = texts.mapInArrow(_fetch_contexts(scheme, buckets), PAGES)
-    second = materialize(fetched.groupBy("bucket").applyInArrow(_settle(scheme), FOUND), "windows")
-    spans = first.where("anchor IS NULL").select("doc", "tag", "start", "finish").unionByName(second.select("doc", "tag", "start", "finish"))
+    df = _numbered(df)
+    filed = df.select("number", "text").mapInArrow(_file_contexts(scheme, buckets), PAGES)
+    stages = [materialize(filed.groupBy("bucket").applyInArrow(_compare_contexts(scheme), FOUND), "contexts")]
+    tagged = df.select("id", "number", "text", F.coalesce("number", F.lit(NO_ID)).alias("doc"), F.arrow_udf(document_tags, "int")(F.col("text")).alias("tag"))
+
+    def texts_of(contexts: DataFrame) -> DataFrame:
+        wanted = contexts.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "finish", "anchor")).alias("wanted"))
+        return tagged.join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("number", "text", "wanted")
+
+    # crowded anchors' contexts are cut by their second gram too, those that are crowded still by their third, and so on
+    for depth in range(1, scheme.window - scheme.gram + 2):
+        crowded = stages[-1].where("hot")
+        if crowded.isEmpty():
+            break
+        filed = texts_of(crowded).mapInArrow(_split_contexts(scheme, buckets, depth), PAGES)
+        stages.append(materialize(filed.groupBy("bucket").applyInArrow(_compare_contexts(scheme), FOUND), "contexts"))
+    else:
+        raise RuntimeError("windows that are alike stay crowded")
+    found = reduce(DataFrame.unionByName, stages)
+    fetched = texts_of(found.where("NOT hot")).mapInArrow(_fetch_contexts(scheme, buckets), PAGES)
+    settled = materialize(fetched.groupBy("bucket").applyInArrow(_settle(scheme), FOUND), "windows")
+    spans = found.where("anchor IS NULL").select("doc", "tag", "start", "finish").unionByName(settled.select("doc", "tag", "start", "finish"))
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "finish")).alias("spans"))
     return tagged.join(spans, ["doc", "tag"], "left").select("id", "tag", "text", "spans")
 

@@ -79,7 +79,7 @@ def match_shard(docs: np.ndarray, starts: np.ndarray, codes: np.ndarray, ends: n
     return flags
 
 
-SCHEME = Scheme(window=WINDOW, gram=5, by_position=False, units=word_units, resolve=match_shard)
+SCHEME = Scheme(window=WINDOW, gram=5, by_position=False, units=word_units, resolve=match_shard, batch=1 << 16)
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
