@@ -8,8 +8,8 @@ have equal anchors, so all copies of a window meet where contexts are grouped by
    the context's copies need no look at the text: all but the earliest are repeats. Copies within a map task are
    settled there, so a passage in a third of all texts sends one context from each task.
 2. Where an anchor has several contexts, one copy of each is fetched with its text, and the operator's own method (`resolve`)
-   finds the windows that they share. Where an anchor has more than `hot` contexts (the edge of a very common passage), they are first cut and filed by the
-   grams of the next least hashes too, as many as it takes, so that no task gets the texts of them all.
+   finds the windows that they share. Where an anchor has more than `hot` contexts (the edge of a very common passage), they are first cut to single windows,
+   filed by the anchor and the grams at both ends of the window; what still differs there goes to the method, in a further pass.
 3. Repeated spans are gathered by document and applied to the texts.
 
 Page hashes are 48 + 64 bits. Documents are known by id and 31 bits of their text's hash, so that rows which share an id but
@@ -261,69 +261,49 @@ def _passed_on(group: pa.Table) -> list[pa.RecordBatch]:
     return out
 
 
+def _compared(scheme: Scheme, pages: list[bytes]) -> list[pa.RecordBatch]:
+    """Spans of the copies, and the contexts to fetch: those of anchors that have several."""
+    rows, begin, head = _ranked(_unpack(pages))
+    if not len(begin):
+        return []
+    later = _later(rows, head, scheme.by_position)
+    anchor = rows["anchor"]
+    new = np.r_[True, anchor[1:] != anchor[:-1]]
+    several = np.add.reduceat(begin.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+    want = (several > 1) & ~later
+    r = _take(rows, want)
+    wanted = _found(r["doc"], r["tag"], r["start"], r["start"].astype(np.int64) + r["count"] + (scheme.window - 1), r["anchor"], several[want] > scheme.hot)
+    return [_found(*_spans(_take(rows, later), scheme.window)), wanted]
+
+
+_NONE = [np.zeros(0, np.int64)] * 4
+
+
 def _compare_contexts(scheme: Scheme):
     """A bucket's pages -> spans of the copies, and the contexts to fetch."""
 
     def over(group: pa.Table) -> pa.Table:
-        out = _passed_on(group)
-        rows, begin, head = _ranked(_unpack(_read_pages(group, 0)))
-        if len(begin):
-            later = _later(rows, head, scheme.by_position)
-            out.append(_found(*_spans(_take(rows, later), scheme.window)))
-            anchor = rows["anchor"]
-            first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            of = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
-            several = np.add.reduceat(begin.astype(np.int64), first)[of]
-            want = (several > 1) & ~later
-            r = _take(rows, want)
-            out.append(_found(r["doc"], r["tag"], r["start"], r["start"].astype(np.int64) + r["count"] + (scheme.window - 1), r["anchor"], several[want] > scheme.hot))
-        return pa.Table.from_batches(out, _found(*[np.zeros(0, np.int64)] * 4).schema)
+        out = _passed_on(group) + _compared(scheme, _read_pages(group, 0))
+        return pa.Table.from_batches(out, _found(*_NONE).schema)
 
     return over
 
 
-def split_context(codes: np.ndarray, window: int, gram: int, depth: int) -> tuple[np.ndarray, ...]:
-    """A context's codes -> its runs of windows whose `depth` + 1 grams of least hash are the same ones: (first window, windows, key, context hash).
-
-    The key is of those grams and where they stand to each other, so equal windows have equal keys. At the greatest depth it is of all grams, and a run is one window.
-    """
+def split_windows(codes: np.ndarray, anchor: int, window: int, gram: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """A crowded context's codes -> (key, hash) of each of its windows. Keys are of the anchor and the grams at both ends of the window; at level 2, of the whole window."""
     n = len(codes) - window + 1
     up, down = _powers(CHUNK + 1)
     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(codes * down[: len(codes)])]
-    hashes = mix((sums[gram:] - sums[:-gram]) * up[: len(codes) - gram + 1])
-    keyed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
-    least = np.sort(np.lib.stride_tricks.sliding_window_view(keyed, window - gram + 1), axis=1)[:, : depth + 1]
-    place = (least & _POSITION).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
-    last = np.r_[first[1:], n] - 1
-    key = np.zeros(len(first), np.uint64)
-    for j in range(place.shape[1]):
-        key = mix(key * np.uint64(_BASE) + hashes[place[first, j]] + (place[first, j] - place[first, 0]).astype(np.uint64))
-    count = last - first + 1
-    return first, count, key, mix((sums[last + window] - sums[first]) * up[first] + count.astype(np.uint64))
-
-
-def _split_contexts(scheme: Scheme, buckets: int, depth: int):
-    """(id, text, wanted contexts) -> pages of kind 0: the parts of crowded contexts."""
-    depth = min(depth, scheme.window - scheme.gram)
-
-    def over(batches):
-        for batch in batches:
-            parts = []
-            for doc, text, wanted in zip(_ids(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                codes, tag = scheme.units(raw), tag_of(raw)
-                for w in wanted:
-                    first, count, key, context = split_context(codes[w["start"] : w["finish"]], scheme.window, scheme.gram, depth)
-                    parts.append({"doc": np.full(len(first), doc), "tag": np.full(len(first), tag, np.uint32), "start": (first + w["start"]).astype(np.int32), "count": count.astype(np.uint8), "anchor": key, "context": context})
-            if parts:
-                yield _pages({k: np.concatenate([p[k] for p in parts]) for k, _ in _COLUMNS}, buckets, scheme.by_position, scheme.window)
-
-    return over
+    whole = mix((sums[window:] - sums[:n]) * up[:n])
+    if level > 1:
+        return mix(whole + np.uint64(1)), whole
+    grams = mix((sums[gram:] - sums[:-gram]) * up[: len(codes) - gram + 1])
+    key = mix(np.full(n, anchor, np.int64).view(np.uint64) * np.uint64(_BASE) + grams[:n])
+    return mix(key * np.uint64(_BASE) + grams[window - gram : window - gram + n]), whole
 
 
-def _fetch_contexts(scheme: Scheme, buckets: int):
-    """(id, text, wanted contexts) -> pages of kind 2: contexts with their codes."""
+def _fetch_contexts(scheme: Scheme, buckets: int, level: int):
+    """(id, text, wanted contexts) -> pages of kind 2: contexts with their codes; and of kind 0: the single windows of crowded contexts."""
 
     def page_of(docs, tags, starts, anchors, codes) -> bytes:
         sizes = np.array([len(c) for c in codes], np.int64)
@@ -333,24 +313,33 @@ def _fetch_contexts(scheme: Scheme, buckets: int):
     def over(batches):
         for batch in batches:
             by: dict[int, list] = {}
+            windows = []
             for doc, text, wanted in zip(_ids(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 codes, tag = scheme.units(raw), tag_of(raw)
                 for w in wanted:
-                    by.setdefault((w["anchor"] >> 20) % buckets, []).append((doc, tag, w["start"], w["anchor"], codes[w["start"] : w["finish"]]))
+                    part = codes[w["start"] : w["finish"]]
+                    if not w["hot"]:
+                        by.setdefault((w["anchor"] >> 20) % buckets, []).append((doc, tag, w["start"], w["anchor"], part))
+                        continue
+                    key, whole = split_windows(part, w["anchor"], scheme.window, scheme.gram, level)
+                    n = len(key)
+                    windows.append({"doc": np.full(n, doc), "tag": np.full(n, tag, np.uint32), "start": np.arange(w["start"], w["start"] + n, dtype=np.int32), "count": np.ones(n, np.uint8), "anchor": key & ~np.uint64(0xFFFF), "context": whole})
             keys = list(by)
             pages = [page_of(*map(list, zip(*by[k]))) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([2] * len(keys), pa.int32()), pa.array(pages, pa.binary())], names=["bucket", "kind", "page"])
+            if windows:
+                yield _pages({k: np.concatenate([w[k] for w in windows]) for k, _ in _COLUMNS}, buckets, scheme.by_position, scheme.window)
 
     return over
 
 
 def _settle(scheme: Scheme):
-    """Contexts with codes -> spans. `scheme.resolve(docs, starts, codes, ends, window, by_position)` gets whole anchors' contexts
+    """Contexts with codes -> spans; windows of crowded contexts -> spans of the copies, and those to fetch. `scheme.resolve(docs, starts, codes, ends, window, by_position)` gets whole anchors' contexts
     at a time and says, for every unit of `codes`, whether a window that begins there repeats an earlier one."""
 
     def over(group: pa.Table) -> pa.Table:
-        out, heads, codes = [], [], []
+        out, heads, codes = _passed_on(group) + _compared(scheme, _read_pages(group, 0)), [], []
         for page in _read_pages(group, 2):
             n = int(np.frombuffer(page, np.int64, 1)[0])
             heads.append(np.frombuffer(page, np.int64, 5 * n, 8).reshape(5, n))
@@ -373,7 +362,7 @@ def _settle(scheme: Scheme):
                 where = start[some][which] + hit - (ends - size[some])[which]
                 found = {"doc": doc[some][which], "tag": tag[some][which], "start": where, "count": np.ones(len(hit), np.int64)}
                 out.append(_found(*_spans(found, scheme.window)))
-        return pa.Table.from_batches(out, _found(*[np.zeros(0, np.int64)] * 4).schema)
+        return pa.Table.from_batches(out, _found(*_NONE).schema)
 
     return over
 
@@ -398,26 +387,21 @@ def repeated_spans(df: DataFrame, scheme: Scheme) -> DataFrame:
     buckets = max(8, 4 * df.rdd.getNumPartitions())
     df = _numbered(df)
     filed = df.select("number", "text").mapInArrow(_file_contexts(scheme, buckets), PAGES)
-    stages = [materialize(filed.groupBy("bucket").applyInArrow(_compare_contexts(scheme), FOUND), "contexts")]
+    found = [materialize(filed.groupBy("bucket").applyInArrow(_compare_contexts(scheme), FOUND), "contexts")]
     tagged = df.select("id", "number", "text", F.coalesce("number", F.lit(NO_ID)).alias("doc"), F.arrow_udf(document_tags, "int")(F.col("text")).alias("tag"))
-
-    def texts_of(contexts: DataFrame) -> DataFrame:
-        wanted = contexts.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "finish", "anchor")).alias("wanted"))
-        return tagged.join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("number", "text", "wanted")
-
-    # crowded anchors' contexts are cut by their second gram too, those that are crowded still by their third, and so on
-    for depth in range(1, scheme.window - scheme.gram + 2):
-        crowded = stages[-1].where("hot")
-        if crowded.isEmpty():
+    # crowded contexts are cut to windows, of which some may be wanted in the next pass; mostly one pass does
+    for level in range(1, 5):
+        wanted = found[-1].where("anchor IS NOT NULL")
+        if wanted.isEmpty():
             break
-        filed = texts_of(crowded).mapInArrow(_split_contexts(scheme, buckets, depth), PAGES)
-        stages.append(materialize(filed.groupBy("bucket").applyInArrow(_compare_contexts(scheme), FOUND), "contexts"))
+        wanted = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "finish", "anchor", "hot")).alias("wanted"))
+        texts = tagged.join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("number", "text", "wanted")
+        fetched = texts.mapInArrow(_fetch_contexts(scheme, buckets, level), PAGES)
+        found.append(materialize(fetched.groupBy("bucket").applyInArrow(_settle(scheme), FOUND), "windows"))
     else:
-        raise RuntimeError("windows that are alike stay crowded")
-    found = reduce(DataFrame.unionByName, stages)
-    fetched = texts_of(found.where("NOT hot")).mapInArrow(_fetch_contexts(scheme, buckets), PAGES)
-    settled = materialize(fetched.groupBy("bucket").applyInArrow(_settle(scheme), FOUND), "windows")
-    spans = found.where("anchor IS NULL").select("doc", "tag", "start", "finish").unionByName(settled.select("doc", "tag", "start", "finish"))
+        raise RuntimeError("windows filed by their whole text stay apart")
+    found = reduce(DataFrame.unionByName, found)
+    spans = found.where("anchor IS NULL")
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "finish")).alias("spans"))
     return tagged.join(spans, ["doc", "tag"], "left").select("id", "tag", "text", "spans")
 
