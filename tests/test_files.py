@@ -47,6 +47,21 @@ def test_run_results(spark, tmp_path):
     assert tuple(S.scan_run_results(spark, str(tmp_path)).first()) == (1, 2, 0.9, 0.5, 0.6, 1)
 
 
+def test_text_tables(spark, tmp_path):
+    """Transcripts with line ends and quotes, splits with every fault, segments, noise lists and features."""
+    (tmp_path / "t.csv").write_text('uid,transcription,transcription_pause\na,"two\nlines, ""quoted""",x\nb,one,y\nb,other,z\nc,,w\n')
+    assert {r.uid: (r.text, r.problem) for r in S.scan_transcripts(spark, str(tmp_path / "t.csv")).collect()} == {"a": ('two\nlines, "quoted"', None), "b": (None, "several rows"), "c": (None, "empty")}
+    assert {r.uid: r.text for r in S.scan_transcripts(spark, str(tmp_path / "t.csv"), pauses=True).collect()} == {"a": "x", "b": None, "c": "w"}
+    (tmp_path / "s.csv").write_text("split,fold,uid\ntrain,0,a\ntrain,0,a\ntrain,1,\ntrain,7,b\ntest,1,c\n")
+    got = {(r.split, r.fold, r.uid): r.problem for r in S.scan_splits(spark, str(tmp_path / "s.csv"), 3).collect()}
+    assert got == {("train", 0, "a"): "duplicate", ("train", 1, None): "blank", ("train", 7, "b"): "fold", ("test", 1, "c"): None, (None, 2, None): "missing fold"}
+    (tmp_path / "g.csv").write_text("uid,speaker,begin,end\n1,INV,500,1250\n1,PAR,0,400\n")
+    assert [tuple(r) for r in S.scan_segments(spark, str(tmp_path / "g.csv")).collect()] == [(1, 0.5, 1.25)]
+    (tmp_path / "n.tsv").write_text("a.wav\tmusic\n")
+    (tmp_path / "r.tsv").write_text("b.wav\n")
+    assert {tuple(r) for r in S.scan_noise_lists(spark, str(tmp_path / "n.tsv"), str(tmp_path / "r.tsv")).collect()} == {("a.wav", "music"), ("b.wav", "rir")}
+
+
 def test_text_files(spark, tmp_path):
     for n, t in (("a", "one line"), ("b", ""), ("c", "x\ny\n"), ("d", "secret")):
         (tmp_path / f"{n}.txt").write_text(t)
@@ -66,6 +81,7 @@ def test_versions(spark, tmp_path):
     K.write_atomic(spark.range(3), f"{tmp_path}/v")
     K.write_atomic(spark.range(5), f"{tmp_path}/v")
     assert K.read_current(spark, f"{tmp_path}/v").count() == 5
+    assert K.write_atomic(spark.range(2), f"{tmp_path}/v") == 3 and K.read_current(spark, f"{tmp_path}/v").count() == 2
 
 
 def test_publishing_twice_is_no_conflict(spark):

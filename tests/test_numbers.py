@@ -34,26 +34,32 @@ def words(spark, texts, uid="r"):
 LETTERS = [*"abcdefghijklmnopqrstuvwxyz", "á", "ñ", "ü"]
 
 
-def test_units_of_spanish_words(spark):
-    w = words(spark, ["¡NIÑO!", "esta" + "́", "niño", "...", "pingüino."])
+def test_units_of_words(spark):
+    """Case, marks on their own, and a word of punctuation alone."""
+    w = words(spark, ["(MAÑANA)", "razo\u0301n", "-,-", "vergu\u0308enza;"])
     formed = w.withColumn("form", T.ctc_form("word"))
-    assert [r.form for r in formed.orderBy("word_id").collect()] == ["niño", "está", "niño", "", "pingüino"]
+    assert [r.form for r in formed.orderBy("word_id").collect()] == ["mañana", "razón", "", "vergüenza"]
     u = rows(R.ctc_units(formed, F.col("form")), "target_index")
-    assert "".join(t for _, _, t, _ in u) == "niño|está|niño|pingüino"
-    assert 3 not in {o for *_, o in u}
+    assert "".join(t for _, _, t, _ in u) == "mañana|razón|vergüenza"
+    assert {o for *_, o in u} == {-1, 0, 1, 3}
 
 
-@pytest.mark.parametrize("word,bad", [("12", "1"), ("€", "€"), ("café☃", "☃"), ("dos palabras", "space"), ("ç", "ç"), ("niño", None)])
+@pytest.mark.parametrize("word,bad", [("ab7", "7"), ("x=y", "="), ("año\u2192", "\u2192"), ("un\tlado", "space"), ("bø", "ø"), ("güera", None), ("abα", "α")])
 def test_unsupported(spark, word, bad):
-    assert one(spark, T.unsupported_chars(F.lit(word), LETTERS + ["é"])) == bad
+    assert one(spark, T.unsupported_chars(F.lit(word), LETTERS)) == bad
+
+
+def test_a_vocabulary_of_more_than_letters(spark):
+    """What is no letter stays unsupported, though the vocabulary has it."""
+    assert one(spark, T.unsupported_chars(F.lit("a9"), [*LETTERS, "9"])) == "9"
 
 
 def test_skip_unsupported(spark):
-    w = words(spark, ["12", "aa", "tri월illo", "...", "ñ", "3"])
-    s = R.skip_unsupported(w, LETTERS)
-    assert [r.word_id for r in s.where("reason IS NOT NULL").orderBy("word_id").collect()] == [0, 2, 5]
+    w = words(spark, ["luz", "4x", "so\u0301lo", "_", "ü", "b\u0424c"])
+    s = R.skip_unsupported(w, [*LETTERS, "ó"])
+    assert [(r.word_id, r.reason) for r in s.where("reason IS NOT NULL").orderBy("word_id").collect()] == [(1, "4"), (5, "\u0444")]
     u = rows(R.ctc_units(s, F.col("form")), "target_index")
-    assert [o for *_, o in u] == [1, 1, -1, 4]
+    assert [o for *_, o in u] == [0, 0, 0, -1, 2, 2, 2, 2, -1, 4]
 
 
 def test_word_windows(spark):
@@ -66,9 +72,9 @@ def test_word_windows(spark):
 
 
 def test_collapse_runs(spark):
-    path = spark.createDataFrame([("r", i, v, -0.5) for i, v in enumerate([4, 1, 1, 4, 1, 0, 3, 3, 4])], "uid string, frame int, label int, score double")
-    got = rows(I.collapse_runs(path, "uid", "frame", "label", "score", 4).select("start", "end", "label"), "start")
-    assert got == [(1, 3, 1), (4, 5, 1), (5, 6, 0), (6, 8, 3)]
+    path = spark.createDataFrame([("r", i, v, -0.25) for i, v in enumerate([2, 2, 9, 2, 5, 5, 5, 9, 9, 7])], "uid string, frame int, label int, score double")
+    got = rows(I.collapse_runs(path, "uid", "frame", "label", "score", 9).select("start", "end", "label"), "start")
+    assert got == [(0, 2, 2), (3, 4, 2), (4, 7, 5), (9, 10, 7)]
 
 
 def test_boundary_delta(spark):
@@ -83,14 +89,16 @@ def test_boundary_delta(spark):
 
 
 def test_frame_mapping(spark):
-    unit = M.Grid(0.1, 0.1, 0.05, 20)
-    coarse = M.Grid(0.4, 0.1, 0.05, 5)
-    double = M.Grid(0.2, 0.1, 0.05, 10)
-    assert tuple(one(spark, M.map_frame_window(1, 2, unit, coarse))) == (0, 1, "nearest_center_fallback")
-    assert tuple(one(spark, M.map_frame_window(19, 20, unit, coarse))) == (4, 5, "nearest_center_fallback")
-    assert tuple(one(spark, M.map_frame_window(5, 7, unit, double))) == (3, 4, "frame_centers_in_interval")
-    assert tuple(one(spark, M.map_frame_window(5, 7, unit, unit))) == (5, 7, "identical_grid")
-    assert one(spark, M.map_frame_window(19, 21, unit, coarse)) is None
+    """Frames 30 ms apart on grids of 150 ms and 60 ms, with centres 10 ms after a frame's start; 24, 5 and 12 frames."""
+    fine, wide, pair = M.Grid(30.0, 20.0, 10.0, 24), M.Grid(150.0, 20.0, 10.0, 5), M.Grid(60.0, 20.0, 10.0, 12)
+    # frame 2 covers 60..80 ms: between the centres at 10 and 160; its middle, 70, is nearer to the first
+    assert tuple(one(spark, M.map_frame_window(2, 3, fine, wide))) == (0, 1, "nearest_center_fallback")
+    # frames 9 and 10 cover 270..320 ms, in which the centre at 310 lies
+    assert tuple(one(spark, M.map_frame_window(9, 11, fine, wide))) == (2, 3, "frame_centers_in_interval")
+    # frames 6 to 9 cover 180..290 ms: centres at 190 and 250
+    assert tuple(one(spark, M.map_frame_window(6, 10, fine, pair))) == (3, 5, "frame_centers_in_interval")
+    assert tuple(one(spark, M.map_frame_window(6, 10, fine, fine))) == (6, 10, "identical_grid")
+    assert one(spark, M.map_frame_window(23, 25, fine, wide)) is None
 
 
 def test_frame_timing(spark):
@@ -163,10 +171,10 @@ def test_bootstrap_is_a_direct_computation(spark):
     drawn = {}
     for r in S.bootstrap_draws(units, 20).collect():
         drawn.setdefault(r.replicate, []).append(r["index"])
-    for r in S.bootstrap_replicates(units, 3, 20).collect():
+    for r in S.group_replicates(units, 3, 20).collect():
         assert len(drawn[r.replicate]) == 4
         assert abs(r.macro_f1 - macro([(truth[i], guess[i]) for i in drawn[r.replicate]], 3)) < 1e-12
-    assert S.bootstrap_ci(p, 3, 20, unit="group_id").first().units == 2
+    assert S.bootstrap_ci(p, 3, 20, group="group_id").first().units == 2
 
 
 def test_ensemble_mean(spark):
