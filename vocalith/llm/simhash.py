@@ -302,25 +302,33 @@ def _set_bytes(texts: pa.Array) -> pa.Array:
     return pa.array([shingle_set(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 10 * common >= round(10 * NEAR_JACCARD) * (len(a) + len(b) - common)
-
-
 def link_sets(names: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Spanning links of "Jaccard similarity at least 0.8"; pairs that are linked already are not compared."""
+    """Spanning links of "Jaccard similarity at least 0.8". Sets are taken by size; what each has in common with all smaller ones is counted at once, from
+    the places of its shingles."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[k]) for k in order])
+    _, shingle = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    end_of_set = np.cumsum(size)
+    owner = np.repeat(np.arange(len(order)), size)
+    owners = owner[np.argsort(shingle, kind="stable")]  # of each shingle in turn, in order
+    upto = np.cumsum(np.bincount(shingle))
+    tenths = round(10 * NEAR_JACCARD)
     root, links = np.arange(len(order)), []
     for i in range(1, len(order)):
-        j = i - 1
         low = int(np.searchsorted(size, NEAR_JACCARD * size[i] - 1e-6))
-        while j >= low:
-            if root[j] != root[i] and similar(sets[order[i]], sets[order[j]]):
+        if low == i:
+            continue
+        own = shingle[end_of_set[i] - size[i] : end_of_set[i]]
+        stop = upto[own]
+        start = np.r_[0, upto][own]
+        n = stop - start
+        places = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+        common = np.bincount(owners[places], minlength=len(order))[low:i]
+        near = low + np.flatnonzero(10 * common >= tenths * (size[i] + size[low:i] - common))
+        for j in near[np.unique(root[near], return_index=True)[1]].tolist():
+            if root[j] != root[i]:
                 links.append((names[order[i]], names[order[j]]))
-                root[root == root[i]] = root[j]
-            rest = np.flatnonzero(root[low:j] != root[i])
-            j = low + int(rest[-1]) if len(rest) else -1
+                root[root == root[j]] = root[i]
     return links
 
 
