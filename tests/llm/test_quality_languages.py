@@ -1,4 +1,4 @@
-"""Languages without a list of common words are judged by byte classes."""
+"""Languages without a list of common words are judged by character classes."""
 
 import random
 
@@ -20,3 +20,10 @@ def test_a_listed_language_still_needs_its_words(spark):
     other = (99, " ".join("".join(rng.choice("abdegiklmnoprstu") for _ in range(5)) for _ in range(260)), "en")
     df = spark.createDataFrame([*english, other], "doc_id long, text string, lang string")
     assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == set(range(40))
+
+
+def test_classes_of_characters():
+    text = "Año, 12 #́ Ж中 — 😀"
+    *_, classes, _ = quality_rules.text_features(text)
+    assert classes == [1, 1, 2, 5, 1, 1, 0, 4, 2]  # ñ, the combining mark, Ж and 中 are letters; the dash and the face are not
+    assert quality_rules.text_features(None)[5] == [0] * quality_rules.N_CLASSES

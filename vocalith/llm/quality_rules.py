@@ -1,19 +1,21 @@
 """Quality rules by distribution divergence.
 
-Every text is reduced to two histograms: classes of its bytes, and its common words. Summed over
+Every text is reduced to two histograms: classes of its characters, and its common words. Summed over
 the corpus by language they are the language references (integer sums, so reruns agree). A document goes if its
 Jensen-Shannon distance to its language's reference is above a bound, provided it is long enough for the histogram to mean anything;
 or if it fails the base rules (too short, too repetitive).
 
 Defined results: a null or blank text has no words and fails the base rules; a null language is a language of its own;
 a language without a list of common words
-is judged by byte classes alone, unless it has `MIN_REFERENCE_WORDS` of the listed words and the text `MIN_TEXT_WORDS`; repeated rows give repeated rows; an empty table gives no rows;
+is judged by character classes alone, unless it has `MIN_REFERENCE_WORDS` of the listed words and the text `MIN_TEXT_WORDS`; repeated rows give repeated rows; an empty table gives no rows;
 other columns, whatever their names, are not read, and `keep_good` carries them along.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ COMMON_WORDS = {
 }
 WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 SYMBOLS = "#*$%&|<>"
-#: lower, upper, digit, blank, sentence marks, the symbols above, other ASCII, other bytes
-N_CLASSES = 8
+#: lower, upper, digit, blank, sentence marks, the symbols above, other ASCII; beyond ASCII: letters with their marks, all else
+N_CLASSES = 9
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 #: (least words, largest distance) of either histogram: short texts stray further from any reference.
@@ -42,15 +44,16 @@ WORD_BOUNDS = [(100, 0.70), (200, 0.50)]
 MIN_REFERENCE_WORDS, MIN_TEXT_WORDS = 1000, 20
 
 
+@lru_cache(maxsize=1)
 def _class_table() -> np.ndarray:
-    out = np.full(256, 7, np.uint8)
+    """The class of every code point."""
+    out = np.array([7 if unicodedata.category(chr(c))[0] in "LM" else 8 for c in range(0x110000)], np.uint8)
     out[:128] = 6
     for k, chars in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\v\f\r", ".,;:!?'\"-()", SYMBOLS]):
         out[list(chars.encode())] = k
     return out
 
 
-CLASSES = _class_table()
 _WORD_INDEX = {w.encode(): i for i, w in enumerate(WORDS)}
 
 
@@ -83,7 +86,7 @@ def text_features(text: str | None) -> tuple:
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
-    classes = np.bincount(CLASSES[np.frombuffer(raw, np.uint8)], minlength=N_CLASSES)
+    classes = np.bincount(_class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=N_CLASSES)
     seen, dup = set(), 0
     for line in raw.split(b"\n"):
         if line.strip():
@@ -181,7 +184,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPACE = r"[\x20\x09-\x0D]"
-#: The byte classes 0 to 6 as patterns of the characters that are left out; class 7 is what is left of all bytes.
+#: The classes 0 to 5 as patterns of the characters that are left out; class 6 is what is left of ASCII.
 _CLASS_SQL = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x20\x09-\x0D]", r"""[^.,;:!?''"()\-]""", r"[^#*$%&|<>]"]
 
 
@@ -199,8 +202,8 @@ x AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT r, w, un
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM x) WHERE c > 1) GROUP BY r),
 base AS (SELECT s.r, doc_id, lang, w, t, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
   len(w) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(w) AS base_failed FROM s LEFT JOIN lines ON s.r = lines.r LEFT JOIN rep ON s.r = rep.r),
-ascii AS (SELECT r, lang, base_failed, octet_length(encode(t)) AS bytes, length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS seven, [{", ".join(f"length(regexp_replace(t, '{c}', '', 'g'))" for c in _CLASS_SQL)}] AS c FROM base),
-ch AS (SELECT r, lang, base_failed, unnest(range(8)) AS k, unnest(list_concat(c, [seven - list_sum(c)::BIGINT, bytes - seven])) AS n FROM ascii),
+ascii AS (SELECT r, lang, base_failed, length(t) AS chars, length(regexp_replace(t, '[\x00-\x7F]|[^\p{{L}}\p{{M}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS seven, [{", ".join(f"length(regexp_replace(t, '{c}', '', 'g'))" for c in _CLASS_SQL)}] AS c FROM base),
+ch AS (SELECT r, lang, base_failed, unnest(range(9)) AS k, unnest(list_concat(c, [seven - list_sum(c)::BIGINT, letters, chars - seven - letters])) AS n FROM ascii),
 ch_ref AS (SELECT lang, k, sum(n) AS n FROM ch WHERE NOT base_failed GROUP BY ALL),
 vocabulary AS (SELECT unnest({WORDS}) AS k),
 found AS (SELECT r, trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?''"-()') AS k FROM (SELECT r, unnest(w) AS x FROM base)),
