@@ -72,7 +72,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Scheme:
     """units: text -> uint64 codes, one for each unit, alike for equal units. by_position: a repeat may lie in one document, else
-    only a document of a smaller id counts. resolve: see `_settle`."""
+    only a document of a smaller id counts. resolve: see `_settle`. bytewise: units are the text's bytes; contexts travel as these, an eighth of their codes."""
 
     window: int
     gram: int
@@ -81,6 +81,7 @@ class Scheme:
     resolve: Callable
     hot: int = HOT
     batch: int = BATCH_UNITS
+    bytewise: bool = False
 
 
 def contexts_of(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -317,11 +318,12 @@ def _fetch_contexts(scheme: Scheme, buckets: int, level: int):
             for doc, text, wanted in zip(_ids(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 codes, tag = scheme.units(raw), tag_of(raw)
+                sent = np.frombuffer(raw, np.uint8) if scheme.bytewise else codes
                 for w in wanted:
-                    part = codes[w["start"] : w["finish"]]
                     if not w["hot"]:
-                        by.setdefault((w["anchor"] >> 20) % buckets, []).append((doc, tag, w["start"], w["anchor"], part))
+                        by.setdefault((w["anchor"] >> 20) % buckets, []).append((doc, tag, w["start"], w["anchor"], sent[w["start"] : w["finish"]]))
                         continue
+                    part = codes[w["start"] : w["finish"]]
                     key, whole = split_windows(part, w["anchor"], scheme.window, scheme.gram, level)
                     n = len(key)
                     windows.append({"doc": np.full(n, doc), "tag": np.full(n, tag, np.uint32), "start": np.arange(w["start"], w["start"] + n, dtype=np.int32), "count": np.ones(n, np.uint8), "anchor": key & ~np.uint64(0xFFFF), "context": whole})
@@ -343,7 +345,7 @@ def _settle(scheme: Scheme):
         for page in _read_pages(group, 2):
             n = int(np.frombuffer(page, np.int64, 1)[0])
             heads.append(np.frombuffer(page, np.int64, 5 * n, 8).reshape(5, n))
-            codes.append(np.frombuffer(page, np.uint64, -1, 8 + 40 * n))
+            codes.append(np.frombuffer(page, np.uint8 if scheme.bytewise else np.uint64, -1, 8 + 40 * n))
         if heads:
             doc, tag, start, anchor, size = np.concatenate(heads, axis=1)
             codes = np.concatenate(codes)

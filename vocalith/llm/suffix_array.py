@@ -148,7 +148,7 @@ def repeated_strings(docs: np.ndarray, starts: np.ndarray, codes: np.ndarray, en
     return flags
 
 
-SCHEME = Scheme(window=WINDOW, gram=32, by_position=True, units=byte_units, resolve=repeated_strings)
+SCHEME = Scheme(window=WINDOW, gram=32, by_position=True, units=byte_units, resolve=repeated_strings, bytewise=True)
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
