@@ -56,3 +56,38 @@ def test_exact_means(spark):
 
     row = df.agg(S.exact_mean(F.col("x")).alias("a"), S.exact_mean(-F.col("x")).alias("b"), S.exact_mean(F.lit(None).cast("double")).alias("c")).first()
     assert (row.a, row.b, row.c) == (0.000002, -0.000002, None)
+
+
+def test_words_are_mixed_alike_in_numbers_and_columns(spark):
+    from pyspark.sql import functions as F
+
+    r = np.arange(1000)
+    got = [x[0] for x in spark.range(1000).select(S.mix32(F.col("id"), 123456789, 4294967295)).collect()]
+    assert got == S.mix32(r, 123456789, 4294967295).tolist()
+    assert abs(np.mean(got) / 2**32 - 0.5) < 0.05 and len(set(got)) == 1000
+
+
+def test_poisson_steps():
+    for rate in (0.0, 0.3, 2.0, 400.0):
+        steps = S.poisson_steps(rate)
+        u = (np.arange(200_000) + 0.5) / 200_000
+        k = np.searchsorted(steps, u, side="right")
+        assert abs(k.mean() - rate) < 1e-3 * (1 + rate) and abs(k.var() - rate) < 2e-3 * (1 + rate)
+
+
+def test_grouped_draws_are_multinomial(spark):
+    """Of many groups most are drawn at once: sums over a replicate's groups have the mean and variance of n single draws, and scores their distribution."""
+    rng = np.random.default_rng(5)
+    kinds = [[(0, 0), (0, 1)], [(1, 1)], [(2, 0), (2, 2), (2, 2)], [(1, 2), (1, 1)], [(0, 0)], [(2, 1)]]
+    groups = [kinds[k] for k in rng.integers(0, len(kinds), 400)] + [[(0, int(p)) for p in rng.integers(0, 3, 9)] for _ in range(20)]
+    df = spark.createDataFrame([(g, t, p) for g, rows in enumerate(groups) for t, p in rows], "uid long, label int, prediction int")
+    units = S.resampling_units(df, 3, "uid")
+    got = np.sort([r.macro_f1 for r in S.group_replicates(units, 3, 4000).collect()])
+    one = np.array([[*(sum(t == c == p for t, p in g) for c in range(3)), *(sum((t == c) + (p == c) for t, p in g) for c in range(3))] for g in groups], float)
+    sums = np.array([one[rng.integers(0, len(groups), len(groups))].sum(0) for _ in range(4000)])
+    want = np.sort((2 * sums[:, :3] / sums[:, 3:]).mean(1))
+    assert len(got) == 4000
+    assert abs(got.mean() - want.mean()) < 4 * want.std() / np.sqrt(2000) and abs(got.std() / want.std() - 1) < 0.06
+    both = np.concatenate([got, want])
+    gap = np.abs(np.searchsorted(got, both, side="right") - np.searchsorted(want, both, side="right")).max() / 4000
+    assert gap < 1.63 * np.sqrt(2 / 4000)  # Kolmogorov-Smirnov at 1 %

@@ -92,7 +92,38 @@ def _(spark, d):
     return S.bootstrap_ci(X.preds(spark, d), K, SAMPLES)
 
 
-@query("bootstrap_ci_grouped", X.sql("preds", _CI, f"{_GROUPS}, {_DRAWS}, reps AS (SELECT r, ({' + '.join(_f1(c, 'c') for c in range(K))}) / 3 AS m FROM draws JOIN members USING (index) GROUP BY r)"))
+_PARTS = [f"{part}{c}" for part in ("tp", "actual", "predicted") for c in range(K)]
+
+
+def _mix_sql(source: str, name: str) -> str:
+    """CTEs that mix r with the words one and two, step by step; the last is `name`(…, x)."""
+    steps, last = [], source
+    for i, (word, half) in enumerate([(w, k) for w in ("0", "one", "two") for k in range(3)]):
+        x = f"xor(x, {word})" if half == 0 and word != "0" else "x"
+        step = f"(xor(v, v >> 16) * {S.MIX_FACTOR}) % 4294967296" if half < 2 else "xor(v, v >> 16)"
+        now = name if i == 8 else f"{name}{i}"
+        steps.append(f"{now} AS (SELECT * EXCLUDE (x, v), {step} AS x FROM (SELECT *, {x} AS v FROM {last}))")
+        last = now
+    return ", ".join(steps)
+
+
+#: Draws of groups by lists of counts: Poisson numbers, then single draws up to n.
+_GROUP_CELLS = f"""per AS (SELECT group_id, {", ".join(f"count(*) FILTER ({cond})::BIGINT AS {part}{c}" for part, t in (("tp", "label = {c} AND prediction = {c}"), ("actual", "label = {c}"), ("predicted", "prediction = {c}")) for c in range(K) for cond in [t.format(c=c)])} FROM preds GROUP BY 1),
+units AS (SELECT row_number() OVER (ORDER BY group_id) - 1 AS index, {", ".join(_PARTS)} FROM per), total AS (SELECT count(*) AS n FROM units),
+alike AS (SELECT *, times * (greatest(0.0::DOUBLE, n - 6 * sqrt(n)) / n) AS rate, ('0x' || substr(md5, 1, 8))::BIGINT AS one, ('0x' || substr(md5, 9, 8))::BIGINT AS two FROM (
+  SELECT {", ".join(_PARTS)}, count(*) AS times, md5('bg:' || {" || ':' || ".join(_PARTS)}) AS md5 FROM units GROUP BY ALL), total),
+steps AS (SELECT rate, unnest(range(greatest(0, floor(rate - 9 * sqrt(rate) - 10))::BIGINT, ceil(rate + 9 * sqrt(rate) + 10)::BIGINT + 1)) AS k FROM (SELECT DISTINCT rate FROM alike)),
+masses AS (SELECT rate, k, coalesce(sum(p) OVER (PARTITION BY rate ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM (SELECT rate, k, CASE WHEN rate = 0 THEN (k = 0)::INTEGER ELSE exp(k * ln(rate) - rate - lgamma(k + 1)) END::DOUBLE AS p FROM steps)),
+asked AS (SELECT r, one, two, rate, {", ".join(_PARTS)}, r::BIGINT AS x FROM (SELECT unnest(range({SAMPLES}))::INTEGER AS r), alike),
+{_mix_sql("asked", "mixed")},
+pooled AS (SELECT r, sum(k)::BIGINT AS pooled, {", ".join(f"sum(k * {c})::BIGINT AS {c}" for c in _PARTS)} FROM (SELECT a.*, k FROM (SELECT *, (x + 0.5::DOUBLE) / 4294967296 AS w FROM mixed) a ASOF JOIN masses m ON a.rate = m.rate AND a.w >= m.u) GROUP BY r),
+lacking AS (SELECT r, n, n - pooled AS lack FROM pooled, total),
+singles AS (SELECT r, ('0x' || substr(md5, 8 * k + 1, 8))::BIGINT % n AS index FROM (SELECT r, n, lack, j, md5('b:' || r || ':' || j) AS md5, unnest(range(4)) AS k FROM lacking, LATERAL (SELECT unnest(range((lack + 3) // 4)) AS j)) WHERE 4 * j + k < lack),
+sums AS (SELECT r, {", ".join(f"sum({c})::BIGINT AS {c}" for c in _PARTS)} FROM (SELECT r, {", ".join(_PARTS)} FROM pooled UNION ALL SELECT r, {", ".join(_PARTS)} FROM singles JOIN units USING (index)) GROUP BY r),
+reps AS (SELECT r, ({" + ".join(f"CASE WHEN actual{c} + predicted{c} = 0 THEN 0.0 ELSE 2.0 * tp{c} / (actual{c} + predicted{c}) END::DOUBLE" for c in range(K))}) / 3 AS m FROM sums)"""
+
+
+@query("bootstrap_ci_grouped", X.sql("preds", _CI, _GROUP_CELLS))
 def _(spark, d):
     return S.bootstrap_ci(X.preds(spark, d), K, SAMPLES, group="group_id")
 
