@@ -329,6 +329,27 @@ def test_repeats_on_awkward_tables(spark, tricky, nothing, module, name, units,
     assert spans_by_row(find(df).collect()) == want
 
 
+@pytest.mark.parametrize("module,name,units,n,by_position", REPEATS)
+def test_texts_of_one_id_with_equal_hashes(spark, monkeypatch, tricky, module, name, units, n, by_position):
+    """Hashes of several texts under one id collide at first: another seed is taken, and no text gets another's spans."""
+    choose, tried = repeats.choose_tags, []
+
+    def weak(raw, seed):
+        return 5 if seed < 2 else len(raw) * 1000 + sum(raw) % 1000
+
+    def chosen(df):
+        tried.append(choose(df, weak))
+        return tried[-1]
+
+    monkeypatch.setattr(repeats, "choose_tags", chosen)
+    passage = " ".join(f"passage{k}" for k in range(20))
+    rows = [(None, f"{passage} end {k}") for k in range(6)] + [(None, f"start {k} of another") for k in range(3)] + [(3, f"{passage} three"), (3, "three again"), (4, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(i), str(t), sorted(gone)) for (i, t), gone in zip(rows, covered(rows, units, n, by_position)))
+    assert spans_by_row(getattr(module, name)(df).collect()) == want
+    assert tried[0].seed == 2 and not tried[0].unique
+
+
 @pytest.mark.parametrize("module,name,units,n,by_position", REPEATS)
 def test_one_anchor_in_every_document(spark, monkeypatch, module, name, units, n, by_position):
     """A passage in every text, each time between other words, and many null ids: crowded anchors are cut by further grams."""

@@ -211,9 +211,12 @@ counted AS (SELECT r, k, count(*) AS n FROM found JOIN vocabulary USING (k) GROU
 wd AS (SELECT b.r, b.lang, b.base_failed, v.k, coalesce(n, 0) AS n FROM base b CROSS JOIN vocabulary v LEFT JOIN counted c ON b.r = c.r AND v.k = c.k),
 wd_ref AS (SELECT lang, k, sum(n) AS n FROM wd WHERE NOT base_failed GROUP BY ALL),
 cd AS ({_distance_sql("ch")}), wdist AS ({_distance_sql("wd")}),
-known AS (SELECT lang FROM wd_ref GROUP BY lang HAVING sum(n) > 0),
-v AS (SELECT base.*, cd.distance AS c, coalesce(wdist.distance, CASE WHEN EXISTS (SELECT 1 FROM known WHERE known.lang IS NOT DISTINCT FROM base.lang) THEN 1.0::DOUBLE END) AS x FROM base LEFT JOIN cd ON base.r = cd.r LEFT JOIN wdist ON base.r = wdist.r)
+known AS (SELECT lang, sum(n) AS n FROM wd_ref GROUP BY lang),
+own AS (SELECT r, sum(n) AS n FROM wd GROUP BY r),
+v AS (SELECT base.*, cd.distance AS c, coalesce(wdist.distance, CASE WHEN known.n > 0 THEN 1.0::DOUBLE END) AS x,
+  coalesce(base.lang IN {tuple(COMMON_WORDS)}, false) OR coalesce(known.n >= {MIN_REFERENCE_WORDS} AND own.n >= {MIN_TEXT_WORDS}, false) AS by_words
+  FROM base LEFT JOIN cd ON base.r = cd.r LEFT JOIN wdist ON base.r = wdist.r LEFT JOIN own ON base.r = own.r LEFT JOIN known ON known.lang IS NOT DISTINCT FROM base.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(c, 6) AS class_distance, round(x, 6) AS word_distance,
-  NOT base_failed AND NOT (n_words >= 100 AND coalesce(c > 0.25, false)) AND NOT (n_words >= 100 AND coalesce(x > 0.70, false)) AND NOT (n_words >= 200 AND coalesce(x > 0.50, false)) AS kept FROM v
+  NOT base_failed AND NOT (n_words >= 100 AND coalesce(c > 0.25, false)) AND NOT (by_words AND n_words >= 100 AND coalesce(x > 0.70, false)) AND NOT (by_words AND n_words >= 200 AND coalesce(x > 0.50, false)) AS kept FROM v
 """
 QUERIES = {"op6_quality_rules": (op6_quality_rules, _ORACLE)}

@@ -12,8 +12,9 @@ have equal anchors, so all copies of a window meet where contexts are grouped by
    filed by the anchor and the grams at both ends of the window; what still differs there goes to the method, in a further pass.
 3. Repeated spans are gathered by document and applied to the texts.
 
-Page hashes are 48 + 64 bits. Documents are known by id and 31 bits of their text's hash, so that rows which share an id but
-not a text keep apart; ids that are no whole numbers are numbered in their order; null ids come last. An empty table gives no rows.
+Page hashes are 48 + 64 bits. Documents are known by id; where ids are shared, and for null ids, also by a 63-bit hash of the text, whose seed is
+changed until no two texts of one id share it, so that rows which share an id but not a text keep apart. Ids that are no whole numbers are numbered
+in their order; null ids come last. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def contexts_of(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) ->
 
 
 #: A page's columns: id, discriminator, first window, windows, anchor hash, context hash.
-_COLUMNS = [("doc", np.int64), ("tag", np.uint32), ("start", np.int32), ("count", np.uint8), ("anchor", np.uint64), ("context", np.uint64)]
+_COLUMNS = [("doc", np.int64), ("tag", np.int64), ("start", np.int32), ("count", np.uint8), ("anchor", np.uint64), ("context", np.uint64)]
 
 
 def _pack(rows: dict[str, np.ndarray]) -> bytes:
@@ -165,12 +166,12 @@ def _spans(rows: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, ...]:
 
 
 #: What the stages pass on: spans (anchor null), or contexts whose text is wanted (anchor: what they are compared by; hot: they are too many).
-FOUND = "doc long, tag int, start int, finish int, anchor long, hot boolean"
+FOUND = "doc long, tag long, start int, finish int, anchor long, hot boolean"
 
 
 def _found(doc, tag, start, end, anchor=None, hot=None) -> pa.RecordBatch:
     n = len(doc)
-    columns = [pa.array(doc, pa.int64()), pa.array(tag.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)), pa.nulls(n, pa.bool_()) if hot is None else pa.array(hot)]
+    columns = [pa.array(doc, pa.int64()), pa.array(tag.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)), pa.nulls(n, pa.bool_()) if hot is None else pa.array(hot)]
     return pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "start", "finish", "anchor", "hot"])
 
 
@@ -203,11 +204,42 @@ def _ids(column) -> np.ndarray:
     return np.array([NO_ID if x is None else x for x in column.to_pylist()], np.int64)
 
 
-def tag_of(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw) & 0x7FFFFFFF
+def tag_of(raw: bytes, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(raw, seed) >> 1
 
 
-def _file_contexts(scheme: Scheme, buckets: int):
+@dataclass(frozen=True)
+class Tags:
+    """What tells texts of one id apart: nothing where ids are unique, else a hash of the text."""
+
+    unique: bool
+    seed: int = 0
+    hash: Callable = tag_of
+
+    def of(self, doc: int, raw: bytes) -> int:
+        return 0 if self.unique and doc != NO_ID else self.hash(raw, self.seed)
+
+    def column(self, number, text):
+        def tags(numbers: pa.Array, texts: pa.Array) -> pa.Array:
+            return pa.array([self.of(d, (t or "").encode("utf-8", "surrogatepass")) for d, t in zip(_ids(numbers).tolist(), texts.to_pylist())], pa.int64())
+
+        return F.arrow_udf(tags, "long")(number, text)
+
+
+def choose_tags(numbered: DataFrame, hash: Callable = tag_of) -> Tags:
+    """numbered(number, text) -> tags by which no two texts of one id are alike."""
+    n, distinct = numbered.agg(F.count("number"), F.count_distinct("number")).first()
+    unique = n == distinct
+    shared = numbered.where("number IS NULL") if unique else numbered
+    for seed in range(10):
+        tags = Tags(unique, seed, hash)
+        alike = shared.select("number", tags.column(F.col("number"), F.col("text")).alias("tag"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
+        if alike.groupBy("number", "tag").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").isEmpty():
+            return tags
+    raise RuntimeError("texts of one id can't be told apart")
+
+
+def _file_contexts(scheme: Scheme, buckets: int, tags: Tags):
     """(id, text) -> pages."""
 
     def over(batches):
@@ -224,11 +256,11 @@ def _file_contexts(scheme: Scheme, buckets: int):
                 which = np.searchsorted(ends, first, side="right")
                 doc, tag, base = (np.array([p[k] for p in pieces]) for k in range(3))
                 begin = np.r_[0, ends[:-1]]
-                return {"doc": doc[which], "tag": tag[which].astype(np.uint32), "start": (first - begin[which] + base[which]).astype(np.int32), "count": count.astype(np.uint8), "anchor": anchor, "context": context}
+                return {"doc": doc[which], "tag": tag[which], "start": (first - begin[which] + base[which]).astype(np.int32), "count": count.astype(np.uint8), "anchor": anchor, "context": context}
 
             for doc, raw in zip(ids, texts):
                 codes = scheme.units(raw)
-                tag = tag_of(raw)
+                tag = tags.of(int(doc), raw)
                 for base in range(0, max(len(codes) - scheme.window + 1, 0), CHUNK):
                     piece = codes[base : base + CHUNK + scheme.window - 1]
                     if size and size + len(piece) > CHUNK:
@@ -256,9 +288,9 @@ def _read_pages(group: pa.Table, kind: int) -> list[bytes]:
 def _passed_on(group: pa.Table) -> list[pa.RecordBatch]:
     out = []
     for page in _read_pages(group, 1):
-        n = len(page) // 28
-        ints = np.frombuffer(page, np.int64, 3 * n).reshape(3, n)
-        out.append(_found(ints[0], np.frombuffer(page, np.uint32, n, 24 * n), ints[1], ints[2]))
+        n = len(page) // 32
+        doc, start, end, tag = np.frombuffer(page, np.int64, 4 * n).reshape(4, n)
+        out.append(_found(doc, tag, start, end))
     return out
 
 
@@ -303,7 +335,7 @@ def split_windows(codes: np.ndarray, anchor: int, window: int, gram: int, level:
     return mix(key * np.uint64(_BASE) + grams[window - gram : window - gram + n]), whole
 
 
-def _fetch_contexts(scheme: Scheme, buckets: int, level: int):
+def _fetch_contexts(scheme: Scheme, buckets: int, level: int, tags: Tags):
     """(id, text, wanted contexts) -> pages of kind 2: contexts with their codes; and of kind 0: the single windows of crowded contexts."""
 
     def page_of(docs, tags, starts, anchors, codes) -> bytes:
@@ -317,7 +349,7 @@ def _fetch_contexts(scheme: Scheme, buckets: int, level: int):
             windows = []
             for doc, text, wanted in zip(_ids(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                codes, tag = scheme.units(raw), tag_of(raw)
+                codes, tag = scheme.units(raw), tags.of(int(doc), raw)
                 sent = np.frombuffer(raw, np.uint8) if scheme.bytewise else codes
                 for w in wanted:
                     if not w["hot"]:
@@ -326,7 +358,7 @@ def _fetch_contexts(scheme: Scheme, buckets: int, level: int):
                     part = codes[w["start"] : w["finish"]]
                     key, whole = split_windows(part, w["anchor"], scheme.window, scheme.gram, level)
                     n = len(key)
-                    windows.append({"doc": np.full(n, doc), "tag": np.full(n, tag, np.uint32), "start": np.arange(w["start"], w["start"] + n, dtype=np.int32), "count": np.ones(n, np.uint8), "anchor": key & ~np.uint64(0xFFFF), "context": whole})
+                    windows.append({"doc": np.full(n, doc), "tag": np.full(n, tag, np.int64), "start": np.arange(w["start"], w["start"] + n, dtype=np.int32), "count": np.ones(n, np.uint8), "anchor": key & ~np.uint64(0xFFFF), "context": whole})
             keys = list(by)
             pages = [page_of(*map(list, zip(*by[k]))) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([2] * len(keys), pa.int32()), pa.array(pages, pa.binary())], names=["bucket", "kind", "page"])
@@ -369,10 +401,6 @@ def _settle(scheme: Scheme):
     return over
 
 
-def document_tags(texts: pa.Array) -> pa.Array:
-    return pa.array([tag_of((t or "").encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.int32())
-
-
 def _numbered(df: DataFrame) -> DataFrame:
     """df(id, text) -> (id, text, number): whole numbers are their own, ids of other types are numbered in their order; a null id has none."""
     if isinstance(df.schema["id"].dataType, IntegralType):
@@ -388,9 +416,10 @@ def repeated_spans(df: DataFrame, scheme: Scheme) -> DataFrame:
     small_batches(spark)
     buckets = max(8, 4 * df.rdd.getNumPartitions())
     df = _numbered(df)
-    filed = df.select("number", "text").mapInArrow(_file_contexts(scheme, buckets), PAGES)
+    tags = choose_tags(df)
+    filed = df.select("number", "text").mapInArrow(_file_contexts(scheme, buckets, tags), PAGES)
     found = [materialize(filed.groupBy("bucket").applyInArrow(_compare_contexts(scheme), FOUND), "contexts")]
-    tagged = df.select("id", "number", "text", F.coalesce("number", F.lit(NO_ID)).alias("doc"), F.arrow_udf(document_tags, "int")(F.col("text")).alias("tag"))
+    tagged = df.select("id", "number", "text", F.coalesce("number", F.lit(NO_ID)).alias("doc"), tags.column(F.col("number"), F.col("text")).alias("tag"))
     # crowded contexts are cut to windows, of which some may be wanted in the next pass; mostly one pass does
     for level in range(1, 5):
         wanted = found[-1].where("anchor IS NOT NULL")
@@ -398,7 +427,7 @@ def repeated_spans(df: DataFrame, scheme: Scheme) -> DataFrame:
             break
         wanted = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "finish", "anchor", "hot")).alias("wanted"))
         texts = tagged.join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("number", "text", "wanted")
-        fetched = texts.mapInArrow(_fetch_contexts(scheme, buckets, level), PAGES)
+        fetched = texts.mapInArrow(_fetch_contexts(scheme, buckets, level, tags), PAGES)
         found.append(materialize(fetched.groupBy("bucket").applyInArrow(_settle(scheme), FOUND), "windows"))
     else:
         raise RuntimeError("windows filed by their whole text stay apart")
