@@ -73,25 +73,16 @@ def _(spark, d):
     return S.scan_transcripts(spark, path)
 
 
+@query("scan_file_index", """WITH f AS (SELECT 'main' AS part, p_partkey, octet_length(encode(p_name)) + 1 AS n FROM part UNION ALL SELECT 'more', p_partkey, octet_length(encode(p_type)) + 1 FROM part WHERE p_partkey % 10 = 0)
+  SELECT part, p_partkey::VARCHAR AS stem, 'p_partkey=' || p_partkey AS folder, n::BIGINT AS length, count(*) OVER (PARTITION BY p_partkey) > 1 AS duplicate FROM f""")
 def _(spark, d):
-    """A conversation's turns stand for its transcript rows."""
-    c = X.load(spark, d, "conversations").select(F.col("conv_id").alias("uid"), F.col("text").alias("transcription"), F.col("text").alias("transcription_pause"))
-    return S.scan_transcripts(c).select("uid", "problem").join(c.groupBy("uid").agg(F.count("*").alias("n")), "uid")
-
-
-@query("scan_file_index", "SELECT p_type AS kind, sum(octet_length(encode(p_name)) + 1)::BIGINT AS bytes FROM part GROUP BY 1")
-def _(spark, d):
-    """Part names by type as text files; bytes of each type's files (their number depends on the writing tasks)."""
-    path = shared_path(spark, "files")
-    X.load(spark, d, "part").select("p_type", F.col("p_name").alias("value")).write.partitionBy("p_type").text(path)
-    kind = F.replace(F.regexp_extract("path", r"p_type=([^/]*)/", 1), F.lit("%20"), F.lit(" "))
-    return S.scan_file_index(spark, path, "*.txt").groupBy(kind.alias("kind")).agg(F.sum("length").alias("bytes"))
-
-
-def _(spark, d):
+    """A text file for each part, and a second one under the same stem for every tenth."""
     path = shared_path(spark, "files")
-    X.load(spark, d, "part").select("p_type", F.col("p_name").alias("value")).write.partitionBy("p_type").text(path)
-    return S.scan_file_index(spark, path, "*.txt").select(F.regexp_extract("path", r"p_type=([^/]*)/", 1).alias("kind"), "length", "duplicate")
+    p = X.load(spark, d, "part")
+    p.select("p_partkey", F.col("p_name").alias("value")).write.partitionBy("p_partkey").text(f"{path}/main")
+    p.where("p_partkey % 10 = 0").select("p_partkey", F.col("p_type").alias("value")).write.partitionBy("p_partkey").text(f"{path}/more")
+    files = S.scan_file_index(spark, path, "*.txt", stem=r"p_partkey=([^/]*)/")
+    return files.select(F.regexp_extract("path", "/(main|more)/", 1).alias("part"), "stem", "folder", "length", "duplicate")
 
 
 @query("scan_splits", X.sql("cohort", "SELECT 'train' AS split, fold, uid, NULL::VARCHAR AS problem FROM (SELECT uid::VARCHAR AS uid, (patient_id % 5)::INTEGER AS fold FROM cohort) WHERE fold < 4 UNION ALL SELECT 'train', fold, uid, 'fold' FROM (SELECT uid::VARCHAR AS uid, (patient_id % 5)::INTEGER AS fold FROM cohort) WHERE fold = 4"))
@@ -101,11 +92,6 @@ def _(spark, d):
     return S.scan_splits(spark, path, 4)
 
 
-def _(spark, d):
-    c = X.cohort(spark, d).select(F.lit("train").alias("split"), (F.col("patient_id") % 5).cast("int").alias("fold"), "uid")
-    return S.scan_splits(c, 4)
-
-
 @query("scan_run_results", X.sql("runs", "SELECT trial, fold, train_score AS training_macro_f1, score AS macro_f1, score * 2 AS accuracy, (trial % 3)::INTEGER AS n_predictions FROM runs"))
 def _(spark, d):
     """Result documents as JSON arrays, one file for each of 50 shares of the trials."""
@@ -117,16 +103,6 @@ def _(spark, d):
     return S.scan_run_results(spark, path)
 
 
-def _(spark, d):
-    r = X.runs(spark, d)
-    p = F.array_repeat(F.struct(F.col("trial").alias("uid"), F.lit(0).alias("label"), F.lit(1).alias("prediction")), (F.col("trial") % 3).cast("int"))
-    path = shared_path(spark, "results")
-    docs = r.select("trial", "fold", F.col("train_score").alias("training_macro_f1"), F.struct(F.col("score").alias("macro_f1"), (F.col("score") * 2).alias("accuracy")).alias("metrics"), p.alias("predictions"))
-    docs.write.json(path)
-    lines = spark.read.schema(S.RUN_RESULT).json(path)
-    return lines.select("trial", "fold", "training_macro_f1", "metrics.macro_f1", "metrics.accuracy", F.size("predictions").alias("n_predictions"))
-
-
 @query("scan_journal", "SELECT event_id AS completed_steps, value AS validation_macro_f1, (props ->> '$.k')::BIGINT AS k FROM events")
 def _(spark, d):
     """`events` as a decision log in JSON lines, read again."""
@@ -150,11 +126,6 @@ def _(spark, d):
     return S.scan_segments(spark, path, "system")
 
 
-def _(spark, d):
-    c = X.load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("uid"), F.col("role").alias("speaker"), (F.col("conv_id") * 10).alias("begin_ms"), (F.col("conv_id") * 10 + 1500).alias("stop_ms"))
-    return S.scan_segments(c, "system")
-
-
 @query("scan_noise_lists", "SELECT p_name AS path, p_type AS type FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_name, 'rir' FROM part WHERE p_partkey % 4 = 0")
 def _(spark, d):
     p, path = X.load(spark, d, "part").withColumn("path", F.col("p_name")), shared_path(spark, "noise")
@@ -163,11 +134,6 @@ def _(spark, d):
     return S.scan_noise_lists(spark, f"{path}/noises", f"{path}/rirs")
 
 
-def _(spark, d):
-    p = X.load(spark, d, "part")
-    return S.scan_noise_lists(p.where("p_partkey % 4 <> 0").select(F.col("p_name").alias("path"), F.col("p_type").alias("type")), p.where("p_partkey % 4 = 0").select(F.col("p_name").alias("path")))
-
-
 @query("scan_text_files", "SELECT s_suppkey::VARCHAR AS uid, CASE WHEN s_suppkey % 4 = 0 THEN 'test' ELSE 'train' END AS partition, CASE WHEN s_suppkey % 4 = 0 THEN '...' ELSE s_name END AS text, NULL::VARCHAR AS problem FROM supplier")
 def _(spark, d):
     """Supplier names as transcript files."""
@@ -217,15 +183,6 @@ def _(spark, d):
     return labelled.select("uid", "partition", "label").unionByName(hidden.select("uid", F.lit("test").alias("partition"), F.lit(None).cast("string").alias("label")))
 
 
-def _(spark, d):
-    """The labelled part, written and read again."""
-    o = X.load(spark, d, "orders")
-    rows = o.select(F.col("o_orderkey").alias("uid"), F.when(F.col("o_orderstatus") == "F", "train").when(F.col("o_orderstatus") == "O", "validation").otherwise("test").alias("partition"), F.col("o_orderpriority").alias("label"))
-    path = shared_path(spark, "tsv")
-    K.write_partition_labels(rows, path)
-    return spark.read.csv(f"{path}/labelled", sep="\t", header=True, schema="uid BIGINT, label STRING, partition STRING").select("uid", "partition", "label")
-
-
 @query("write_once", "SELECT f AS form, c_custkey, c_mktsegment FROM customer, (VALUES ('csv'), ('json')) v(f)")
 def _(spark, d):
     """In both forms."""
@@ -236,12 +193,6 @@ def _(spark, d):
     return read["json"].select(F.lit("json").alias("form"), "*").unionByName(read["csv"].select(F.lit("csv").alias("form"), "*"))
 
 
-def _(spark, d):
-    path = shared_path(spark, "once")
-    K.write_once(X.load(spark, d, "customer").select("c_custkey", "c_mktsegment"), path)
-    return spark.read.schema("c_custkey BIGINT, c_mktsegment STRING").json(path)
-
-
 @query("write_atomic", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0")
 def _(spark, d):
     """Two versions; the second is what readers see."""
@@ -338,15 +289,6 @@ def _(spark, d):
     return apply_per_recording(X.words(spark, d).select("uid", "word_id", "start_ms", "end_ms"), spoken, "uid BIGINT, word_id INT, spoken_ms BIGINT")
 
 
-def _(spark, d):
-    from vocalith.operators.fitting import score_partitions
-
-    def load():
-        return lambda f: f[["vec_id"]].assign(score=[round(float(e[0]) + float(e[1]), 6) for e in f["embedding"]])
-
-    return score_partitions(X.load(spark, d, "embeddings").select("vec_id", "embedding"), load, "vec_id BIGINT, score DOUBLE")
-
-
 # --- reports
 
 
@@ -442,14 +384,30 @@ def _(spark, d):
     return _windows(spark, d, J.stream_sessions)
 
 
-@query("stream_running_best", """WITH seen AS (SELECT user_id, event_id, ts, value, max(CASE WHEN event_type <> 'error' THEN value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, event_type <> 'error' AS eligible FROM events),
+PATIENCE = 5
+
+
+def _in_steps(df, by, path, run, steps=3):
+    """Rows of df arrive in so many steps by the column `by`; after each the job goes on from its checkpoint."""
+    ends = df.agg(F.min(by).cast("double").alias("lo"), F.max(by).cast("double").alias("hi")).first()
+    step = F.least(F.lit(steps - 1), F.floor((F.col(by).cast("double") - ends.lo) * steps / ((ends.hi - ends.lo) or 1.0)))
+    for k in range(steps):
+        df.where(step == k).write.mode("append").parquet(f"{path}/in")
+        run()
+
+
+@query("stream_running_best", f"""WITH seen AS (SELECT user_id, event_id, ts, value, max(CASE WHEN event_type <> 'error' THEN value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, event_type <> 'error' AS eligible FROM events),
   decided AS (SELECT *, eligible AND value IS NOT NULL AND (best IS NULL OR value > best) AS saved FROM seen),
-  islands AS (SELECT *, sum(saved::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM decided)
-  SELECT user_id AS run, event_id, value AS metric, saved, (row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - CASE WHEN island = 0 THEN 0 ELSE 1 END)::INTEGER AS waited FROM islands""")
+  islands AS (SELECT *, sum(saved::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM decided),
+  waits AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY place) - CASE WHEN island = 0 THEN 0 ELSE 1 END AS waited FROM islands),
+  stops AS (SELECT user_id, min(place) FILTER (waited >= {PATIENCE}) AS stop FROM waits GROUP BY 1)
+  SELECT user_id AS run, event_id, value AS metric, saved AND place <= coalesce(stop, place) AS saved, (CASE WHEN place <= coalesce(stop, place) THEN waited ELSE {PATIENCE} END)::INTEGER AS waited, coalesce(place >= stop, false) AS stopped FROM waits JOIN stops USING (user_id)""")
 def _(spark, d):
+    """Events arrive in three steps of time, and the job starts anew for each."""
     path = shared_path(spark, "decisions")
-    J.run_to_end(J.stream_running_best(J.read_events(spark, f"{d}/events.parquet", files=1)), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out")
+    job = lambda: J.run_to_end(J.stream_running_best(J.read_events(spark, f"{path}/in"), patience=PATIENCE), f"{path}/out", f"{path}/checkpoint")
+    _in_steps(X.load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", path, job)
+    return spark.read.parquet(f"{path}/out").drop("closed")
 
 
 @query("stream_dedup", "SELECT event_id, count(*) AS n FROM events GROUP BY 1")
@@ -469,27 +427,26 @@ def _(spark, d):
     return spark.read.parquet(f"{path}/out")
 
 
-def _(spark, d):
-    labels = X.load(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("diagnosis"))
-    return J.stream_label_join(_events(spark, d), labels, "user_id", "c_custkey").select("event_id", "user_id", "diagnosis")
-
-
 @query("stream_quarantine", "SELECT event_id, coalesce(value < max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM events")
 def _(spark, d):
-    """The job over all events, with `value` as the time that must not go back."""
+    """The job over all events, in three steps of their ids, with `value` as the time that must not go back."""
     path = shared_path(spark, "quarantine")
-    J.stream_quarantine(J.read_events(spark, f"{d}/events.parquet"), f"{path}/good", f"{path}/bad", f"{path}/checkpoint", value="value").awaitTermination()
+    job = lambda: J.stream_quarantine(J.read_events(spark, f"{path}/in"), f"{path}/good", f"{path}/bad", f"{path}/checkpoint", value="value").awaitTermination()
+    _in_steps(X.load(spark, d, "events"), "event_id", path, job)
     read = lambda name, late: spark.read.parquet(f"{path}/{name}").select("event_id", F.lit(late).alias("late"))
     return read("good", False).unionByName(read("bad", True))
 
 
-@query("stream_publish_once", "SELECT doc_id, sha256(text) AS hash FROM documents")
+@query("stream_publish_once", "SELECT doc_id, sha256(coalesce(text, '')) AS hash, 'published' AS outcome FROM documents UNION ALL SELECT doc_id, sha256(coalesce(text, '') || '!'), 'conflict' FROM documents WHERE doc_id % 7 = 0")
 def _(spark, d):
+    """All documents, then all of them again, every seventh with another text."""
     path = shared_path(spark, "published")
-    schema = X.load(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).parquet(J.as_glob(f"{d}/documents.parquet")).select("doc_id", "text")
-    J.stream_publish_once(docs, f"{path}/out", f"{path}/conflicts", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("doc_id", F.sha2("text", 256).alias("hash"))
+    docs = X.load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for sent in (docs, docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))):
+        sent.write.mode("append").parquet(f"{path}/in")
+        J.stream_publish_once(spark.readStream.schema(docs.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/conflicts", f"{path}/checkpoint").awaitTermination()
+    read = lambda name, outcome: spark.read.schema(docs.schema).parquet(f"{path}/{name}").select("doc_id", F.sha2("text", 256).alias("hash"), F.lit(outcome).alias("outcome"))
+    return read("out", "published").unionByName(read("conflicts", "conflict"))
 
 
 @query("vec_mean", X.sql("vecs", "SELECT uid, list(v ORDER BY i) AS vec FROM (SELECT uid, i, round(avg(x), 6) AS v FROM (SELECT uid, unnest(range(1, 65)) AS i, unnest(vec)::DOUBLE AS x FROM vecs) GROUP BY 1, 2) GROUP BY uid"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +30,3 @@ def test_sheet(preds: DataFrame, classes: int) -> DataFrame:
     each = preds.withColumn("prediction", argmax_class(F.col("proba"))).groupBy("model").agg(*score)
     return whole.unionByName(each.select(F.concat(F.lit("model "), F.col("model").cast("string")).alias("system"), "recordings", "macro_f1", "accuracy"))
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -91,10 +91,10 @@ def scan_transcripts(spark: SparkSession, path: str, pauses: bool = False) -> Da
     return by.select("uid", F.when(problem.isNull(), F.col("text")).alias("text"), problem.alias("problem"))
 
 
-def scan_file_index(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, length, stem, folder, duplicate) of the files below root; contents are not read."""
+def scan_file_index(spark: SparkSession, root: str, glob: str = "*", stem: str = STEM) -> DataFrame:
+    """(path, length, stem, folder, duplicate) of the files below root; contents are not read. The stem is the first group of a pattern over the path; duplicate: another file has it as well."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", "length")
-    named = files.select("path", "length", F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"))
+    named = files.select("path", "length", F.regexp_extract("path", stem, 1).alias("stem"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"))
     n = named.groupBy("stem").agg((F.count("*") > 1).alias("duplicate"))
     return named.join(n, "stem").select("path", "length", "stem", "folder", "duplicate")
 

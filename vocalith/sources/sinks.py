@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from vocalith.functions.hashing import struct_signature
 
@@ -92,6 +91,3 @@ def write_path_list(df: DataFrame, path: str, kind: str | None = None) -> None:
     """A path in each line, with a tab and its type if `kind` names that column."""
     df.select(F.concat_ws("\t", "path", *([kind] if kind else [])).alias("value")).write.text(path)
 
-
-def latest_only(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("__k = 1").drop("__k")

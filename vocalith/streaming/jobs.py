@@ -3,15 +3,15 @@ function takes a batch table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from contextlib import nullcontext
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructField, StructType
 
+from vocalith.streaming.state import PublishOnce, Quarantine, RunningBest, no_empty_batches, processed
+
 
 def as_glob(path: str) -> str:
     """The path as a pattern that fits only itself: a stream takes a folder or a pattern, and a table may be one file."""
@@ -50,27 +50,18 @@ def stream_sessions(df: DataFrame, gap: str = "30 minutes", watermark: str = "1
     return by.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total", "high")
 
 
-DECISIONS = "run BIGINT, event_id BIGINT, metric DOUBLE, saved BOOLEAN, waited INT"
+DECISIONS = "run BIGINT, event_id BIGINT, metric DOUBLE, saved BOOLEAN, waited INT, stopped BOOLEAN, closed BOOLEAN"
 
 
-def stream_running_best(df: DataFrame) -> DataFrame:
-    """Decisions for rows (user_id, ts, event_id, value, event_type): saved if eligible and strictly above the best so far, and rows since the last save.
+def stream_running_best(df: DataFrame, key: str = "user_id", patience: int | None = None, ttl_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Decisions for rows (key, ts, event_id, value, event_type): saved if eligible and strictly above the best so far, waited: rows since the last save, stopped: `patience`
+    rows have passed without one, from then on rows are not judged.
 
-    A key's state is its best and its counter. Rows of one trigger are taken in the order of (ts, event_id).
+    A key's state is its best and its counter; it lasts ttl_ms after it was last written (for ever if None), and idle_ms after its last row the run is closed by a row without event
+    (closed). Rows of one trigger are taken in the order of (ts, event_id); those of a later trigger come later.
     """
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, waited = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event, metric, kind in zip(rows["event_id"], rows["value"], rows["event_type"]):
-            saved = kind != "error" and metric is not None and metric == metric and (best is None or metric > best)
-            best, waited = (metric, 0) if saved else (best, waited + 1)
-            out.append((key[0], event, metric, saved, waited))
-        state.update((best, waited))
-        yield pd.DataFrame(out, columns=["run", "event_id", "metric", "saved", "waited"])
-
-    return df.groupBy("user_id").applyInPandasWithState(decide, DECISIONS, "best DOUBLE, waited INT", "append", GroupStateTimeout.NoTimeout)
+    rows = df.select(F.col(key).cast("bigint").alias("run__"), "ts", "event_id", F.col("value").cast("double").alias("value"), "event_type")
+    return processed(rows, "run__", RunningBest("run__", patience, ttl_ms, idle_ms), DECISIONS, ttl_ms is not None or idle_ms is not None)
 
 
 def stream_dedup(df: DataFrame, key: str = "event_id", watermark: str = "1 hour") -> DataFrame:
@@ -83,9 +74,10 @@ def stream_label_join(df: DataFrame, labels: DataFrame, key: str, label_key: str
     return df.join(labels, df[key] == labels[label_key], "left")
 
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all there is into Parquet at path."""
-    query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append", empty_batches: bool = True) -> None:
+    """Runs a stream over all there is into Parquet at path. empty_batches: whether it may end with a batch without rows, which closes windows; jobs with timers must not."""
+    with nullcontext() if empty_batches else no_empty_batches(df.sparkSession):
+        query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -99,51 +91,31 @@ def run_complete(df: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def _split(judged: DataFrame, targets: dict[str, str], checkpoint: str) -> StreamingQuery:
-    """Rows by their `__outcome` to the folders of `targets`, each batch under its id, so that a batch which runs again replaces itself."""
+    """Rows by their `outcome__` to the folders of `targets`, each batch under its id, so that a batch which runs again replaces itself."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.persist()
         for outcome, path in targets.items():
-            batch.where(F.col("__outcome") == outcome).drop("__outcome").write.mode("overwrite").parquet(f"{path}/batch={number}")
+            batch.where(F.col("outcome__") == outcome).drop("outcome__").write.mode("overwrite").parquet(f"{path}/batch={number}")
         batch.unpersist()
 
-    return judged.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with no_empty_batches(judged.sparkSession):
+        return judged.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _with_outcome(df: DataFrame) -> StructType:
-    return StructType([*df.schema.fields, StructField("__outcome", StringType())])
-
-
-def stream_quarantine(df: DataFrame, accepted: str, problems: str, checkpoint: str, key: str = "user_id", order: str = "event_id", value: str = "ts") -> StreamingQuery:
-    """Rows whose time lies before their key's latest one go to `problems`; the rest, and nothing else, to `accepted`. A key's state is its latest time."""
+    return StructType([*df.schema.fields, StructField("outcome__", StringType())])
 
-    def judge(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(order)
-        seen = pd.concat([pd.Series([state.get[0] if state.exists else None], dtype=rows[value].dtype), rows[value]]).cummax()
-        late = rows[value].reset_index(drop=True) < seen.iloc[:-1].ffill().reset_index(drop=True)
-        last = seen.ffill().iloc[-1]
-        if last == last and last is not pd.NaT:
-            state.update((last,))
-        yield rows.assign(__outcome=late.map({True: "late", False: "good"}).to_numpy())
 
-    kept = StructType([StructField("latest", df.schema[value].dataType)])
-    judged = df.groupBy(key).applyInPandasWithState(judge, _with_outcome(df), kept, "append", GroupStateTimeout.NoTimeout)
-    return _split(judged, {"good": accepted, "late": problems}, checkpoint)
+def stream_quarantine(df: DataFrame, accepted: str, problems: str, checkpoint: str, key: str = "user_id", order: str = "event_id", value: str = "ts", ttl_ms: int | None = None) -> StreamingQuery:
+    """Rows whose time lies before their key's latest one go to `problems`; the rest, and nothing else, to `accepted`. A key's state is its latest time, for ttl_ms after it was last written."""
+    kind = df.schema[value].dataType.simpleString()
+    return _split(processed(df, key, Quarantine(kind, order, value, ttl_ms), _with_outcome(df), ttl_ms is not None), {"good": accepted, "late": problems}, checkpoint)
 
 
-def stream_publish_once(df: DataFrame, target: str, conflicts: str, checkpoint: str, key: str = "doc_id", content: str = "text") -> StreamingQuery:
-    """New keys are added to target, and keys that come again with other content to conflicts. A key's state is the hash of its content; of several
+def stream_publish_once(df: DataFrame, target: str, conflicts: str, checkpoint: str, key: str = "doc_id", content: str = "text", ttl_ms: int | None = None) -> StreamingQuery:
+    """New keys are added to target, and keys that come again with other content to conflicts. A key's state is the hash of its content, for ttl_ms after it was published; of several
     contents that come at once the one of the least hash is published."""
-    hashed = df.withColumn("__hash", F.sha2(F.col(content), 256))
-
-    def publish(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).drop_duplicates("__hash").sort_values("__hash")
-        known = state.get[0] if state.exists else None
-        outcome = ["same" if h == known else "conflict" for h in rows["__hash"]]
-        if not state.exists:
-            outcome[0] = "new"
-            state.update((rows["__hash"].iloc[0],))
-        yield rows.assign(__outcome=outcome)
-
-    judged = hashed.groupBy(key).applyInPandasWithState(publish, _with_outcome(hashed), "hash STRING", "append", GroupStateTimeout.NoTimeout)
-    return _split(judged.drop("__hash"), {"new": target, "conflict": conflicts}, checkpoint)
+    hashed = df.withColumn("hash__", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
+    judged = processed(hashed, key, PublishOnce(ttl_ms), _with_outcome(hashed), ttl_ms is not None)
+    return _split(judged.drop("hash__"), {"new": target, "conflict": conflicts}, checkpoint)
