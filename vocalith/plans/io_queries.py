@@ -9,11 +9,15 @@ from vocalith.functions import text as T
 from vocalith.functions.sql_names import register_all
 from vocalith.operators import cohort as C
 from vocalith.operators import intervals as I
+from vocalith.operators import packages as P
 from vocalith.operators import transcripts as R
 from vocalith.operators import vectors as V
 from vocalith.operators.metrics import exact_sum, rounded
+from vocalith.operators.stages import Batch
 from vocalith.plans import fixtures as X
 from vocalith.plans.registry import query
+from vocalith.plans.reports import encode_words
+from vocalith.sources import manifests as M
 from vocalith.sources import scans as S
 from vocalith.sources import sinks as K
 from vocalith.sources.storage import shared_path
@@ -158,17 +162,20 @@ def _(spark, d):
 
 @query("publish_once", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'insert' ELSE 'conflict' END AS outcome FROM documents WHERE doc_id % 3 = 0 OR doc_id % 11 = 1")
 def _(spark, d):
+    """Against a stored manifest of what is published."""
     new = X.load(spark, d, "documents").select("doc_id", "text")
-    old = new.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 11 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    inserts, conflicts = K.publish_once(new, old, "doc_id", "text")
-    return inserts.select("doc_id", F.lit("insert").alias("outcome")).unionByName(conflicts.select("doc_id", F.lit("conflict").alias("outcome")))
+    path = shared_path(spark, "published")
+    M.write_manifest(new.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 11 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), path, "doc_id", "text")
+    return M.publish_against(new, path, "doc_id", "text")
 
 
 @query("verify_manifest", "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 9 = 1 THEN 'unexpected' ELSE 'changed' END AS status FROM documents WHERE doc_id % 9 < 3")
 def _(spark, d):
+    """Against a stored manifest, by its hash tree."""
     docs = X.load(spark, d, "documents").select("doc_id", "text")
-    manifest = docs.where("doc_id % 9 <> 1").select("doc_id", F.sha2(F.when(F.col("doc_id") % 9 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
-    return K.verify_manifest(docs.where("doc_id % 9 <> 0"), manifest, "doc_id", "text")
+    path = shared_path(spark, "manifest")
+    M.write_manifest(docs.where("doc_id % 9 <> 1").withColumn("text", F.when(F.col("doc_id") % 9 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), path, "doc_id", "text")
+    return M.verify_content(docs.where("doc_id % 9 <> 0"), path, "doc_id", "text")
 
 
 @query("write_partition_labels", "SELECT o_orderkey AS uid, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' ELSE 'test' END AS partition, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS label FROM orders")
@@ -315,46 +322,67 @@ def _audio(spark, d, w):
 
 
 def _text(w, keep):
-    return w.select("uid", "word_id", F.array(F.length("word").cast("double"), F.col("prob")).alias("vec"), keep.alias("valid"))
+    vec = F.array(F.length("word").cast("double"), F.col("prob"))
+    return w.select("uid", "word_id", F.when(keep, vec).otherwise(F.array(F.lit(0.0), F.lit(0.0))).alias("vec"), keep.alias("valid"))
+
 
+def _summary(rows):
+    total = rounded(exact_sum(F.when(F.col("valid"), F.col("audio")[0] + F.col("text")[0]), 6), F.lit(1000), 3)
+    return P.package_summary(rows, [F.sum("n_frames").alias("frames"), total.alias("checksum")])
 
-def _package(audio, text):
-    both = R.paired_mask(audio, text)
-    out = both.join(audio.select("uid", "word_id", F.col("vec").alias("audio"), "n_frames"), ["uid", "word_id"]).join(text.select("uid", "word_id", F.col("vec").alias("text")), ["uid", "word_id"])
-    return out.groupBy("uid").agg(F.count("*").alias("words"), F.count_if("valid_0").alias("audio_valid"), F.count_if("valid_1").alias("text_valid"), F.count_if("valid").alias("paired"), F.sum("n_frames").alias("frames"), rounded(exact_sum(F.when(F.col("valid"), F.col("audio")[0] + F.col("text")[0]), 6), F.lit(1000), 3).alias("checksum"))
 
+def _digest_sql(line: str) -> str:
+    return f"sha256(concat_ws(':', count(*), sum(('0x' || substr(md5({line}), 1, 15))::BIGINT::HUGEINT), sum(('0x' || substr(md5({line}), 16, 15))::BIGINT::HUGEINT)))"
 
-def _package_sql(test: str) -> str:
+
+def _package_sql(test: str, more: str = "") -> str:
     from vocalith.plans.frame_queries import _CTC_MAPPED, _pool_sql
 
-    return X.sql("grid ctc_words", f"SELECT w.uid, count(*) AS words, count(n) AS audio_valid, count_if({test}) AS text_valid, count_if(n IS NOT NULL AND {test}) AS paired, coalesce(sum(n), 0)::BIGINT AS frames, {X.sum_sql(f'(CASE WHEN n IS NOT NULL AND {test} THEN v0 + length(word) END)', 6, 3)} AS checksum FROM words w LEFT JOIN means m ON w.uid = m.uid AND w.word_id = m.word_id GROUP BY w.uid", _CTC_MAPPED + ", " + _pool_sql("SELECT * FROM mapped"))
+    a = "w.word_id || ':' || (n IS NOT NULL) || ':' || round(coalesce(v0, 0) * 1000)::BIGINT || '_' || round(coalesce(v1, 0) * 1000)::BIGINT"
+    t = f"w.word_id || ':' || ({test}) || ':' || CASE WHEN {test} THEN (1000 * length(word))::BIGINT ELSE 0 END || '_' || CASE WHEN {test} THEN round(prob * 1000)::BIGINT ELSE 0 END"
+    return X.sql("grid ctc_words", f"""SELECT w.uid, count(*) AS words, count(n) AS audio_valid, count_if({test}) AS text_valid, count_if(n IS NOT NULL AND {test}) AS paired, count_if(n IS NULL AND {test}) AS no_interval, count_if(n IS NOT NULL AND NOT ({test})) AS no_text_tokens, count_if(n IS NULL AND NOT ({test})) AS neither,
+      {_digest_sql(a)} AS audio_hash, {_digest_sql(t)} AS text_hash, CASE WHEN count_if(n IS NOT NULL AND {test}) = 0 THEN 'no valid pair' END AS problem, coalesce(sum(n), 0)::BIGINT AS frames, {X.sum_sql(f'(CASE WHEN n IS NOT NULL AND {test} THEN v0 + length(word) END)', 6, 3)} AS checksum{more}
+      FROM words w LEFT JOIN means m ON w.uid = m.uid AND w.word_id = m.word_id GROUP BY w.uid""", _CTC_MAPPED + ", " + _pool_sql("SELECT * FROM mapped"))
 
 
 @query("package_words", _package_sql("prob >= 0.2"))
 def _(spark, d):
     w = X.stored(X.words(spark, d), "words")
-    return _package(X.stored(_audio(spark, d, w), "audio"), _text(w, F.col("prob") >= 0.2))
+    return _summary(P.package_rows(X.stored(_audio(spark, d, w), "audio"), _text(w, F.col("prob") >= 0.2)))
+
 
+def _records(w):
+    """A record for each recording, with a hash of its words as its source."""
+    return w.groupBy("uid").agg(M.multiset_digest(F.concat_ws(":", "word_id", "word", "start_ms", "end_ms", "prob")).alias("words_hash"))
 
-@query("reencode_text", _package_sql("prob >= 0.4"))
+
+@query("reencode_text", _package_sql("prob >= 0.4", ", (SELECT count(DISTINCT uid) FROM words) AS audio_reused"))
 def _(spark, d):
-    """Audio rows are kept as written; only text rows and the pair mask are new."""
-    w = X.stored(X.words(spark, d), "words")
-    return _package(X.stored(_audio(spark, d, w), "audio"), _text(w, F.col("prob") >= 0.4))
+    """A batch, then another one that differs in its text settings: its acoustic rows are those of the first, as its manifest says; text rows and packages are new."""
+    w, root = X.stored(X.words(spark, d), "words"), shared_path(spark, "batch")
+    records = X.stored(_records(w), "records")
+    audio_of = lambda words: _audio(spark, d, words)
+    for least in (0.2, 0.4):
+        batch = Batch(spark, root)
+        rows = encode_words(batch, records, w, audio_of, lambda words: _text(words, F.col("prob") >= least), {"audio": {"policy": "centres"}, "text": {"least": least}}, keep_failed=True)  # noqa: B023
+    return _summary(rows).withColumn("audio_reused", F.lit(batch.reused["audio"]).cast("long"))
 
 
-@query("cohort_pipeline", X.sql("ctc_words", r"SELECT count(DISTINCT uid) AS recordings, count(*) AS words, count_if(c.start_ms IS NULL) AS unaligned, count_if(length(regexp_replace(lower(trim(w.word)), '\p{P}', '', 'g')) = 0) AS silent, count_if(greatest(abs(c.start_ms - w.start_ms), abs(c.end_ms - w.end_ms)) / 1000.0::DOUBLE > 0.2 + 1e-9) AS flagged, count_if(c.start_ms IS NOT NULL AND prob >= 0.2) AS paired FROM words w JOIN ctc_words c USING (uid, word_id)"))
+@query("cohort_pipeline", X.sql("ctc_words", r"""SELECT count(DISTINCT uid) AS recordings, count(*) AS words, count_if(c.start_ms IS NULL) AS unaligned, count_if(length(regexp_replace(lower(trim(w.word)), '\p{P}', '', 'g')) = 0) AS silent, count_if(greatest(abs(c.start_ms - w.start_ms), abs(c.end_ms - w.end_ms)) / 1000.0::DOUBLE > 0.2 + 1e-9) AS flagged, count_if(c.start_ms IS NOT NULL AND prob >= 0.2) AS paired,
+  (SELECT count(*) FROM per WHERE n > 0) AS completed, (SELECT count(*) FROM per WHERE n = 0) AS failed, (SELECT count(*) FROM per WHERE n > 0 AND uid % 3 <> 0) AS reused, (SELECT bool_and(n > 0) FROM per) AS ready FROM words w JOIN ctc_words c USING (uid, word_id)""", "per AS (SELECT uid, count_if(c.start_ms IS NOT NULL AND prob >= 0.2) AS n FROM words w JOIN ctc_words c USING (uid, word_id) GROUP BY uid)"))
 def _(spark, d):
-    """Audit, compare, pool and package, each stage written and read again; the final counts."""
-    w = X.words(spark, d)
-    path = shared_path(spark, "cohort")
-    w.write.parquet(f"{path}/words")
-    w = spark.read.parquet(f"{path}/words")
-    I.boundary_delta(R.positional_join(w, X.ctc_words(spark, d, w))).write.parquet(f"{path}/compared")
-    _audio(spark, d, w).write.parquet(f"{path}/audio")
-    compared, audio = spark.read.parquet(f"{path}/compared"), spark.read.parquet(f"{path}/audio")
+    """Compare, pool, encode and package in stages: at first for two thirds of the recordings, then for all, of which the first are reused; the final counts and the readiness."""
+    w, root = X.stored(X.words(spark, d), "words"), shared_path(spark, "cohort")
+    records = X.stored(_records(w), "records")
+    settings = {"compare": {"threshold_ms": 200}, "audio": {"policy": "centres"}, "text": {"least": 0.2}}
+    for some in (records.where("uid % 3 <> 0"), records):
+        batch = Batch(spark, root)
+        only = lambda words, pending: words.join(pending.select("uid"), "uid", "left_semi")
+        compared = batch.run("compare", some, lambda p: I.boundary_delta(R.positional_join(only(w, p), X.ctc_words(spark, d, only(w, p)))), settings["compare"])
+        package = encode_words(batch, some, w, lambda words: _audio(spark, d, words), lambda words: _text(words, F.col("prob") >= 0.2), settings, after=("compare",))
     counts = compared.agg(F.count_distinct("uid").alias("recordings"), F.count("*").alias("words"), F.count_if(F.col("start_delta").isNull()).alias("unaligned"), F.count_if(F.length(T.ctc_form("word", normalise=False)) == 0).alias("silent"), F.count_if("flagged").alias("flagged"))
-    return counts.crossJoin(R.paired_mask(audio, _text(w, F.col("prob") >= 0.2)).agg(F.count_if("valid").alias("paired")))
+    gate = batch.readiness(records, "package").select("completed", "failed", "ready")
+    return counts.crossJoin(package.agg(F.count_if("valid").alias("paired"))).crossJoin(gate).withColumn("reused", F.lit(batch.reused["package"]).cast("long"))
 
 
 # --- streams: each query runs the job over all events

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalith.operators import metrics as S
+from vocalith.operators.packages import package_rows
+from vocalith.operators.stages import Batch
 from vocalith.operators.vectors import argmax_class
 
 
@@ -30,3 +34,20 @@ def test_sheet(preds: DataFrame, classes: int) -> DataFrame:
     each = preds.withColumn("prediction", argmax_class(F.col("proba"))).groupBy("model").agg(*score)
     return whole.unionByName(each.select(F.concat(F.lit("model "), F.col("model").cast("string")).alias("system"), "recordings", "macro_f1", "accuracy"))
 
+
+def encode_words(batch: Batch, records: DataFrame, words: DataFrame, audio_of: Callable, text_of: Callable, settings: dict[str, dict], after: tuple[str, ...] = (), keep_failed: bool = False) -> DataFrame:
+    """The stages audio, text and package of a batch -> rows of the packages.
+
+    audio_of and text_of give (uid, word_id, vec, valid, …) of some words. A change of text settings leaves the acoustic stage as it is. Recordings whose package has a problem are failures, and left
+    out unless keep_failed.
+    """
+    only = lambda df, pending: df.join(pending.select("uid"), "uid", "left_semi")
+    audio = batch.run("audio", records, lambda p: audio_of(only(words, p)), settings.get("audio"), after)
+    text = batch.run("text", records, lambda p: text_of(only(words, p)), settings.get("text"), after)
+
+    def package(pending: DataFrame) -> DataFrame:
+        rows = package_rows(only(audio, pending), only(text, pending))
+        return rows.withColumnRenamed("problem", "fault") if keep_failed else rows
+
+    rows = batch.run("package", records, package, {"keep_failed": keep_failed}, (*after, "audio", "text"))
+    return rows.withColumnRenamed("fault", "problem") if keep_failed else rows.withColumn("problem", F.lit(None).cast("string"))
