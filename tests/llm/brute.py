@@ -269,3 +269,29 @@ def redacted(docs, max_owners=2):
             i += 1
         texts.append(None if text is None else out)
     return texts, counts
+
+
+def queueing(rows, epochs=3, seed=7):
+    """rows [(doc_id, text, source)] -> words taken of each: copies of all sources one by one in the order of virtual finish, until all words are spent once."""
+    words = [len(split(t)) for _, t, _ in rows]
+    size = Counter()
+    for (_, _, s), n in zip(rows, words):
+        size[s] += n
+    target = targets(size) if size else {}
+    md5 = lambda x: hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest()
+    draw = [int(md5(":".join([str(seed), *([] if i is None else [str(i)]), md5(t or "")]))[:15], 16) for i, t, _ in rows]
+    copies = []
+    for s in size:
+        mine = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (draw[k], rows[k][0] is not None, rows[k][0] or 0, words[k]))
+        served = 0
+        for e in range(epochs):
+            for k in mine:
+                served += words[k]
+                if words[k]:
+                    copies.append((served / target[s], s is None, (s or "").encode(), len(copies), k))
+    left, taken = sum(words), [0] * len(rows)
+    for *_, k in sorted(copies):
+        now = min(words[k], left)
+        taken[k] += now
+        left -= now
+    return taken

@@ -1,16 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source is a flow whose share of the total budget is its target. Its documents are shuffled by hash
-and served one after another, again from the start for up to three epochs; a document's virtual finish time is the
-words its source has served up to its end, divided by the source's target. A document that straddles virtual time 1, where its source has
-had its target, is two pieces. Pieces are ordered by virtual finish time over all sources (ranges of virtual time are summed, and the range in which the budget
-ends is sorted), and the mix is cut where the total budget, the sum of the targets in whole words, is spent.
+Each source is a flow whose share of the total budget (all words) is its target. Its documents are shuffled by hash
+and served one after another, again from the start for up to three epochs; a copy's virtual finish time is the
+words its source has served up to its end, divided by the source's target. Whole copies of all sources are ordered by virtual finish and taken until
+the budget is spent; only the copy in which it ends is cut. At any virtual time all flows have had nearly the same share of their targets, so the mix ends near virtual time 1 and each source
+has its target, but for less than a document.
 
 Cumulative sums are in two levels (hash range, then within it), so that a source with a third of all rows
-is spread over as many tasks as there are ranges.
+is spread over as many tasks as there are ranges. The end of the budget is found by summing words by ranges of virtual time; only the range in which it lies is put in order.
 
-Defined results: a null or blank text has size 0 and nothing is taken from it; null is a source of its own, last; ties of the
-shuffle go by doc_id, size and text hash; an empty table gives no rows; other columns are not read.
+Defined results: a null or blank text has size 0 and nothing is taken from it; null is a source of its own, last; rows that share an id, or have none, are
+shuffled by their texts as well; ties of the shuffle go by doc_id, size and text hash; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,81 +33,82 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def shuffle_draw(key, seed: int):
-    """60 bits of the md5 of ``seed:key``."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, DRAW_BITS // 4), 16, 10).cast("long")
+def shuffle_draw(key, text, seed: int):
+    """60 bits of the md5 of ``seed:key:md5 of the text``; a null key is left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.md5(F.coalesce(text, F.lit(""))))), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size -> also target. One row per source.
+    """(source_null, source_name, source_size) -> also target, and budget (all words). One row per source.
 
     Sharing by weight with a cap of max_epochs x size, and sharing the excess again until none is above, ends
     at target = min(cap, level x weight). In order of cap / weight the capped sources come first, and the level
     is that of the first source which is not above it.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*map(F.lit, weights))
-    ranked = sizes.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(max_epochs))
-    by_cap = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    ranked = sizes.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(W.orderBy(*SOURCE)) - 1, F.lit(len(weights))) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(max_epochs))
+    by_cap = W.orderBy(F.col("cap") / F.col("weight"), *SOURCE)
     before, all_of = by_cap.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     level = (F.sum("source_size").over(all_of) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(all_of) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     found = ranked.withColumn("level", level)
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(all_of)
-    return found.withColumn("line", first["level"]).select("source", "source_size", F.least(F.coalesce(F.col("line") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
+    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), *SOURCE, "level"))).over(all_of)
+    target = F.least(F.coalesce(F.col("line") * F.col("weight"), F.col("cap")), F.col("cap"))
+    return found.withColumn("line", first["level"]).select(*SOURCE, "source_size", target.alias("target"), F.sum("source_size").over(all_of).alias("budget"))
 
 
-def _pieces() -> Column:
-    """What a document offers in each epoch: (virtual finish, words), in two pieces where it straddles virtual time 1."""
-    out = []
-    for e in range(MAX_EPOCHS):
-        start = F.col("begin") + F.col("source_size") * e
-        within = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start))
-        out.append(F.struct(F.try_divide(start + within, F.col("target")).alias("finish"), within.cast("long").alias("words")))
-        out.append(F.struct(F.greatest(F.lit(1.0 + 1e-9), F.try_divide(start + F.col("size"), F.col("target"))).alias("finish"), (F.col("size") - within).cast("long").alias("words")))
-    return F.filter(F.array(*out), lambda p: p["words"] > 0)
+#: A source as two columns without nulls, in the order of sources; joins and windows on them share one exchange.
+SOURCE = ["source_null", "source_name"]
+
+
+def _keyed(source: Column) -> list[Column]:
+    return [source.isNull().alias("source_null"), F.coalesce(source.cast("string"), F.lit("")).alias("source_name")]
 
 
-def budget_cut(offers: DataFrame, budget: DataFrame) -> DataFrame:
-    """offers(finish, source, words) -> one row (cut_finish, cut_source, cut_words): the last piece that the budget reaches in the order of (finish, source), and how
-    many of its words.
+def _finish(epoch: int) -> Column:
+    return F.try_divide(F.col("begin") + F.col("size") + F.col("source_size") * epoch, F.col("target"))
+
+
+def budget_cut(copies: DataFrame) -> DataFrame:
+    """copies(finish, source_null, source_name, words) and the budget, the sum of all first copies' words, as `budget` of each -> one row (cut_finish, cut_null, cut_name, cut_words): the copy in which the
+    budget ends in the order of (finish, source), and how many of its words it reaches.
 
     Words are summed by ranges of virtual time, then by range up to the one in which the budget ends; only that range is put in order.
     """
     slot = F.least(F.floor(F.col("finish") * RANGES), F.lit(2 * RANGES)).cast("int")
-    ranged = offers.withColumn("slot", slot)
-    sums = ranged.groupBy("slot").agg(F.sum("words").alias("n")).crossJoin(F.broadcast(budget)).withColumn("upto", F.sum("n").over(W.orderBy("slot")))
-    last = sums.where("upto >= budget AND n > 0").orderBy("slot").limit(1).select(F.col("slot").alias("last"), (F.col("budget") - F.col("upto") + F.col("n")).alias("room"))
-    inside = ranged.join(F.broadcast(last), F.col("slot") == F.col("last")).withColumn("upto", F.sum("words").over(W.orderBy("finish", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)))
-    return inside.where("upto >= room").orderBy("upto").limit(1).select(F.col("finish").alias("cut_finish"), F.col("source").alias("cut_source"), (F.col("room") - F.col("upto") + F.col("words")).alias("cut_words"))
+    ranged = copies.withColumn("slot", slot)
+    sums = ranged.groupBy("slot").agg(F.sum("words").alias("n"), F.max("budget").alias("budget")).withColumn("upto", F.sum("n").over(W.orderBy("slot")))
+    last = sums.where("upto >= budget").orderBy("slot").limit(1).select(F.col("slot").alias("last"), (F.col("budget") - F.col("upto") + F.col("n")).alias("room"))
+    inside = ranged.join(F.broadcast(last), F.col("slot") == F.col("last")).withColumn("upto", F.sum("words").over(W.orderBy("finish", *SOURCE).rowsBetween(W.unboundedPreceding, 0)))
+    return inside.where("upto >= room").orderBy("upto").limit(1).select(F.col("finish").alias("cut_finish"), F.col("source_null").alias("cut_null"), F.col("source_name").alias("cut_name"), (F.col("room") - F.col("upto") + F.col("words")).alias("cut_words"))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken, virtual_finish (of the first copy), then `keep` columns."""
-    numbers = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_draw(F.col(id_col), seed).alias("draw"), F.xxhash64(F.col(text_col)).alias("tie")]
+    numbers = [F.col(id_col).alias("id"), *_keyed(F.col(source_col)), word_count(F.col(text_col)).alias("size"), shuffle_draw(F.col(id_col), F.col(text_col), seed).alias("draw"), F.xxhash64(F.col(text_col)).alias("tie")]
     sizes = materialize(df.select(*numbers), "sizes")
-    in_range = F.shiftrightunsigned("draw", DRAW_BITS - RANGE_BITS)
-    ranges = sizes.groupBy("source", in_range.alias("range")).agg(F.sum("size").alias("range_size"))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
-    starts = ranges.withColumn("before_range", F.sum("range_size").over(W.partitionBy("source").orderBy("range")) - F.col("range_size"))
-    starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), F.col("range").alias("r"), "before_range", "source_size", "target")
-    starts = materialize(starts, "starts")
-    budget = targets.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)).alias("budget"))
-    line = W.partitionBy("source", "range").orderBy("draw", "id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
+    in_range = F.shiftrightunsigned("draw", DRAW_BITS - RANGE_BITS).alias("range")
+    ranges = sizes.groupBy(*SOURCE, in_range).agg(F.sum("size").alias("range_size"))
+    targets = source_targets(ranges.groupBy(*SOURCE).agg(F.sum("range_size").alias("source_size")))
+    starts = ranges.withColumn("before_range", F.sum("range_size").over(W.partitionBy(*SOURCE).orderBy("range")) - F.col("range_size"))
+    starts = materialize(starts.join(targets, SOURCE).select(*SOURCE, "range", "before_range", "source_size", "target", "budget"), "starts")
+    place = [*SOURCE, "range"]
+    line = W.partitionBy(*place).orderBy("draw", "id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
 
     def served(rows: DataFrame) -> DataFrame:
-        placed = rows.withColumn("range", in_range).withColumn("upto", F.sum("size").over(line)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-        return placed.withColumn("begin", F.col("before_range") + F.col("upto") - F.col("size")).withColumn("pieces", _pieces())
+        placed = rows.select("*", in_range).withColumn("upto", F.sum("size").over(line)).join(starts.hint("merge"), place)
+        return placed.withColumn("begin", F.col("before_range") + F.col("upto") - F.col("size"))
 
-    offers = served(sizes).select("source", F.explode("pieces").alias("p")).select("source", "p.finish", "p.words")
-    cut = materialize(budget_cut(offers, budget), "cut")
+    copies = served(sizes).where("size > 0").select(*SOURCE, F.col("size").alias("words"), "budget", F.explode(F.array(*map(_finish, range(MAX_EPOCHS)))).alias("finish"))
+    cut = materialize(budget_cut(copies), "cut")
     rows = served(df.select(F.struct(*keep).alias("kept"), *numbers) if keep else sizes).join(F.broadcast(cut), F.lit(1) == F.lit(1), "left")
-    rank = lambda source: F.struct(source.isNull(), source)
-    before = lambda p: (p["finish"] < F.col("cut_finish")) | ((p["finish"] == F.col("cut_finish")) & (rank(F.col("source")) < rank(F.col("cut_source"))))
-    at = lambda p: (p["finish"] == F.col("cut_finish")) & F.col("source").eqNullSafe(F.col("cut_source"))
-    words = F.transform("pieces", lambda p: F.when(before(p), p["words"]).when(at(p), F.col("cut_words")).otherwise(F.lit(0).cast("long")))
-    taken = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    finish = F.when(F.col("target") > 0, (F.col("begin") + F.col("size")) / F.col("target"))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), finish.alias("virtual_finish"), *(["kept.*"] if keep else []))
+    source, cut_source = F.struct(*SOURCE), F.struct("cut_null", "cut_name")
+    taken = F.lit(0).cast("long")
+    for e in range(MAX_EPOCHS):
+        f = _finish(e)
+        whole = (f < F.col("cut_finish")) | ((f == F.col("cut_finish")) & (source < cut_source))
+        ends = (f == F.col("cut_finish")) & (source == cut_source)
+        taken = taken + F.when(F.col("size") == 0, 0).when(whole, F.col("size")).when(ends, F.col("cut_words")).otherwise(0)
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.when(F.col("target") > 0, _finish(0)).alias("virtual_finish"), *(["kept.*"] if keep else []))
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -125,13 +126,14 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT AS draw FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(concat_ws(':', '7', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY source),
-r AS (SELECT *, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER () - coalesce(sum(source_size * 3.0::DOUBLE) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+l AS (SELECT *, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER () - coalesce(sum(source_size * 3.0::DOUBLE) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM s WINDOW b AS (ORDER BY source_size * 3.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(coalesce((SELECT level FROM r WHERE level * w <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1) * w, cap), cap) AS target FROM r),
-p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) + greatest(0, least(size, floor(target) - start - 2 * source_size)))::BIGINT AS taken,
-  CASE WHEN target > 0 THEN (start + size) / target END::DOUBLE AS virtual_finish FROM p
+t AS (SELECT source, source_size, least(coalesce((SELECT level FROM l WHERE level * w <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1) * w, cap), cap) AS target FROM l),
+p AS (SELECT d.*, source_size, target, (sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id NULLS FIRST, size))::BIGINT AS finish FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT r, size, sum(size) OVER (ORDER BY (finish + e * source_size) / target, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM p, (SELECT unnest(range(3)) AS e) WHERE size > 0),
+taken AS (SELECT r, sum(greatest(0, least(size, (SELECT sum(size) FROM d) - upto + size)))::BIGINT AS taken FROM copies GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, CASE WHEN target > 0 THEN finish / target END::DOUBLE AS virtual_finish FROM p LEFT JOIN taken ON p.r = taken.r
 """
 QUERIES = {"op2_source_mix": (op2_source_mix, _ORACLE)}
