@@ -104,3 +104,36 @@ def test_global_index(spark, parts):
     df = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("k")).repartition(parts)
     rows = global_index(df, "k").orderBy("index").collect()
     assert [r["index"] for r in rows] == list(range(500)) and [r.k for r in rows] == sorted(r.k for r in rows)
+
+
+def test_leaderboard_parts_and_winner(spark, tmp_path):
+    """Parts follow each other by rank; without its manifest, or with other rows, a ranking is refused; the baseline may win if it was run alike."""
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    from vocalith.operators.trials import rank_trials, winner_parameters
+    from vocalith.sources import sinks
+
+    n = 5000
+    summary = spark.range(n).select(F.col("id").alias("trial"), F.lit(5).alias("n_folds"), F.lit(True).alias("complete"), ((F.col("id") * 7919) % n / float(n)).alias("mean"), F.lit(0.1).alias("sd"))
+    settings = summary.select(F.col("trial").cast("string").alias("trial"), F.create_map(F.lit("heads"), F.col("trial").cast("string")).alias("parameters")).unionByName(spark.createDataFrame([("baseline", {"heads": "1", "seed": "9"})], "trial string, parameters map<string,string>"))
+    base = lambda x: spark.createDataFrame([(x,)], "mean double")
+    for mean, matched, winner, parameters in ((0.5, True, None, None), (2.0, True, "baseline", {"seed": "9", "heads": "1"}), (2.0, False, None, None)):
+        row = winner_parameters(summary, base(mean), settings, {"seed": "1234"}, matched).first()
+        best = str(summary.orderBy(F.desc("mean")).first().trial)
+        assert row.winner == (winner or best) and row.parameters == (parameters or {"seed": "1234", "heads": best})
+    assert winner_parameters(summary.withColumn("complete", F.col("trial") > 0), base(0.5), settings, {}).count() == 0
+    path = str(tmp_path / "board")
+    ranked = rank_trials(summary)
+    sinks.write_leaderboard(ranked, path, winner_parameters(summary, base(0.5), settings, {}))
+    got = sinks.read_leaderboard(spark, path, "trial bigint, rank int, mean double")
+    assert sorted(r.rank for r in got.collect()) == list(range(1, n + 1))
+    parts = sorted(spark.read.json(f"{path}/manifest").where("format = 'csv'").collect(), key=lambda r: r.part)
+    assert all(a.last < b.first for a, b in zip(parts, parts[1:])) and sum(r.rows for r in parts) == n
+    spark.createDataFrame([(1, 1, 0.0)], "trial long, rank int, mean double").write.mode("append").json(f"{path}/leaderboard_json")
+    with pytest.raises(ValueError, match="parts"):
+        sinks.read_leaderboard(spark, path, "trial bigint, rank int, mean double")
+    shutil.rmtree(f"{path}/manifest")
+    with pytest.raises(Exception, match="manifest"):
+        sinks.read_leaderboard(spark, path, "trial bigint, rank int, mean double")

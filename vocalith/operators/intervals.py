@@ -1,6 +1,6 @@
 """Interval joins and windows over frames, characters and time.
 
-Range joins are rewritten: frames by closed form to an equi join on (uid, frame), overlaps by buckets of the axis.
+Range joins are rewritten: frames by closed form to an equi join on (uid, frame), tokens and words by buckets of the axis, excluded intervals by a sweep.
 """
 
 from __future__ import annotations
@@ -37,10 +37,21 @@ def frames_in_interval(windows: DataFrame, frames: DataFrame, grid: Grid, start:
 
 
 def exclude_overlaps(words: DataFrame, segments: DataFrame) -> DataFrame:
-    """Words that touch no excluded interval: excluded are those with end >= begin and start < stop."""
-    s = segments.select(F.col("uid").alias("__u"), "begin_ms", "stop_ms")
-    touch = (words["uid"] == s["__u"]) & (words["end_ms"] >= s["begin_ms"]) & (words["start_ms"] < s["stop_ms"])
-    return words.join(s, touch, "left_anti")
+    """Words that touch no excluded interval: excluded are those with end >= begin and start < stop. A word without a time touches none.
+
+    A sweep instead of a join: intervals that begin no later than a word ends come before it in the order of (begin or end), and it touches one of them if the greatest stop among them is
+    beyond its start. One window for a recording; words and intervals never form pairs.
+    """
+    names = {c: f"__{i}" for i, c in enumerate(words.columns)}
+    timed = (F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()).alias("__timed")
+    at = F.col("end_ms").cast("double").alias("__at")
+    rows = words.select(F.col("uid").alias("__uid"), at, F.lit(1).alias("__word"), F.lit(None).cast("double").alias("__stop"), F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("__row"), timed)
+    spans = segments.where("begin_ms IS NOT NULL AND stop_ms IS NOT NULL").select(F.col("uid").alias("__uid"), F.col("begin_ms").cast("double").alias("__at"), F.lit(0).alias("__word"), F.col("stop_ms").cast("double").alias("__stop"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.lit(False).alias("__timed"))
+    line = W.partitionBy("__uid").orderBy("__at", "__word").rowsBetween(W.unboundedPreceding, 0)
+    swept = rows.unionByName(spans).withColumn("__reach", F.max("__stop").over(line)).where("__word = 1")
+    start = F.col("__row")[names["start_ms"]]
+    touched = F.col("__timed") & F.col("__uid").isNotNull() & F.coalesce(F.col("__reach") > start, F.lit(False))
+    return swept.where(~touched).select(*[F.col("__row")[n].alias(c) for c, n in names.items()])
 
 
 def boundary_delta(pairs: DataFrame, threshold_ms: float = 200.0) -> DataFrame:

@@ -266,22 +266,80 @@ def exact_mean(c: Column, digits: int = 6) -> Column:
     return rounded(exact_sum(c, 12), F.count(c).cast("decimal(20,0)") * 10 ** (12 - digits), digits)
 
 
+def mean_of_shares(c: Column) -> Column:
+    """As `exact_mean`, for values of 1 at most and fewer than 9 million of them: sums are longs of 12 digits."""
+    total, parts = F.sum(F.round(c * 1e12).cast("long")), F.count(c) * 10**6
+    whole = F.call_function("div", 2 * F.abs(total) + parts, F.when(parts > 0, 2 * parts))
+    return F.when(total < 0, -whole).otherwise(whole) / 1e6
+
+
 def ensemble_mean(preds: DataFrame, classes: int) -> DataFrame:
     """(uid, label, proba, prediction): mean probabilities (rounded once, to 6 digits) and their first largest class."""
-    by = preds.groupBy("uid").agg(F.min("label").alias("label"), F.array(*[exact_mean(F.col("proba")[c]) for c in range(classes)]).alias("proba"))
+    by = preds.groupBy("uid").agg(F.min("label").alias("label"), F.array(*[mean_of_shares(F.col("proba")[c]) for c in range(classes)]).alias("proba"))
     return by.withColumn("prediction", argmax_class(F.col("proba")))
 
 
 # --- descriptive
 
 
+#: Selection splits a range of values in so many parts at a time, and sorts ranges with no more values than this.
+PARTS, SORTED_AT_ONCE = 1024, 10_000
+
+
+def select_ranks(values: DataFrame, ranks: list[int]) -> dict[int, float]:
+    """values(v DOUBLE, finite) -> the value at each rank from 0, exactly.
+
+    A pass counts the values of the range that holds a rank in PARTS equal parts, for all ranks at once, and goes on within the part that holds it, between its least and
+    greatest value, until these are one value or a few, which are sorted. A task and the driver hold counts, never the column.
+    """
+    ends = values.agg(F.min("v"), F.max("v")).first()
+    v = F.col("v")
+    open_ranges = {r: (ends[0], ends[1], r) for r in ranks}  # least, greatest, rank within
+    found: dict[int, float] = {}
+    while open_ranges:
+        todo = sorted({(a, b) for a, b, _ in open_ranges.values()})  # equal or disjoint
+        which, part = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, (a, b) in enumerate(todo):
+            inside = v.between(a, b)
+            width = b / 2 - a / 2
+            which = F.when(inside, i).otherwise(which)
+            part = F.when(inside, F.least(F.lit(PARTS - 1), F.floor((v / 2 - a / 2) / width * PARTS)).cast("int") if width > 0 else F.lit(0)).otherwise(part)
+        rows = values.select("v", which.alias("which"), part.alias("part")).where("which IS NOT NULL").groupBy("which", "part").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        counts = {i: sorted((x for x in rows if x.which == i), key=lambda x: x.part) for i in range(len(todo))}
+        still = {}
+        for r, (a, b, within) in open_ranges.items():
+            for x in counts[todo.index((a, b))]:
+                if within < x.n:
+                    break
+                within -= x.n
+            if x.a == x.b:
+                found[r] = x.a
+            elif x.n <= SORTED_AT_ONCE:
+                found[r] = sorted(y.v for y in values.where(v.between(x.a, x.b)).select("v").collect())[within]
+            else:
+                still[r] = (x.a, x.b, within)
+        open_ranges = still
+    return found
+
+
+def quantiles(values: DataFrame, points: list[float]) -> dict[float, float | None]:
+    """Linear interpolation between ranks, as `percentile` has it."""
+    n = values.count()
+    if not n:
+        return dict.fromkeys(points)
+    places = {q: q * (n - 1) for q in points}
+    at = select_ranks(values, sorted({r for p in places.values() for r in (math.floor(p), math.ceil(p))}))
+    return {q: at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for q, p in places.items()}
+
+
 def describe_durations(df: DataFrame, column: str) -> DataFrame:
-    """One row: rows, missing and unreadable (not finite or negative) values, and moments and quartiles of the others."""
-    c = F.col(column)
+    """One row: rows, missing and unreadable (not finite or negative) values, and moments and exact quartiles of the others."""
+    c = F.col(column).cast("double")
     bad = F.isnan(c) | (F.abs(c) == float("inf")) | (c < 0)
     ok = F.when(c.isNotNull() & ~bad, c)
-    q = F.percentile(ok, F.array(F.lit(0.25), F.lit(0.75)))
-    return df.agg(F.count("*").alias("rows"), F.count_if(c.isNull()).alias("missing"), F.count_if(bad).alias("unreadable"), r6(F.avg(ok)).alias("mean"), r6(F.stddev_samp(ok)).alias("std"), F.min(ok).alias("min"), r6(q[0]).alias("q25"), r6(F.median(ok)).alias("median"), r6(q[1]).alias("q75"), F.max(ok).alias("max"))
+    q = quantiles(df.select(ok.alias("v")).where("v IS NOT NULL"), [0.25, 0.5, 0.75])
+    value = lambda x: r6(F.lit(x).cast("double"))
+    return df.agg(F.count("*").alias("rows"), F.count_if(c.isNull()).alias("missing"), F.count_if(bad).alias("unreadable"), r6(F.avg(ok)).alias("mean"), r6(F.stddev_samp(ok)).alias("std"), F.min(ok).alias("min"), value(q[0.25]).alias("q25"), value(q[0.5]).alias("median"), value(q[0.75]).alias("q75"), F.max(ok).alias("max"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:

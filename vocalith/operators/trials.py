@@ -36,6 +36,16 @@ def best_trial(summary: DataFrame, baseline: DataFrame, matched: bool = True) ->
     return top.select(F.when(F.col("beats"), F.col("trial").cast("string")).otherwise("baseline").alias("winner"), F.when(F.col("beats"), F.col("mean")).otherwise(F.col("baseline")).alias("mean"))
 
 
+def winner_parameters(summary: DataFrame, baseline: DataFrame, parameters: DataFrame, fixed: dict[str, str], matched: bool = True) -> DataFrame:
+    """(winner, mean, parameters MAP) of `best_trial`: the fixed settings with those of the winning trial, or of the baseline. parameters(trial STRING, parameters MAP<STRING, STRING>), the baseline's
+    under 'baseline'."""
+    best = best_trial(summary, baseline, matched)
+    same = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]) if fixed else F.expr("CAST(map() AS MAP<STRING, STRING>)")
+    own = F.coalesce("parameters", F.expr("CAST(map() AS MAP<STRING, STRING>)"))
+    joined = best.join(parameters.select(F.col("trial").alias("winner"), "parameters"), "winner", "left")
+    return joined.select("winner", "mean", F.map_concat(F.map_filter(same, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own).alias("parameters"))
+
+
 def train_val_gap(runs: DataFrame, folds: int = 5) -> DataFrame:
     """Means and sample sds of training and validation scores, their gap, and completed folds as k/5."""
     return runs.groupBy("trial").agg(exact_mean(F.col("train_score")).alias("train_mean"), r6(F.stddev_samp("train_score")).alias("train_sd"), exact_mean(F.col("score")).alias("mean"), r6(F.stddev_samp("score")).alias("sd"), exact_mean(F.col("train_score") - F.col("score")).alias("gap"), F.concat(F.count("score").cast("string"), F.lit(f"/{folds}")).alias("completed"))

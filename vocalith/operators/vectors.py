@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 DIGITS = 6
 
@@ -125,10 +128,36 @@ def layer_mix(df: DataFrame, weights: list[float], dim: int, layer: str = "layer
     return df.groupBy("uid", "pos").agg(F.array(*values).alias("vec"))
 
 
-def self_attention(df: DataFrame, dim: int) -> DataFrame:
-    """(uid, pos, vec): for each position, the recording's vectors weighted by softmax of their products with its own. For short recordings."""
-    a = df.select("uid", "pos", _doubles("vec").alias("q"))
-    b = df.select("uid", F.col("pos").alias("other"), _doubles("vec").alias("vec"))
-    pairs = a.join(b, "uid").withColumn("s", dot(F.col("q"), F.col("vec")))
-    top = pairs.groupBy("uid", "pos").agg(F.max("s").alias("m"))
-    return _means(pairs.join(top, ["uid", "pos"]).withColumn("w", F.exp(F.col("s") - F.col("m"))), ["uid", "pos"], dim, F.col("w"))
+#: Positions of a tile of queries, and of one of values.
+TILE = 512
+
+
+def self_attention(df: DataFrame, dim: int, tile: int = TILE) -> DataFrame:
+    """(uid, pos, vec): for each position, the recording's vectors weighted by softmax of their products with its own.
+
+    A recording's rows are put into tiles. Each tile of queries meets each tile of values once, as two matrices, and leaves for every query the greatest product, the sum of the weights
+    relative to it, and the weighted sum; these are rescaled to a common maximum where a query's tiles are added up. So no row stands for a pair of positions, and a task holds
+    two tiles, however long the recording is.
+    """
+    numbered = df.select("uid", "pos", _doubles("vec").alias("vec")).withColumn("tile", F.floor((F.row_number().over(W.partitionBy("uid").orderBy("pos")) - 1) / tile).cast("int"))
+    tiles = numbered.groupBy("uid", "tile").agg(F.collect_list(F.struct("pos", "vec")).alias("rows"))  # `tile` rows at most
+    n = tiles.groupBy("uid").agg((F.max("tile") + 1).alias("tiles"))
+    asked = tiles.join(n, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = asked.join(tiles.select("uid", F.col("tile").alias("other"), F.col("rows").alias("values")), ["uid", "other"])
+
+    def over(batches):
+        for batch in batches:
+            for uid, queries, values in zip(*(batch.column(c) for c in ("uid", "rows", "values"))):
+                q, v = (np.array(x.values.field("vec").flatten().to_numpy(zero_copy_only=False)).reshape(len(x.values), dim) for x in (queries, values))
+                s = q @ v.T
+                top = s.max(axis=1)
+                w = np.exp(s - top[:, None])
+                pos = queries.values.field("pos")
+                yield pa.RecordBatch.from_arrays([pa.array([uid.as_py()] * len(pos), batch.column("uid").type), pos, pa.array(top), pa.array(w.sum(axis=1)), pa.FixedSizeListArray.from_arrays(pa.array((w @ v).reshape(-1)), dim).cast(pa.list_(pa.float64()))], names=["uid", "pos", "top", "mass", "total"])
+
+    kinds = dict(df.dtypes)
+    parts = met.select("uid", "rows", "values").mapInArrow(over, f"uid {kinds['uid']}, pos {kinds['pos']}, top double, mass double, total array<double>")
+    best = F.max("top").over(W.partitionBy("uid", "pos"))
+    scaled = parts.withColumn("scale", F.exp(F.col("top") - best))
+    sums = scaled.groupBy("uid", "pos").agg(F.sum(F.col("scale") * F.col("mass")).alias("mass"), *[F.sum(F.col("scale") * F.col("total")[i]).alias(f"t{i}") for i in range(dim)])
+    return sums.select("uid", "pos", F.array(*[F.round(F.col(f"t{i}") / F.col("mass"), DIGITS) for i in range(dim)]).alias("vec"))

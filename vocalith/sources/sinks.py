@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vocalith.functions.hashing import struct_signature
 
@@ -79,12 +80,36 @@ def write_text_per_record(df: DataFrame, path: str) -> None:
     df.select("uid", "text").repartition("uid").write.partitionBy("uid").text(path)
 
 
-def write_leaderboard(ranked: DataFrame, path: str) -> None:
-    """The ranking as CSV and JSON, and the first row by itself; a ranking has a row for each trial, so one file each."""
-    one = ranked.orderBy("rank").coalesce(1)
-    one.write.csv(f"{path}/leaderboard_csv", header=True)
-    one.write.json(f"{path}/leaderboard_json")
-    ranked.where("rank = 1").coalesce(1).write.json(f"{path}/winner")
+def write_leaderboard(ranked: DataFrame, path: str, winner: DataFrame | None = None) -> None:
+    """The ranking as CSV and JSON, in part files that follow each other by rank, and the winner's row (winner, mean, parameters, see `trials.winner_parameters`).
+
+    A manifest of the parts (format, part, first and last rank, rows) is written last; without it `read_leaderboard` refuses, so a ranking that was not finished is never read.
+    """
+    spark = ranked.sparkSession
+    parts = ranked.repartitionByRange("rank").sortWithinPartitions("rank")
+    parts.write.csv(f"{path}/leaderboard_csv", header=True)
+    parts.write.json(f"{path}/leaderboard_json")
+    if winner is not None:
+        winner.write.json(f"{path}/winner")
+    manifest = None
+    for kind, rows in (("csv", spark.read.csv(f"{path}/leaderboard_csv", header=True)), ("json", spark.read.schema("rank INT").json(f"{path}/leaderboard_json"))):
+        part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+        by = rows.groupBy(part.alias("part")).agg(F.min(F.col("rank").cast("int")).alias("first"), F.max(F.col("rank").cast("int")).alias("last"), F.count("*").alias("rows")).withColumn("format", F.lit(kind))
+        manifest = by if manifest is None else manifest.unionByName(by)
+    manifest.write.mode("errorifexists").json(f"{path}/manifest")
+
+
+def read_leaderboard(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The ranking of a finished leaderboard. Parts whose ranks overlap, or that hold other rows than the manifest says, raise ValueError."""
+    said = spark.read.schema("format STRING, part INT, first INT, last INT, rows BIGINT").json(f"{path}/manifest").where("format = 'json'")
+    total = said.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    # part by part, a row each; a ranking has far fewer parts than rows
+    before = F.max("last").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    overlap = said.withColumn("before", before).where("before >= first").count()
+    rows = spark.read.schema(schema).json(f"{path}/leaderboard_json")
+    if overlap or rows.count() != total:
+        raise ValueError("the leaderboard's parts are not those of its manifest")
+    return rows
 
 
 def write_path_list(df: DataFrame, path: str, kind: str | None = None) -> None:
