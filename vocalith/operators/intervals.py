@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from vocalith.functions.timing import Grid, expand_context, map_interval
 from vocalith.operators.metrics import rounded
+from vocalith.operators.ordering import spread_scan
 
 
 def token_word_overlap(tokens: DataFrame, words: DataFrame, bucket: int = 64) -> DataFrame:
@@ -97,13 +98,20 @@ def windows_monotonic(windows: DataFrame, start: str = "exp_start_frame", end: s
     return windows.withColumn("__b", back).groupBy("uid").agg(F.count_if("__b").alias("violations"))
 
 
-def collapse_runs(path: DataFrame, uid: str, order: str, label: str, score: str, blank: str | int) -> DataFrame:
-    """Maximal runs of equal labels without the blank: (uid, label, start, end, mean_score), by places in the order, end exclusive."""
-    line = W.partitionBy(uid).orderBy(order)
-    place = path.withColumn("__p", F.row_number().over(line) - 1)
-    change = (~F.col(label).eqNullSafe(F.lag(label).over(line)) | (F.col("__p") == 0)).cast("int")
-    run = F.sum("__c").over(line.rowsBetween(W.unboundedPreceding, 0))
-    runs = place.withColumn("__c", change).withColumn("__r", run).where(F.col(label) != blank)
+def collapse_runs(path: DataFrame, uid: str, order: str, label: str, score: str, blank: str | int, spread: bool = False) -> DataFrame:
+    """Maximal runs of equal labels without the blank: (uid, label, start, end, mean_score), by places in the order, end exclusive. spread: for recordings of any length, by `spread_scan`."""
+    if spread:
+        held = F.struct(F.col(label).alias("l"))  # a null label is one too
+        place = spread_scan(path, [uid], [F.col(order)], {"__p": ("count", F.lit(1)), "__b": ("last", held)})
+        change = ((F.col("__p") == 0) | ~F.col("__b.l").eqNullSafe(F.col(label))).cast("int")
+        marked = spread_scan(place.withColumn("__c", change).drop("__b"), [uid], [F.col(order)], {"__r": ("sum", F.col("__c"))}).withColumn("__r", F.col("__r") + F.col("__c"))
+        runs = marked.where(F.col(label) != blank)
+    else:
+        line = W.partitionBy(uid).orderBy(order)
+        place = path.withColumn("__p", F.row_number().over(line) - 1)
+        change = (~F.col(label).eqNullSafe(F.lag(label).over(line)) | (F.col("__p") == 0)).cast("int")
+        run = F.sum("__c").over(line.rowsBetween(W.unboundedPreceding, 0))
+        runs = place.withColumn("__c", change).withColumn("__r", run).where(F.col(label) != blank)
     return runs.groupBy(uid, "__r").agg(F.first(label).alias("label"), F.min("__p").alias("start"), (F.max("__p") + 1).alias("end"), F.round(F.avg(score), 6).alias("mean_score")).drop("__r")
 
 

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from vocalith.operators.ordering import spread_scan
+
 
 def by_step():
     return W.partitionBy("run").orderBy("step")
 
 
-def running_best(journal: DataFrame) -> DataFrame:
-    """previous_best, saved, reason: saved if eligible and strictly above the best eligible before it; the first eligible is saved."""
+def running_best(journal: DataFrame, spread: bool = False) -> DataFrame:
+    """previous_best, saved, reason: saved if eligible and strictly above the best eligible before it; the first eligible is saved. spread: for runs of any length, by `spread_scan`."""
     ok = F.col("eligible") & F.col("metric").isNotNull() & ~F.isnan("metric")
     best = F.max(F.when(ok, F.col("metric"))).over(by_step().rowsBetween(W.unboundedPreceding, -1))
-    out = journal.withColumn("previous_best", best)
+    out = spread_scan(journal, ["run"], [F.col("step")], {"previous_best": ("max", F.when(ok, F.col("metric")))}) if spread else journal.withColumn("previous_best", best)
     saved = ok & (F.col("previous_best").isNull() | (F.col("metric") > F.col("previous_best")))
     reason = F.when(~ok, "ineligible").when(~F.col("saved"), "no_improvement").when(F.col("previous_best").isNull(), "first_eligible").otherwise("strict_improvement")
     return out.withColumn("saved", saved).withColumn("reason", reason)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from vocalith.functions import text as T
 from vocalith.functions.hashing import draw
+from vocalith.operators.ordering import spread_scan
 
 
 def by_word():
@@ -21,9 +22,11 @@ def earlier():
     return by_word().rowsBetween(W.unboundedPreceding, -1)
 
 
-def char_offsets(words: DataFrame) -> DataFrame:
-    """char_start, char_end of each word in the joined text."""
+def char_offsets(words: DataFrame, spread: bool = False) -> DataFrame:
+    """char_start, char_end of each word in the joined text. spread: for recordings of any length, by `spread_scan`."""
     n = F.length("word").cast("long")
+    if spread:
+        return spread_scan(words, ["uid"], [F.col("word_id")], {"char_start": ("sum", n + 1)}).withColumn("char_end", F.col("char_start") + n)
     start = F.coalesce(F.sum(n + 1).over(earlier()), F.lit(0)).cast("long")
     return words.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + n)
 
@@ -66,8 +69,13 @@ def prefix_limit(df: DataFrame, n: int, pos: str = "word_id") -> DataFrame:
 # --- pauses
 
 
-def pause_gaps(words: DataFrame) -> DataFrame:
-    """gap_ms to the word before, not below 0; 0 for the first."""
+def pause_gaps(words: DataFrame, spread: bool = False) -> DataFrame:
+    """gap_ms to the word before, not below 0; 0 for the first. spread: for recordings of any length, by `spread_scan`."""
+    if spread:
+        ended = F.coalesce("end_ms", F.lit(-1).cast("long"))  # a word before without a time is not passed over
+        before = spread_scan(words, ["uid"], [F.col("word_id")], {"__before": ("last", ended)})
+        gap = F.col("start_ms") - F.when(F.col("__before") >= 0, F.col("__before"))
+        return before.withColumn("gap_ms", F.greatest(F.lit(0).cast("long"), F.coalesce(gap, F.lit(0)))).drop("__before")
     return words.withColumn("gap_ms", F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by_word()), F.lit(0))))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalith.operators.ordering import carried_scan
 from vocalith.operators.vectors import feature_violations
+from vocalith.sources.storage import shared_path
 
 #: Names under which label tables carry their columns; exact matches go before matches in any case.
 LABEL_ALIASES = {
@@ -64,18 +66,33 @@ def scan_consensus(spark: SparkSession, path: str, columns: dict[str, str]) -> D
 STEM = r"([^/]*?)(\.[^./]*)?$"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, before, value) of the lines of text files: a line's place in its file, from 0, and the lines before it that are not empty.
+
+    Files are split like any text input. Lines come in order within a block of a file, and are numbered there; what a file's earlier blocks hold is carried over. So files
+    may be of any size.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    stored = shared_path(spark, "lines")
+    lines.write.parquet(stored)
+    rows = spark.read.schema(lines.schema).parquet(stored)
+    return carried_scan(rows, ["file"], "block", [F.col("at")], {"place": ("count", F.lit(1)), "before": ("sum", (F.col("value") != "").cast("int"))}).select("file", "place", "before", "value")
+
+
 def scan_words(spark: SparkSession, path: str, uid_pattern: str = STEM) -> DataFrame:
     """(uid, word_id, word, start, end, probability) of word CSVs, one for each recording; the uid is the first group of a pattern over the path (the stem) and the row order the id.
 
-    Files are read whole, since only within one file is the order of rows known; files without the needed header or rows fail.
+    Files without the needed header or rows fail; files of no bytes at all are passed over by Spark's readers. Files are read in blocks, not whole (`numbered_lines`).
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), uid_pattern, 1).alias("uid"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
-    head = F.element_at("lines", 1)
-    body = F.filter(F.slice(F.col("lines"), 2, F.greatest(F.size("lines") - 1, F.lit(1))), lambda x: x != "")
-    good = head.rlike(r"^\x{FEFF}?word,start,end") & (F.size(body) > 0)
-    rows = files.select("uid", F.posexplode(F.when(good, body).otherwise(F.raise_error(F.concat(F.lit("bad word file "), F.col("uid"))).cast("array<string>"))).alias("word_id", "line"))
-    parsed = rows.withColumn("r", F.from_csv("line", F.lit("word STRING, start DOUBLE, end DOUBLE, probability DOUBLE")))
-    return parsed.select("uid", "word_id", "r.*")
+    lines = numbered_lines(spark, path)
+    uid = lambda c: F.regexp_extract(c, uid_pattern, 1)
+    files = lines.groupBy("file").agg(F.max(F.when(F.col("place") == 0, F.col("value"))).alias("head"), F.count_if((F.col("place") > 0) & (F.col("value") != "")).alias("n"))
+    good = F.col("head").rlike(r"^\x{FEFF}?word,start,end") & (F.col("n") > 0)
+    bad = files.where(~good)
+    body = lines.where("place > 0 AND value <> ''").select(uid(F.col("file")).alias("uid"), (F.col("before") - 1).cast("int").alias("word_id"), F.from_csv("value", F.lit("word STRING, start DOUBLE, end DOUBLE, probability DOUBLE")).alias("r"))
+    rows = body.select("uid", "word_id", "r.*")
+    fail = F.raise_error(F.concat(F.lit("bad word file "), uid(F.col("file"))))
+    return rows.unionByName(bad.select(fail.cast("string").alias("uid")), allowMissingColumns=True)
 
 
 #: How tables with free text are read: quoted fields may hold line ends, and a quote in one is doubled.
