@@ -84,15 +84,15 @@ def bootstrap_draws(units: DataFrame, samples: int, seed: str = "b") -> DataFram
     return _drawn(spread.withColumn("draws", F.col("n")), seed)
 
 
-def _drawn(spread: DataFrame, seed: str) -> DataFrame:
-    """(replicate, n, draws) -> (replicate, index): so many draws below n."""
+def _drawn(spread: DataFrame, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, replicate, n, draws) -> (by…, replicate, index): so many draws below n, the same for all `by`."""
     block = 1 << 14
-    blocks = spread.where("draws > 0").select("replicate", "n", "draws", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / block))).alias("block"))
+    blocks = spread.where("draws > 0").select(*by, "replicate", "n", "draws", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / block))).alias("block"))
     blocks = blocks.repartition(4 * spread.sparkSession.sparkContext.defaultParallelism, "replicate", "block")
-    fours = blocks.select("replicate", "n", "draws", F.explode(F.sequence(F.col("block") * (block // 4), F.floor((F.least(F.col("draws"), (F.col("block") + 1) * block) - 1) / 4))).alias("four"))
+    fours = blocks.select(*by, "replicate", "n", "draws", F.explode(F.sequence(F.col("block") * (block // 4), F.floor((F.least(F.col("draws"), (F.col("block") + 1) * block) - 1) / 4))).alias("four"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("four").cast("string")))
-    each = fours.select("replicate", "n", "draws", "four", digest.alias("md5")).select("replicate", "n", "draws", "four", "md5", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).where("4 * four + k < draws")
-    return each.select("replicate", F.pmod(F.conv(F.substring("md5", F.col("k") * 8 + 1, F.lit(8)), 16, 10).cast("long"), F.col("n")).alias("index"))
+    each = fours.select(*by, "replicate", "n", "draws", "four", digest.alias("md5")).select(*by, "replicate", "n", "draws", "four", "md5", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).where("4 * four + k < draws")
+    return each.select(*by, "replicate", F.pmod(F.conv(F.substring("md5", F.col("k") * 8 + 1, F.lit(8)), 16, 10).cast("long"), F.col("n")).alias("index"))
 
 
 def _macro_of(tp: list[Column], actual: list[Column], predicted: list[Column]) -> Column:
@@ -182,44 +182,46 @@ def log_factorial(k: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(shifted)
 
 
-def row_replicates(preds: DataFrame, classes: int, samples: int, seed: str = "b") -> DataFrame:
-    """(replicate, w ARRAY): how often each cell (label, prediction) is drawn when as many rows as there are, n, are drawn with replacement.
+def row_replicates(preds: DataFrame, classes: int, samples: int, seed: str = "b", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, replicate, w ARRAY): how often each cell (label, prediction) is drawn when as many rows as there are, n, are drawn with replacement.
 
     Rows of one cell are alike, so n - 6 sqrt(n) draws (in the mean) are made at once, as a Poisson number for each cell; given their sum these are
     multinomial. The draws that are left to n, some 6 sqrt(n), are made one by one. So a replicate costs sqrt(n), and its counts are distributed
     as those of n single draws (but for one replicate in 10**9 whose Poisson numbers exceed n). Up to 36 rows all draws are single.
-    Cell `label * (classes + 1) + prediction`; a prediction that is no declared class counts as number `classes`.
+    Groups of rows by `by` (not null) are resampled each for itself, all with the same random numbers, so that they can be compared replicate by replicate. Cell `label * (classes + 1) + prediction`; a prediction that is no declared class counts as number `classes`.
     """
     spark, width = preds.sparkSession, classes + 1
     cells = range(classes * width)
     place = F.col("label") * width + F.when(F.col("prediction").between(0, classes - 1), F.col("prediction")).otherwise(classes)
-    sizes = _scored(preds).agg(F.count("*").alias("n"), F.array(*[F.count_if(place == c) for c in cells]).alias("sizes"))
+    sizes = _scored(preds).groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.count_if(place == c) for c in cells]).alias("sizes"))
     rate = F.greatest(F.lit(0.0), F.col("n") - 6 * F.sqrt("n"))
-    each = sizes.select("n", F.posexplode("sizes").alias("cell", "size")).withColumn("rate", F.coalesce(rate * F.col("size") / F.col("n"), F.lit(0.0)))
+    each = sizes.select(*by, "n", F.posexplode("sizes").alias("cell", "size")).withColumn("rate", F.coalesce(rate * F.col("size") / F.col("n"), F.lit(0.0)))
     reach = 9 * F.sqrt("rate") + 10
     steps = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("rate") - reach)), F.ceil(F.col("rate") + reach))
     log_p = F.when(F.col("rate") == 0, F.when(F.col("k") == 0, 0.0).otherwise(-1e300)).otherwise(F.col("k") * F.log("rate") - F.col("rate") - log_factorial(F.col("k").cast("double")))
-    by_cell = W.partitionBy("cell").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    table = each.select("cell", "rate", F.explode(steps).alias("k")).select("cell", "k", F.coalesce(F.sum(F.exp(log_p)).over(by_cell), F.lit(0.0)).alias("u"))
+    by_cell = W.partitionBy(*by, "cell").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    table = each.select(*by, "cell", "rate", F.explode(steps).alias("k")).select(*by, "cell", "k", F.coalesce(F.sum(F.exp(log_p)).over(by_cell), F.lit(0.0)).alias("u"))
     replicates = spark.range(samples).select(F.col("id").cast("int").alias("replicate"))
     asked = replicates.select("replicate", F.explode(F.array(*map(F.lit, cells))).alias("cell")).withColumn("u", (hash32(F.concat_ws(":", F.lit(seed + "p"), F.col("replicate").cast("string"), F.col("cell").cast("string"))) + 0.5) / 4294967296.0)
+    asked = asked.crossJoin(F.broadcast(sizes.select(*by))) if by else asked
     both = table.withColumn("replicate", F.lit(None).cast("int")).unionByName(asked.withColumn("k", F.lit(None).cast("long")))
-    line = W.partitionBy("cell").orderBy("u", F.col("k").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    line = W.partitionBy(*by, "cell").orderBy("u", F.col("k").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
     at_once = both.withColumn("k", F.last("k", ignorenulls=True).over(line)).where("replicate IS NOT NULL")
-    pooled = at_once.groupBy("replicate").agg(*[F.sum(F.when(F.col("cell") == c, F.col("k")).otherwise(0)).alias(f"p{c}") for c in cells], F.sum("k").alias("pooled"))
-    singles = _drawn(pooled.crossJoin(F.broadcast(sizes)).select("replicate", "n", (F.col("n") - F.col("pooled")).alias("draws")), seed)
+    pooled = at_once.groupBy(*by, "replicate").agg(*[F.sum(F.when(F.col("cell") == c, F.col("k")).otherwise(0)).alias(f"p{c}") for c in cells], F.sum("k").alias("pooled"))
+    with_each = lambda df, other: df.join(F.broadcast(other), list(by)) if by else df.crossJoin(F.broadcast(other))
+    singles = _drawn(with_each(pooled, sizes).select(*by, "replicate", "n", (F.col("n") - F.col("pooled")).alias("draws")), seed, by)
     upto = [sum((F.col("sizes")[i] for i in range(c)), F.lit(0)) for c in range(len(cells) + 1)]
-    bounds = sizes.select(*[b.alias(f"b{c}") for c, b in enumerate(upto)])
-    counted = singles.crossJoin(F.broadcast(bounds)).groupBy("replicate").agg(*[F.count_if((F.col("index") >= F.col(f"b{c}")) & (F.col("index") < F.col(f"b{c + 1}"))).alias(f"s{c}") for c in cells])
-    return pooled.join(counted, "replicate", "left").select("replicate", F.array(*[F.col(f"p{c}") + F.coalesce(f"s{c}", F.lit(0)) for c in cells]).alias("w"))
+    bounds = sizes.select(*by, *[b.alias(f"b{c}") for c, b in enumerate(upto)])
+    counted = with_each(singles, bounds).groupBy(*by, "replicate").agg(*[F.count_if((F.col("index") >= F.col(f"b{c}")) & (F.col("index") < F.col(f"b{c + 1}"))).alias(f"s{c}") for c in cells])
+    return pooled.join(counted, [*by, "replicate"], "left").select(*by, "replicate", F.array(*[F.col(f"p{c}") + F.coalesce(f"s{c}", F.lit(0)) for c in cells]).alias("w"))
 
 
-def bootstrap_replicates(preds: DataFrame, classes: int, samples: int, seed: str = "b") -> DataFrame:
-    """(replicate, macro_f1) of resampled rows."""
+def bootstrap_replicates(preds: DataFrame, classes: int, samples: int, seed: str = "b", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, replicate, macro_f1) of resampled rows."""
     w, width = F.col("w"), classes + 1
     actual = [sum((w[c * width + p] for p in range(width)), F.lit(0)) for c in range(classes)]
     predicted = [sum((w[a * width + c] for a in range(classes)), F.lit(0)) for c in range(classes)]
-    return row_replicates(preds, classes, samples, seed).select("replicate", _macro_of([w[c * width + c] for c in range(classes)], actual, predicted))
+    return row_replicates(preds, classes, samples, seed, by).select(*by, "replicate", _macro_of([w[c * width + c] for c in range(classes)], actual, predicted))
 
 
 def resampling_units(preds: DataFrame, classes: int, unit: str) -> DataFrame:

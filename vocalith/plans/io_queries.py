@@ -273,12 +273,12 @@ def _(spark, d):
     return absolute_times(nested.withColumn("window_start", (5 * (F.col("uid") % 4)).cast("double"))).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
-@query("register_all", X.sql("words", r"SELECT uid, word_id, regexp_replace(lower(trim(word)), '\p{P}', '', 'g') AS form, CASE WHEN prob > 0.75 THEN ',' ELSE '' END AS mark FROM words"))
+@query("register_all", X.sql("words", r"SELECT uid, word_id, regexp_replace(nfc_normalize(lower(trim(word))), '\p{P}', '', 'g') AS form, CASE WHEN prob > 0.75 THEN ',' ELSE '' END AS mark FROM words"))
 def _(spark, d):
     """The functions by their SQL names."""
     register_all(spark)
     X.words(spark, d).createOrReplaceTempView("vocalith_words")
-    return spark.sql("SELECT uid, word_id, ctc_form_sql(word) AS form, pause_symbol(CASE WHEN prob > 0.75D THEN 0.6D ELSE 0.1D END) AS mark FROM vocalith_words")
+    return spark.sql("SELECT uid, word_id, ctc_form(word) AS form, pause_symbol(CASE WHEN prob > 0.75D THEN 0.6D ELSE 0.1D END) AS mark FROM vocalith_words")
 
 
 @query("score_partitions", "SELECT vec_id, round(embedding[1]::DOUBLE + embedding[2]::DOUBLE, 6) AS score FROM embeddings")

@@ -26,13 +26,23 @@ def evaluation_report(preds: DataFrame, classes: int, sample: DataFrame | None =
     return one.crossJoin(S.bootstrap_ci(preds if sample is None else sample, classes, samples, group=group))
 
 
-def test_sheet(preds: DataFrame, classes: int) -> DataFrame:
-    """The ensemble's row, then one for each model: recordings, macro-F1, accuracy."""
+def test_sheet(preds: DataFrame, classes: int, samples: int = 10_000, level: float = 0.95) -> DataFrame:
+    """The ensemble's row, then one for each model: recordings, macro-F1, accuracy, F1 by class, a bootstrap interval of macro-F1 (all systems on the same resamples), and for the ensemble the mean and
+    sample sd of its models' macro-F1."""
     label, pred = F.col("label"), F.col("prediction")
-    score = [F.count("*").alias("recordings"), S.r6(S.macro_f1_expr(label, pred, classes)).alias("macro_f1"), S.r6(F.avg((label == pred).cast("int"))).alias("accuracy")]
-    whole = S.ensemble_mean(preds, classes).agg(*score).select(F.lit("ensemble").alias("system"), "*")
-    each = preds.withColumn("prediction", argmax_class(F.col("proba"))).groupBy("model").agg(*score)
-    return whole.unionByName(each.select(F.concat(F.lit("model "), F.col("model").cast("string")).alias("system"), "recordings", "macro_f1", "accuracy"))
+    f1 = S.macro_f1_expr(label, pred, classes)
+    whole = S.ensemble_mean(preds, classes).select(F.lit("ensemble").alias("system"), "label", "prediction")
+    each = preds.select(F.concat(F.lit("model "), F.col("model").cast("string")).alias("system"), "label", argmax_class(F.col("proba")).alias("prediction"))
+    systems = whole.unionByName(each)
+    scores = systems.where("label >= 0").groupBy("system").agg(
+        F.count("*").alias("recordings"), f1.alias("__f1"), S.r6(F.avg((label == pred).cast("int"))).alias("accuracy"), F.array(*[S.r6(S.f1_expr(label, pred, c)) for c in range(classes)]).alias("per_class_f1")
+    )
+    q = F.percentile("macro_f1", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    intervals = S.bootstrap_replicates(systems, classes, samples, by=("system",)).groupBy("system").agg(S.r6(q[0]).alias("low"), S.r6(q[1]).alias("high"))
+    models = scores.where("system <> 'ensemble'").agg(S.r6(F.avg("__f1")).alias("m"), S.r6(F.stddev_samp("__f1")).alias("sd"))
+    ensemble = F.col("system") == "ensemble"
+    out = scores.join(intervals, "system").crossJoin(F.broadcast(models))
+    return out.select("system", "recordings", S.r6("__f1").alias("macro_f1"), "accuracy", "per_class_f1", "low", "high", F.when(ensemble, F.col("m")).alias("fold_mean"), F.when(ensemble, F.col("sd")).alias("fold_sd"))
 
 
 def encode_words(batch: Batch, records: DataFrame, words: DataFrame, audio_of: Callable, text_of: Callable, settings: dict[str, dict], after: tuple[str, ...] = (), keep_failed: bool = False) -> DataFrame:

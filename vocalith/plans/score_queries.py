@@ -154,11 +154,30 @@ def _(spark, d):
     return S.ensemble_mean(X.model_preds(spark, d), K).select("uid", "label", "proba", "prediction")
 
 
-@query("test_sheet", X.sql("model_preds", f"SELECT 'ensemble' AS system, count(*) AS recordings, round({_MACRO}, 6) AS macro_f1, round(avg((label = prediction)::INTEGER), 6) AS accuracy FROM ens UNION ALL SELECT 'model ' || model, count(*), round({_MACRO}, 6), round(avg((label = prediction)::INTEGER), 6) FROM (SELECT model, label, (list_position(proba, list_max(proba)) - 1)::INTEGER AS prediction FROM model_preds) GROUP BY model", _ENSEMBLE))
+#: As _CELLS, for each system.
+_SYSTEM_CELLS = f"""systems AS (SELECT 'ensemble' AS system, uid, label, prediction FROM ens UNION ALL SELECT 'model ' || model, uid, label, (list_position(proba, list_max(proba)) - 1)::INTEGER FROM model_preds),
+total AS (SELECT system, count(*) AS n FROM systems GROUP BY 1),
+cells AS (SELECT t.system, a.c AS cell, a.c // 4 AS label, a.c % 4 AS prediction, n, count(uid) AS size FROM total t CROSS JOIN (SELECT unnest(range(12)) AS c) a LEFT JOIN systems p ON p.system = t.system AND p.label * 4 + p.prediction = c GROUP BY ALL),
+rated AS (SELECT *, sum(size) OVER (PARTITION BY system ORDER BY cell) - size AS low, greatest(0.0::DOUBLE, n - 6 * sqrt(n)) * size / n AS rate FROM cells),
+steps AS (SELECT system, cell, rate, unnest(range(greatest(0, floor(rate - 9 * sqrt(rate) - 10))::BIGINT, ceil(rate + 9 * sqrt(rate) + 10)::BIGINT + 1)) AS k FROM rated),
+masses AS (SELECT system, cell, k, coalesce(sum(p) OVER (PARTITION BY system, cell ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM (SELECT system, cell, k, CASE WHEN rate = 0 THEN (k = 0)::INTEGER ELSE exp(k * ln(rate) - rate - ({_LOG_FACTORIAL})) END::DOUBLE AS p FROM steps)),
+asked AS (SELECT system, r, cell, ({_H("'bp:' || r || ':' || cell")} + 0.5::DOUBLE) / 4294967296 AS u FROM (SELECT unnest(range({SAMPLES}))::INTEGER AS r), (SELECT system, cell FROM cells)),
+pooled AS (SELECT a.system, r, a.cell, k FROM asked a ASOF JOIN masses m ON a.system = m.system AND a.cell = m.cell AND a.u >= m.u),
+lacking AS (SELECT system, r, n, n - sum(k)::BIGINT AS lack FROM pooled JOIN total USING (system) GROUP BY system, r, n),
+singles AS (SELECT system, r, ('0x' || substr(md5, 8 * k + 1, 8))::BIGINT % n AS index FROM (SELECT system, r, n, lack, j, md5('b:' || r || ':' || j) AS md5, unnest(range(4)) AS k FROM lacking, LATERAL (SELECT unnest(range((lack + 3) // 4)) AS j)) WHERE 4 * j + k < lack),
+extra AS (SELECT s.system, r, cell, count(*) AS k FROM singles s JOIN rated c ON s.system = c.system AND index >= low AND index < low + size GROUP BY ALL),
+drawn AS (SELECT system, r, label, prediction, sum(k)::BIGINT AS w FROM (SELECT * FROM pooled UNION ALL SELECT * FROM extra) JOIN cells USING (system, cell) GROUP BY ALL),
+reps AS (SELECT system, r, ({" + ".join(_f1(c, "w") for c in range(K))}) / 3 AS m FROM drawn GROUP BY ALL),
+ci AS (SELECT system, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM reps GROUP BY 1),
+scores AS (SELECT system, count(*) AS recordings, {_MACRO} AS f1, round(avg((label = prediction)::INTEGER), 6) AS accuracy, [{", ".join(f"round({_f1(c)}, 6)" for c in range(K))}] AS per_class_f1 FROM systems GROUP BY 1),
+models AS (SELECT round(avg(f1), 6) AS m, round(stddev_samp(f1), 6) AS sd FROM scores WHERE system <> 'ensemble')"""
+
+
+@query("test_sheet", X.sql("model_preds", "SELECT system, recordings, round(f1, 6) AS macro_f1, accuracy, per_class_f1, low, high, CASE WHEN system = 'ensemble' THEN m END AS fold_mean, CASE WHEN system = 'ensemble' THEN sd END AS fold_sd FROM scores JOIN ci USING (system) CROSS JOIN models", f"{_ENSEMBLE}, {_SYSTEM_CELLS}"))
 def _(spark, d):
     from vocalith.plans.reports import test_sheet
 
-    return test_sheet(X.model_preds(spark, d), K)
+    return test_sheet(X.stored(X.model_preds(spark, d), "model-preds"), K, SAMPLES)
 
 
 @query("describe_durations", "SELECT count(*) AS rows, count_if(v IS NULL) AS missing, count_if(v < 0) AS unreadable, round(avg(v) FILTER (v >= 0), 6) AS mean, round(stddev_samp(v) FILTER (v >= 0), 6) AS std, min(v) FILTER (v >= 0) AS min, round(quantile_cont(v, 0.25) FILTER (v >= 0), 6) AS q25, round(median(v) FILTER (v >= 0), 6) AS median, round(quantile_cont(v, 0.75) FILTER (v >= 0), 6) AS q75, max(v) FILTER (v >= 0) AS max FROM (SELECT CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 50 = 1 THEN -1 ELSE value END AS v FROM events)")
