@@ -84,3 +84,13 @@ def test_a_long_recording(spark):
     w = np.exp(6.0 * np.arange(7) - 36)
     n = np.array([len(range(k, 8000, 7)) for k in range(7)])
     assert out[1].vec[0] == pytest.approx((n * w * np.arange(7)).sum() / (n * w).sum(), abs=2e-6) and out[0].vec[0] == pytest.approx((n * np.arange(7)).sum() / 8000, abs=2e-6)
+
+
+def test_unions_are_shuffled(spark):
+    """Sums over a union of two inputs that are both partitioned by the key, and derived in several branches, come out alike every time."""
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    words = spark.range(3000).select((F.col("id") % 60).alias("uid"), F.col("id").alias("start_ms"), (F.col("id") + 40).alias("end_ms"))
+    spans = words.groupBy("uid").agg(F.min("start_ms").alias("begin_ms"), (F.min("start_ms") + 1).alias("stop_ms"))
+    out = I.exclude_overlaps(words.join(spans.select("uid"), "uid", "left_semi"), spans)
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+    assert {out.count() for _ in range(4)} == {3000 - 60}

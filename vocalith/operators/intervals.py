@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from vocalith.functions.timing import Grid, expand_context, map_interval
 from vocalith.operators.metrics import rounded
 from vocalith.operators.ordering import spread_scan
+from vocalith.sources.storage import sound_unions
 
 
 def token_word_overlap(tokens: DataFrame, words: DataFrame, bucket: int = 64) -> DataFrame:
@@ -43,6 +44,7 @@ def exclude_overlaps(words: DataFrame, segments: DataFrame) -> DataFrame:
     A sweep instead of a join: intervals that begin no later than a word ends come before it in the order of (begin or end), and it touches one of them if the greatest stop among them is
     beyond its start. One window for a recording; words and intervals never form pairs.
     """
+    sound_unions(words.sparkSession)
     names = {c: f"__{i}" for i, c in enumerate(words.columns)}
     timed = (F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()).alias("__timed")
     at = F.col("end_ms").cast("double").alias("__at")
@@ -126,6 +128,7 @@ def interval_mean_pool(windows: DataFrame, frames: DataFrame, grid: Grid, dim: i
     centres: frames with centres in the interval, else the nearest. inclusive: frames first..last that the interval touches, none for
     an empty one. short_expand: as inclusive, under 3 frames take 2 more on each side, values clipped to 1000. context_ms widens intervals first.
     """
+    sound_unions(windows.sparkSession)
     s, e = F.col("start_ms"), F.col("end_ms")
     if context_ms:
         s, e = expand_context(s, e, duration, context_ms)

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from vocalith.functions.hashing import hash32
 from vocalith.operators.ordering import global_index
 from vocalith.operators.vectors import argmax_class
+from vocalith.sources.storage import sound_unions
 
 #: Resampling units (some 200 bytes each) that may be broadcast; more are shuffled.
 BROADCAST_UNITS = 200_000
@@ -191,6 +192,7 @@ def row_replicates(preds: DataFrame, classes: int, samples: int, seed: str = "b"
     Groups of rows by `by` (not null) are resampled each for itself, all with the same random numbers, so that they can be compared replicate by replicate. Cell `label * (classes + 1) + prediction`; a prediction that is no declared class counts as number `classes`.
     """
     spark, width = preds.sparkSession, classes + 1
+    sound_unions(spark)
     cells = range(classes * width)
     place = F.col("label") * width + F.when(F.col("prediction").between(0, classes - 1), F.col("prediction")).otherwise(classes)
     sizes = _scored(preds).groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.count_if(place == c) for c in cells]).alias("sizes"))

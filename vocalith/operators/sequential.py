@@ -9,6 +9,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vocalith.sources.storage import sound_unions
+
 _LEXICAL = regex.compile(r"[\p{L}\p{N}]")
 
 
@@ -83,5 +85,6 @@ def match_words(transcripts: DataFrame, words: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["uid", "word_id", "at", "recased", "skipped"])
 
     kinds = dict(words.dtypes)
+    sound_unions(transcripts.sparkSession)
     both = transcripts.select("uid", F.lit(-1).cast(kinds["word_id"]).alias("word_id"), "text").unionByName(words.select("uid", "word_id", F.col("word").alias("text")))
     return _sorted(both).mapInPandas(match, f"uid {kinds['uid']}, word_id {kinds['word_id']}, at int, recased boolean, skipped boolean")

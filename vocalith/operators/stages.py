@@ -10,10 +10,11 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.sources.manifests import multiset_digest
+from vocalith.sources.storage import sound_unions
 
 MANIFEST = "uid bigint, signature string, content_hash string, attempt string"
 
@@ -23,9 +24,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
+def joined_text(columns: list[Column]) -> Column:
+    """Values as one text, nulls apart from empty ones."""
+    return F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns])
+
+
 def recording_contents(rows: DataFrame) -> DataFrame:
     """(uid, content_hash) of each recording's rows, in whatever order they are."""
-    line = F.to_json(F.struct(*sorted(c for c in rows.columns if c not in ("uid", "attempt"))), {"ignoreNullFields": "false"})
+    line = joined_text([F.col(c) for c in sorted(rows.columns) if c not in ("uid", "attempt")])
     return rows.groupBy("uid").agg(multiset_digest(line).alias("content_hash"))
 
 
@@ -33,6 +39,7 @@ class Batch:
     """Stages under one root folder. `run` returns a stage's rows; `failed` collects (stage, uid, problem); `reused` and `built` count records by stage."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
+        sound_unions(spark)
         self.spark, self.root = spark, root
         self.failed: DataFrame = spark.createDataFrame([], "stage string, uid bigint, problem string")
         self.reused: dict[str, int] = {}
@@ -58,7 +65,7 @@ class Batch:
         for name in after:
             signed = signed.join(self._current(name).select("uid", F.col("content_hash").alias(f"__{name}")), "uid")
         parts = [F.lit(stage), F.lit(json.dumps(settings or {}, sort_keys=True)), *[F.col(c) for c in sorted(signed.columns)]]
-        self.signatures[stage] = signed.select(*records.columns, F.sha2(F.to_json(F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256).alias("signature"))
+        self.signatures[stage] = signed.select(*records.columns, F.sha2(joined_text(parts), 256).alias("signature"))
         done = self._current(stage)
         self.reused[stage] = self._verified(stage, done)
         pending = self.signatures[stage].join(done, "uid", "left_anti")

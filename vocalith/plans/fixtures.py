@@ -12,10 +12,11 @@ from pyspark.sql.window import Window as W
 
 from vocalith.functions.hashing import draw
 from vocalith.operators.metrics import exact_mean
-from vocalith.sources.storage import shared_path
+from vocalith.sources.storage import shared_path, sound_unions
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
