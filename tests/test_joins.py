@@ -8,7 +8,7 @@ import pytest
 from vocalith.plans.registry import all_queries
 
 #: Fixed value: the queries whose plans are looked at; the tables are so small here that each was broadcast.
-DERIVED = ["unit_sync"]
+DERIVED = ["unit_sync", "positional_join", "paired_mask", "shuffle_within"]
 
 
 def plan(df):
