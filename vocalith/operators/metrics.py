@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vocalith.functions.hashing import hash32
+from vocalith.operators.exact import exact_mean, exact_sum, rounded  # noqa: F401
 from vocalith.operators.ordering import global_index
 from vocalith.operators.vectors import argmax_class
 from vocalith.sources.storage import sound_unions
@@ -253,23 +254,6 @@ def ensemble_join(preds: DataFrame, k: int) -> DataFrame:
     return by.select("uid", "label", "probas", F.when(F.col("n") != k, "rows").when(F.col("label") != F.col("high"), "labels").when(~F.col("good"), "probabilities").alias("problem"))
 
 
-def exact_sum(c: Column, digits: int) -> Column:
-    """The sum of values to so many digits, as a whole number of units of the last one: no order of summing changes it."""
-    return F.sum(F.round(c * 10.0**digits).cast("decimal(20,0)"))
-
-
-def rounded(total: Column, parts: Column, digits: int) -> Column:
-    """total / parts, both whole numbers, rounded once (half away from zero) to a double of so many digits; null if parts is 0 or null."""
-    up = (2 * F.abs(total) + parts).cast("decimal(38,0)")
-    whole = F.call_function("div", up, F.when(parts > 0, 2 * parts).cast("decimal(38,0)"))
-    return F.when(total < 0, -whole).otherwise(whole) / 10.0**digits
-
-
-def exact_mean(c: Column, digits: int = 6) -> Column:
-    """The mean of values to 12 digits, rounded once, so that neither binary halves nor the order of the sum matter."""
-    return rounded(exact_sum(c, 12), F.count(c).cast("decimal(20,0)") * 10 ** (12 - digits), digits)
-
-
 def mean_of_shares(c: Column) -> Column:
     """As `exact_mean`, for values of 1 at most and fewer than 9 million of them: sums are longs of 12 digits."""
     total, parts = F.sum(F.round(c * 1e12).cast("long")), F.count(c) * 10**6
