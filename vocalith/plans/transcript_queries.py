@@ -166,7 +166,7 @@ def _(spark, d):
 
 @query("minimum_frames", X.sql("words", "SELECT uid, count(*) AS targets, (count(*) + count_if(same))::BIGINT AS frames FROM (SELECT uid, token = lag(token) OVER (PARTITION BY uid ORDER BY target_index) AS same FROM units) GROUP BY uid", _UNITS))
 def _(spark, d):
-    return R.minimum_frames(_units(spark, d))
+    return R.minimum_frames_of(X.words(spark, d), T.ctc_form("word"))
 
 
 @query("unit_sync", X.sql("words", "SELECT uid, target_index, owner::INTEGER AS owner, 2 * target_index AS start_frame, target_index % 97 <> 5 AS agrees FROM units", _UNITS))
