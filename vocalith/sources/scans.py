@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vocalith.operators.ordering import carried_scan
 from vocalith.operators.vectors import feature_violations
-from vocalith.sources.storage import shared_path
+from vocalith.sources.storage import few_listing_tasks, shared_path
 
 #: Names under which label tables carry their columns; exact matches go before matches in any case.
 LABEL_ALIASES = {
@@ -66,13 +66,19 @@ def scan_consensus(spark: SparkSession, path: str, columns: dict[str, str]) -> D
 STEM = r"([^/]*?)(\.[^./]*)?$"
 
 
+def below(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Text files at a path or a pattern; of a folder all files below it. Folders are listed by tasks, a pattern over them by the driver alone."""
+    with few_listing_tasks(spark):
+        return spark.read.option("recursiveFileLookup", "true").text(path, **options)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, place, before, value) of the lines of text files: a line's place in its file, from 0, and the lines before it that are not empty.
 
     Files are split like any text input. Lines come in order within a block of a file, and are numbered there; what a file's earlier blocks hold is carried over. So files
     may be of any size.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = below(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     stored = shared_path(spark, "lines")
     lines.write.parquet(stored)
     rows = spark.read.schema(lines.schema).parquet(stored)
@@ -110,7 +116,8 @@ def scan_transcripts(spark: SparkSession, path: str, pauses: bool = False) -> Da
 
 def scan_file_index(spark: SparkSession, root: str, glob: str = "*", stem: str = STEM) -> DataFrame:
     """(path, length, stem, folder, duplicate) of the files below root; contents are not read. The stem is the first group of a pattern over the path; duplicate: another file has it as well."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", "length")
+    with few_listing_tasks(spark):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", "length")
     named = files.select("path", "length", F.regexp_extract("path", stem, 1).alias("stem"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"))
     n = named.groupBy("stem").agg((F.count("*") > 1).alias("duplicate"))
     return named.join(n, "stem").select("path", "length", "stem", "folder", "duplicate")
@@ -170,7 +177,7 @@ def scan_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def scan_text_files(spark: SparkSession, path: str, recordings: DataFrame, test: str = "test", uid_pattern: str = STEM) -> DataFrame:
     """recordings(uid, partition) with their transcript files: one line is the text, none is ``...`` (so are missing files and the test partition); more is a
     problem."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), uid_pattern, 1).alias("uid"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    files = below(spark, path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), uid_pattern, 1).alias("uid"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
     n = F.coalesce(F.size("lines"), F.lit(0))
     hidden = F.col("partition") == test
     return recordings.join(files, "uid", "left").select("uid", "partition", F.when(hidden | (n == 0), "...").when(n == 1, F.col("lines")[0]).alias("text"), F.when(~hidden & (n > 1), "several lines").alias("problem"))

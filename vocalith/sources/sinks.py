@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -77,7 +79,67 @@ def verify_manifest(current: DataFrame, manifest: DataFrame, key: str, content:
 
 def write_text_per_record(df: DataFrame, path: str) -> None:
     """One folder with one text for each uid (columns uid, text)."""
-    df.select("uid", "text").repartition("uid").write.partitionBy("uid").text(path)
+    write_folders(df.select("uid", "text"), path, "uid")
+
+
+#: Fixed value: characters that Spark writes as % and two hex digits in a folder's name.
+ESCAPED = {chr(c) for c in range(1, 32)} | set("\"#%'*/:=?\\\x7f{[]^")
+
+
+def folder_name(by: str, value: str | None) -> str:
+    """The folder of a partition's value, as Spark names it."""
+    return f"{by}=" + ("__HIVE_DEFAULT_PARTITION__" if not value else "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value))
+
+
+def write_folders(df: DataFrame, path: str, by: str) -> None:
+    """Lines of text in one folder for each value of `by`, of which there may be as many as rows: the layout of Spark's partitioned text writer.
+
+    Rows are dealt to all cores, and tasks write each folder's file under a name of its own and then give it its final one, so a task that runs again replaces what it wrote. Spark's writer takes several
+    system calls by a shell for each file on a shared local folder, and its driver moves all folders one after another; it is used only where Arrow does not know the file system. Fails if the target exists; `_SUCCESS` is
+    written last.
+    """
+    (content,) = [c for c in df.columns if c != by]
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(F.expr(f"nullif(cast(`{by}` AS string), '')").alias("__by"), F.col(content).cast("string").alias("line"), F.col(by).alias(by)).repartition(tasks, "__by").sortWithinPartitions("__by")
+    try:
+        files, root = fs.FileSystem.from_uri(path)
+    except (pa.ArrowException, ValueError, OSError):
+        rows.select("line", by).write.partitionBy(by).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    if files.get_file_info(root).type != fs.FileType.NotFound:
+        raise ValueError(f"{path} exists")
+    files.create_dir(root, recursive=True)
+
+    def write(batches):
+        files, root = fs.FileSystem.from_uri(path)
+        value, out, names = None, None, None
+        done = 0
+
+        def close():
+            if out is not None:
+                out.close()
+                files.move(*names)
+
+        try:
+            for batch in batches:
+                for v, line in zip(batch.column("__by").to_pylist(), batch.column("line").to_pylist()):
+                    if out is None or v != value:
+                        close()
+                        folder = f"{root}/{folder_name(by, v)}"
+                        files.create_dir(folder)
+                        value, names = v, (f"{folder}/.{uuid.uuid4().hex}", f"{folder}/part-00000.txt")
+                        out, done = files.open_output_stream(names[0]), done + 1
+                    out.write(((line or "") + "\n").encode())
+            close()
+        except BaseException:
+            if out is not None and not out.closed:
+                out.close()
+            raise
+        yield pa.RecordBatch.from_pydict({"n": [done]})
+
+    rows.select("__by", "line").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    with files.open_output_stream(f"{root}/_SUCCESS"):
+        pass
 
 
 def write_leaderboard(ranked: DataFrame, path: str, winner: DataFrame | None = None) -> None:
