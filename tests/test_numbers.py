@@ -1,5 +1,6 @@
 """Worked examples of single operators."""
 
+import hashlib
 import unicodedata
 
 import pytest
@@ -177,6 +178,22 @@ def test_bootstrap_is_a_direct_computation(spark):
     assert S.bootstrap_ci(p, 3, 20, group="group_id").first().units == 2
 
 
+def test_md5_of_many_numbers():
+    for prefix, first, last in ((b"b:0:", 0, 10), (b"b:9999:", 90, 1200), (b"seed:17:", 1_000_000, 1_000_300), (b"", 5, 6)):
+        want = [[int(hashlib.md5(prefix + str(j).encode()).hexdigest()[8 * k : 8 * k + 8], 16) for j in range(first, last)] for k in range(4)]
+        assert S.md5_words(prefix, first, last).tolist() == want
+
+
+def test_bootstrap_counts_without_a_shuffle(spark):
+    """A replicate's draws are counted where they are made, with the same counts as over a shuffle."""
+    for n in (0, 1, 7, 4099, 50_001):
+        units = spark.range(n).withColumnRenamed("id", "index")
+        got = S.bootstrap_counts(units, 3)
+        want = S.bootstrap_counts(units, 3, limit=0)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ensemble_mean(spark):
     data = [("a", m, 1, [0.51, 0.49] if m < 3 else [0.01, 0.99]) for m in range(5)] + [("b", m, 0, [0.9, 0.1]) for m in range(5)]
     p = spark.createDataFrame(data, "uid string, model int, label int, proba array<double>")

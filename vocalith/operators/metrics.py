@@ -97,6 +97,120 @@ def _drawn(spread: DataFrame, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
     return each.select(*by, "replicate", F.pmod(F.conv(F.substring("md5", F.col("k") * 8 + 1, F.lit(8)), 16, 10).cast("long"), F.col("n")).alias("index"))
 
 
+#: Up to so many units a task counts a replicate's draws by itself (8 bytes a unit); with more, draws are counted over a shuffle.
+COUNTED_UNITS = 1 << 23
+_MD5_SHIFTS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_MD5_PLACES = [lambda i: i, lambda i: (5 * i + 1) % 16, lambda i: (3 * i + 5) % 16, lambda i: 7 * i % 16]
+_MD5_SUMMANDS = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def md5_words(prefix: bytes, first: int, last: int) -> np.ndarray:
+    """[4, last - first]: the four groups of 8 hex digits of md5(prefix and the decimal j) for first <= j < last, as whole numbers."""
+    m, longest = last - first, len(prefix) + len(str(last - 1))
+    if longest > 55:
+        raise ValueError("one block of md5 holds 55 bytes")
+    block = np.zeros((m, 64), np.uint8)
+    block[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+    at = first
+    while at < last:  # numbers with the same number of digits
+        upto = min(last, 10 ** len(str(at)))
+        size, rows, j = len(prefix) + len(str(at)), block[at - first : upto - first], np.arange(at, upto, dtype=np.uint32 if upto < 1 << 32 else np.uint64)
+        for d in range(size - 1, len(prefix) - 1, -1):
+            tenth = j // 10
+            rows[:, d] = j - 10 * tenth + 48
+            j = tenth
+        rows[:, size] = 128
+        rows[:, 56:58] = np.frombuffer((8 * size).to_bytes(2, "little"), np.uint8)
+        at = upto
+    words = block.view("<u4")
+    varies = [*range(len(prefix) // 4, longest // 4 + 1), 14]
+    message = [np.ascontiguousarray(words[:, i]) if i in varies else int(words[0, i]) for i in range(16)]
+    start = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    a, b, c, d = (np.full(m, x, np.uint32) for x in start)
+    high = np.empty(m, np.uint32)
+    for i in range(64):
+        part = i // 16
+        f = _md5_mix(part, b, c, d)
+        word = message[_MD5_PLACES[part](i)]
+        f += a
+        if isinstance(word, int):
+            f += np.uint32((word + _MD5_SUMMANDS[i]) % 2**32)
+        else:
+            f += word
+            f += np.uint32(_MD5_SUMMANDS[i])
+        by = _MD5_SHIFTS[part][i % 4]
+        np.right_shift(f, np.uint32(32 - by), out=high)
+        f <<= np.uint32(by)
+        f |= high
+        f += b
+        a, b, c, d = d, f, b, c
+    return np.stack([(x + np.uint32(s)).byteswap() for x, s in zip((a, b, c, d), start)])
+
+
+def _md5_mix(part: int, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    if part == 2:
+        f = b ^ c
+        f ^= d
+    elif part == 3:
+        f = ~d
+        f |= b
+        f ^= c
+    else:
+        x, y, z = (b, c, d) if part == 0 else (d, b, c)
+        f = y ^ z
+        f &= x
+        f ^= z
+    return f
+
+
+def _own_counts(n: int, seed: str, chunk: int = 1 << 20, step: int = 1 << 15):
+    """(replicate) -> (replicate, index, n): how often each unit is drawn, for those that are."""
+
+    def draws(replicate: int):
+        prefix, j, fours = f"{seed}:{replicate}:".encode(), 0, -(-n // 4)
+        while j < fours:
+            last = min(j + step, fours)
+            four = md5_words(prefix, j, last)
+            yield (four % np.uint32(n)).T.ravel()[: n - 4 * j]
+            j = last
+
+    def counts(replicate: int) -> np.ndarray:
+        total, held, rows = np.zeros(n, np.int32), [], 0
+        for some in draws(replicate):
+            held.append(some)
+            rows += len(some)
+            if rows >= max(chunk, n // 4):
+                total += np.bincount(np.concatenate(held), minlength=n).astype(np.int32)
+                held, rows = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=n).astype(np.int32)
+        return total
+
+    def over(batches):
+        for batch in batches:
+            for replicate in batch.column(0).to_pylist():
+                total = counts(replicate)
+                index = np.flatnonzero(total)
+                for at in range(0, len(index), 1 << 16):
+                    some = index[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), replicate, np.int32)), pa.array(some, pa.int64()), pa.array(total[some].astype(np.int64))], names=["replicate", "index", "n"])
+
+    return over
+
+
+def bootstrap_counts(units: DataFrame, samples: int, seed: str = "b", limit: int = COUNTED_UNITS) -> DataFrame:
+    """(replicate, index, n): how often each unit is drawn by `bootstrap_draws`; units that are not drawn have no row.
+
+    A replicate is one task's work, which counts the draws as it makes them, so that they are neither rows nor shuffled.
+    """
+    spark = units.sparkSession
+    n = units.count()
+    if n > limit or len(seed) > 30:
+        return bootstrap_draws(units, samples, seed).groupBy("replicate", "index").agg(F.count("*").alias("n"))
+    replicates = spark.range(0, samples if n else 0, 1, 8 * spark.sparkContext.defaultParallelism).select(F.col("id").cast("int").alias("replicate"))
+    return replicates.mapInArrow(_own_counts(n, seed), "replicate int, index long, n long")
+
+
 def _macro_of(tp: list[Column], actual: list[Column], predicted: list[Column]) -> Column:
     each = [F.when(a + p == 0, 0.0).otherwise(2.0 * t / (a + p)) for t, a, p in zip(tp, actual, predicted)]
     return (reduce(lambda x, y: x + y, each) / float(len(each))).alias("macro_f1")

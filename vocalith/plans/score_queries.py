@@ -83,7 +83,7 @@ reps AS (SELECT r, ({" + ".join(_f1(c, "w") for c in range(K))}) / 3 AS m FROM d
 def _(spark, d):
     """All groups are drawn in each replicate."""
     units = S.resampling_units(X.preds(spark, d), K, "group_id")
-    drawn = S.bootstrap_draws(units, SAMPLES).groupBy("replicate", "index").agg(F.count("*").alias("n"))
+    drawn = S.bootstrap_counts(units, SAMPLES)
     return drawn.groupBy("replicate").agg(F.sum("n").alias("draws"), F.count("*").alias("units"), F.max("n").alias("most"), F.sum(F.col("index") * F.col("n")).alias("total"))
 
 
