@@ -3,6 +3,7 @@
 import hashlib
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from vocalith.functions import text as T
 from vocalith.functions import timing as M
 from vocalith.functions.sql_names import register_all
 from vocalith.operators import cohort as C
+from vocalith.operators import fitting
 from vocalith.operators import generate as G
 from vocalith.operators import intervals as I
 from vocalith.operators import journal as J
@@ -116,6 +118,30 @@ def test_interval_pool(spark):
     assert not any(r[4] for r in rows(I.interval_mean_pool(empty, frames, grid, 2, "inclusive")))
 
 
+def test_apply_per_recording_in_batches(spark):
+    """Recordings that end in a batch, go over several, or have null keys and values come whole and with the same types as one by one."""
+    big = 2**53 + 1
+    data = [("a", i, big) for i in range(25)] + [("b", 0, None)] + [(None, i, big) for i in range(3)] + [(f"r{i}", i, big + i) for i in range(30)] + [("z", i, None if i == 13 else i) for i in range(20)]
+    df = spark.createDataFrame(data, "uid string, n int, v long").repartition(3)
+
+    def summed(frame):
+        return pd.DataFrame({"uid": frame["uid"].iloc[:1], "rows": [len(frame)], "v": [frame["v"].max()], "kind": [str(frame["v"].dtype)]})
+
+    name, schema = "spark.sql.execution.arrow.maxRecordsPerBatch", "uid string, rows long, v long, kind string"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "8")
+        made = fitting.apply_per_recording(df, summed, schema)
+        got = sorted(map(str, made.collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert got == sorted(map(str, df.groupBy("uid").applyInPandas(summed, schema).collect()))
+    assert "InPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    assert fitting.apply_per_recording(df.where("false"), summed, schema).count() == 0
+    arrays = df.withColumn("v", F.array("v"))
+    assert fitting.apply_per_recording(arrays, lambda f: f[["uid"]], "uid string").count() == df.count()
+
+
 def test_punctuation_gap(spark):
     t = spark.createDataFrame([("r", 0, "Hello", 0, 100), ("r", 1, ",", None, None), ("r", 2, "world", 200, 400), ("r", 3, ".", None, None)], "uid string, word_id int, word string, start_ms int, end_ms int")
     got = rows(R.punctuation_gap(t, F.col("word").rlike("[a-z]"), F.lit(500)), "word_id")

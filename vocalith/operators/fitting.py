@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Partial sums of so many tasks are added up at a time.
 FAN_IN = 64
@@ -151,6 +153,56 @@ def score_partitions(df: DataFrame, load_model: Callable[[], Callable], schema:
     return df.mapInPandas(score, schema)
 
 
+#: Column types that pandas and Arrow convert in one way only.
+_PLAIN = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _recordings(batches, key: int):
+    """Arrow batches in the order of the column `key` -> a pandas frame for each of its values, in lists: those that end in one batch."""
+    held = []  # what there is of a recording that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(key).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        start = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        goes_on = bool(held) and held[-1].column(key)[-1].equals(batch.column(key)[0])
+        done = []
+        if held and not goes_on:
+            done.append(pa.Table.from_batches(held).to_pandas())
+            held = []
+        if len(start) > 2:
+            if held:
+                done.append(pa.Table.from_batches([*held, batch.slice(0, start[1])]).to_pandas())
+            first, last = (1 if held else 0), start[-2]
+            # a whole number is no longer one in a pandas column with nulls, so only batches without any are converted at once
+            whole = None if any(c.null_count for c in batch.columns) else batch.slice(0, last).to_pandas()
+            for a, b in zip(start[first:-2], start[first + 1 : -1]):
+                done.append(batch.slice(a, b - a).to_pandas() if whole is None else whole.iloc[a:b].reset_index(drop=True))
+            held = []
+        held.append(batch.slice(start[-2]))
+        if done:
+            yield done
+    if held:
+        yield [pa.Table.from_batches(held).to_pandas()]
+
+
 def apply_per_recording(df: DataFrame, fn: Callable, schema: str, key: str = "uid") -> DataFrame:
-    """Only for work that is sequential in a recording: fn gets all its rows as one pandas frame."""
-    return df.groupBy(key).applyInPandas(fn, schema)
+    """Only for work that is sequential in a recording: fn gets all its rows as one pandas frame.
+
+    Recordings go to Python and back many at a time, not each in a stream of its own; with columns other than numbers and strings, one by one.
+    """
+    fields = StructType.fromDDL(schema).fields
+    if any(kind not in _PLAIN for _, kind in df.dtypes) or any(f.dataType.simpleString() not in _PLAIN for f in fields):
+        return df.groupBy(key).applyInPandas(fn, schema)
+    target = pa.schema([(f.name, _PLAIN[f.dataType.simpleString()]) for f in fields])
+    at = df.columns.index(key)
+
+    def over(batches):
+        for frames in _recordings(batches, at):
+            made = [fn(frame) for frame in frames]
+            if len({tuple(frame.dtypes) for frame in made}) == 1:  # else whole numbers would become floats where another recording has nulls
+                made = [pd.concat(made, ignore_index=True)]
+            for frame in made:
+                yield pa.RecordBatch.from_arrays([pa.array(frame[f.name], f.type, from_pandas=True) for f in target], schema=target)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(over, schema)
