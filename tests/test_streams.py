@@ -4,11 +4,12 @@ import time
 
 import pytest
 from compare import spark_rows
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vocalith.operators import journal as J
 from vocalith.plans import fixtures as X
-from vocalith.streaming import jobs
+from vocalith.streaming import jobs, state
 
 
 def events(spark, sf_dir, stream):
@@ -135,6 +136,31 @@ def test_published_contents_expire(spark, tmp_path):
     assert run(second, 1) == [[(1, "a"), (1, "b"), (2, None), (2, None), (3, "c")], []]
 
 
+def test_published_once_by_rows():
+    """The processor takes rows, whose order does not matter, and asks for its key's state once."""
+
+    class Hash:
+        value, asked = None, 0
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def exists(self):
+            raise AssertionError("a second question")
+
+        def update(self, value):
+            self.value = value
+
+    processor = state.PublishOnce(None)
+    processor.hash = Hash()
+    judge = lambda *hashes: [(r.hash__, r.text, r.outcome__) for r in processor.handleInputRows((1,), (Row(doc_id=1, text=f"text {h}", hash__=h) for h in hashes), None)]
+    assert judge("c", "a", "c", "b") == [("a", "text a", "new"), ("b", "text b", "conflict"), ("c", "text c", "conflict")]
+    assert judge("a") == [("a", "text a", "same")]
+    assert judge("b", "a") == [("a", "text a", "same"), ("b", "text b", "conflict")]
+    assert processor.hash.asked == 3 and processor.hash.value == ("a",)
+
+
 def test_a_second_run_adds_nothing(spark, sf_dir, tmp_path):
     for _ in range(2):
         jobs.run_to_end(jobs.stream_dedup(events(spark, sf_dir, True), watermark="400 days"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")

@@ -117,5 +117,5 @@ def stream_publish_once(df: DataFrame, target: str, conflicts: str, checkpoint:
     """New keys are added to target, and keys that come again with other content to conflicts. A key's state is the hash of its content, for ttl_ms after it was published; of several
     contents that come at once the one of the least hash is published."""
     hashed = df.withColumn("hash__", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
-    judged = processed(hashed, key, PublishOnce(ttl_ms), _with_outcome(hashed), ttl_ms is not None)
+    judged = processed(hashed, key, PublishOnce(ttl_ms), _with_outcome(hashed), ttl_ms is not None, frames=False)
     return _split(judged.drop("hash__"), {"new": target, "conflict": conflicts}, checkpoint)

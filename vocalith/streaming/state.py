@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,10 +18,11 @@ def use_state_store(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def processed(df: DataFrame, key: str, processor: StatefulProcessor, schema, timed: bool) -> DataFrame:
-    """timed: whether state expires or timers run."""
+def processed(df: DataFrame, key: str, processor: StatefulProcessor, schema, timed: bool, frames: bool = True) -> DataFrame:
+    """timed: whether state expires or timers run. frames: whether the processor takes pandas frames, or rows, which cost less where keys have few of them."""
     use_state_store(df.sparkSession)
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "ProcessingTime" if timed else "None")
+    by = df.groupBy(key)
+    return (by.transformWithStateInPandas if frames else by.transformWithState)(processor, schema, "append", "ProcessingTime" if timed else "None")
 
 
 @contextmanager
@@ -111,7 +112,7 @@ class Quarantine(StatefulProcessor):
 
 
 class PublishOnce(StatefulProcessor):
-    """The hash of a key's published content, kept for ttl_ms; frames are folded one by one, and of a trigger's contents one row for each hash is held."""
+    """The hash of a key's published content, kept for ttl_ms; rows are folded one by one, and of a trigger's contents one row for each hash is held."""
 
     def __init__(self, ttl_ms: int | None) -> None:
         self.ttl_ms = ttl_ms
@@ -119,18 +120,18 @@ class PublishOnce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.hash = handle.getValueState("hash", "hash STRING", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in rows:
-            frame = frame.drop_duplicates("hash__")
-            held = frame if held is None else pd.concat([held, frame]).drop_duplicates("hash__")
-        held = held.sort_values("hash__", ignore_index=True)
-        known = self.hash.get()[0] if self.hash.exists() else None
-        outcome = ["same" if h == known else "conflict" for h in held["hash__"]]
-        if known is None:
-            outcome[0] = "new"
-            self.hash.update((held["hash__"].iloc[0],))
-        yield held.assign(outcome__=outcome)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = {}
+        for row in rows:
+            held.setdefault(row["hash__"], row)
+        state = self.hash.get()
+        known = state[0] if state else None
+        for at, content in enumerate(sorted(held)):
+            outcome = "same" if content == known else "conflict"
+            if known is None and at == 0:
+                outcome = "new"
+                self.hash.update((content,))
+            yield Row(**held[content].asDict(), outcome__=outcome)
 
     def close(self) -> None:
         pass
