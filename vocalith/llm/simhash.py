@@ -13,8 +13,10 @@ Defined results: null, empty and blank texts have the fingerprint zero and link
 component; an empty table gives no rows; other columns, whatever their names, are not read, and `drop_near_copies` carries them along.
 
 `drop_near_copies` has parameters of its own: texts are near copies if the sets of their five-word shingles have a Jaccard similarity of
-0.8 or more. A radius of 3 bits is far too small for that (such texts differ in up to 10 bits or more), so its candidates are found by bands of
-least shingle hashes of 100 orders, and compared exactly. Texts without words are copies of each other.
+0.8 or more. A radius of 3 of 64 bits is far too small for that, so it takes SimHashes of 256 bits. At 0.8 two of them differ in a bit with probability
+acos(8/9) / pi = 0.152, in 39 bits of 256 on average; unrelated ones differ in 128. They are filed by some of their bits, under so many choices that a pair at 0.8
+is filed alike with probability 0.9996; those filed alike and of sizes within 4 : 5 are compared bit-sliced, as above, and abandoned where more than 22 of 64, 38 of 128,
+53 of 192 or 66 of 256 bits differ (less than 0.0001 of the pairs at 0.8). What is found so is compared exactly. Texts without words are copies of each other.
 """
 
 from __future__ import annotations
@@ -38,13 +40,19 @@ RUN_LIMIT = 4096
 BLOCK_ROWS = 1 << 16
 NEAR_SHINGLE = 5
 NEAR_JACCARD = 0.8
-#: Two sets of similarity s share a band with 1 - (1 - s ** 5) ** 20: 0.9996 at 0.8.
-BANDS, BAND_ROWS = 20, 5
+NEAR_WORDS = 4
+#: Differing bits that near copies may have among the first 64, 128, 192 and 256.
+NEAR_LIMITS = (22, 38, 53, 66)
+#: The chance that a pair at NEAR_JACCARD is not filed alike.
+NEAR_MISS = 4e-4
+#: Rows that a file has on average; those beyond which one is compared part by part; rows compared at once.
+NEAR_FILE, NEAR_LONG, NEAR_ROWS = 1 << 12, 1 << 16, 1 << 18
 #: What one part of a group may weigh (shingles, and 256 for each text); larger groups are compared part by part, each with each.
 PART_WEIGHT = 1 << 18
+PRINT = [f"f{k}" for k in range(NEAR_WORDS)]
 _WORDS: dict[bytes, int] = {}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MULTIPLIERS, _OFFSETS = (np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1))
+_MULTIPLIERS, _OFFSETS = (np.random.default_rng(5).integers(0, 1 << 64, (2, NEAR_WORDS), np.uint64) | np.uint64(1))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -274,28 +282,214 @@ def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The least values of 100 orders of the shingles, five to a key."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[at : at + 2048] * _MULTIPLIERS + _OFFSETS).min(axis=1))
-    least = least.reshape(BANDS, BAND_ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for j in range(BAND_ROWS):
-        key = _mixed(key * _ODD + least[:, j])
-    return key.view(np.int64)
+def near_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles, 256 bits in four words: a bit is 1 if set in over half of the shingles' hashes."""
+    ones = np.zeros(64 * NEAR_WORDS, np.int64)
+    for at in range(0, len(shingles), 4096):
+        hashes = _mixed(shingles[at : at + 4096, None] * _MULTIPLIERS + _OFFSETS)
+        ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
 
 
 def _sketches(texts: pa.Array) -> pa.Array:
     sets = [shingle_set(t) for t in texts.to_pylist()]
     same = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-    bands = [band_keys(s) if len(s) else [] for s in sets]
-    return pa.StructArray.from_arrays([pa.array(same, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["same", "size", "bands"])
+    prints = np.array([near_fingerprint(s) for s in sets], np.uint64).reshape(-1, NEAR_WORDS).view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(same, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), *[pa.array(np.ascontiguousarray(f), pa.int64()) for f in prints.T]], names=["same", "size", *PRINT])
 
 
 def sketches(text: Column) -> Column:
-    """same (hash of the whole shingle set), size, bands."""
-    return F.arrow_udf(_sketches, "struct<same:long,size:long,bands:array<long>>").asNondeterministic()(text)
+    """same (hash of the whole shingle set), size, and the words of its SimHash."""
+    return F.arrow_udf(_sketches, "struct<same:long,size:long," + ",".join(f"{f}:long" for f in PRINT) + ">").asNondeterministic()(text)
+
+
+def near_filing(rows: int) -> tuple[int, int]:
+    """(bits, files): by how many bits so many rows are filed, and how often, for a chance of NEAR_MISS at most that a pair at NEAR_JACCARD never meets."""
+    bits = max(0, int(np.ceil(np.log2(max(1, rows) / NEAR_FILE))))
+    n, p = 64 * NEAR_WORDS, np.arccos(2 * NEAR_JACCARD / (1 + NEAR_JACCARD)) / np.pi
+    differ = np.arange(n + 1)
+    logs = np.r_[0, np.cumsum(np.log(np.arange(1, n + 1)))]
+    chance = np.exp(logs[n] - logs[differ] - logs[n - differ] + differ * np.log(p) + (n - differ) * np.log(1 - p))
+    alike = np.prod([np.maximum(0, n - differ - k) / (n - k) for k in range(bits)], axis=0) if bits else np.ones(n + 1)
+    files = 1
+    while (chance * (1 - alike) ** files).sum() > NEAR_MISS:
+        files += 1
+    return bits, files
+
+
+def _file_near(bits: int, files: int):
+    """(same, size, f0..f3) -> a row for each file: its number and the chosen bits make the key."""
+    rng, n = np.random.default_rng(9), 64 * NEAR_WORDS
+    drawn = np.concatenate([rng.permutation(n) for _ in range(-(-bits * files // n) + 1)])
+    chosen, at = [], 0
+    for _ in range(files):  # whole permutations, so that all bits are used alike
+        take = []
+        while len(take) < bits:
+            if drawn[at] not in take:
+                take.append(drawn[at])
+            at = (at + 1) % len(drawn)
+        chosen.append(take)
+
+    def over(batches):
+        for batch in batches:
+            prints = np.stack([batch.column(f).to_numpy() for f in PRINT], axis=1)
+            ones = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+            for k, take in enumerate(chosen):
+                key = np.full(len(prints), k, np.int64) << bits
+                for j, b in enumerate(take):
+                    key |= ones[:, b].astype(np.int64) << j
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *batch.columns], names=["key", "same", "size", *PRINT])
+
+    return over
+
+
+def _add(counts: list[np.ndarray], x: np.ndarray) -> None:
+    """Eight planes more: counts[k] is bit k of each lane's number of ones, by carry-save adders."""
+
+    def full(k, a, b):
+        odd = counts[k] ^ a
+        carry = (counts[k] & a) | (odd & b)
+        counts[k] = odd ^ b
+        return carry
+
+    fours = [full(1, full(0, x[j], x[j + 1]), full(0, x[j + 2], x[j + 3])) for j in (0, 4)]
+    carry = full(2, *fours)
+    for k in range(3, len(counts)):
+        counts[k], carry = counts[k] ^ carry, counts[k] & carry
+
+
+def _above(counts: list[np.ndarray], limit: int) -> np.ndarray:
+    """The lanes whose number is over the limit."""
+    above, equal = np.zeros_like(counts[0]), ~np.zeros_like(counts[0])
+    for k in range(len(counts) - 1, -1, -1):
+        if limit >> k & 1:
+            equal &= counts[k]
+        else:
+            above |= equal & counts[k]
+            equal &= ~counts[k]
+    return above
+
+
+def near_lanes(planes: np.ndarray, same: np.ndarray, d: int) -> np.ndarray:
+    """As `close_pairs`, for 256 planes and the limits of near copies."""
+    words = np.flatnonzero(same)
+    alive = same[words]
+    counts = [np.zeros_like(alive) for _ in range((64 * NEAR_WORDS).bit_length())]
+    for k, limit in enumerate(NEAR_LIMITS):
+        for b in range(64 * k, 64 * k + 64, 8):
+            part = planes[b : b + 8]
+            _add(counts, part[:, words] ^ _shifted(part, words, d))
+        alive &= ~_above(counts, limit)
+        live = alive != 0
+        if not live.all():
+            words, alive, counts = words[live], alive[live], [c[live] for c in counts]
+        if not len(words):
+            return words
+    row, lane = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return words[row] * 64 + lane
+
+
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after the links i - j; each is its component's least place."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart]))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def link_near(keys: np.ndarray, size: np.ndarray, prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key and size -> spanning links (place, place) of those of one key, of sizes within 4 : 5, whose fingerprints are within the limits."""
+    n = len(keys)
+    run = np.cumsum(np.r_[False, keys[1:] != keys[:-1]]) << 32
+    most = np.floor(size / NEAR_JACCARD + 1e-6).astype(np.int64)
+    span = np.searchsorted(run + size, run + most, side="right") - 1 - np.arange(n)
+    planes = np.concatenate([bit_planes(p) for p in prints])
+    root = np.arange(n)
+    for d in range(1, int(span.max()) + 1):
+        lanes = np.zeros(planes.shape[1] * 64, np.uint8)
+        lanes[: n - d] = (span[: n - d] >= d) & (root[d:] != root[: n - d])  # what is linked already need not be compared
+        same = np.packbits(lanes, bitorder="little").view(np.uint64)
+        if same.any():
+            i = near_lanes(planes, same, d)
+            if len(i):
+                root = _joined(root, i, i + d)
+    linked = np.flatnonzero(root != np.arange(n))
+    return linked, root[linked]
+
+
+def _whole_files(batches, limit: float, block: int):
+    """Sorted rows -> (columns, False) for blocks of whole files and (columns, True) for the rows of files longer than the limit."""
+
+    def sorted_out(cols):
+        length = np.unique(cols[0], return_counts=True)[1]
+        over = np.repeat(length > limit, length)
+        yield from (([c[own] for c in cols], kind) for own, kind in ((~over, False), (over, True)) if own.any())
+
+    held, rows, long = [], 0, None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if long is not None:
+            n = int(np.searchsorted(cols[0], long, side="right"))
+            if n:
+                yield [c[:n] for c in cols], True
+                cols = [c[n:] for c in cols]
+            if not len(cols[0]):
+                continue
+            long = None
+        held.append(cols)
+        rows += len(cols[0])
+        if rows > block:
+            cols = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:
+                yield from sorted_out([c[:cut] for c in cols])
+            rest, rows = [c[cut:] for c in cols], rows - cut
+            held = [rest]
+            if rows > limit:
+                yield rest, True
+                held, rows, long = [], 0, rest[0][-1]
+    if rows:
+        yield from sorted_out([np.concatenate(x) for x in zip(*held)])
+
+
+def _compare_near(limit: float, block: int):
+    """Sorted (key, same, size, f0..f3) -> links (u, v); rows of files longer than the limit with u null, to be compared part by part."""
+    names = ["u", "v", "key", "same", "size", *PRINT]
+
+    def over(batches):
+        for cols, long in _whole_files(batches, limit, block):
+            if long:
+                none = pa.nulls(len(cols[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *[pa.array(c, pa.int64()) for c in cols]], names=names)
+            elif len(cols[0]) > 1:
+                i, j = link_near(cols[0], cols[2], [c.view(np.uint64) for c in cols[3:]])
+                none = pa.nulls(len(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1][i], pa.int64()), pa.array(cols[1][j], pa.int64()), *[none] * (len(names) - 2)], names=names)
+
+    return over
+
+
+def near_links(sets: DataFrame, rows: int, limit: int = NEAR_LONG, block: int = NEAR_ROWS) -> DataFrame:
+    """sets(same, size, f0..f3), distinct -> links (u, v) that span the candidate groups: what is filed alike, of like size, and within the limits.
+
+    A file longer than the limit is cut into parts of half of it, and each two of them are compared, so that no task holds a long file.
+    """
+    columns = "key long, same long, size long, " + ", ".join(f"{f} long" for f in PRINT)
+    compared = lambda df, most: df.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_compare_near(most, block), "u long, v long, " + columns)
+    first = materialize(compared(sets.mapInArrow(_file_near(*near_filing(rows)), columns), limit), "near-links")
+    links, long = first.where("u IS NOT NULL").select("u", "v"), first.where("u IS NULL").drop("u", "v")
+    if not long.isEmpty():
+        parts = long.groupBy("key").agg(F.ceil(2 * F.count("*") / limit).alias("parts"))
+        cut = long.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")))
+        paired = cut.withColumn("other", F.explode(F.expr("filter(sequence(0L, parts - 1), j -> j <> part)")))
+        key = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+        links = links.unionByName(compared(paired.select(key.alias("key"), "same", "size", *PRINT), float("inf")).select("u", "v"))
+    return links.distinct()
 
 
 def _set_bytes(texts: pa.Array) -> pa.Array:
@@ -358,16 +552,15 @@ def row_key(df: DataFrame, text_col: str) -> list[Column]:
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text_hash, row_hash, group. Groups are the components of "Jaccard similarity of the shingle sets at least 0.8".
 
-    Sets that share a band make candidate groups, each text next to the least set of its band. Only the texts of candidate groups are read
+    Sets whose SimHashes are filed alike and differ in few bits make candidate groups. Only the texts of candidate groups are read
     again and compared, one text for each set.
     """
     small_batches(df.sparkSession)
     hashes = [h.alias(c) for h, c in zip(row_key(df, text_col), ("text_hash", "row_hash"))]
     docs = df.select(F.col(id_col).alias("id"), *hashes, sketches(F.col(text_col)).alias("k"))
-    docs = materialize(docs.select("id", "text_hash", "row_hash", "k.same", "k.size", "k.bands"), "sketches")
-    filed = docs.select(F.explode("bands").alias("key"), "same").distinct()
-    hubs = filed.groupBy("key").agg(F.min("same").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    near = connected_components(filed.join(hubs, "key").where("same <> hub").select(F.col("same").alias("u"), F.col("hub").alias("v")).distinct())
+    docs = materialize(docs.select("id", "text_hash", "row_hash", "k.*"), "sketches")
+    sets = docs.where("size > 0").select("same", "size", *PRINT).dropDuplicates(["same"])
+    near = connected_components(near_links(sets, docs.count()))
     one = docs.groupBy("same").agg(F.min(F.struct("text_hash", "row_hash")).alias("row"), F.first("size").alias("size"))
     members = materialize(near.join(one, near["node"] == one["same"]).select("root", "same", "size", "row.text_hash", "row.row_hash"), "candidates")
     parts = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 256) / PART_WEIGHT).alias("parts"))
