@@ -1,0 +1,23 @@
+"""Pooling over frames in blocks against pooling over the same frames as rows."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from vocalith.functions.timing import Grid
+from vocalith.operators import intervals as I
+
+
+@pytest.mark.parametrize("policy", ["centres", "inclusive", "short_expand"])
+def test_blocks_pool_as_rows(spark, policy):
+    rng = random.Random(5)
+    n = {1: 1, 2: I.FRAME_BLOCK, 3: I.FRAME_BLOCK + 1, 4: 3 * I.FRAME_BLOCK - 7}
+    made = [(u, k, [rng.uniform(-2000, 2000), None if k % 50 == 7 else float(k)]) for u, m in n.items() for k in range(m)]
+    words = [(u, k, None if k % 9 == 0 else s, s + rng.choice([0, 5, 40, 900, 15000]), n[u]) for u in n for k in range(40) for s in [rng.randrange(20 * n[u])]]
+    frames = spark.createDataFrame(made, "uid long, frame long, vec array<double>")
+    blocks = frames.groupBy("uid", F.floor(F.col("frame") / I.FRAME_BLOCK).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "vec"))), lambda x: x["vec"]).alias("vecs"))
+    windows = spark.createDataFrame(words, "uid long, word_id long, start_ms long, end_ms long, frame_count long")
+    pooled = lambda f: sorted(map(tuple, I.interval_mean_pool(windows, f, Grid(20.0, 25.0, 12.5, F.col("frame_count")), 2, policy).collect()))
+    got = pooled(blocks)
+    assert got == pooled(frames) and sum(r[4] for r in got) > 100
