@@ -10,18 +10,34 @@ from vocalith.functions.timing import Grid
 from vocalith.operators import intervals as I
 from vocalith.plans.registry import all_queries
 
-#: The queries that pool the frames of the word intervals.
-POOLED = ["interval_mean_pool", "interval_mean_pool_context", "interval_mean_pool_inclusive", "interval_mean_pool_short"]
+#: The queries that join or pool the frames of the word intervals.
+POOLED = ["frames_in_interval", "interval_mean_pool", "interval_mean_pool_context", "interval_mean_pool_inclusive", "interval_mean_pool_short"]
 
 
 @pytest.mark.parametrize("name", POOLED)
 def test_frames_are_not_moved(spark, sf_dir, name):
-    """Below the pooling join frames are dealt out as blocks, before they are made; the other exchange by block is of the ends of words."""
+    """Below the join frames are dealt out as blocks, before they are made; the other exchange by block is of words or their ends."""
     text = plan(all_queries()[name](spark, sf_dir))
     dealt = re.findall(r"Exchange hashpartitioning\(uid#\d+L?, block#\d+L?, \d+\), (\w+)", text)
     assert sorted(dealt) == ["ENSURE_REQUIREMENTS", "REPARTITION_BY_NUM"] and "ShuffledHashJoin" in text
 
 
+def test_frames_of_overlapping_words(spark):
+    """Words over several blocks, that share frames, with frames missing and twice; columns and their order."""
+    frames = [("a", f, f % 7) for f in range(300) if f % 11] + [("a", 65, 9), ("b", 3, 1)]
+    words = [("a", 0, 0, 6000), ("a", 1, 1200, 1300), ("a", 2, 1270, 2600), ("a", 3, 1303, 1304), ("b", 0, 0, 90), ("a", 4, None, None), (None, 0, 0, 90)]
+    fr = spark.createDataFrame(frames, "uid string, frame long, x int")
+    w = spark.createDataFrame(words, "uid string, word_id int, start_ms int, end_ms int")
+    out = I.frames_in_interval(w, fr, Grid(20.0, 25.0, 12.5, 300))
+    assert out.columns == ["uid", "frame", "word_id", "start_ms", "end_ms", "method", "x"]
+    want = []
+    for u, k, s, e in words:
+        inside = [f for f in range(300) if s is not None and s <= 20 * f + 12.5 < e]
+        span = inside or ([] if s is None else [int(((s + e) / 2 - 12.5) / 20 + 0.5)])
+        want += [(u, k, f, "frame_centers_in_interval" if inside else "nearest_center_fallback", x) for uid, f, x in frames if u == uid and f in span]
+    assert sorted((r.uid, r.word_id, r.frame, r.method, r.x) for r in out.collect()) == sorted(want) and want
+
+
 @pytest.fixture(scope="module")
 def odd():
     """Recordings of many blocks with frames missing, twice and without values; words that overlap, that lie beyond the frames, that are one frame or whole recordings, and one without a recording."""
