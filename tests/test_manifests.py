@@ -196,3 +196,27 @@ def test_text_is_encoded_anew_on_stored_audio(spark, records, tmp_path):
     spark.createDataFrame(spark.read.parquet(folder).withColumn("vec", F.array(F.lit(9.0))).collect(), "uid long, word_id int, vec array<double>, valid boolean, problem string").write.mode("overwrite").parquet(folder)
     with pytest.raises(ValueError, match="audio was modified"):
         go(5.0)
+
+
+def test_contents_are_not_sorted(spark):
+    """Contents are added up by hash, in longs."""
+    import io
+    from contextlib import redirect_stdout
+
+    from vocalith.operators.stages import recording_contents
+
+    rows = spark.range(100).selectExpr("id % 7 AS uid", "id AS word_id", "array(id / 3) AS vec", "cast(NULL AS string) AS problem")
+    text = io.StringIO()
+    with redirect_stdout(text):
+        recording_contents(rows).explain()
+    assert "HashAggregate" in text.getvalue() and "decimal(38,0)" not in text.getvalue() and "Sort" not in text.getvalue()
+
+
+def test_digests_of_large_numbers(spark):
+    """The halves of the sums come together as the whole numbers do."""
+    import hashlib
+
+    lines = [f"line {k}" for k in range(300)] * 3
+    word = lambda at: sum(int(hashlib.md5(x.encode()).hexdigest()[at : at + 15], 16) for x in lines)
+    want = hashlib.sha256(f"{len(lines)}:{word(0)}:{word(15)}".encode()).hexdigest()
+    assert spark.createDataFrame([(x,) for x in lines], "x string").agg(M.multiset_digest(F.col("x"))).first()[0] == want
