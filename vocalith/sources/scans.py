@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vocalith.operators.ordering import carried_scan
 from vocalith.operators.vectors import feature_violations
-from vocalith.sources.storage import few_listing_tasks, shared_path
+from vocalith.sources.folders import files_below, lines_below, opened
+from vocalith.sources.storage import few_listing_tasks, shared_path, sound_unions
 
 #: Names under which label tables carry their columns; exact matches go before matches in any case.
 LABEL_ALIASES = {
@@ -78,6 +79,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Files are split like any text input. Lines come in order within a block of a file, and are numbered there; what a file's earlier blocks hold is carried over. So files
     may be of any size.
     """
+    sound_unions(spark)
+    if (lines := lines_below(spark, path)) is not None:
+        return lines
     lines = below(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     stored = shared_path(spark, "lines")
     lines.write.parquet(stored)
@@ -92,9 +96,10 @@ def scan_words(spark: SparkSession, path: str, uid_pattern: str = STEM) -> DataF
     """
     lines = numbered_lines(spark, path)
     uid = lambda c: F.regexp_extract(c, uid_pattern, 1)
-    files = lines.groupBy("file").agg(F.max(F.when(F.col("place") == 0, F.col("value"))).alias("head"), F.count_if((F.col("place") > 0) & (F.col("value") != "")).alias("n"))
-    good = F.col("head").rlike(r"^\x{FEFF}?word,start,end") & (F.col("n") > 0)
-    bad = files.where(~good)
+    heads = lines.where("place = 0").select("file", F.col("value").alias("head"))
+    filled = lines.where("place > 0 AND value <> ''").groupBy("file").agg(F.count("*").alias("n"))
+    good = F.col("head").rlike(r"^\x{FEFF}?word,start,end") & F.col("n").isNotNull()
+    bad = heads.join(filled, "file", "left").where(~good)
     body = lines.where("place > 0 AND value <> ''").select(uid(F.col("file")).alias("uid"), (F.col("before") - 1).cast("int").alias("word_id"), F.from_csv("value", F.lit("word STRING, start DOUBLE, end DOUBLE, probability DOUBLE")).alias("r"))
     rows = body.select("uid", "word_id", "r.*")
     fail = F.raise_error(F.concat(F.lit("bad word file "), uid(F.col("file"))))
@@ -115,9 +120,13 @@ def scan_transcripts(spark: SparkSession, path: str, pauses: bool = False) -> Da
 
 
 def scan_file_index(spark: SparkSession, root: str, glob: str = "*", stem: str = STEM) -> DataFrame:
-    """(path, length, stem, folder, duplicate) of the files below root; contents are not read. The stem is the first group of a pattern over the path; duplicate: another file has it as well."""
-    with few_listing_tasks(spark):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", "length")
+    """(path, length, stem, folder, duplicate) of the files below root; contents are not read, and tasks list the folders (`folders.files_below`). The stem is the first group of a pattern over the path; duplicate: another file has it as well. Files of no bytes are passed over, as by Spark's readers."""
+    files = files_below(spark, root, glob)
+    if files is not None:
+        files = files.where("length > 0").select(F.concat(F.lit(opened(root)[2]), "path").alias("path"), "length")
+    else:
+        with few_listing_tasks(spark):
+            files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", "length")
     named = files.select("path", "length", F.regexp_extract("path", stem, 1).alias("stem"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"))
     n = named.groupBy("stem").agg((F.count("*") > 1).alias("duplicate"))
     return named.join(n, "stem").select("path", "length", "stem", "folder", "duplicate")
