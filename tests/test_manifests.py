@@ -220,3 +220,14 @@ def test_digests_of_large_numbers(spark):
     word = lambda at: sum(int(hashlib.md5(x.encode()).hexdigest()[at : at + 15], 16) for x in lines)
     want = hashlib.sha256(f"{len(lines)}:{word(0)}:{word(15)}".encode()).hexdigest()
     assert spark.createDataFrame([(x,) for x in lines], "x string").agg(M.multiset_digest(F.col("x"))).first()[0] == want
+
+
+def test_a_package_is_joined_once(spark):
+    """A recording's problem comes by a window over the joined rows; they are not joined a second time."""
+    import io
+    from contextlib import redirect_stdout
+
+    text = io.StringIO()
+    with redirect_stdout(text):
+        P.package_rows(*sides(spark)).explain()
+    assert text.getvalue().count("Join") == 1 and "Window" in text.getvalue()
